@@ -17,7 +17,8 @@ from quarrywork.llm.common import cut, drop_table, table
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the base rules or that the learned list rejects go."""
     rules = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.judge(docs, rules).filter("kept").select(*docs.columns)
+    whole = docs.select("text", F.struct(*docs.columns).alias("_row"))
+    return quality.judge(whole, rules).filter("kept").select("_row.*")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

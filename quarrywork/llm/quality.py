@@ -10,12 +10,14 @@ For learning, each statistic is cut at quantiles that Spark computes, and the ro
 cuts and label, which is all that the driver sees.
 
 Defined cases: a null, empty or blank text has no words and fails the base rules. Repeated rows are judged alike;
-other columns pass through untouched. Without labels of both kinds there are no rules and only the base rules drop.
+other columns pass through untouched, but for
+those named like a result, which it replaces. Without labels of both kinds there are no rules and only the base rules drop.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,74 +36,82 @@ RUN = 8
 Condition = tuple[str, str, float]  # statistic, ">=" or "<", threshold
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _words(text: Column) -> Column:
     """The words as an array; empty without a word."""
     inner = F.btrim(text, F.lit(SPACE))
     return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, r"[\x20\x09-\x0D]+"))
 
 
-def _repeat_words(hashes: Column) -> Column:
-    """Words in runs of eight that occur twice or more: runs are compared by hash, and only for texts with a
-    repeated one are their places sorted and the words under them counted once."""
-    windows = F.transform(
-        F.sequence(F.lit(1), F.size(hashes) - RUN + 1), lambda i: F.xxhash64(F.slice(hashes, i, RUN))
-    )
-    return F.when(F.size(hashes) > RUN, windows).otherwise(F.array().cast("array<long>"))
+def _run_hashes(hashes: Column) -> Column:
+    """A hash of every run of eight words."""
+    return F.transform(F.sequence(F.lit(1), F.size(hashes) - RUN + 1), lambda i: F.xxhash64(F.slice(hashes, i, RUN)))
+
+
+def _repeated_places(placed: Column) -> Column:
+    """The places, in order, of runs that equal a neighbour in the order of their hashes."""
+    last = F.size(placed) - 1
+
+    def place(run: Column, i: Column) -> Column:
+        before, after = placed[F.greatest(i - 1, F.lit(0))]["h"], placed[F.least(i + 1, last)]["h"]
+        return F.when(((i > 0) & (before == run["h"])) | ((i < last) & (after == run["h"])), run["i"])
+
+    return F.sort_array(F.filter(F.transform(placed, place), lambda x: x.isNotNull()))
+
+
+def _covered_words(places: Column) -> Column:
+    """Words under runs of eight that begin at these places, each counted once."""
+    end = F.size(places) - 1
+
+    def own(p: Column, i: Column) -> Column:
+        return F.when(i < end, F.least(F.lit(RUN), places[F.least(i + 1, end)] - p)).otherwise(F.lit(RUN))
+
+    return F.aggregate(F.transform(places, own), F.lit(0), lambda s, x: s + x)
+
+
+def _repeat_words(words: Column) -> Column:
+    """Words in runs of eight that occur twice or more. Only where a run repeats are places sorted."""
+    sort = lambda runs: F.sort_array(F.transform(runs, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    counted = lambda runs: F.when(
+        F.size(F.array_distinct(runs)) < F.size(runs),
+        _let(sort(runs), lambda placed: _let(_repeated_places(placed), _covered_words)),
+    ).otherwise(F.lit(0))
+    hashes = F.transform(words, lambda w: F.xxhash64(w))
+    return F.when(
+        F.size(words) > RUN, _let(hashes, lambda h: _let(_run_hashes(h), counted))
+    ).otherwise(F.lit(0))
 
 
 def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words, and the shares for learning."""
+    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words, and the shares for learning.
+
+    All are made in one generator of one row, below which no filter on them is pushed, so a text is read once.
+    """
+    docs = docs.drop(*(c for c in docs.columns if c in {*BASE, *LEARNED} and c != text))
     value = F.coalesce(F.col(text), F.lit(""))
-    with_words = docs.withColumn("_w", _words(value))
-    hashed = with_words.select(
-        *docs.columns,
-        F.size("_w").cast("long").alias("n_words"),
-        F.size(F.array_distinct("_w")).alias("_kinds"),
-        _repeat_words(F.transform("_w", lambda w: F.xxhash64(w))).alias("_r"),
-        F.length(F.translate(value, SPACE, "")).cast("long").alias("word_chars"),
-        (F.length(value) - F.length(F.translate(value, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
-        (F.length(value) - F.length(F.translate(value, "!", ""))).alias("_bangs"),
-        (F.length(value) - F.length(F.translate(value, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))).alias("_capitals"),
-        (F.length(value) - F.length(F.translate(value, "0123456789", ""))).alias("_digits"),
-        F.filter(F.split(value, "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "").alias("_l"),
-    )
-    counted = hashed.withColumns(
-        {
-            "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"),
-            "_lines": F.size("_l"),
-            "_sorted": F.when(
-                F.size(F.array_distinct("_r")) < F.size("_r"),
-                F.sort_array(F.transform("_r", lambda h, i: F.struct(h.alias("h"), i.alias("i")))),
-            ),
-        }
-    )
-    # places whose run equals a neighbour's in the sorted order, then the words under them
-    at = lambda i: F.col("_sorted")[i]
-    last = F.size("_sorted") - 1
-    repeated = F.filter(
-        F.transform(
-            "_sorted",
-            lambda x, i: F.when(
-                ((i > 0) & (at(F.greatest(i - 1, F.lit(0)))["h"] == x["h"]))
-                | ((i < last) & (at(F.least(i + 1, last))["h"] == x["h"])),
-                x["i"],
-            ),
-        ),
-        lambda x: x.isNotNull(),
-    )
-    counted = counted.withColumn("_p", F.when(F.col("_sorted").isNotNull(), F.sort_array(repeated)))
-    end = F.size("_p") - 1
-    covered = F.aggregate(
-        F.transform(
-            "_p",
-            lambda p, i: F.when(
-                i < end, F.least(F.lit(RUN), F.col("_p")[F.least(i + 1, end)] - p)
-            ).otherwise(F.lit(RUN)),
-        ),
-        F.lit(0),
-        lambda s, x: s + x,
-    )
-    counted = counted.withColumn("n_repeat_words", F.coalesce(F.when(F.size("_p") > 0, covered), F.lit(0)).cast("long"))
+    without = lambda chars: F.length(value) - F.length(F.translate(value, chars, ""))
+    lines = F.filter(F.split(value, "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "")
+
+    def row(w: Column, lines: Column) -> Column:
+        return F.struct(
+            F.size(w).cast("long").alias("n_words"),
+            F.length(F.translate(value, SPACE, "")).cast("long").alias("word_chars"),
+            without("#*$%&|<>").cast("long").alias("n_symbols"),
+            (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
+            _repeat_words(w).cast("long").alias("n_repeat_words"),
+            F.size(F.array_distinct(w)).alias("_kinds"),
+            F.size(lines).alias("_lines"),
+            without("!").alias("_bangs"),
+            without("ABCDEFGHIJKLMNOPQRSTUVWXYZ").alias("_capitals"),
+            without("0123456789").alias("_digits"),
+        )
+
+    made = _let(_words(value), lambda w: _let(lines, lambda l: row(w, l)))
+    counted = docs.select("*", F.inline_outer(F.array(made)))
     n = F.greatest(F.col("n_words"), F.lit(1))
     chars = F.greatest(F.col("word_chars"), F.lit(1))
     shares = {
@@ -114,7 +124,7 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         "repeat_share": F.col("n_repeat_words") / n,
         "kinds_share": F.col("_kinds") / n,
     }
-    return counted.withColumns(shares).drop("_kinds", "_r", "_bangs", "_capitals", "_digits", "_l", "_lines", "_sorted", "_p")
+    return counted.withColumns(shares).drop("_kinds", "_lines", "_bangs", "_capitals", "_digits")
 
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -214,6 +224,10 @@ def learn(
     return rules
 
 
+def _at_most(name: str) -> Callable[[Column], Column]:
+    return lambda t: t <= F.col(name)
+
+
 def train(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> list[Rule]:
     """Rules from at most ``rows`` labelled documents that pass the base rules, each text counted once."""
     known = labels.filter(F.col("quality").isNotNull()).groupBy("doc_id").agg((F.min("quality") == 0).alias("bad"))
@@ -234,7 +248,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> list
     values = {c: sorted({float(q) for r in quantiles for q in r[c] or []}) for c in LEARNED}
     thresholds = {c: [(a + b) / 2 for a, b in zip(v, v[1:])] for c, v in values.items()}
     cut_of = [
-        sum([(F.col(c) >= t).cast("int") for t in thresholds[c]], F.lit(0)).alias(f"_{i}") for i, c in enumerate(LEARNED)
+        F.size(F.filter(F.array(*map(F.lit, thresholds[c])).cast("array<double>"), _at_most(c))).alias(f"_{i}")
+        for i, c in enumerate(LEARNED)
     ]
     grouped = table_.select("bad", "prunes", *cut_of).groupBy("prunes", *[f"_{i}" for i in range(len(LEARNED))])
     counts = grouped.agg(F.count_if("bad").alias("bad"), F.count_if(~F.col("bad")).alias("good")).collect()
@@ -250,10 +265,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> list
 
 def judge(docs: DataFrame, rules: list[Rule], text: str = "text") -> DataFrame:
     """``docs`` with the base statistics, base_failed and kept. One pass, no shuffle."""
-    with_statistics = statistics(docs, text).withColumn("base_failed", base_failed())
-    return with_statistics.withColumn("kept", ~F.col("base_failed") & ~verdict(rules)).select(
-        *docs.columns, *BASE, "base_failed", "kept"
-    )
+    own = [c for c in docs.columns if c not in {*BASE, *LEARNED, "base_failed", "kept"}]
+    judged = statistics(docs.select(*own), text).withColumn("base_failed", base_failed())
+    return judged.withColumn("kept", ~F.col("base_failed") & ~verdict(rules)).select(*own, *BASE, "base_failed", "kept")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
