@@ -250,7 +250,8 @@ def near_duplicates(
     own = leaders.join(united.withColumnRenamed("node", "leader"), "leader", "left")
     own = own.select("digest", F.coalesce("component", "leader").alias("component"))
     found = sketches.select("id", "n_shingles", "digest").join(own, "digest", "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "id")).otherwise(F.col("id"))
+    linked = (F.col("n_shingles") > 0) & F.col("id").isNotNull()
+    component = F.when(linked, F.coalesce("component", "id")).otherwise(F.col("id"))
     return found.select(F.col("id").alias(key), "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(True))
     )
