@@ -171,3 +171,70 @@ def mapped(value: Column, table: Mapping[str, object], otherwise: object = None)
 
 
 Body = Callable[[Column], Column]
+
+
+# --- code and queries -------------------------------------------------------------------------------------
+
+
+def strategy(query: Column, patterns: Iterable[str], relations: Iterable[str]) -> Column:
+    """Which search a query asks for: patterns first, then relations by how many of their words it holds."""
+    n = count_contained(query, relations)
+    named = query.rlike(r"\b[A-Z][a-z0-9]+[A-Z]\w*")
+    return (
+        F.when(contains_any(query, patterns), "pattern-search")
+        .when((n >= 2) | ((n == 1) & named), "graph-first")
+        .when(n == 1, "hybrid")
+        .otherwise("semantic-first")
+    )
+
+
+def decision_points(text: Column, words: Iterable[str]) -> Column:
+    """One more than the number of branching words, the usual estimate of cyclomatic complexity."""
+    return 1 + F.regexp_count(text, F.lit(r"\b(?:" + "|".join(words) + r")\b"))
+
+
+def deepest_indent(text: Column, width: int = 4) -> Column:
+    indents = F.transform(F.split(text, "\n"), lambda x: F.floor(F.length(F.regexp_extract(x, "^( *)", 1)) / width))
+    return F.coalesce(F.array_max(indents), F.lit(0))
+
+
+def smells(loc: Column, params: Column, complexity: Column, nesting: Column) -> Column:
+    return F.array_compact(
+        F.array(
+            F.when(loc > 50, "long method"),
+            F.when(params > 5, "too many parameters"),
+            F.when(complexity > 10, "complex"),
+            F.when(nesting > 3, "deeply nested"),
+        )
+    )
+
+
+def colors(text: Column) -> Column:
+    """Distinct hex colours in the order in which they come first."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"#[0-9a-f]{6}\b|#[0-9a-f]{3}\b"), F.lit(0)))
+
+
+def slug(text: Column, words: int = 3) -> Column:
+    return F.array_join(F.slice(F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != ""), 1, words), "-")
+
+
+def bucket(key: Column, percent: int) -> Column:
+    """Whether a key falls in the test share; the same key always does or never."""
+    return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(100)) < percent
+
+
+def fused_score(semantic: Column, graph: Column, semantic_weight: float) -> Column:
+    return semantic_weight * semantic + (1 - semantic_weight) * graph
+
+
+def progress(elapsed: Column, estimate: Column) -> tuple[Column, Column]:
+    """(percent, seconds left): at most 99 before the end, and never less than none left."""
+    share = F.when(estimate > 0, 100.0 * elapsed / estimate).otherwise(F.lit(0.0))
+    return F.least(F.lit(99.0), share), F.greatest(F.lit(0.0), estimate - elapsed)
+
+
+def imports(text: Column) -> Column:
+    """Modules that Python's or JavaScript's import lines name, in order, each once."""
+    pattern = r"(?m)^\s*(?:from\s+([\w.]+)\s+import|import\s+([\w.]+)|import .* from ['\"]([^'\"]+)['\"])"
+    found = [F.regexp_extract_all(text, F.lit(pattern), F.lit(k)) for k in (1, 2, 3)]
+    return F.array_distinct(F.filter(F.transform(F.arrays_zip(*found), lambda x: F.concat(x["0"], x["1"], x["2"])), lambda m: m != ""))
