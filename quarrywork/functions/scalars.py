@@ -235,6 +235,6 @@ def progress(elapsed: Column, estimate: Column) -> tuple[Column, Column]:
 
 def imports(text: Column) -> Column:
     """Modules that Python's or JavaScript's import lines name, in order, each once."""
-    pattern = r"(?m)^\s*(?:from\s+([\w.]+)\s+import|import\s+([\w.]+)|import .* from ['\"]([^'\"]+)['\"])"
+    pattern = r"(?m)^\s*(?:import .* from ['\"]([^'\"]+)['\"]|from\s+([\w.]+)\s+import|import\s+([\w.]+))"
     found = [F.regexp_extract_all(text, F.lit(pattern), F.lit(k)) for k in (1, 2, 3)]
     return F.array_distinct(F.filter(F.transform(F.arrays_zip(*found), lambda x: F.concat(x["0"], x["1"], x["2"])), lambda m: m != ""))
