@@ -35,7 +35,7 @@ from .common import cut, table
 
 REVISIT_BYTES = 100
 ARCHIVE_BYTES = 8 << 20
-LEVEL = 1
+LEVEL = 6
 GZIP = 16 + zlib.MAX_WBITS
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _LINE = re.compile(rb"[\r\n]+")
