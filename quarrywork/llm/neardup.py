@@ -10,12 +10,13 @@ Documents with equal sets are one class and go on as its smallest id. Bands of t
 buckets. Buckets are never expanded into all pairs:
 
 1. every member is compared with a few pivots of its bucket; what the full sets confirm is united;
-2. only buckets that still hold several components compare members of different components, and only
-   pairs whose one-bit signatures, then whole signatures, agree often enough are looked at in full.
+2. buckets that still hold several components compare members of different components, in blocks of a fixed
+   size. Within a block, a set is a row of bits over the elements that any two members share, so that
+   intersections are exact and cheap; only links leave the block, one of a member for each other component.
 
-So a group of n near copies costs about n comparisons, while a pair in two components is always compared.
-With 38 bands of 5 places a pair at the threshold of 0.8 shares no bucket with a chance of 3e-7. The
-sketch filters let a pair at the threshold through but for a chance of the order of 1e-5.
+So a group of near copies adds about as many rows as it has members, and a pair in two components is always
+compared. With 38 bands of 5 places a pair at the threshold of 0.8 shares no bucket with a chance of 3e-7; the
+signatures hold a pair with a pivot back with a chance of about 1e-6, and then the second step finds it.
 
 Defined cases: null, empty and blank texts have no shingles, are their own component and link with nothing;
 with fewer words than a shingle has, the whole sequence is the one shingle. Every row gets a result: repeated
@@ -38,13 +39,15 @@ from .common import cut, drop_table, table
 from .components import components
 
 BANDS, ROWS = 38, 5
-PLACES = BANDS * ROWS
+#: Places of a signature; the bands take the first 190.
+PLACES = 512
 #: Pivots that a bucket has over all bands, at most; a member of many buckets meets few different ones.
 PIVOTS = 4
-#: Places of 190 in which one-bit signatures may differ: expected 19 at 0.8, standard deviation 4.
-MOST_BITS = 40
-#: Share of equal places that whole signatures need: expected 0.8 at 0.8, standard deviation below 0.03.
-LEAST_EQUAL = 0.66
+#: Places of 512 in which two-bit signatures may differ: expected 77 at 0.8, standard deviation 8 at most.
+MOST_DIFFERENT = 115
+LONGS = PLACES // 64
+#: Members of one bucket that are compared within a block; larger buckets have several blocks.
+BLOCK = 4096
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 STEPS = GOLDEN * np.arange(1, PLACES + 1, dtype=np.uint64)
@@ -102,35 +105,31 @@ def super_minhash(elements: np.ndarray, places: int = PLACES) -> np.ndarray:
 
 def sketch(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
     """A row for each document: its set's size, digest and signature, and the buckets of its bands."""
-    schema = "id long, n_shingles long, digest binary, bands array<long>, bits array<long>, places binary"
+    schema = "id long, n_shingles long, digest binary, bands array<long>, bits array<long>"
 
     def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spread = mix(np.arange(1, BANDS + 1, dtype=np.uint64) * GOLDEN)
         for batch in batches:
-            out = {"n": [], "digest": [], "bands": [], "bits": [], "places": []}
+            out = {"n": [], "digest": [], "bands": [], "bits": []}
             for value in batch.column(1).to_pylist():
                 found = shingle_set(value, size)
                 out["n"].append(len(found))
                 out["digest"].append(xxhash.xxh3_128_digest(found.tobytes()))
                 if not len(found):
-                    out["bands"].append([]), out["bits"].append([0, 0, 0]), out["places"].append(b"")
+                    out["bands"].append([]), out["bits"].append([0] * (2 * LONGS))
                     continue
-                signature = super_minhash(found)
+                mixed = mix(super_minhash(found))
                 band = spread.copy()
-                for row in mix(signature).reshape(BANDS, ROWS).T:
+                for row in mixed[: BANDS * ROWS].reshape(BANDS, ROWS).T:
                     band = mix(band * GOLDEN + row)
-                mixed = mix(signature)
-                bits = np.zeros(192, np.uint8)
-                bits[:PLACES] = (mixed >> np.uint64(63)).astype(np.uint8)
+                planes = [np.packbits((mixed >> np.uint64(k)).astype(np.uint8) & 1).view(np.int64) for k in (63, 62)]
                 out["bands"].append(band.view(np.int64))
-                out["bits"].append(np.packbits(bits).view(np.int64))
-                out["places"].append((mixed & np.uint64(0xFFFF)).astype("<u2").tobytes())
+                out["bits"].append(np.concatenate(planes))
             longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(out["n"], pa.int64()), pa.array(out["digest"], pa.binary())]
-                + [pa.array(out[k], longs) for k in ("bands", "bits")]
-                + [pa.array(out["places"], pa.binary())],
-                names=["id", "n_shingles", "digest", "bands", "bits", "places"],
+                + [pa.array(out[k], longs) for k in ("bands", "bits")],
+                names=["id", "n_shingles", "digest", "bands", "bits"],
             )
 
     return docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(sketches, schema)
@@ -154,20 +153,21 @@ def overlap(a: bytes, b: bytes) -> tuple[int, int]:
     return both, len(x) + len(y) - both
 
 
-def alike(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole signatures agree in enough places."""
+def close(x: Column, y: Column) -> Column:
+    """Whether two signatures, two bits of each place in two planes, differ in few enough places."""
+    differ = sum(
+        F.bit_count(x[k].bitwiseXOR(y[k]).bitwiseOR(x[k + LONGS].bitwiseXOR(y[k + LONGS]))) for k in range(LONGS)
+    )
+    return differ <= MOST_DIFFERENT
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u2").reshape(-1, PLACES) for k in (2, 3))
-            kept = (x == y).sum(axis=1) >= LEAST_EQUAL * PLACES
-            yield batch.select([0, 1]).filter(pa.array(kept))
 
-    own = sketches.select("id", "places")
-    joined = pairs.join(own.select(F.col("id").alias("a"), F.col("places").alias("x")), "a").join(
-        own.select(F.col("id").alias("b"), F.col("places").alias("y")), "b"
+def alike(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose signatures agree in enough places."""
+    own = sketches.select("id", "bits").dropDuplicates(["id"])
+    joined = pairs.join(own.select(F.col("id").alias("a"), F.col("bits").alias("x")), "a").join(
+        own.select(F.col("id").alias("b"), F.col("bits").alias("y")), "b"
     )
-    return joined.select("a", "b", "x", "y").mapInArrow(keep, "a long, b long")
+    return joined.filter(close(F.col("x"), F.col("y"))).select("a", "b")
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
@@ -192,13 +192,67 @@ def confirm(pairs: DataFrame, docs: DataFrame, key: str, text: str, size: int, p
     return found
 
 
+def linked_rows(labels: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Places (x, y) of sets in different components that overlap by the threshold, one y of each for an x.
+
+    Exact but for two elements to either side, as the elements may be shortened hashes. The largest component's
+    own members aren't compared with anything but by the others.
+    """
+    names, code, count = np.unique(labels, return_inverse=True, return_counts=True)
+    rest = np.flatnonzero(code != count.argmax())
+    lengths = np.fromiter(map(len, sets), np.int64, len(sets))
+    _, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    column = np.cumsum(times > 1) - 1
+    row, shared = np.repeat(np.arange(len(sets)), lengths), times[at] > 1
+    row, column = row[shared], column[at[shared]]
+    common = np.zeros((len(rest), len(sets)), np.int32)
+    for low in range(0, int(column.max(initial=-1)) + 1, 8192):
+        here = (column >= low) & (column < low + 8192)
+        wide = np.zeros((len(sets), 8192 if column.max() >= low + 8192 else -(-(int(column.max()) + 1 - low) // 64) * 64), bool)
+        wide[row[here], column[here] - low] = True
+        bits = np.packbits(wide, axis=1).view(np.uint64)
+        for i, x in enumerate(rest):
+            common[i] += np.bitwise_count(bits & bits[x]).sum(axis=1, dtype=np.int32)
+    found = []
+    for i, x in enumerate(rest):
+        either = lengths + lengths[x] - common[i]
+        hit = np.flatnonzero((100 * (common[i] + 2) >= percent * (either - 2)) & (code != code[x]))
+        found += [(int(x), int(hit[k])) for k in np.unique(code[hit], return_index=True)[1]]
+    return found
+
+
+def across(left: DataFrame, docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of one bucket that are in different components and overlap by the threshold."""
+
+    def compare(group: pa.Table) -> pa.Table:
+        ids, labels = group["id"].to_numpy(), group["label"].to_numpy()
+        sets = [np.frombuffer(x, "<u4") for x in group["elements"].to_pylist()]
+        found = linked_rows(labels, sets, percent)
+        pairs = np.array([(min(ids[x], ids[y]), max(ids[x], ids[y])) for x, y in found], np.int64).reshape(-1, 2)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            short = [np.unique(shingle_set(t, size).astype("<u4")).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(short, pa.binary())], names=["id", "elements"])
+
+    needed = left.select("id").distinct()
+    sought = docs.withColumn("_id", F.col(key).cast("long")).join(needed.withColumnRenamed("id", "_id"), "_id", "semi")
+    short = sought.select(F.col("_id").alias("id"), text).mapInArrow(shorten, "id long, elements binary").distinct()
+    own = F.pmod(F.xxhash64("id"), F.col("blocks"))
+    spread = left.select("bucket", "id", "label", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    keyed = spread.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "label")
+    groups = keyed.join(short, "id").groupBy("bucket", "i", "j")
+    return groups.applyInArrow(compare, "a long, b long").distinct()
+
+
 def buckets(classes: DataFrame, *columns: str | Column) -> DataFrame:
     """A row for each band of each class; the bucket's key already tells the bands apart."""
     return classes.select("id", *columns, F.posexplode("bands").alias("band", "bucket"))
 
 
 def near_duplicates(
-    docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80
+    docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, block: int = BLOCK
 ) -> DataFrame:
     """(``key``, n_shingles, component_id, kept), a row for each row of ``docs``.
 
@@ -210,7 +264,7 @@ def near_duplicates(
     classes = cut(
         held.join(leaders.select(F.col("leader").alias("id"), F.lit(1).alias("_leads")), "id")
         .dropDuplicates(["id", "digest"])
-        .select("id", "bands", "bits", "places"),
+        .select("id", "bands", "bits"),
         "classes",
     )
 
@@ -219,7 +273,8 @@ def near_duplicates(
     rows = buckets(classes).select("bucket", "id", rank.alias("rank"))
     pivots = rows.groupBy("bucket").agg(F.min(F.struct("rank", "id")).alias("first"), F.count("*").alias("n"))
     pivots = pivots.filter("n > 1").select("bucket", F.col("first.id").alias("pivot"))
-    pairs = rows.join(pivots, "bucket").filter("id != pivot")
+    shared = cut(rows.join(pivots, "bucket").select("bucket", "id", "pivot"), "buckets")
+    pairs = shared.filter("id != pivot")
     pairs = pairs.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
     tried = cut(alike(pairs, classes), "tried")
     links = confirm(tried, docs, key, text, size, percent)
@@ -227,24 +282,14 @@ def near_duplicates(
 
     # then members of one bucket that are still in different components
     label = F.coalesce(F.col("component"), F.col("id")).alias("label")
-    labelled = classes.join(united.withColumnRenamed("node", "id"), "id", "left")
-    rows = cut(buckets(labelled, label).select("bucket", "id", "label"), "buckets")
-    mixed = rows.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-    mixed = mixed.filter("low < high").select("bucket")
-    left = cut(
-        rows.join(mixed, "bucket").join(classes.select("id", "bits"), "id").select("bucket", "id", "label", "bits"),
-        "mixed",
-    )
-    differ = sum(F.bit_count(F.col("x.bits")[k].bitwiseXOR(F.col("y.bits")[k])) for k in range(3))
-    rest = (
-        left.alias("x")
-        .join(left.alias("y"), F.expr("x.bucket = y.bucket AND x.id < y.id AND x.label != y.label") & (differ <= MOST_BITS))
-        .select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-        .distinct()
-        .join(tried, ["a", "b"], "anti")
+    named = shared.join(united.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", label)
+    mixed = named.groupBy("bucket").agg(
+        F.min("label").alias("low"), F.max("label").alias("high"), F.ceil(F.count("*") / block).alias("blocks")
     )
-    more = confirm(cut(alike(rest, classes), "rest"), docs, key, text, size, percent)
-    united = components(links.unionByName(more))
+    left = cut(named.join(mixed.filter("low < high").select("bucket", "blocks"), "bucket"), "mixed")
+    rest = cut(across(left, docs, key, text, size, percent).join(tried, ["a", "b"], "anti"), "rest")
+    more = confirm(rest, docs, key, text, size, percent)
+    united = components(united.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
     # members of a class have the component of its leader
     own = leaders.join(united.withColumnRenamed("node", "leader"), "leader", "left")

@@ -62,6 +62,29 @@ def test_equals_brute_force(spark, size):
         assert r.kept == (r.doc_id == r.component_id)
 
 
+def test_blocks_lose_no_link(spark):
+    docs = corpus()
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    expected = brute_force(docs, 2, 80)
+    got = neardup.near_duplicates(frame, size=2, block=7).collect()
+    assert all((r.n_shingles, r.component_id) == expected[r.doc_id] for r in got)
+
+
+def test_linked_rows_equal_brute_force():
+    rng = np.random.default_rng(2)
+    for span in (40, 40_000):
+        sets = [np.unique(rng.integers(0, span, rng.integers(1, 60), dtype=np.uint32)) for _ in range(80)]
+        sets += [np.unique(np.append(s[1:], np.uint32(7))) for s in sets[:40]]
+        labels = rng.integers(0, 60, len(sets))
+        got = {(x, int(labels[y])) for x, y in neardup.linked_rows(labels, sets, 80)}
+        got |= {(y, int(labels[x])) for x, y in neardup.linked_rows(labels, sets, 80)}
+        for x in range(len(sets)):
+            for y in range(x):
+                both = len(set(sets[x].tolist()) & set(sets[y].tolist()))
+                if labels[x] != labels[y] and 100 * both >= 80 * (len(sets[x]) + len(sets[y]) - both):
+                    assert (x, int(labels[y])) in got or (y, int(labels[x])) in got
+
+
 def test_empty_repeated_and_null_ids(spark):
     schema = "doc_id long, text string"
     assert neardup.near_duplicates(spark.createDataFrame([], schema)).collect() == []
