@@ -48,6 +48,8 @@ MOST_DIFFERENT = 115
 LONGS = PLACES // 64
 #: Members of one bucket that are compared within a block; larger buckets have several blocks.
 BLOCK = 4096
+#: Ids, of 8 bytes each, that are broadcast to pick out documents.
+BROADCAST_IDS = 500_000
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 STEPS = GOLDEN * np.arange(1, PLACES + 1, dtype=np.uint64)
@@ -170,6 +172,16 @@ def alike(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return joined.filter(close(F.col("x"), F.col("y"))).select("a", "b")
 
 
+def only(docs: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose key is among ``ids``, a small share of them, with the key as ``_id``.
+
+    Up to ``BROADCAST_IDS`` ids, which are counted first, are broadcast, so that no text moves; more are joined.
+    """
+    wanted = cut(ids.select(F.col("id").alias("_id")).distinct(), "ids")
+    few = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    return docs.withColumn("_id", F.col(key).cast("long")).join(few, "_id", "semi")
+
+
 def confirm(pairs: DataFrame, docs: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets overlap by the threshold. Sets are made for these documents only."""
 
@@ -181,8 +193,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, key: str, text: str, size: int, p
                 kept.append(100 * both >= percent * either)
             yield batch.select([0, 1]).filter(pa.array(kept, pa.bool_()))
 
-    needed = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    sought = docs.withColumn("_id", F.col(key).cast("long")).join(needed.select(F.col("id").alias("_id")), "_id", "semi")
+    sought = only(docs, key, pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))))
     sets = cut(shingle_sets(sought.select("_id", text), "_id", text, size).distinct(), "sets")
     joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("elements").alias("x")), "a").join(
         sets.select(F.col("id").alias("b"), F.col("elements").alias("y")), "b"
@@ -236,9 +247,7 @@ def across(left: DataFrame, docs: DataFrame, key: str, text: str, size: int, per
             short = [np.unique(shingle_set(t, size).astype("<u4")).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(short, pa.binary())], names=["id", "elements"])
 
-    needed = left.select("id").distinct()
-    sought = docs.withColumn("_id", F.col(key).cast("long")).join(needed.withColumnRenamed("id", "_id"), "_id", "semi")
-    short = sought.select(F.col("_id").alias("id"), text).mapInArrow(shorten, "id long, elements binary").distinct()
+    short = only(docs, key, left).select(F.col("_id").alias("id"), text).mapInArrow(shorten, "id long, elements binary").distinct()
     own = F.pmod(F.xxhash64("id"), F.col("blocks"))
     spread = left.select("bucket", "id", "label", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     keyed = spread.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "label")
