@@ -5,6 +5,9 @@ white space that follows something else. No alternative of the pattern matches a
 looks behind, so the pieces' tokens, one after the other, are the text's. Decoding joins the tokens' raw bytes,
 so it is exact even where a token holds part of a character.
 
+The pattern backtracks over a run of white space, which overflows the library's stack in runs of about a million.
+Of a long run, all but a last character that something follows is one match of the pattern, so it is encoded as that.
+
 Defined cases: null texts are empty texts, with no token. Strings that look like special tokens are ordinary
 text. Lone surrogates can't occur in Spark strings. Repeated rows give equal rows; other columns aren't read.
 """
@@ -28,8 +31,11 @@ from .common import table
 RANKS = "byte_bpe_50k.tiktoken"
 #: Characters after which a text is cut at the next safe boundary.
 PIECE = 16_384
-#: A run of one kind that is longer than this has no boundary inside and goes to the library whole.
-BOUNDARY = re.compile(r"(?<=\S)(?=\s)")
+#: A run of one kind that is longer than this has no boundary inside and goes to the library whole. Python's white
+#: space is more than the library's, so only characters that are white space to both are cut in front of.
+BOUNDARY = re.compile(r"(?<=\S)(?=[ \t\n\r])")
+#: A match of white space alone that is too long for the pattern, in the library's sense of white space.
+LONG_GAP = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
 
 
 @lru_cache(maxsize=4)
@@ -54,7 +60,13 @@ def pieces(text: str, length: int = PIECE) -> Iterator[str]:
 def encode(text: str | None, path: str) -> list[int]:
     tokens: list[int] = []
     for piece in pieces(text or ""):
-        tokens += encoding(path).encode_ordinary(piece)
+        at = 0
+        for gap in LONG_GAP.finditer(piece):
+            end = gap.end() - (gap.end() < len(piece))
+            tokens += encoding(path).encode_ordinary(piece[at : gap.start()])
+            tokens += encoding(path)._encode_single_piece(piece[gap.start() : end])
+            at = end
+        tokens += encoding(path).encode_ordinary(piece[at:])
     return tokens
 
 

@@ -26,6 +26,15 @@ def test_bpe_equals_the_library(spark):
     assert "".join(bpe.pieces(TEXTS[-3], 100)) == TEXTS[-3]
 
 
+def test_bpe_of_long_runs_of_white_space():
+    path = public_tokenizers.path(bpe.RANKS)
+    for gap in (" " * 12_000, "\n" * 12_001, " \t\u3000" * 5000):
+        for text in (gap, "a" + gap, gap + "b c", f"x!{gap}\x1c", f"a {gap}b{gap}'s\u00a0"):
+            assert bpe.encode(text, path) == bpe.encoding(path).encode_ordinary(text)
+    huge = "a" + " " * 1_000_000 + "b"
+    assert bpe.decode(bpe.encode(huge, path), path) == huge.encode()
+
+
 def test_packing_words_equal_the_library():
     words = packing.words(public_tokenizers.path(packing.TOKENIZER))
     for text in TEXTS:
