@@ -238,3 +238,53 @@ def imports(text: Column) -> Column:
     pattern = r"(?m)^\s*(?:import .* from ['\"]([^'\"]+)['\"]|from\s+([\w.]+)\s+import|import\s+([\w.]+))"
     found = [F.regexp_extract_all(text, F.lit(pattern), F.lit(k)) for k in (1, 2, 3)]
     return F.array_distinct(F.filter(F.transform(F.arrays_zip(*found), lambda x: F.concat(x["0"], x["1"], x["2"])), lambda m: m != ""))
+
+
+def metadata(columns: list[str]) -> Column:
+    """``name=value`` of every column that isn't null, in order of the names."""
+    return F.array_sort(F.array_compact(F.array(*[F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in columns])))
+
+
+def ladder(text: Column, steps: tuple[tuple[str, str], ...], default: str) -> Column:
+    """The name of the first keyword that the text holds."""
+    out = F.when(F.lit(False), default)
+    for keyword, name in steps:
+        out = out.when(F.contains(text, F.lit(keyword)), name)
+    return out.otherwise(default)
+
+
+def nearest_name(name: Column, known: tuple[str, ...], most: int) -> Column:
+    """Of the known names within ``most`` edits the nearest, of equal ones the first in the alphabet; else null."""
+    measured = [F.struct(F.levenshtein(name, F.lit(k)).alias("d"), F.lit(k).alias("k")) for k in known]
+    return F.array_min(F.filter(F.array(*measured), lambda x: x["d"] <= most))["k"]
+
+
+def execution_estimate(mean: Column, n: Column, guess: Column, sure: Column, late: Column, early: Column) -> tuple[Column, Column]:
+    """(duration, confidence): measured means weigh more from ten runs on; a trend beyond a tenth counts a tenth."""
+    mixed = F.when(n >= 10, 0.7 * mean + 0.3 * guess).otherwise(0.5 * mean + 0.5 * guess)
+    trend = F.when(late > 1.1 * early, 1.1).when(late < 0.9 * early, 0.9).otherwise(1.0)
+    return mixed * trend, F.least(sure + F.least(2 * n, F.lit(30)), F.lit(98))
+
+
+def off_scale(text: Column, pattern: str, allowed: tuple[int, ...]) -> Column:
+    """The distinct numbers that the pattern finds and the scale doesn't have, in order."""
+    found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda x: x.cast("int"))
+    return F.array_sort(F.array_except(found, F.array(*map(F.lit, allowed))))
+
+
+def words_after(text: Column, keywords: tuple[str, ...], most: int) -> Column:
+    """The word after each keyword's first occurrence, as far as there is one; at most ``most``."""
+    found = F.array(*[F.regexp_extract(text, rf"\b{k}\s+(\w+)", 1) for k in keywords])
+    return F.slice(F.filter(found, lambda x: x != ""), 1, most)
+
+
+def topics(text: Column, known: tuple[tuple[str, tuple[str, ...]], ...]) -> Column:
+    """The topics any of whose keywords the text holds, in the order of the list."""
+    small = F.lower(text)
+    named = []
+    for name, keywords in known:
+        hit = F.lit(False)
+        for k in keywords:
+            hit = hit | F.contains(small, F.lit(k))
+        named.append(F.when(hit, name))
+    return F.array_compact(F.array(*named))
