@@ -11,7 +11,7 @@ buckets. Buckets are never expanded into all pairs:
 
 1. every member is compared with a few pivots of its bucket; what the full sets confirm is united;
 2. buckets that still hold several components compare members of different components, in blocks of a fixed
-   size. Within a block, a set is a row of bits over the elements that any two members share, so that
+   size. Within a block, a full set is a row of bits over the elements that any two members share, so that
    intersections are exact and cheap; only links leave the block, one of a member for each other component.
 
 So a group of near copies adds about as many rows as it has members, and a pair in two components is always
@@ -206,8 +206,8 @@ def confirm(pairs: DataFrame, docs: DataFrame, key: str, text: str, size: int, p
 def linked_rows(labels: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Places (x, y) of sets in different components that overlap by the threshold, one y of each for an x.
 
-    Exact but for two elements to either side, as the elements may be shortened hashes. The largest component's
-    own members aren't compared with anything but by the others.
+    Exact, so that one y stands for its whole component. The largest component's own members aren't compared
+    with anything but by the others.
     """
     names, code, count = np.unique(labels, return_inverse=True, return_counts=True)
     rest = np.flatnonzero(code != count.argmax())
@@ -227,7 +227,7 @@ def linked_rows(labels: np.ndarray, sets: list[np.ndarray], percent: int) -> lis
     found = []
     for i, x in enumerate(rest):
         either = lengths + lengths[x] - common[i]
-        hit = np.flatnonzero((100 * (common[i] + 2) >= percent * (either - 2)) & (code != code[x]))
+        hit = np.flatnonzero((100 * common[i] >= percent * either) & (code != code[x]))
         found += [(int(x), int(hit[k])) for k in np.unique(code[hit], return_index=True)[1]]
     return found
 
@@ -237,21 +237,16 @@ def across(left: DataFrame, docs: DataFrame, key: str, text: str, size: int, per
 
     def compare(group: pa.Table) -> pa.Table:
         ids, labels = group["id"].to_numpy(), group["label"].to_numpy()
-        sets = [np.frombuffer(x, "<u4") for x in group["elements"].to_pylist()]
+        sets = [np.frombuffer(x, np.uint64) for x in group["elements"].to_pylist()]
         found = linked_rows(labels, sets, percent)
         pairs = np.array([(min(ids[x], ids[y]), max(ids[x], ids[y])) for x, y in found], np.int64).reshape(-1, 2)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            short = [np.unique(shingle_set(t, size).astype("<u4")).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(short, pa.binary())], names=["id", "elements"])
-
-    short = only(docs, key, left).select(F.col("_id").alias("id"), text).mapInArrow(shorten, "id long, elements binary").distinct()
+    sets = shingle_sets(only(docs, key, left).select("_id", text), "_id", text, size).distinct()
     own = F.pmod(F.xxhash64("id"), F.col("blocks"))
     spread = left.select("bucket", "id", "label", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     keyed = spread.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "label")
-    groups = keyed.join(short, "id").groupBy("bucket", "i", "j")
+    groups = keyed.join(sets, "id").groupBy("bucket", "i", "j")
     return groups.applyInArrow(compare, "a long, b long").distinct()
 
 
@@ -296,8 +291,7 @@ def near_duplicates(
         F.min("label").alias("low"), F.max("label").alias("high"), F.ceil(F.count("*") / block).alias("blocks")
     )
     left = cut(named.join(mixed.filter("low < high").select("bucket", "blocks"), "bucket"), "mixed")
-    rest = cut(across(left, docs, key, text, size, percent).join(tried, ["a", "b"], "anti"), "rest")
-    more = confirm(rest, docs, key, text, size, percent)
+    more = cut(across(left, docs, key, text, size, percent), "more")
     united = components(united.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
     # members of a class have the component of its leader

@@ -85,6 +85,16 @@ def test_linked_rows_equal_brute_force():
                     assert (x, int(labels[y])) in got or (y, int(labels[x])) in got
 
 
+def test_linked_rows_pass_over_members_just_below_the_threshold():
+    def of(common, own, first):  # 44 elements, so many of them those of x
+        return np.array([*range(common), *range(first, first + own)], np.uint64)
+
+    x = of(44, 0, 0)
+    component = [of(38, 6, 1000), of(38, 6, 2000), of(40, 4, 3000), of(30, 14, 4000)]  # 38/50, 38/50, 40/48, 30/58
+    assert neardup.linked_rows(np.array([1, 1, 1, 1, 2]), [*component, x], 80) == [(4, 2)]
+    assert neardup.linked_rows(np.array([1, 1, 2]), [component[0], component[1], x], 80) == []
+
+
 def test_empty_repeated_and_null_ids(spark):
     schema = "doc_id long, text string"
     assert neardup.near_duplicates(spark.createDataFrame([], schema)).collect() == []
