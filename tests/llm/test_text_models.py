@@ -63,6 +63,20 @@ def test_toxicity_of_held_out_texts(spark):
     assert all(0 <= s <= 1 for s in got.values())
 
 
+def test_toxicity_counts_all_labelled_rows(spark, monkeypatch):
+    docs = spark.range(2800).selectExpr("id AS doc_id", "concat('w', id, ' end') AS text")
+    labels = docs.selectExpr("doc_id", "int(doc_id % 28 = 0) AS toxic")
+    counted = labels.filter("pmod(xxhash64('calibrate', doc_id), 7) != 0 AND toxic = 0").collect()
+    expected = sum(py_fold(r.doc_id, 5) != 0 for r in counted)
+    assert expected > 1800
+    seen, fit = [], toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda counts: seen.append(counts) or fit(counts))
+    toxicity.train(docs, labels)
+    (row,) = seen[0].pairs.query("v == 'end' and w == @toxicity.END").itertuples()
+    assert row.ordinary + toxicity.DISCOUNT == expected
+    assert seen[0].kinds["ordinary"] == 2 * expected + 1
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
