@@ -63,6 +63,22 @@ def test_toxicity_of_held_out_texts(spark):
     assert all(0 <= s <= 1 for s in got.values())
 
 
+def test_toxicity_of_texts_of_toxic_words_alone(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(1000):
+        found = say(rng, rng.choice(["en", "de"]), 60).split()
+        for _ in range(3 if i % 4 == 0 else 0):
+            found.insert(rng.randrange(len(found)), rng.choice(["scum", "moron", "clown"]))
+        rows.append((i, " ".join(found), int(i % 4 == 0)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(frame.select("doc_id", "text"), frame.select("doc_id", "toxic"))
+    for text in ("scum", "Scum moron!", "clown scum moron clown", "scum " * 20_000, "moron clown " * 500):
+        assert model.score(text) >= 0.5, text[:30]
+    held = [(t, y) for i, t, y in rows if py_fold(i, 5) == 0]
+    assert np.mean([(model.score(t) >= 0.5) == bool(y) for t, y in held]) > 0.97
+
+
 def test_toxicity_counts_all_labelled_rows(spark, monkeypatch):
     docs = spark.range(2800).selectExpr("id AS doc_id", "concat('w', id, ' end') AS text")
     labels = docs.selectExpr("doc_id", "int(doc_id % 28 = 0) AS toxic")
