@@ -79,6 +79,75 @@ def test_toxicity_of_texts_of_toxic_words_alone(spark):
     assert np.mean([(model.score(t) >= 0.5) == bool(y) for t, y in held]) > 0.97
 
 
+def plain_models(rows, order, discount, prior):
+    """Two Kneser-Ney models of letters, written with dictionaries: a function that gives a word's log-likelihoods."""
+    tops = {1: {}, 0: {}}
+    for text, toxic in {(t, y) for t, y in rows}:
+        for word in set(toxicity.words(text)):
+            marked = "\x02" + word + "\x03"
+            for i in range(1, len(marked)):
+                g = marked[max(0, i - order + 1) : i + 1]
+                tops[toxic][g] = tops[toxic].get(g, 0) + 1
+    levels = {}
+    for c, top in tops.items():
+        level = {g: n for g, n in top.items() if len(g) == order}
+        levels[c] = {order: level}
+        for k in range(order - 1, 0, -1):
+            lower = {g: n for g, n in top.items() if len(g) == k and g[0] == "\x02"}
+            for g in level:
+                lower[g[1:]] = lower.get(g[1:], 0) + 1
+            level = levels[c][k] = lower
+    kept = {
+        g for k in range(1, order + 1) for g in {*levels[0][k], *levels[1][k]}
+        if max(levels[0][k].get(g, 0), levels[1][k].get(g, 0)) > discount
+    }
+    letters = {g: levels[0][1].get(g, 0) + levels[1][1].get(g, 0) for g in kept if len(g) == 1}
+    whole = sum(letters.values()) + 0.5 * (len(letters) + 1)
+
+    def probability(c, g):
+        k = len(g)
+        lower = probability(c, g[1:]) if k > 1 else (letters.get(g, 0) + 0.5) / whole
+        heads = {x: n for x, n in levels[c][k].items() if x[:-1] == g[:-1]}
+        total = sum(heads.values()) + prior
+        if not any(x[:-1] == g[:-1] and len(x) == k for x in kept):
+            return lower
+        above = {x: max(n - discount, 0) for x, n in heads.items() if x in kept}
+        return above.get(g, 0) / total + (1 - sum(above.values()) / total) * lower
+
+    def told(word):
+        marked = "\x02" + word + "\x03"
+        grams = [marked[max(0, i - order + 1) : i + 1] for i in range(1, len(marked))]
+        return [sum(np.log(probability(c, g)) for g in grams) for c in (1, 0)]
+
+    return levels, told
+
+
+def test_toxicity_equals_plain_kneser_ney(spark):
+    rng = random.Random(8)
+    rows = [(" ".join(rng.choice(["abba", "ab", "babel", "Cabal", "ça", "ba"]) + rng.choice(["", "x", "el"]) for _ in range(6)), i % 3 == 0)
+            for i in range(60)]
+    rows = [(t, int(y)) for t, y in rows] + [("", 1), (None, 0), rows[0], ("zz zz zz", 1), ("\U0001d400\U0001d401 zz", 1)]
+    frame = spark.createDataFrame([(t, int(y)) for t, y in rows], "text string, toxic int").dropDuplicates()
+    grams = toxicity.count_grams(toxicity.count_words(frame))
+    levels, told = plain_models([(t, int(y)) for t, y in rows], toxicity.ORDER, toxicity.DISCOUNT, toxicity.PRIOR)
+    got = {r.g: (r.toxic, r.ordinary) for r in grams.collect()}
+    expected = {g for c in levels for level in levels[c].values() for g in level}
+    assert got == {g: tuple(levels[c][len(g)].get(g, 0) for c in (1, 0)) for g in expected}
+    model = toxicity.fit(toxicity.summed(grams))
+    seen = ["abba", "ab", "babelx", "cabalel", "ça", "zz", "unseen", "q", "abxabba", "x" * 50, "\U0001d400"]
+    for word, difference in zip(seen, model.differences(seen)):
+        toxic, ordinary = told(word)
+        assert abs(toxic - ordinary - difference) < 1e-4, word
+
+
+def test_toxicity_keeps_few_ngrams_of_any_corpus(spark):
+    grams = spark.range(5000).selectExpr("lpad(id, 6, 'x') AS g", "1 + id % 7 AS toxic", "0L AS ordinary")
+    for rare in (1e-6, 2e-4, 3e-4):
+        counts = toxicity.summed(grams, rare=rare)
+        total = sum(1 + i % 7 for i in range(5000))
+        assert len(counts.grams) == sum(1 + i % 7 > max(1, rare * total) for i in range(5000)) <= 1 / rare
+
+
 def test_toxicity_counts_all_labelled_rows(spark, monkeypatch):
     docs = spark.range(2800).selectExpr("id AS doc_id", "concat('w', id, ' end') AS text")
     labels = docs.selectExpr("doc_id", "int(doc_id % 28 = 0) AS toxic")
@@ -88,9 +157,26 @@ def test_toxicity_counts_all_labelled_rows(spark, monkeypatch):
     seen, fit = [], toxicity.fit
     monkeypatch.setattr(toxicity, "fit", lambda counts: seen.append(counts) or fit(counts))
     toxicity.train(docs, labels)
-    (row,) = seen[0].pairs.query("v == 'end' and w == @toxicity.END").itertuples()
-    assert row.ordinary + toxicity.DISCOUNT == expected
-    assert seen[0].kinds["ordinary"] == 2 * expected + 1
+    (row,) = seen[0].grams.query("g == '\x02end\x03'").itertuples()
+    assert row.ordinary == expected
+
+
+def test_toxicity_defined_cases(spark):
+    schema = "doc_id long, text string, score string, lang string, _toxicity int"
+    rng = random.Random(6)
+    rows = [(i, say(rng, "en", 30) + (" moron scum" if i % 3 == 0 else ""), "mine", "x", 1) for i in range(300)]
+    docs = spark.createDataFrame([*rows, *rows[:20], (None, "moron scum", None, None, None), (7000, "ab " * 300_000, "", "", 0)], schema)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0), 5) for i in range(300)] + [(None, 1, 2), (4, None, 1), (3, 0, 0)], "doc_id long, toxic int, text int")
+    model = toxicity.train(docs, labels)
+    got = toxicity.score(docs, model)
+    assert got.columns == docs.columns and dict(got.dtypes)["score"] == "double"
+    found = got.collect()
+    assert len(found) == 322
+    by_id = {}
+    for r in found:
+        assert by_id.setdefault(r.doc_id, r.score) == r.score
+    assert by_id[None] > 0.5 and by_id[7000] < 0.5
+    assert toxicity.score(docs.limit(0), toxicity.train(docs.limit(0), labels)).collect() == []
 
 
 def test_toxicity_without_labels(spark):
