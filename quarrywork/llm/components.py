@@ -44,7 +44,7 @@ def _spread(edges: DataFrame, rows: int) -> DataFrame:
     return edges.coalesce(max(1, -(-rows // EDGES_PER_TASK)))
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node that ``edges`` (a, b) mention; component is its smallest node.
 
     Union-find shortens the edges within a batch; then, round by round, every node's larger neighbours
@@ -55,7 +55,7 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     edges = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).filter("a != b")
     now = cut(edges.mapInPandas(_contract, "a long, b long"), "edges")
     mark = _mark(now)
-    for _ in range(rounds):
+    while True:
         links = _spread(now, mark[0])
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
@@ -68,8 +68,6 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         now, was, mark = after, mark, _mark(after)
         if was == mark:
             break
-    else:
-        raise RuntimeError(f"no fixed point after {rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )

@@ -66,10 +66,55 @@ def test_blocks_lose_no_link(spark):
     docs = corpus()
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     expected = brute_force(docs, 2, 80)
-    got = neardup.near_duplicates(frame, size=2, block=7).collect()
+    for limits in ({"block": 7}, {"block_shingles": 300}, {"block": 1}):
+        got = neardup.near_duplicates(frame, size=2, **limits).collect()
+        assert all((r.n_shingles, r.component_id) == expected[r.doc_id] for r in got)
+
+
+def test_joined_ids_give_the_same_as_broadcast_ones(spark, monkeypatch):
+    docs = corpus()
+    monkeypatch.setattr(neardup, "BROADCAST_IDS", 0)
+    got = neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), size=2).collect()
+    expected = brute_force(docs, 2, 80)
     assert all((r.n_shingles, r.component_id) == expected[r.doc_id] for r in got)
 
 
+def test_a_large_component_is_dealt_out_once(spark):
+    rows = [(7, i, 1, 10) for i in range(1000)] + [(7, 5000 + i, 5000 + i, 10) for i in range(3)] + [(8, 1, 1, 10), (8, 2, 1, 10)]
+    named = spark.createDataFrame(rows, "bucket long, id long, label long, n_shingles long")
+    got = neardup.dealt(named, block=100).toPandas()
+    assert set(got.bucket) == {7}
+    assert (got.label == 1).sum() == 1000  # ten blocks and one of the others
+    assert len(got) == 1000 + 3 * 10 + 3
+    assert got.groupby(["i", "j"]).size().max() < 250
+    few = neardup.dealt(named, block=2000).toPandas()
+    assert len(few) == 1003 and set(few.i) == set(few.j) == {0}
+    by_size = neardup.dealt(named, block_shingles=1000).toPandas()
+    assert (by_size.label == 1).sum() == 1000 and by_size.groupby(["i", "j"]).size().max() < 250
+
+
+def test_every_two_components_meet(spark):
+    rng = random.Random(4)
+    rows = [(1, i, rng.choice([0] * 30 + list(range(1, 12))), rng.randrange(1, 50)) for i in range(300)]
+    named = spark.createDataFrame(rows, "bucket long, id long, label long, n_shingles long")
+    for limits in ({"block": 9}, {"block": 40}, {"block_shingles": 500}):
+        met = set()
+        for _, group in neardup.dealt(named, **limits).toPandas().groupby(["i", "j"]):
+            own = [(r.id, r.label, r.second) for r in group.itertuples()]
+            second = any(x[2] for x in own)
+            met |= {frozenset((a, b)) for a, x, p in own for b, y, q in own if x != y and (p != q or not second)}
+        assert met == {frozenset((a, b)) for _, a, x, _ in rows for _, b, y, _ in rows if x != y}
+
+
+def test_long_texts_among_short_ones(spark):
+    rng = random.Random(9)
+    long = [f"w{rng.randrange(10**6)}" for _ in range(200_000)]
+    docs = [(1, " ".join(long)), (2, " ".join(long[:190_000])), (3, " ".join(long[:150_000])), (4, "a b c d e f g")]
+    docs += [(i, "a b c d e f g") for i in range(5, 9)]
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3} | {i: 4 for i in range(4, 9)}
+
+
 def test_linked_rows_equal_brute_force():
     rng = np.random.default_rng(2)
     for span in (40, 40_000):
@@ -110,6 +155,44 @@ def test_deduplicate_keeps_columns(spark):
     assert sorted(r.doc_id for r in got.collect()) == [1, 3]
 
 
+def test_deduplicate_decides_by_row(spark):
+    """Brute force over rows: each text of an id is judged for itself, and no unique text goes."""
+    rng = random.Random(12)
+    texts = [t for _, t in corpus() if t and t.strip() and len(t) < 5000]
+    rows = [(rng.randrange(1, 60), rng.choice(texts), rng.randrange(3)) for _ in range(150)]
+    rows += [(1, "same words as in the other row"), (2, "same words as in the other row"), (2, "totally other words that stand here alone"),
+             (3, "unique text that comes twice in this table"), (3, "unique text that comes twice in this table"),
+             (2, "and a third text of number two alone"), (None, "same words as in the other row"), (70, ""), (70, "")]
+    rows = [(*r, 1)[:3] for r in rows]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, id int").withColumnsRenamed({"id": "said"})
+    got = neardup.deduplicate(frame)
+    assert got.columns == frame.columns
+    kept = [(r.doc_id, r.text) for r in got.collect()]
+    sets = {t: shingles(t, 5) for _, t, _ in rows if t}
+    names = list(sets)
+    parent = {t: t for t in names}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in names:
+        for b in names:
+            both = len(sets[a] & sets[b])
+            if a < b and both and 100 * both >= 80 * len(sets[a] | sets[b]):
+                parent[find(a)] = find(b)
+    linked = [(i, t) for i, t in kept if t and i is not None]
+    assert sorted(find(t) for _, t in linked) == sorted({find(t) for i, t, _ in rows if t and i is not None})
+    smallest = {}
+    for i, t, _ in rows:
+        if t and i is not None:
+            smallest[find(t)] = min(i, smallest.get(find(t), i))
+    assert all(i == smallest[find(t)] for i, t in linked)
+    assert sorted(((i or 0), t) for i, t in kept if not t or i is None) == [(0, "same words as in the other row"), (70, ""), (70, "")]
+    assert all(r.component_id is not None for r in neardup.near_duplicates(frame.filter("doc_id IS NOT NULL")).collect())
+
+
 def test_signature_is_unbiased_with_less_variance():
     rng = np.random.default_rng(1)
     errors = []
