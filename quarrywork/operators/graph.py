@@ -1,8 +1,9 @@
 """Traversals over edge tables (src, dst) by rounds of joins.
 
 A round joins the newest frontier with the edges on their source and takes off what is known already. Rounds are
-written to the shared folder that ``spark.checkpoint.dir`` names, so that neither the plan nor what a lost
-executor costs grows with the depth. Frontiers move, edges are read each round; nothing is collected.
+written to the shared folder that ``spark.checkpoint.dir`` names, and every few rounds what is known becomes one table
+again, so that neither the plan nor what a lost executor costs grows with the depth. Frontiers move, edges are
+read each round; nothing is collected.
 """
 
 from __future__ import annotations
@@ -10,25 +11,43 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import cut, drop_table
 
+#: Rounds after which what is known is written as one table.
+COMPACT = 8
 
-def reachable(edges: DataFrame, seeds: DataFrame, most: int = 100) -> DataFrame:
-    """(seed, node, depth): what each seed reaches in 1 to ``most`` hops, with its shortest distance."""
-    links = edges.select("src", "dst").distinct()
-    found = cut(
-        seeds.select(F.col("seed"), F.col("seed").alias("at"))
-        .join(links, F.col("at") == F.col("src"))
+
+def reachable(edges: DataFrame, seeds: DataFrame, most: int | None = None) -> DataFrame:
+    """(seed, node, depth): all that each seed reaches, in ``most`` hops if that is given, with its shortest distance.
+
+    A seed is among its own nodes only if a cycle leads back to it.
+    """
+    links = cut(edges.select("src", "dst").distinct())
+    frontier = cut(
+        seeds.select("seed", F.col("seed").alias("src"))
+        .distinct()
+        .join(links, "src")
         .select("seed", F.col("dst").alias("node"), F.lit(1).alias("depth"))
         .distinct()
     )
-    frontier = found
-    for depth in range(2, most + 1):
+    tables, depth = [frontier], 1
+    while (most is None or depth < most) and not frontier.isEmpty():
+        depth += 1
+        found = tables[0]
+        for table in tables[1:]:
+            found = found.unionByName(table)
         step = frontier.join(links, F.col("node") == F.col("src")).select("seed", F.col("dst").alias("node")).distinct()
         frontier = cut(step.join(found, ["seed", "node"], "anti").withColumn("depth", F.lit(depth)))
-        if frontier.isEmpty():
-            break
-        found = found.unionByName(frontier)
+        if len(tables) >= COMPACT:
+            whole = cut(found)
+            for table in tables:
+                drop_table(table)
+            tables = [whole]
+        tables.append(frontier)
+    drop_table(links)
+    found = tables[0]
+    for table in tables[1:]:
+        found = found.unionByName(table)
     return found
 
 
@@ -61,7 +80,11 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 
 def pairs_within(rows: DataFrame, group: str, item: str) -> DataFrame:
-    """(a, b, times): how many groups two items, the smaller first, share. Items are distinct within a group first."""
+    """(a, b, times): how many groups two items, the smaller first, share. Items are distinct within a group first.
+
+    The pairs of a group are the square of its items, as they are the result; where one group is far larger than others,
+    AQE splits its side of the join, and pairs are counted before they move on.
+    """
     own = rows.select(group, item).distinct()
     x = own.select(group, F.col(item).alias("a"))
     y = own.select(group, F.col(item).alias("b"))
@@ -77,5 +100,18 @@ def stars(pairs: DataFrame, least: int = 3) -> DataFrame:
     ).withColumn("size", F.size("members"))
 
 
+def cohesion(edges: DataFrame, place: DataFrame, least: int = 3) -> DataFrame:
+    """(g, files, inside, dependencies, cohesion) of groups (node, g) of at least ``least`` nodes: the share of the
+    edges from a group's nodes that stay in it, or 0 without any. Edges are counted by their two groups' numbers only."""
+    sizes = place.groupBy("g").agg(F.count("*").alias("files")).filter(F.col("files") >= least)
+    ends = edges.join(place.withColumnRenamed("node", "src"), "src").join(
+        place.select(F.col("node").alias("dst"), F.col("g").alias("_other")), "dst"
+    )
+    counted = ends.groupBy("g").agg(F.count_if(F.col("g") == F.col("_other")).alias("inside"), F.count("*").alias("dependencies"))
+    joined = sizes.join(counted, "g", "left").fillna(0, ["inside", "dependencies"])
+    share = F.when(F.col("dependencies") > 0, F.col("inside") / F.col("dependencies")).otherwise(0.0)
+    return joined.select("g", "files", "inside", "dependencies", F.round(share, 6).alias("cohesion"))
+
+
 def risk(affected: Column) -> Column:
     return F.when(affected >= 10, "High").when(affected >= 5, "Medium").otherwise("Low")

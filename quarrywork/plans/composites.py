@@ -8,37 +8,40 @@ from ..functions import scalars as S
 from ..operators import graph, ranking
 from ..session import table
 from . import query
-from .graphs import _EDGES, _reach, dependencies
-from .search import _COS, similar
+from .graphs import _EDGES, ELEMENT, EVERY, _reach, asked, dependencies, element
+from .search import _BEST, _COS, best, similar
 
 
-@query("Z02", _reach("5", False, "12").replace("SELECT node, min(depth)::INT AS depth FROM r GROUP BY node", "SELECT node, round(0.9 / min(depth), 4)::DOUBLE AS score FROM r GROUP BY node"))
+@query("Z02", _reach(False) + " SELECT node, round(0.9 / depth, 4)::DOUBLE AS score FROM r")
 def graph_first(spark, sf_dir):
     """What depends on an element, nearer ones first."""
-    seeds = spark.createDataFrame([(5,)], "seed long")
-    found = graph.reachable(graph.reversed_edges(dependencies(spark, sf_dir)), seeds, 12)
+    found = graph.reachable(graph.reversed_edges(dependencies(spark, sf_dir)), element(spark))
     return found.select("node", F.round(0.9 / F.col("depth"), 4).alias("score"))
 
 
-@query("Z04", f"SELECT vec_id, round(score, 5) AS similarity, CASE WHEN score >= 0.3 THEN 'high' ELSE 'low' END AS confidence FROM ({_COS}) WHERE label = 2 ORDER BY score DESC, vec_id LIMIT 10")
+@query("Z04", f"SELECT query, vec_id, round(score, 5) AS similarity, CASE WHEN score >= 0.3 THEN 'high' ELSE 'low' END AS confidence FROM ({_COS}) WHERE label = 2 " + _BEST.format("score DESC, vec_id", 10))
 def pattern_search(spark, sf_dir):
     """Filtered before the top rows are taken, so a rare kind still fills its list."""
-    hits = ranking.top(similar(spark, sf_dir).filter("label = 2"), 10, F.desc("score"), F.col("vec_id"))
+    hits = best(similar(spark, sf_dir).filter("label = 2"), 10, F.desc("score"), F.col("vec_id"))
     confidence = F.when(F.col("score") >= 0.3, "high").otherwise("low")
-    return hits.select("vec_id", F.round("score", 5).alias("similarity"), confidence.alias("confidence"))
+    return hits.select("query", "vec_id", F.round("score", 5).alias("similarity"), confidence.alias("confidence"))
 
 
-@query("Z06", f"""SELECT vec_id FROM ({_COS}) WHERE label <> 1 AND score >= 0.2 ORDER BY score DESC, vec_id LIMIT 5""")
+@query("Z06", f"SELECT query, vec_id FROM ({_COS}) WHERE label <> 1 AND score >= 0.2 " + _BEST.format("score DESC, vec_id", 5))
 def similar_questions(spark, sf_dir):
-    hits = similar(spark, sf_dir).filter("label <> 1 AND score >= 0.2")
-    return ranking.top(hits, 5, F.desc("score"), F.col("vec_id")).select("vec_id")
+    hits = similar(spark, sf_dir, 0.2).filter("label <> 1")
+    return best(hits, 5, F.desc("score"), F.col("vec_id")).select("query", "vec_id")
 
 
-@query("Z08", f"""WITH e AS ({_EDGES}) SELECT 'out' AS side, dst AS node FROM e WHERE src = 3 UNION ALL SELECT 'in', src FROM e WHERE dst = 3""")
+@query("Z08", _reach(False) + f""", o AS (SELECT dst AS node, 1 AS depth FROM e WHERE src = {ELEMENT} UNION ALL SELECT b.dst, 2 FROM e a JOIN e b ON a.dst = b.src WHERE a.src = {ELEMENT})
+  SELECT s.*, p_type AS kind FROM (SELECT 'needs' AS side, node, min(depth) AS depth FROM o GROUP BY node UNION ALL SELECT 'needed by', node, depth FROM r) s JOIN part ON p_partkey = node""")
 def explain(spark, sf_dir):
+    """What an element needs within two hops, all that needs it, and the kind of each."""
     edges = dependencies(spark, sf_dir)
-    out = edges.filter("src = 3").select(F.lit("out").alias("side"), F.col("dst").alias("node"))
-    return out.unionByName(edges.filter("dst = 3").select(F.lit("in").alias("side"), F.col("src").alias("node")))
+    needs = graph.reachable(edges, element(spark), 2).select(F.lit("needs").alias("side"), "node", "depth")
+    needed = graph.reachable(graph.reversed_edges(edges), element(spark)).select(F.lit("needed by").alias("side"), "node", "depth")
+    kinds = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), F.col("p_type").alias("kind"))
+    return needs.unionByName(needed).join(kinds, "node").select("side", "node", "depth", "kind")
 
 
 @query("Z10", """SELECT event_type, count(*) AS calls, count(DISTINCT user_id) AS users, round(100.0 * count(*) FILTER (value < 100) / count(*), 4)::DOUBLE AS success FROM events
@@ -96,9 +99,9 @@ def relations(spark, sf_dir):
     return first.groupBy("n_nationkey").agg(F.array_sort(F.collect_list("c_custkey")).alias("links"))
 
 
-@query("J13", f"SELECT vec_id, doc_id, lang FROM ({_COS}) JOIN documents ON doc_id = vec_id WHERE score >= 0.3")
+@query("J13", f"SELECT query, vec_id, doc_id, lang FROM ({_COS}) JOIN documents ON doc_id = vec_id WHERE score >= 0.3")
 def hits_with_documents(spark, sf_dir):
-    hits = similar(spark, sf_dir).filter("score >= 0.3").select("vec_id")
+    hits = similar(spark, sf_dir, 0.3).select("query", "vec_id")
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
     return hits.join(docs, F.col("doc_id") == F.col("vec_id"))
 
@@ -114,20 +117,21 @@ def practices(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.explode(F.array_compact(F.array(*found))).alias("practice"))
 
 
-@query("G06", "SELECT n_nationkey AS src, n_regionkey AS dst FROM nation WHERE n_nationkey % 5 = 2")
+@query("G06", f"""WITH e AS ({_EDGES}) SELECT src AS node, dst AS other, 'conflicts with' AS link FROM e WHERE src % {EVERY} = 0
+  UNION ALL SELECT dst, src, 'superseded by' FROM e WHERE dst % {EVERY} = 0""")
 def conflicts(spark, sf_dir):
-    edges = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("src"), F.col("n_regionkey").alias("dst"))
-    return edges.filter("src % 5 = 2")
+    """One hop both ways: what an element conflicts with, and what supersedes it."""
+    edges = dependencies(spark, sf_dir)
+    forward = edges.select(F.col("src").alias("node"), F.col("dst").alias("other"), F.lit("conflicts with").alias("link"))
+    reverse = edges.select(F.col("dst").alias("node"), F.col("src").alias("other"), F.lit("superseded by").alias("link"))
+    return forward.unionByName(reverse).filter(F.col("node") % EVERY == 0)
 
 
-@query("G05", """WITH RECURSIVE e AS (SELECT DISTINCT l_linenumber AS src, l_linenumber + 1 + (l_orderkey % 2) AS dst FROM lineitem),
-  r(seed, node) AS (SELECT src, dst FROM e UNION SELECT seed, dst FROM r JOIN e ON src = node) SELECT seed, node FROM r""")
+@query("G05", f"""WITH RECURSIVE e AS ({_EDGES}), r(seed, node) AS (SELECT src, dst FROM e WHERE src % {EVERY} = 0
+  UNION SELECT seed, dst FROM r JOIN e ON src = node) SELECT seed, node FROM r""")
 def requirements(spark, sf_dir):
-    number = F.col("l_linenumber").cast("long")
-    edges = table(spark, sf_dir, "lineitem").select(
-        number.alias("src"), (number + 1 + F.col("l_orderkey") % 2).alias("dst")
-    ).distinct()
-    return graph.reachable(edges, edges.select(F.col("src").alias("seed")).distinct(), 50).select("seed", "node")
+    edges = dependencies(spark, sf_dir)
+    return graph.reachable(edges, asked(edges)).select("seed", "node")
 
 
 @query("G12", """SELECT p_partkey, CASE WHEN contains(p_name, 'widget') THEN 0 WHEN contains(p_name, 'ring') THEN 1 ELSE 2 END AS rank FROM part""")
