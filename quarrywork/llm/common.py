@@ -26,13 +26,15 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
     It is what the cluster names in ``spark.checkpoint.dir``. Only where that is unset (tests,
-    single-machine use) a fresh temporary folder is made and set for the session's context.
+    single-machine use) a fresh temporary folder is made and set for the session's context; a cluster must name one.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if context.master != "local" and not context.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="quarrywork-"))
     return context.getCheckpointDir().rstrip("/")
 

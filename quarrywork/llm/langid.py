@@ -7,7 +7,8 @@ network in batches, and a text's languages are weighed by the mean log-probabili
 the bytes that it holds.
 
 Defined cases: a null text, and one without a letter, is ``und`` with score 0. Repeated rows get equal
-results, as a result depends on the text alone. Columns other than the text are never read. Without any
+results, as a result depends on the text alone. Columns other than the text are never read; those named
+like a result are replaced. Without any
 labelled text everything is ``und``. Of equally likely languages the first in the alphabet wins.
 """
 
@@ -34,11 +35,17 @@ FILTERS = 8
 EMBEDDING = 8
 EPOCHS = 6
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
+#: Word characters but for ASCII digits and the underscore: letters, and numerals such as superscripts.
+LETTER = re.compile(r"[^\W0-9_]")
 #: Windows that run through the network at once, so that the activations stay in cache.
 AT_ONCE = 64
 
 
+def has_letter(text: str) -> bool:
+    """Whether any character is of a letter category; numerals such as a half or a Roman eight are none."""
+    return any(found[0].isalpha() for found in LETTER.finditer(text))
+
+
 def windows_of(data: bytes, length: int = WINDOW) -> np.ndarray:
     """The whole text as rows of ``length`` bytes; the last is filled up with zeros."""
     rows = max(1, -(-len(data) // length))
@@ -106,7 +113,7 @@ class Network:
         """(language, score) of each text."""
         if self.lookups is None:
             self.lookups = self.pair_table(), [np.ascontiguousarray(t[-1].T) for t in self.tables()]
-        known = [i for i, t in enumerate(texts) if t and self.languages and LETTER.search(t)]
+        known = [i for i, t in enumerate(texts) if t and self.languages and has_letter(t)]
         out = [(UNKNOWN, 0.0)] * len(texts)
         for i in known:
             data = texts[i].encode("utf-8", "replace")
@@ -135,7 +142,7 @@ def train(texts: list[str], langs: list[str], epochs: int = EPOCHS, seed: int =
     )
     rows, labels = [], []
     for text, lang in zip(texts, langs):
-        if not LETTER.search(text):
+        if not has_letter(text):
             continue
         found = windows_of(text.encode("utf-8", "replace"))
         take = np.unique(np.linspace(0, len(found) - 1, TRAIN_WINDOWS).astype(int))
@@ -219,8 +226,9 @@ def predict(docs: DataFrame, network: Network, text: str = "text") -> DataFrame:
         for batch in batches:
             yield pd.DataFrame(shared.value.predict(batch.tolist()), columns=["lang_pred", "score"])
 
-    found = docs.withColumn("_found", predictor(F.col(text)))
-    return found.withColumns({"lang_pred": F.col("_found.lang_pred"), "score": F.col("_found.score")}).drop("_found")
+    own = [F.col("_row")[c].alias(c) for c in docs.columns if c not in ("lang_pred", "score")]
+    found = docs.select(F.struct(*docs.columns).alias("_row"), predictor(F.col(text)).alias("_found"))
+    return found.select(*own, "_found.lang_pred", "_found.score")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ in their upper bits. A task that is run again reads the same rows in the same or
 
 Tokenising goes through the tokenizers library. As this tokenizer's normaliser and pre-tokeniser never join what
 ASCII white space separates, each distinct run of other characters is encoded once and remembered (at most
-``REMEMBERED`` short ones).
+``REMEMBERED`` short ones). A text that may have an added token written out goes to the library whole.
 
 Defined cases: null texts are empty, and a document's end id makes one token of them. Repeated rows are packed
 each on its own. Other columns aren't read. Empty tables give no rows.
@@ -46,6 +46,8 @@ REMEMBERED, LONGEST = 1_000_000, 40
 BATCH = 2000
 #: Characters beyond the composed Latin letters, and the one of these whose small form is two characters.
 BEYOND_LATIN = re.compile("[^\\x00-\u012f\u0131-\u024f]")
+#: What every added token of the vocabulary begins with.
+ADDED = "<|"
 #: The letters that byte-level vocabularies write bytes as: printable ones as themselves, others from 256 on.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 BYTE_LETTERS = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
@@ -59,7 +61,8 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        if any(not t.content.startswith(ADDED) for t in self.tokenizer.get_added_tokens_decoder().values()):
+            raise ValueError(f"an added token doesn't begin with {ADDED}")
         self.model = self.tokenizer.model
         self.number = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.marks = {c: self._encode_new([c])[c] for c in ".,"}
@@ -68,6 +71,8 @@ class Words:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if ADDED in text:  # an added token may be written out, which is found before words are
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         if not BEYOND_LATIN.search(text):
             text = text.lower()  # letter by letter, and composed already: as the normaliser does
         for gap in "\t\n\x0b\x0c\r":

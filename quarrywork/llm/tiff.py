@@ -4,7 +4,12 @@ The decoder walks the image file directories, undoes the compression of strips o
 deflate) and the predictor (none, horizontal differencing) and gives each page's samples as they were before.
 Both byte orders are read. 8-bit samples, any number of them for a pixel, in chunky order.
 
-Bytes that aren't an image are stored as one: ``payload_image`` lays them out as rows of ``WIDTH`` grey samples.
+Bytes that aren't an image are stored as one: ``payload_image`` lays them out as rows of ``WIDTH`` grey samples, in
+strips, or in tiles if they need more than one strip; with deflate and horizontal differencing, or with PackBits
+where most bytes repeat the one before.
+
+What a file claims is held against its size before anything is made of it: no compression gives more than
+``EXPANDS`` times its bytes.
 
 Defined cases: null or empty texts make a payload of one padded row. Data that is no TIFF, or is cut off, or names
 a compression that isn't known raises ``ValueError``; in ``pages`` such a row gives one row with page -1 and
@@ -32,6 +37,10 @@ WIDTH, FILL = 192, b" "
 #: Rows of a strip and of a page. A longer payload has several pages.
 STRIP_ROWS, PAGE_ROWS = 256, 4096
 NONE, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
+#: The most bytes that one byte of each compression can become.
+EXPANDS = {NONE: 1, PACKBITS: 64, LZW: 1400, DEFLATE: 1033, OLD_DEFLATE: 1033}
+#: Side of a tile in a payload's image.
+TILE = 64
 _SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
 
 
@@ -39,6 +48,7 @@ _SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12
 
 
 def packbits_encode(data: bytes) -> bytes:
+    """One row's bytes; runs don't cross rows."""
     out, at, n = bytearray(), 0, len(data)
     while at < n:
         run = 1
@@ -149,11 +159,12 @@ def lzw_decode(data: bytes, size: int) -> bytes:
     return b"".join(out)[:size]
 
 
-def compress(data: bytes, kind: int) -> bytes:
+def compress(data: bytes, kind: int, row: int) -> bytes:
+    """``row`` is the number of bytes in a row."""
     if kind == NONE:
         return data
     if kind == PACKBITS:
-        return packbits_encode(data)
+        return b"".join(packbits_encode(data[at : at + row]) for at in range(0, len(data), row))
     if kind == LZW:
         return lzw_encode(data)
     return zlib.compress(data, 1)
@@ -240,6 +251,11 @@ def _page(file: bytes, tags: dict[int, list[int]]) -> Page:
     columns, rows = -(-width // across), -(-height // down)
     if len(offsets) < columns * rows or len(sizes) < columns * rows:
         raise ValueError("a page has too few strips or tiles")
+    if kind not in EXPANDS:
+        raise ValueError(f"compression {kind} isn't known")
+    held = sum(min(n, len(file)) for n in sizes[: columns * rows])
+    if height * width * samples > EXPANDS[kind] * held or down * across * samples > EXPANDS[kind] * len(file):
+        raise ValueError("a page is said to be larger than its bytes can be")
     out = np.empty((height, width, samples), np.uint8)
     for i in range(columns * rows):
         top, left = i // columns * down, i % columns * across
@@ -272,7 +288,7 @@ def encode(
                     block = np.pad(block, ((0, down - block.shape[0]), (0, across - block.shape[1]), (0, 0)), "edge")
                 if predictor == 2:
                     block = np.concatenate([block[:, :1], np.diff(block, axis=1)], axis=1)
-                packed = compress(np.ascontiguousarray(block).tobytes(), compression)
+                packed = compress(np.ascontiguousarray(block).tobytes(), compression, block.shape[1] * samples)
                 offsets.append(len(file))
                 sizes.append(len(packed))
                 file += packed
@@ -304,7 +320,10 @@ def payload_image(text: str | None) -> tuple[int, bytes]:
     size = max(1, -(-len(data) // WIDTH)) * WIDTH
     pixels = np.frombuffer(data.ljust(size, FILL), np.uint8).reshape(-1, WIDTH, 1)
     pages = [pixels[at : at + PAGE_ROWS] for at in range(0, len(pixels), PAGE_ROWS)]
-    return len(data), encode(pages, DEFLATE, 2)
+    samples = pixels.reshape(-1)
+    if 2 * np.count_nonzero(samples[1:] == samples[:-1]) > len(samples):
+        return len(data), encode(pages, PACKBITS)
+    return len(data), encode(pages, DEFLATE, 2, TILE if len(pixels) > STRIP_ROWS else 0)
 
 
 def feature(data: bytes, pages: int) -> str:
@@ -340,9 +359,8 @@ def pages(media: DataFrame, key: str = "doc_id", column: str = "media") -> DataF
             for name, file in zip(batch.iloc[:, 0], batch.iloc[:, 1]):
                 rows = []
                 try:
-                    if file is not None:
-                        for i, p in enumerate(decode(file)):
-                            rows.append((name, i, *p.__dict__.values(), None))
+                    for i, p in enumerate(decode(file) if file is not None else ()):
+                        rows.append((name, i, *p.__dict__.values(), None))
                 except ValueError as error:
                     rows = [(name, -1, *[None] * 7, str(error))]
                 yield pd.DataFrame(rows, columns=[key, *names], dtype=object)

@@ -1,8 +1,9 @@
 """URL filters by association rules. DataFrame functions only; Spark's FP-growth does the mining.
 
-A url's tokens are those of its host and path. FP-growth mines token combinations from labelled urls, a
-row's token ``=bad`` standing for its label. Rules that lead to it are pruned by confidence and support, and one
-whose tokens include those of another rule with at least its confidence is redundant and goes. What is left is
+A url's tokens are those of its host and path. FP-growth mines token combinations from two thirds of the labelled urls, a
+row's token ``=bad`` standing for its label. Rules of at most ``MOST_TOKENS`` tokens that lead to it are pruned by
+confidence, support and lift over the share of bad urls; one whose tokens include those of another rule with at least
+its confidence is redundant and goes; one that isn't as sure on the other third of the urls goes too. What is left is
 matched by an inverted index, from each token to the rules that need it: a rule matches a url that has as many
 of its tokens as it has. Up to ``INLINE_RULES`` rules the index is a literal map and matching moves nothing; beyond
 that, tokens are joined with it.
@@ -14,7 +15,7 @@ document has quality 0 or is toxic. A fixed fold of documents isn't needed, as l
 
 Defined cases: a null url and one without ``://`` have empty host and path, no tokens and the verdict allow. Repeated rows
 are judged alike. Without labels, or without rules that are sure enough, nothing but the list blocks. Of several
-matches any blocks. Other columns aren't read.
+matches any blocks. Of equally long list rules that fit, the later one in the list counts. Other columns aren't read.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import sample_rows, table
+from .common import cut, drop_table, sample_rows, table
 
 #: The list that the query judges by: (host, path, verdict).
 LIST = (
@@ -35,9 +36,13 @@ LIST = (
     ("org", "/fr/", "allow"),
 )
 BAD = "=bad"
-#: Labelled urls that are mined, at most, and thresholds on the share of these urls.
+#: Labelled urls that rules are learned on, at most.
 LABELLED_ROWS = 50_000
-MIN_SUPPORT, MIN_CONFIDENCE, MIN_ROWS = 0.002, 0.5, 5
+#: Share and number of the mined urls that a rule holds for, its confidence, and how many times the share of bad urls
+#: this must be; urls of the other third that must confirm it.
+MIN_SUPPORT, MIN_ROWS, MIN_CONFIDENCE, MIN_LIFT, CONFIRMING_ROWS = 0.001, 20, 0.5, 1.5, 10
+#: Tokens of a rule.
+MOST_TOKENS = 3
 #: Rules that fit a literal index.
 INLINE_RULES = 2000
 
@@ -54,10 +59,10 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def tokens_of(host: Column, path: Column) -> Column:
-    """Distinct tokens: labels of the host, parts of these, and words of the path, each with where it stands.
+    """Distinct tokens, one for one fact: labels of the host, parts of those that have a hyphen, and words of the path.
     Numbers in a path are no tokens but for there being one."""
     labels = F.filter(F.split(host, r"\."), lambda x: x != "")
-    parts = F.filter(F.split(host, r"[.-]"), lambda x: x != "")
+    parts = F.filter(F.flatten(F.transform(F.filter(labels, lambda x: x.contains("-")), lambda x: F.split(x, "-"))), lambda x: x != "")
     words = F.filter(F.split(F.lower(path), r"[^\p{L}\p{N}]+"), lambda x: x != "")
     return F.array_distinct(
         F.concat(
@@ -75,30 +80,48 @@ class Rule:
     support: float
 
 
+def candidates(mined: DataFrame, rows: int, min_support: float, min_rows: int, least: float) -> DataFrame:
+    """(tokens, confidence, support) of the rules that FP-growth finds in rows of (tokens, bad), without redundant ones."""
+    items = mined.select(F.when(F.col("bad"), F.array_append("tokens", F.lit(BAD))).otherwise(F.col("tokens")).alias("items"))
+    # a rule is counted where it leads to a bad url, so its rows are those with the label
+    support = min(1.0, max(min_support, min_rows / rows) * least)
+    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=least).fit(items)
+    rules = model.associationRules.filter((F.col("consequent") == F.array(F.lit(BAD))) & (F.size("antecedent") <= MOST_TOKENS))
+    rules = rules.select(F.sort_array("antecedent").alias("tokens"), "confidence", "support")
+    rules = rules.filter(F.round(F.col("support") / F.col("confidence") * rows) >= max(min_rows, min_support * rows))
+    pairs = lambda x, i: F.transform(F.slice("tokens", i + 2, F.lit(MOST_TOKENS)), lambda y: F.array(x, y))
+    subsets = F.concat(F.transform("tokens", lambda x: F.array(x)), F.flatten(F.transform("tokens", pairs)))
+    inner = rules.select("tokens", "confidence", F.explode(subsets).alias("_subset")).filter(F.size("_subset") < F.size("tokens"))
+    other = rules.select(F.col("tokens").alias("_subset"), F.col("confidence").alias("_confidence"))
+    redundant = inner.join(other, "_subset").filter("_confidence >= confidence").select("tokens")
+    return rules.join(redundant, "tokens", "anti")
+
+
 def mine(
     labelled: DataFrame,
     min_support: float = MIN_SUPPORT,
     min_confidence: float = MIN_CONFIDENCE,
     min_rows: int = MIN_ROWS,
+    min_lift: float = MIN_LIFT,
+    confirming_rows: int = CONFIRMING_ROWS,
 ) -> list[Rule]:
-    """Rules from rows of (tokens, bad). Only what survives the pruning by confidence reaches the driver."""
-    rows = labelled.count()
-    if not rows:
+    """Rules from rows of (tokens, bad, confirms), in the order of their tokens. Only what all pruning leaves reaches the
+    driver. Without rows that confirm, or with 0 ``confirming_rows``, rules aren't held against others."""
+    mined = labelled.filter(~F.col("confirms"))
+    n = mined.agg(F.count("*").alias("rows"), F.count_if("bad").alias("bad")).first()
+    if not n.bad:
         return []
-    support = min(1.0, max(min_support, min_rows / rows))
-    items = labelled.select(
-        F.when(F.col("bad"), F.array_append("tokens", F.lit(BAD))).otherwise(F.col("tokens")).alias("items")
-    )
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(items)
-    rules = model.associationRules.filter(F.col("consequent") == F.array(F.lit(BAD)))
-    # a rule with a subset's tokens and no more confidence is redundant
-    kept: list[Rule] = []
-    found = rules.select(F.sort_array("antecedent").alias("tokens"), "confidence", "support")
-    for row in sorted(found.toLocalIterator(), key=lambda r: (len(r.tokens), r.tokens)):
-        tokens = set(row.tokens)
-        if not any(tokens.issuperset(k.tokens) and k.confidence >= row.confidence for k in kept):
-            kept.append(Rule(tuple(row.tokens), round(row.confidence, 6), round(row.support, 6)))
-    return kept
+    least = max(min_confidence, min(1.0, min_lift * n.bad / n.rows))
+    rules = candidates(mined, n.rows, min_support, min_rows, least)
+    if confirming_rows:
+        inside = F.size(F.array_except("_rule", "tokens")) == 0
+        of_rules = rules.select(F.col("tokens").alias("_rule"), F.col("tokens")[0].alias("_first"))
+        others = labelled.filter("confirms").select("tokens", "bad", F.explode("tokens").alias("_first"))
+        held = others.join(of_rules, "_first").filter(inside).groupBy(F.col("_rule").alias("tokens"))
+        held = held.agg(F.count("*").alias("_rows"), F.avg(F.col("bad").cast("double")).alias("_held"))
+        rules = rules.join(held.filter((F.col("_rows") >= confirming_rows) & (F.col("_held") >= least)), "tokens")
+    found = sorted(rules.select("tokens", "confidence", "support").collect(), key=lambda r: (len(r.tokens), r.tokens))
+    return [Rule(tuple(r.tokens), round(r.confidence, 6), round(r.support, 6)) for r in found]
 
 
 def matches(pages: DataFrame, rules: list[Rule], tokens: str = "tokens", into: str = "matched", inline: int = INLINE_RULES) -> DataFrame:
@@ -132,7 +155,9 @@ def matches(pages: DataFrame, rules: list[Rule], tokens: str = "tokens", into: s
         .distinct()
         .withColumn("_hit", F.lit(True))
     )
-    return pages.join(hit, F.col(tokens) == F.col("_set"), "left").withColumn(into, F.coalesce("_hit", F.lit(False))).drop("_set", "_hit")
+    whole = pages.select(F.struct(*pages.columns).alias("_row"), F.col(tokens).alias("_set")).join(hit, "_set", "left")
+    kept = [F.col("_row")[c].alias(c) for c in pages.columns if c != into]
+    return whole.select(*kept, F.coalesce("_hit", F.lit(False)).alias(into))
 
 
 def listed(host: Column, path: Column, rules: tuple[tuple[str, str, str], ...] = LIST) -> tuple[Column, Column]:
@@ -146,7 +171,8 @@ def listed(host: Column, path: Column, rules: tuple[tuple[str, str, str], ...] =
 
 
 def labelled_urls(pages: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS) -> DataFrame:
-    """(tokens, bad) of at most ``rows`` pages whose document has a label."""
+    """(tokens, bad, confirms) of at most ``rows`` pages whose document has a label. A document's pages are either all mined
+    or all confirm."""
     known = (
         labels.filter("quality IS NOT NULL OR toxic IS NOT NULL")
         .groupBy("doc_id")
@@ -159,7 +185,8 @@ def labelled_urls(pages: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS
         F.regexp_extract(path, r"/(\d{1,18})(?:[/.]|$)", 1).alias("number"),
     ).filter("number != ''")
     joined = numbered.withColumn("doc_id", F.col("number").cast("long")).join(known, "doc_id")
-    return sample_rows(joined, "page_id", rows, "tokens", "bad").select("tokens", "bad")
+    confirms = F.pmod(F.xxhash64(F.lit("confirm"), "doc_id"), F.lit(3)) == 0
+    return sample_rows(joined.withColumn("confirms", confirms), "page_id", rows, "tokens", "bad", "confirms").drop("page_id")
 
 
 def judge(pages: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -173,5 +200,7 @@ def judge(pages: DataFrame, rules: list[Rule]) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    sample = labelled_urls(pages, table(spark, sf_dir, "labels"))
-    return judge(pages, mine(sample.cache()))
+    sample = cut(labelled_urls(pages, table(spark, sf_dir, "labels")), "labelled-urls")
+    rules = mine(sample)
+    drop_table(sample)
+    return judge(pages, rules)

@@ -35,11 +35,31 @@ def test_bpe_of_long_runs_of_white_space():
     assert bpe.decode(bpe.encode(huge, path), path) == huge.encode()
 
 
+def test_bpe_of_a_run_of_letters_that_goes_to_the_library_whole():
+    path = public_tokenizers.path(bpe.RANKS)
+    text = "ab" * 50_000 + " " + "é" * 40_000
+    assert bpe.encode(text, path) == bpe.encoding(path).encode_ordinary(text)
+
+
+def test_bpe_defined_cases(spark):
+    path = public_tokenizers.path(bpe.RANKS)
+    docs = spark.createDataFrame([(1, "a b", 9, "t"), (1, "a b", 9, "t"), (None, None, None, None)], "doc_id long, text string, n_tokens int, t string")
+    got = bpe.digests(docs, path)
+    assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in got.collect()) == [(0, 0), (1, 2), (1, 2)]
+    assert bpe.digests(docs.limit(0), path).count() == 0
+
+
 def test_packing_words_equal_the_library():
-    words = packing.words(public_tokenizers.path(packing.TOKENIZER))
-    for text in TEXTS:
-        expected = words.tokenizer.encode(text or "", add_special_tokens=False).ids
-        assert words.encode(text) == np.array(expected, "<u4").tobytes()
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(packing.TOKENIZER)
+    words, library = packing.words(path), Tokenizer.from_file(path)
+    more = ["a <|endoftext|> b", "<|startoftext|>x<|endoftext|>", "a<|ENDOFTEXT|>", "<| endoftext|> <|endoftext|", "<|endoftext|> <|endoftext|>Word"]
+    for text in [*TEXTS, *more, *TEXTS]:
+        expected = library.encode(text or "", add_special_tokens=False).ids
+        assert words.encode(text) == np.array(expected, "<u4").tobytes(), text
+    assert np.frombuffer(words.encode("a <|endoftext|> b"), "<u4").tolist() == [320, 49407, 321]
 
 
 def check_pieces(docs, rows, window):
@@ -156,6 +176,97 @@ def test_tiff_tables(spark):
     assert b"".join(bytes(r.data) for r in rows if r.doc_id == 6).startswith(b"a" * 30_000)
 
 
+def test_tiff_compressions_of_the_specifications():
+    """The worked examples of the public descriptions of PackBits and of TIFF's LZW."""
+    plain = bytes.fromhex("AAAAAA80002AAAAAAAAA80002A22AAAAAAAAAAAAAAAAAAAA")
+    packed = bytes.fromhex("FEAA0280002AFDAA0380002A22F7AA")
+    assert tiff.packbits_decode(packed, len(plain)) == plain and tiff.packbits_encode(plain) == packed
+    codes = [256, 7, 258, 8, 8, 258, 6, 6, 257]
+    bits = "".join(f"{c:09b}" for c in codes)
+    stored = int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+    data = bytes([7, 7, 7, 8, 8, 7, 7, 6, 6])
+    assert tiff.lzw_decode(stored, len(data)) == data and tiff.lzw_encode(data) == stored
+
+
+def test_packbits_runs_do_not_cross_rows():
+    stored = tiff.compress(b"\0" * 40, tiff.PACKBITS, 10)
+    assert stored == bytes([257 - 10, 0]) * 4
+
+
+def test_tiff_lzw_widths():
+    """Codes that grow to twelve bits and a table that is cleared, held against a decoder written here by the rule alone."""
+    rng = np.random.default_rng(8)
+    data = rng.integers(0, 256, 30_000).astype(np.uint8).tobytes() + b"\1" * 40_000
+    stored = tiff.lzw_encode(data)
+    bits, at, width, table, last, out = int.from_bytes(stored, "big"), 8 * len(stored), 9, {}, b"", bytearray()
+    while True:
+        at -= width
+        code = bits >> at & ((1 << width) - 1)
+        if code == 257:
+            break
+        if code == 256:
+            table, width, last = {i: bytes([i]) for i in range(256)}, 9, b""
+            fresh = 258
+            continue
+        word = table.get(code, last + last[:1])
+        out += word
+        if last:
+            table[fresh] = last + word[:1]
+            fresh += 1
+        width = next(w for w in (9, 10, 11, 12) if fresh + 1 < 1 << w or w == 12)
+        last = word
+        if len(out) > 3000 and len(out) % 7 == 0:
+            bits &= (1 << at) - 1
+    assert bytes(out) == data
+
+
+def test_tiff_claims_beyond_the_file(spark):
+    pixels = np.zeros((4, 4, 1), np.uint8)
+    for kind in (tiff.NONE, tiff.LZW, tiff.DEFLATE, tiff.PACKBITS):
+        file = bytearray(tiff.encode([pixels], kind))
+        at = int.from_bytes(file[4:8], "little") + 2
+        for i in range(12):
+            if int.from_bytes(file[at + 12 * i : at + 12 * i + 2], "little") in (256, 257):
+                file[at + 12 * i + 8 : at + 12 * i + 12] = (1 << 21).to_bytes(4, "little")
+        with pytest.raises(ValueError):
+            list(tiff.decode(bytes(file)))
+        rows = tiff.pages(spark.createDataFrame([(1, bytes(file))], "doc_id long, media binary")).collect()
+        assert [r.page for r in rows] == [-1] and rows[0].error
+
+
+def test_tiff_defined_cases(spark):
+    long = "line of a long text %d\n"
+    texts = ["", "ab", "same " * 3, "=" * 70_000, "".join(long % i for i in range(60_000)), "ab"]
+    docs = spark.createDataFrame([(i % 5, t, 1, "x") for i, t in enumerate(texts)], "doc_id long, text string, n_bytes int, media string")
+    media = tiff.images(docs)
+    rows = tiff.pages(media).collect()
+    kinds = {r.doc_id: (r.compression, r.chunks) for r in rows}
+    assert kinds[0] [0] == kinds[3][0] == tiff.PACKBITS and kinds[1] == (tiff.DEFLATE, 1) and kinds[4][1] > 100
+    assert max(r.page for r in rows if r.doc_id == 4) >= 1
+    for i, t in enumerate(texts[:5]):
+        data = b"".join(bytes(r.data) for r in sorted((r for r in rows if r.doc_id == i), key=lambda r: r.page))
+        assert data.startswith(t.encode()) and set(data[len(t.encode()) :]) <= {32}
+    got = tiff.digests(media).collect()
+    assert len(got) == 6 and len({r.media_sha256 for r in got}) == 5
+    assert tiff.digests(tiff.images(docs.limit(0))).count() == 0
+
+
+def test_warc_of_a_long_payload_and_clashing_columns(spark):
+    page = "<p>" + "".join(chr(97 + i % 26) for i in range(12_000_000))
+    rows = [(1, "u", page, "d", 5), (2, "u", page, "d", 5), (3, "u", "é" * 200, "d", 5)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string, digest string, refers_to int")
+    got = warc.read_records(warc.normalise_archives(warc.write_archives(warc.with_decisions(frame)))).collect()
+    assert sorted((r.page_id, r.record_type, r.payload_bytes) for r in got) == [
+        (1, "response", len(page)), (2, "revisit", len(page)), (3, "response", 400)]
+
+
+def test_packing_of_repeated_rows(spark):
+    docs = spark.createDataFrame([(1, "a b c", 3), (1, "a b c", 3), (2, None, 4), (2, None, 4)], "doc_id long, text string, length int").coalesce(1)
+    rows = packing.packed(docs, public_tokenizers.path(packing.TOKENIZER)).collect()
+    assert sorted((r.doc_id, r.doc_tokens) for r in rows) == [(1, 4), (1, 4), (2, 1), (2, 1)]
+    assert len({(r.sequence_id, r.offset) for r in rows}) == 4
+
+
 def test_tiff_refuses_damage():
     file = tiff.payload_image("some text " * 50)[1]
     rng = random.Random(7)

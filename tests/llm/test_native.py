@@ -77,15 +77,123 @@ def test_urls(spark):
     assert a == b and sum(m for _, m in a) == 1
 
 
-def test_url_rules_are_mined(spark):
+SCHEMA = "tokens array<string>, bad boolean, confirms boolean"
+
+
+def brute_force_rules(rows, min_rows, min_confidence, min_lift, confirming):
+    """Every set of at most three tokens, counted one by one."""
+    from itertools import combinations
+
+    mined, others = [r for r in rows if not r[2]], [r for r in rows if r[2]]
+    least = max(min_confidence, min(1.0, min_lift * sum(r[1] for r in mined) / len(mined)))
+    sets = {c for r in mined for n in (1, 2, 3) for c in combinations(sorted(r[0]), n)}
+    told = {}
+    for c in sets:
+        held = [r[1] for r in mined if set(c) <= set(r[0])]
+        if len(held) >= min_rows and sum(held) / len(held) >= least:
+            told[c] = sum(held) / len(held)
+    found = []
+    for c, confidence in told.items():
+        if any(set(d) < set(c) and told[d] >= confidence for d in told):
+            continue
+        held = [r[1] for r in others if set(c) <= set(r[0])]
+        if not confirming or (len(held) >= confirming and sum(held) / len(held) >= least):
+            found.append((c, round(confidence, 6)))
+    return sorted(found, key=lambda x: (len(x[0]), x[0]))
+
+
+def test_url_rules_equal_enumerated_ones(spark):
     rng = random.Random(3)
     rows = []
-    for i in range(400):
-        a, b = rng.choice("xy"), rng.choice("uv")
-        rows.append(([f"host:{a}", f"path:{b}", "part:z"], (a, b) == ("x", "v") and rng.random() < 0.95))
-    rules = urlfilter.mine(spark.createDataFrame(rows, "tokens array<string>, bad boolean"), min_support=0.05, min_confidence=0.8)
-    assert [r.tokens for r in rules] == [("host:x", "path:v")]
-    assert urlfilter.mine(spark.createDataFrame([], "tokens array<string>, bad boolean")) == []
+    for i in range(600):
+        tokens = sorted({f"host:{rng.choice('abcd')}", f"part:{rng.choice('uvw')}", f"path:{rng.choice('xyz')}", "path:#"})
+        bad = rng.random() < (0.9 if tokens[0] == "host:a" else 0.8 if "part:v" in tokens and "path:y" in tokens else 0.1)
+        rows.append((tokens, bad, i % 3 == 0))
+    frame = spark.createDataFrame(rows, SCHEMA).cache()
+    for confidence, least, lift, confirming in ((0.5, 10, 1.5, 10), (0.7, 5, 1.0, 0), (0.3, 25, 2.0, 5)):
+        rules = urlfilter.mine(frame, 0.0, confidence, least, lift, confirming)
+        assert [(r.tokens, r.confidence) for r in rules] == brute_force_rules(rows, least, confidence, lift, confirming)
+    assert urlfilter.mine(frame, 0.0, 0.5, 10)[0].tokens == ("host:a",)
+
+
+def test_url_rules_that_do_not_hold_on_other_urls(spark):
+    rng = random.Random(4)
+    rows = [([f"host:{i % 40}", "path:#"], rng.random() < 0.25, i % 3 == 0) for i in range(3000)]
+    assert urlfilter.mine(spark.createDataFrame(rows, SCHEMA)) == []
+    assert urlfilter.mine(spark.createDataFrame([], SCHEMA)) == []
+
+
+def test_url_tokens_are_one_for_one_fact(spark):
+    urls = spark.createDataFrame([("http://m.spam-farm.net/en/12/x.html",)], "url string")
+    row = urls.select(urlfilter.tokens_of(urlfilter.host_of(urls.url), urlfilter.path_of(urls.url)).alias("t")).first()
+    assert row.t == ["host:m", "host:spam-farm", "host:net", "part:spam", "part:farm", "path:en", "path:#", "path:x", "path:html"]
+
+
+def test_urls_defined_cases(spark):
+    schema = "page_id long, url string, _set int, _hit string, matched int, tokens string"
+    long = "http://bad.org/" + "a/" * 200_000
+    rows = [(1, long, 1, "x", 1, "t"), (2, "http://bad.com/", 1, "x", 1, "t"), (2, "http://bad.com/", 1, "x", 1, "t"), (None, None, None, None, None, None)]
+    pages = spark.createDataFrame(rows, schema)
+    rules = [urlfilter.Rule(("host:bad",), 0.9, 0.1)]
+    got = urlfilter.judge(pages, rules).collect()
+    assert sorted((r.page_id or 0, r.verdict) for r in got) == [(0, "allow"), (1, "block"), (2, "block"), (2, "block")]
+    assert urlfilter.judge(pages.limit(0), rules).count() == 0
+    split = pages.select("*", urlfilter.tokens_of(urlfilter.host_of(pages.url), urlfilter.path_of(pages.url)).alias("own"))
+    for inline in (9, 0):
+        found = urlfilter.matches(split, rules, "own", "matched", inline)
+        assert sorted(found.columns) == sorted(split.columns)
+        assert sorted((r.page_id or 0, r.matched, r._set or 0) for r in found.collect()) == [(0, False, 0), (1, True, 1), (2, True, 1), (2, True, 1)]
+
+
+def test_quality_list_takes_the_best_condition_first():
+    """Sequential covering against a search through all conditions, with the gain written out."""
+    import math
+
+    rng = random.Random(6)
+    cells = []
+    for _ in range(80):
+        cuts = tuple(rng.randrange(6) for _ in range(3))
+        bad = 9 if cuts[1] >= 4 else 5 if cuts[0] < 1 else 0
+        cells.append((cuts, rng.random() < 0.3, bad + (rng.random() < 0.1), 0 if bad else 6))
+    rules = quality.learn(cells)
+    assert rules
+    left = cells
+    for conditions, n, precision in rules:
+        inside = [c for c in left if not c[1]]
+        before = math.log2(sum(c[2] for c in inside) / sum(c[2] + c[3] for c in inside))
+        gains = {}
+        for f in range(3):
+            for k in range(1, 6):
+                for sign in (">=", "<"):
+                    some = [c for c in inside if (c[0][f] >= k) == (sign == ">=")]
+                    bad, good = sum(c[2] for c in some), sum(c[3] for c in some)
+                    if bad >= quality.MIN_ROWS and len(some) < len(inside):
+                        gains[(f, sign, k)] = bad * (math.log2(bad / (bad + good)) - before)
+        assert gains[conditions[0]] >= max(gains.values()) - 1e-6
+        covered = [c for c in left if all((c[0][f] >= k) == (sign == ">=") for f, sign, k in conditions)]
+        assert n == sum(c[2] + c[3] for c in covered) and abs(precision - sum(c[2] for c in covered) / n) < 1e-9
+        left = [c for c in left if c not in covered]
+
+
+def test_quality_defined_cases(spark):
+    long = " ".join(f"word{i % 5000}" for i in range(100_000))
+    docs = spark.createDataFrame([(1, long, "k", 1), (2, "same text", "k", 1), (2, "same text", "k", 1), (3, "", None, None)], "doc_id long, text string, kept string, bad int")
+    got = quality.judge(docs, []).collect()
+    assert sorted((r.doc_id, r.n_words, r.kept) for r in got) == [(1, 100_000, False), (2, 2, False), (2, 2, False), (3, 0, False)]
+    assert [r.n_repeat_words for r in got if r.doc_id == 1] == [100_000]
+    assert quality.judge(docs.limit(0), []).count() == 0
+    labels = spark.createDataFrame([(1, 0, 1)], "doc_id long, quality int, bad int")
+    assert quality.train(docs.limit(0), labels) == [] == quality.train(docs, labels)
+
+
+def test_chats_of_many_turns_and_of_equal_numbers(spark):
+    rows = [(1, i, "user", f"turn {i}") for i in range(20_000)] + [(2, i, "user", f"turn {i}") for i in range(19_999)]
+    rows += [(3, 0, "user", "b"), (3, 0, "user", "a"), (3, 0, "assistant", "a"), (4, 0, "assistant", "a"), (4, 0, "user", "a"), (4, 0, "user", "b")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in chat.format_chats(frame).collect()}
+    assert sorted(got) == [1, 3]
+    assert got[1].n_turns == 20_000 and got[1].rendered.endswith("turn 19999<|im_end|>\n")
+    assert got[3].rendered.startswith("<|im_start|>assistant\na<|im_end|>\n") and got[3].n_turns == 3
 
 
 def test_chats(spark):

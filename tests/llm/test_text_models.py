@@ -35,6 +35,68 @@ def test_language_covers_the_whole_text():
     assert rows.tobytes().rstrip(b"\0") == long.encode()
 
 
+def test_language_letters():
+    """Of every character: a letter is one of a letter category; numerals and marks are none."""
+    import unicodedata
+
+    for c in map(chr, [*range(0x3000), 0x1D400, 0x1F600, 0x2167, 0x4E00]):
+        assert langid.has_letter(c) == unicodedata.category(c).startswith("L"), hex(ord(c))
+    network = langid.train(["the thing"] * 20 + ["der die"] * 20, ["en"] * 20 + ["de"] * 20)
+    for text in ("½ ² 12", "Ⅷ", "٣٤ _", "!?"):
+        assert network.predict([text]) == [("und", 0.0)]
+    assert network.predict(["½ the"])[0][0] in ("en", "de")
+
+
+def test_language_network_equals_a_plain_convolution():
+    rng = random.Random(5)
+    network = langid.train([say(rng, lang) for lang in SOUNDS for _ in range(20)], [lang for lang in SOUNDS for _ in range(20)], epochs=1)
+    text = say(rng, "fr", 30)
+    rows = langid.windows_of(text.encode())
+    got = network.log_probabilities(rows, network.pair_table(), [np.ascontiguousarray(t[-1].T) for t in network.tables()])
+    for row, told in zip(rows, got):
+        vectors = network.embedding[row]
+        hidden = []
+        for width, filters, bias in zip(langid.WIDTHS, network.filters, network.bias):
+            sums = [(vectors[i : i + width, :, None] * filters).sum(axis=(0, 1)) for i in range(len(row) - width + 1)]
+            hidden += list(np.maximum(np.max(sums, axis=0) + bias, 0))
+        logits = np.array(hidden) @ network.dense + network.dense_bias
+        assert np.allclose(told, logits - np.log(np.exp(logits).sum()), atol=1e-4)
+
+
+def test_language_gradients_equal_differences():
+    rng = np.random.default_rng(9)
+    network = langid.train(["abc", "xyz"] * 30, ["a", "b"] * 30, epochs=0)
+    rows, labels = rng.integers(1, 256, (6, 40)).astype(np.uint8), rng.integers(0, 2, 6)
+    weights = [network.embedding, *network.filters, *network.bias, network.dense, network.dense_bias]
+
+    def loss():
+        tables = [np.einsum("be,wef->wbf", network.embedding, f) for f in network.filters]
+        logits = network.pooled(rows, tables)[0] @ network.dense + network.dense_bias
+        return -(logits[np.arange(6), labels] - np.log(np.exp(logits).sum(axis=1))).mean()
+
+    for w, g in zip(weights, langid._gradients(network, rows, labels)):
+        for at in rng.integers(0, w.size, 6):
+            place, old = np.unravel_index(at, w.shape), w.flat[at]
+            w[place] = old + 1e-5
+            high = loss()
+            w[place] = old - 1e-5
+            low = loss()
+            w[place] = old
+            assert abs((high - low) / 2e-5 - g[place]) < 1e-3
+
+
+def test_language_defined_cases(spark):
+    rng = random.Random(10)
+    rows = [(i, say(rng, lang, 20), lang, 7, "x") for i, lang in enumerate(["en", "de"] * 40)]
+    rows += [rows[0], rows[0], (500, "the ing er " * 100_000, "en", 7, "x"), (None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score int, _found string")
+    got = langid.predict(docs, langid.fit(docs))
+    assert got.columns == ["doc_id", "text", "lang", "_found", "lang_pred", "score"]
+    found = got.collect()
+    assert len(found) == len(rows) and len({(r.lang_pred, r.score) for r in found if r.doc_id == 0}) == 1
+    assert [r.lang_pred for r in found if r.doc_id == 500] == ["en"] and [r._found for r in found if r.doc_id == 500] == ["x"]
+
+
 def test_language_without_labels(spark):
     docs = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert langid.predict(docs, langid.fit(docs)).first().lang_pred == "und"
