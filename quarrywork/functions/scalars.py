@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Mapping
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # --- vectors ----------------------------------------------------------------------------------------------
@@ -176,42 +176,20 @@ Body = Callable[[Column], Column]
 # --- code and queries -------------------------------------------------------------------------------------
 
 
-def strategy(query: Column, patterns: Iterable[str], relations: Iterable[str]) -> Column:
-    """Which search a query asks for: patterns first, then relations by how many of their words it holds."""
-    n = count_contained(query, relations)
-    named = query.rlike(r"\b[A-Z][a-z0-9]+[A-Z]\w*")
-    return (
-        F.when(contains_any(query, patterns), "pattern-search")
-        .when((n >= 2) | ((n == 1) & named), "graph-first")
-        .when(n == 1, "hybrid")
-        .otherwise("semantic-first")
-    )
-
-
-def decision_points(text: Column, words: Iterable[str]) -> Column:
-    """One more than the number of branching words, the usual estimate of cyclomatic complexity."""
-    return 1 + F.regexp_count(text, F.lit(r"\b(?:" + "|".join(words) + r")\b"))
-
-
 def deepest_indent(text: Column, width: int = 4) -> Column:
     indents = F.transform(F.split(text, "\n"), lambda x: F.floor(F.length(F.regexp_extract(x, "^( *)", 1)) / width))
     return F.coalesce(F.array_max(indents), F.lit(0))
 
 
-def smells(loc: Column, params: Column, complexity: Column, nesting: Column) -> Column:
-    return F.array_compact(
-        F.array(
-            F.when(loc > 50, "long method"),
-            F.when(params > 5, "too many parameters"),
-            F.when(complexity > 10, "complex"),
-            F.when(nesting > 3, "deeply nested"),
-        )
+def colors_by_line(pages: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, line, color): each line's distinct hex, rgb() and rgba() colours. Only lines that have some become rows."""
+    pattern = r"#[0-9a-f]{6}\b|#[0-9a-f]{3}\b|rgba?\([^)]*\)"
+    found = F.transform(
+        F.split(F.lower(F.col(text)), "\n"),
+        lambda x, i: F.struct((i + 1).alias("line"), F.array_distinct(F.regexp_extract_all(x, F.lit(pattern), F.lit(0))).alias("_c")),
     )
-
-
-def colors(text: Column) -> Column:
-    """Distinct hex colours in the order in which they come first."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"#[0-9a-f]{6}\b|#[0-9a-f]{3}\b"), F.lit(0)))
+    rows = pages.select(key, F.inline(F.filter(found, lambda x: F.size(x["_c"]) > 0)))
+    return rows.select(key, "line", F.explode("_c").alias("color"))
 
 
 def slug(text: Column, words: int = 3) -> Column:
@@ -220,7 +198,7 @@ def slug(text: Column, words: int = 3) -> Column:
 
 def bucket(key: Column, percent: int) -> Column:
     """Whether a key falls in the test share; the same key always does or never."""
-    return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(100)) < percent
+    return F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("long") % 100 < percent
 
 
 def fused_score(semantic: Column, graph: Column, semantic_weight: float) -> Column:

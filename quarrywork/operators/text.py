@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import cut
+
 K1, B = 1.2, 0.75
 
 
@@ -18,13 +20,17 @@ def tokens(text: str | F.Column) -> F.Column:
 def bm25(docs: DataFrame, key: str, text: str, terms: Iterable[str], k1: float = K1, b: float = B) -> DataFrame:
     """(key, score) of the documents that hold any of the terms.
 
-    A row's term counts are made in the row, so no token is ever exploded; document frequencies and the mean
-    length come from one aggregate over these, which joins back as a single row.
+    A row's term counts are made in the row, in one pass over its text, and no token is ever exploded. These narrow
+    counts are written to the shared folder, so that texts are read once; document frequencies and the mean length come
+    from one aggregate over them, which joins back as a single row.
     """
     terms = sorted({t.lower() for t in terms})
-    words = docs.select(key, tokens(text).alias("_w"))
-    counts = [F.size(F.filter("_w", _equal_to(t))).alias(f"_{i}") for i, t in enumerate(terms)]
-    counted = words.select(key, F.size("_w").alias("_n"), *counts)
+    equal = lambda t: lambda w: w == t
+    told = F.transform(
+        F.array(tokens(text)),
+        lambda w: F.struct(F.size(w).alias("_n"), *[F.size(F.filter(w, equal(t))).alias(f"_{i}") for i, t in enumerate(terms)]),
+    )
+    counted = cut(docs.select(key, F.inline(told)))
     total = counted.agg(
         F.count("*").alias("_docs"),
         F.avg("_n").alias("_mean"),
@@ -42,8 +48,23 @@ def bm25(docs: DataFrame, key: str, text: str, terms: Iterable[str], k1: float =
     return joined.select(key, sum((weigh(i) for i in range(len(terms))), F.lit(0.0)).alias("score"))
 
 
-def _equal_to(term: str):
-    return lambda w: w == term
+def near_names(names: DataFrame, name: str, most: int = 2) -> DataFrame:
+    """(a, b, edits): all pairs of different names within ``most`` edits, the smaller first.
+
+    Two names within k edits have a common form with at most k characters left out of each, so names are joined on
+    these forms, which are few for a name, and what meets is measured. Names of any lengths are found.
+    """
+    column = F.col(name)
+    shorter = lambda s: F.transform(
+        F.sequence(F.lit(1), F.greatest(F.length(s), F.lit(1))), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s)))
+    )
+    forms = [F.array(column)]
+    for _ in range(most):
+        forms.append(F.array_distinct(F.flatten(F.transform(forms[-1], shorter))))
+    own = names.select(name).filter(column.isNotNull()).distinct()
+    rows = own.select(column.alias("n"), F.explode(F.array_distinct(F.concat(*forms))).alias("form"))
+    pairs = rows.withColumnRenamed("n", "a").join(rows.withColumnRenamed("n", "b"), "form").filter("a < b").select("a", "b").distinct()
+    return pairs.withColumn("edits", F.levenshtein("a", "b")).filter(F.col("edits") <= most)
 
 
 def keyword_table(spark: SparkSession, lists: dict[str, Iterable[str]]) -> DataFrame:

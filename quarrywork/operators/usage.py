@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 
+#: Ranges that a tool's values are cut into.
+RANGES = 64
+
+
 def tool_usage(calls: DataFrame, tool: str, ok: F.Column, ms: str, ts: str, query: str) -> DataFrame:
     """(tool, calls, ok, failed, total_ms, mean_ms, first, last, last_query, n_queries)"""
     return calls.groupBy(F.col(tool).alias("tool")).agg(
@@ -25,23 +29,36 @@ def tool_usage(calls: DataFrame, tool: str, ok: F.Column, ms: str, ts: str, quer
 def latency(calls: DataFrame, tool: str, ms: str) -> DataFrame:
     """(tool, n, least, most, mean, median, p90, p95): the values at floor(n * q) of the sorted ones.
 
-    Ranks come from a window that can spill, so no tool's values are ever gathered in one array.
+    Equal values are counted first. A tool's values are cut into ranges at rough quantiles, so that the rank within a
+    range is a window of that range alone, and what lies before comes from the ranges' sums: a tool that most calls are
+    of is dealt to as many tasks as there are ranges, and no tool's values are gathered in one array.
     """
-    placed = calls.select(
-        F.col(tool).alias("tool"),
-        F.col(ms).alias("ms"),
-        (F.row_number().over(W.partitionBy(tool).orderBy(ms)) - 1).alias("at"),
-        F.count("*").over(W.partitionBy(tool)).alias("n"),
+    counts = calls.groupBy(F.col(tool).alias("tool"), F.col(ms).alias("ms")).agg(F.count("*").alias("k"))
+    shares = F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])
+    cuts = counts.groupBy(F.col("tool").alias("_t")).agg(F.percentile_approx("ms", shares, F.lit(1000)).alias("_cuts"))
+    lies = F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col("ms"))), F.lit(0))
+    ranged = counts.join(cuts, F.col("tool").eqNullSafe(F.col("_t"))).select("tool", "ms", "k", lies.alias("_range"))
+    sums = ranged.groupBy("tool", "_range").agg(F.sum("k").alias("_k"))
+    order = W.partitionBy("tool").orderBy("_range")
+    sums = sums.select(
+        F.col("tool").alias("_tool"),
+        F.col("_range").alias("_r"),
+        F.coalesce(F.sum("_k").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
+        F.sum("_k").over(W.partitionBy("tool")).alias("n"),
     )
+    joined = ranged.join(sums, F.col("tool").eqNullSafe(F.col("_tool")) & (F.col("_range") == F.col("_r")))
+    inner = W.partitionBy("tool", "_range").orderBy("ms").rowsBetween(W.unboundedPreceding, W.currentRow)
+    placed = joined.select("tool", "ms", "k", "n", (F.col("_before") + F.sum("k").over(inner)).alias("upto"))
 
     def nth(share: float) -> F.Column:
-        return F.max(F.when(F.col("at") == F.floor(F.col("n") * share), F.col("ms")))
+        at = F.floor(F.col("n") * share)
+        return F.max(F.when((at < F.col("upto")) & (at >= F.col("upto") - F.col("k")), F.col("ms")))
 
     return placed.groupBy("tool").agg(
         F.max("n").alias("n"),
         F.min("ms").alias("least"),
         F.max("ms").alias("most"),
-        F.floor(F.avg("ms")).alias("mean"),
+        F.floor(F.sum(F.col("ms") * F.col("k")) / F.max("n")).alias("mean"),
         nth(0.5).alias("median"),
         nth(0.9).alias("p90"),
         nth(0.95).alias("p95"),

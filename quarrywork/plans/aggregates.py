@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import scalars as S
-from ..operators import usage
+from ..operators import ensembles, usage
 from ..session import table
 from . import query
 
@@ -136,42 +136,77 @@ def quality_report(spark, sf_dir):
     return s.groupBy(S.letter_grade(F.col("s")).alias("grade")).agg(F.count("*").alias("n"), F.floor(F.avg("s")).alias("mean"))
 
 
-@query("A17", """SELECT source, greatest(0.0, 10.0 - 3 * count(*) FILTER (toxic = 1) - count(*) FILTER (quality = 0))::DOUBLE AS score
-  FROM labels JOIN documents USING (doc_id) GROUP BY source""")
+@query("A17", """WITH c AS (SELECT source, count(*) FILTER (toxic = 1) AS critical, count(*) FILTER (quality = 0) AS high, count(*) FILTER (lang <> 'en') AS medium,
+    count(*) FILTER (n_chars < 300) AS low, count(*) FILTER (n_chars < 100) AS info FROM labels JOIN documents USING (doc_id) GROUP BY source)
+  SELECT source, greatest(0.0, 10.0 - 3 * critical - high)::DOUBLE AS pattern, greatest(0.0, 10.0 - 4 * critical - 2 * high)::DOUBLE AS security,
+    greatest(0.0, 10.0 - 3 * critical - 2 * high - medium)::DOUBLE AS review, round(greatest(0.0, 10.0 - 3 * critical - 1.5 * high - 0.5 * medium - 0.2 * low - 0.1 * info), 0)::DOUBLE AS design FROM c""")
 def penalties(spark, sf_dir):
-    found = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
-    counts = found.groupBy("source").agg(F.count_if(F.col("toxic") == 1).alias("critical"), F.count_if(F.col("quality") == 0).alias("high"))
-    score = S.penalty_score({k: F.col(k) for k in ("critical", "high")}, {"critical": 3.0, "high": 1.0})
-    return counts.select("source", score.alias("score"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars")
+    found = table(spark, sf_dir, "labels").join(docs, "doc_id")
+    tests = {
+        "critical": F.col("toxic") == 1, "high": F.col("quality") == 0, "medium": F.col("lang") != "en",
+        "low": F.col("n_chars") < 300, "info": F.col("n_chars") < 100,
+    }
+    counts = found.groupBy("source").agg(*[F.count_if(t).alias(k) for k, t in tests.items()])
+    score = lambda *weights: S.penalty_score({k: F.col(k) for k in tests}, dict(zip(tests, weights)))
+    return counts.select(
+        "source",
+        score(3.0, 1.0, 0.0, 0.0, 0.0).alias("pattern"),
+        score(4.0, 2.0, 0.0, 0.0, 0.0).alias("security"),
+        score(3.0, 2.0, 1.0, 0.0, 0.0).alias("review"),
+        F.round(score(3.0, 1.5, 0.5, 0.2, 0.1), 0).alias("design"),
+    )
+
+
+_VOTES = """SELECT l_orderkey AS item, l_linenumber AS model, floor(l_quantity / 5)::DOUBLE AS score, l_returnflag AS message, l_linestatus AS severity FROM lineitem"""
+
+
+def _votes(spark, sf_dir):
+    """Lines of an order as the verdicts of several models on one item: a score from 0 to 10 and an issue."""
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("item"), F.col("l_linenumber").alias("model"), F.floor(F.col("l_quantity") / 5).cast("double").alias("score"),
+        F.col("l_returnflag").alias("message"), F.col("l_linestatus").alias("severity"),
+    )
 
 
-@query("A18", """SELECT l_orderkey, round_even(avg(l_quantity), 0)::DOUBLE AS score, round(greatest(0, 1 - stddev_pop(l_quantity) / 5), 6)::DOUBLE AS confidence,
-  count(*) AS votes FROM lineitem GROUP BY 1""")
+_AGREED = """SELECT item, list_sort(list(message || '/' || severity)) AS issues FROM (SELECT item, message, severity FROM v GROUP BY ALL HAVING count(*) >= 2) GROUP BY item"""
+
+
+@query("A18", f"""WITH v AS ({_VOTES}), i AS ({_AGREED}) SELECT item, round_even(avg(score), 0)::DOUBLE AS score, round(greatest(0, 1 - stddev_pop(score) / 5), 6) AS confidence,
+  count(*) AS votes, round_even(avg(score), 0) >= 8 AS passed, coalesce(any_value(issues), []) AS issues FROM v LEFT JOIN i USING (item) GROUP BY item""")
 def voting(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
-        F.bround(F.avg("l_quantity"), 0).alias("score"),
-        F.round(F.greatest(F.lit(0.0), 1 - F.stddev_pop("l_quantity") / 5), 6).alias("confidence"),
-        F.count("*").alias("votes"),
-    )
+    return ensembles.voted(_votes(spark, sf_dir), "item").withColumn("confidence", F.round("confidence", 6))
 
 
-@query("A19", """SELECT l_orderkey, arg_min(l_linenumber, struct_pack(q := l_quantity, n := l_linenumber, p := l_partkey)) AS pessimist,
-  arg_max(l_linenumber, struct_pack(q := l_quantity, n := l_linenumber, p := l_partkey)) AS optimist FROM lineitem GROUP BY 1""")
+@query("A19", f"""WITH v AS ({_VOTES}) SELECT item, min(score) AS pessimist, max(score) AS optimist, list_sort(list(DISTINCT message)) AS issues FROM v GROUP BY item""")
 def extremes(spark, sf_dir):
-    key = F.struct("l_quantity", "l_linenumber", "l_partkey")
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
-        F.min_by("l_linenumber", key).alias("pessimist"), F.max_by("l_linenumber", key).alias("optimist")
-    )
+    return ensembles.extremes(_votes(spark, sf_dir), "item")
+
+
+@query("A34", f"""WITH v AS (SELECT *, row_number() OVER (PARTITION BY item ORDER BY model, score, message, severity) AS k FROM ({_VOTES})),
+  p AS (SELECT item, max(score) FILTER (k = 1) AS a, max(score) FILTER (k = 2) AS b, item % 10 + 1 AS iteration FROM v GROUP BY item),
+  n AS (SELECT item, CASE WHEN iteration < 8 THEN 1 WHEN iteration >= 10 THEN 3 WHEN a >= 8 OR a < 4 THEN 1 WHEN abs(a - b) > 2 THEN 3 ELSE 2 END AS most FROM p)
+  SELECT item, count(*) AS votes, round_even(avg(score), 0)::DOUBLE AS score, round_even(avg(score), 0) >= 8 AS passed FROM v JOIN n USING (item) WHERE k <= most GROUP BY item""")
+def adaptive(spark, sf_dir):
+    """Early on one model; later a second where the first is unsure, and a third where they disagree; at last all three."""
+    iteration = F.col("item") % 10 + 1
+    votes = ensembles.consulted(_votes(spark, sf_dir), "item", iteration, 10, "model", "score", "message", "severity")
+    return ensembles.voted(votes, "item").select("item", "votes", "score", "passed")
 
 
-@query("A20", """SELECT p_type, word, n FROM (SELECT p_type, word, count(*) AS n FROM (SELECT p_type, unnest(string_split(p_name, ' ')) AS word FROM part) GROUP BY 1, 2)
-  QUALIFY row_number() OVER (PARTITION BY p_type ORDER BY n DESC, word) <= 5""")
+@query("A20", """WITH w AS (SELECT p_partkey, p_type, p_name, unnest(string_split(p_name, ' ')) AS word FROM part),
+  c AS (SELECT p_type, word, count(*) AS n FROM w GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY p_type ORDER BY n DESC, word) <= 5),
+  f AS (SELECT p_type, count(*) AS failures, arg_min(p_name, p_partkey) AS example FROM part GROUP BY 1 ORDER BY failures DESC, p_type LIMIT 5)
+  SELECT p_type, failures, example, word, n FROM f JOIN c USING (p_type)""")
 def lessons(spark, sf_dir):
-    from ..operators.ranking import top_in_groups
+    """The most frequent kinds with their first row, and the most frequent words of each."""
+    from ..operators.ranking import top, top_in_groups
 
-    words = table(spark, sf_dir, "part").select("p_type", F.explode(F.split("p_name", " ")).alias("word"))
-    counts = words.groupBy("p_type", "word").agg(F.count("*").alias("n"))
-    return top_in_groups(counts, 5, "p_type", F.desc("n"), F.col("word")).drop("rank")
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_name")
+    kinds = part.groupBy("p_type").agg(F.count("*").alias("failures"), F.min_by("p_name", "p_partkey").alias("example"))
+    first = top(kinds, 5, F.desc("failures"), F.col("p_type"))
+    words = part.select("p_type", F.explode(F.split("p_name", " ")).alias("word")).groupBy("p_type", "word").agg(F.count("*").alias("n"))
+    return top_in_groups(words, 5, "p_type", F.desc("n"), F.col("word")).drop("rank").join(first, "p_type")
 
 
 @query("A21", """SELECT p_partkey, round((len(list_intersect(string_split(p_name, ' '), ['red', 'ring', 'small'])) / 3.0 + 0.5) *
@@ -204,9 +239,17 @@ def ab_decision(spark, sf_dir):
     return v.filter("n0 > 0 AND n1 > 0").select("p_brand", decision.alias("decision"))
 
 
-@query("A29", "SELECT o_custkey, bool_and(o_orderstatus = 'F') AS completed FROM orders GROUP BY 1")
+@query("A29", """WITH p AS (SELECT o_custkey, bool_and(o_orderstatus = 'F') AS done, o_custkey % 4 = 0 AS closed FROM orders GROUP BY 1)
+  SELECT o_orderkey, CASE WHEN done OR closed THEN 'Completed' ELSE 'Open' END AS plan, CASE WHEN closed AND o_orderstatus <> 'F' THEN 'Cancelled' ELSE o_orderstatus END AS task
+  FROM orders JOIN p USING (o_custkey)""")
 def propagation(spark, sf_dir):
-    return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.bool_and(F.col("o_orderstatus") == "F").alias("completed"))
+    """A plan whose tasks are all done is completed; completing a plan cancels its unfinished tasks."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    plans = orders.groupBy("o_custkey").agg(F.bool_and(F.col("o_orderstatus") == "F").alias("done"))
+    joined = orders.join(plans.withColumn("closed", F.col("o_custkey") % 4 == 0), "o_custkey")
+    plan = F.when(F.col("done") | F.col("closed"), "Completed").otherwise("Open")
+    task = F.when(F.col("closed") & (F.col("o_orderstatus") != "F"), "Cancelled").otherwise(F.col("o_orderstatus"))
+    return joined.select("o_orderkey", plan.alias("plan"), task.alias("task"))
 
 
 @query("A30", """SELECT DISTINCT a.l_orderkey, a.l_linenumber FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_quantity = b.l_quantity

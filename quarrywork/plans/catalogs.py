@@ -172,13 +172,6 @@ def off_scale(spark, sf_dir):
     return table(spark, sf_dir, "pages").filter("html IS NOT NULL").select("page_id", sizes.alias("off_scale"))
 
 
-@query("X48", r"""SELECT conv_id, turn, list_filter([regexp_extract(text, '\bthe\s+(\w+)', 1), regexp_extract(text, '\buse\s+(\w+)', 1),
-  regexp_extract(text, '\bwith\s+(\w+)', 1)], lambda x: x <> '')[1:5] AS rules FROM conversations WHERE text IS NOT NULL""")
-def inferred_rules(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations").filter("text IS NOT NULL")
-    return turns.select("conv_id", "turn", S.words_after(F.col("text"), ("the", "use", "with"), 5).alias("rules"))
-
-
 @query("X52", """SELECT source, CASE WHEN bool_or(lang = 'de') THEN 'de' WHEN bool_or(lang = 'fr') THEN 'fr' ELSE 'en' END AS language,
     CASE WHEN sum(n_chars) < 10000 AND count(*) <= 2 THEN 'simple' WHEN sum(n_chars) < 500000 AND count(*) <= 500 THEN 'medium' ELSE 'complex' END AS complexity
   FROM documents GROUP BY source""")

@@ -191,23 +191,12 @@ def payload(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", "label")
 
 
-@query("X41", "SELECT count(*) AS n FROM customer")
-def ab_share(spark, sf_dir):
-    """Every key has one bucket, so both sides together are all keys."""
-    own = table(spark, sf_dir, "customer").select(S.bucket(F.col("c_custkey"), 30).alias("test"))
-    return own.groupBy("test").count().agg(F.sum("count").alias("n"))
-
-
-@query("X27", "SELECT 1 AS id, ['os.path', 'json', 'react'] AS modules")
-def modules(spark, sf_dir):
-    code = F.lit("from os.path import join\nimport json\nimport x from 'react'\nimport json\n")
-    return table(spark, sf_dir, "region").limit(1).select(F.lit(1).alias("id"), S.imports(code).alias("modules"))
-
-
-@query("W04", """SELECT user_id, round(avg(value) FILTER (r <= 5), 4) AS recent FROM (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) GROUP BY 1""")
+@query("W04", """SELECT user_id, round(avg(value) FILTER (r <= 5), 4) AS recent, round(avg(value) FILTER (r > 5), 4) AS before FROM
+  (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r <= 10 GROUP BY 1""")
 def last_five(spark, sf_dir):
-    last = ranking.top_in_groups(table(spark, sf_dir, "events"), 5, "user_id", F.desc("ts"), F.desc("event_id"))
-    return last.groupBy("user_id").agg(F.round(F.avg("value"), 4).alias("recent"))
+    last = ranking.top_in_groups(table(spark, sf_dir, "events"), 10, "user_id", F.desc("ts"), F.desc("event_id"))
+    mean = lambda test: F.round(F.avg(F.when(test, F.col("value"))), 4)
+    return last.groupBy("user_id").agg(mean(F.col("rank") <= 5).alias("recent"), mean(F.col("rank") > 5).alias("before"))
 
 
 @query("Z07", """SELECT 'frequent' AS part, o_custkey AS id FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1 ORDER BY n DESC, o_custkey LIMIT 5)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from ..operators import graph, sets
 from ..session import table
@@ -28,15 +29,25 @@ def plan_tasks(spark, sf_dir):
     return orders.join(lists, F.col("o_orderkey") == F.col("l_orderkey")).select("o_orderkey", named.alias("tasks"))
 
 
-@query("J03", """SELECT n.n_nationkey, coalesce(c.k, 0) AS customers, coalesce(s.k, 0) AS suppliers FROM nation n
-  LEFT JOIN (SELECT c_nationkey AS x, count(*) AS k FROM customer GROUP BY 1) c ON c.x = n_nationkey
-  LEFT JOIN (SELECT s_nationkey AS x, count(*) AS k FROM supplier GROUP BY 1) s ON s.x = n_nationkey""")
+@query("J03", """SELECT n_nationkey, coalesce(c.x, []) AS segments, coalesce(s.x, []) AS suppliers, coalesce(o.x, []) AS neighbours FROM nation n
+  LEFT JOIN (SELECT c_nationkey AS k, list_sort(list(DISTINCT c_mktsegment)) AS x FROM customer GROUP BY 1) c ON c.k = n_nationkey
+  LEFT JOIN (SELECT s_nationkey AS k, list_sort(list(DISTINCT s_suppkey)) AS x FROM supplier GROUP BY 1) s ON s.k = n_nationkey
+  LEFT JOIN (SELECT a.n_nationkey AS k, list_sort(list(b.n_nationkey)) AS x FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey <> b.n_nationkey GROUP BY 1) o ON o.k = n_nationkey""")
 def edge_kinds(spark, sf_dir):
-    nation = table(spark, sf_dir, "nation").select("n_nationkey")
-    for name, key in (("customer", "c_nationkey"), ("supplier", "s_nationkey")):
-        counts = table(spark, sf_dir, name).groupBy(F.col(key).alias("n_nationkey")).agg(F.count("*").alias(f"{name}s"))
-        nation = nation.join(counts, "n_nationkey", "left")
-    return nation.na.fill(0, ["customers", "suppliers"])
+    """Three kinds of edges, each collected to distinct ones before it is joined, so that they don't multiply."""
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+    other = nation.select(F.col("n_nationkey").alias("_o"), "n_regionkey")
+    pairs = nation.join(other, "n_regionkey").filter("_o <> n_nationkey")
+    kinds = {
+        "segments": table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("n_nationkey"), F.col("c_mktsegment").alias("x")),
+        "suppliers": table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("n_nationkey"), F.col("s_suppkey").alias("x")),
+        "neighbours": pairs.select("n_nationkey", F.col("_o").alias("x")),
+    }
+    out = nation.select("n_nationkey")
+    for name, edges in kinds.items():
+        sets = edges.groupBy("n_nationkey").agg(F.array_sort(F.collect_set("x")).alias(name))
+        out = out.join(sets, "n_nationkey", "left").withColumn(name, F.coalesce(name, F.array().cast(sets.schema[name].dataType)))
+    return out
 
 
 @query("J04", """SELECT r_name, n_name, o_orderpriority, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey
@@ -63,15 +74,17 @@ def placeholders(spark, sf_dir):
     return joined.select("doc_id", F.when(F.col("_k"), "Node").otherwise("Reference").alias("target"))
 
 
-@query("J06", """WITH t AS (SELECT conv_id, turn, length(text) // 200 AS level FROM conversations)
+@query("J06", """WITH t AS (SELECT conv_id, turn, least(6, 1 + length(text) // 200) AS level FROM conversations)
   SELECT a.conv_id, a.turn, min(b.turn) AS end_turn FROM t a LEFT JOIN t b
   ON a.conv_id = b.conv_id AND b.turn > a.turn AND b.level <= a.level GROUP BY a.conv_id, a.turn""")
 def containment(spark, sf_dir):
-    level = F.floor(F.length("text") / 200)
+    """The first later turn of a level as high, of six levels: one pass over each conversation from its end, not a join
+    of its turns with each other."""
+    level = F.least(F.lit(6), 1 + F.floor(F.length("text") / 200))
     t = table(spark, sf_dir, "conversations").select("conv_id", "turn", level.alias("level"))
-    later = t.select(F.col("conv_id").alias("_c"), F.col("turn").alias("_t"), F.col("level").alias("_l"))
-    on = (F.col("conv_id") == F.col("_c")) & (F.col("_t") > F.col("turn")) & (F.col("_l") <= F.col("level"))
-    return t.join(later, on, "left").groupBy("conv_id", "turn").agg(F.min("_t").alias("end_turn"))
+    later = W.partitionBy("conv_id").orderBy(F.desc("turn")).rangeBetween(W.unboundedPreceding, -1)
+    ends = [F.when(F.col("level") == k, F.min(F.when(F.col("level") <= k, F.col("turn"))).over(later)) for k in range(1, 7)]
+    return t.select("conv_id", "turn", F.coalesce(*ends).alias("end_turn")).groupBy("conv_id", "turn").agg(F.min("end_turn").alias("end_turn"))
 
 
 @query("J08", """WITH x AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem)

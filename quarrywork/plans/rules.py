@@ -70,17 +70,6 @@ def worst(spark, sf_dir):
     return found.select("doc_id", "line", "rule")
 
 
-PATTERNS, RELATIONS = ("tion on", "pattern"), ("the", "and", "with")
-
-
-@query("X05", """SELECT conv_id, turn, CASE WHEN contains(lower(text), 'tion on') OR contains(lower(text), 'pattern') THEN 'pattern-search'
-  WHEN n >= 2 OR (n = 1 AND regexp_matches(text, '\\b[A-Z][a-z0-9]+[A-Z]\\w*')) THEN 'graph-first' WHEN n = 1 THEN 'hybrid' ELSE 'semantic-first' END AS strategy
-  FROM (SELECT *, contains(lower(text), 'the')::INT + contains(lower(text), 'and')::INT + contains(lower(text), 'with')::INT AS n FROM conversations WHERE role = 'user')""")
-def strategies(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations").filter("role = 'user'")
-    return turns.select("conv_id", "turn", S.strategy(F.col("text"), PATTERNS, RELATIONS).alias("strategy"))
-
-
 @query("X06", "SELECT conv_id, turn, regexp_extract(text, '(?i)the (\\w+)', 1) AS target FROM conversations")
 def target(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.regexp_extract("text", r"(?i)the (\w+)", 1).alias("target"))
@@ -93,33 +82,11 @@ def fusion(spark, sf_dir):
     return items.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(score + 1e-9, 4).alias("score"))
 
 
-@query("X13", r"SELECT doc_id, (1 + len(regexp_extract_all(text, '\b(?:and|or|for|if)\b')))::INT AS complexity FROM documents WHERE lang = 'en'")
-def cyclomatic(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").filter("lang = 'en'")
-    return docs.select("doc_id", S.decision_points(F.col("text"), ("and", "or", "for", "if")).alias("complexity"))
-
-
 @query("X16", "SELECT page_id, list_max(list_transform(string_split(html, chr(10)), lambda x: length(regexp_extract(x, '^( *)', 1)) // 4))::BIGINT AS depth FROM pages")
 def nesting(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", S.deepest_indent(F.col("html")).cast("long").alias("depth"))
 
 
-@query("X17", """SELECT p_partkey, list_filter([CASE WHEN p_size > 40 THEN 'long method' END, CASE WHEN p_size % 9 > 5 THEN 'too many parameters' END,
-  CASE WHEN p_size % 13 > 10 THEN 'complex' END, CASE WHEN p_size % 6 > 3 THEN 'deeply nested' END], lambda x: x IS NOT NULL) AS smells FROM part""")
-def smells(spark, sf_dir):
-    size = F.col("p_size")
-    found = S.smells(size + 10, size % 9, size % 13, size % 6)
-    return table(spark, sf_dir, "part").select("p_partkey", found.alias("smells"))
-
-
-@query("X19", """SELECT doc_id, contains(lower(text), 'error') OR contains(lower(text), 'on') AS logs, contains(lower(text), 'http') AS calls FROM documents""")
-def flags(spark, sf_dir):
-    text = F.col("text")
-    return table(spark, sf_dir, "documents").select(
-        "doc_id", S.contains_any(text, ["error", "on"]).alias("logs"), S.contains_any(text, ["http"]).alias("calls")
-    )
-
-
 @query("X22", r"""SELECT page_id, (len(regexp_extract_all(html, '<img\b')) - len(regexp_extract_all(html, '<img\b[^>]*\balt=')))::INT AS no_alt,
   NOT regexp_matches(html, '<html[^>]*\blang=') AS no_lang, NOT contains(html, '<main') AS no_main FROM pages""")
 def accessibility(spark, sf_dir):
@@ -133,12 +100,6 @@ def accessibility(spark, sf_dir):
     )
 
 
-@query("X21", "SELECT page_id, list_distinct(regexp_extract_all(lower(html), '#[0-9a-f]{6}\\b|#[0-9a-f]{3}\\b')) AS colors FROM pages WHERE regexp_matches(html, '#[0-9a-f]{3}\\b')")
-def hard_colors(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").filter(F.col("html").rlike(r"#[0-9a-f]{3}\b"))
-    return pages.select("page_id", S.colors(F.col("html")).alias("colors"))
-
-
 @query("X25", """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(((l_returnflag = 'A')::INT + (l_linestatus = 'F')::INT + (l_quantity > 25)::INT) / 3.0, 4)::DOUBLE AS alike FROM lineitem""")
 def block_similarity(spark, sf_dir):
     checks = [F.col("l_returnflag") == "A", F.col("l_linestatus") == "F", F.col("l_quantity") > 25]
@@ -182,12 +143,6 @@ def scraped(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", r"/(\d+)", 1).try_cast("long").alias("n"))
 
 
-@query("X44", "SELECT 1 AS id, ['a', 'b'] AS names")
-def names(spark, sf_dir):
-    one = table(spark, sf_dir, "region").limit(1)
-    return one.select(F.lit(1).alias("id"), S.template_names(F.lit("{{a}} {{b}} {{a}}")).alias("names"))
-
-
 @query("X45", "SELECT p_partkey, list_filter(['red', 'ring', 'small', 'widget'], lambda w: contains(lower(p_name), w)) AS keywords FROM part")
 def keywords(spark, sf_dir):
     listed = F.array(*map(F.lit, ("red", "ring", "small", "widget")))
@@ -195,12 +150,6 @@ def keywords(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", found.alias("keywords"))
 
 
-@query("X47", r"SELECT page_id, len(regexp_extract_all(html, 'style='))::INT AS inline_styles, len(regexp_extract_all(html, '<style'))::INT AS style_tags FROM pages")
-def css(spark, sf_dir):
-    count = lambda p: F.regexp_count("html", F.lit(p))
-    return table(spark, sf_dir, "pages").select("page_id", count("style=").alias("inline_styles"), count("<style").alias("style_tags"))
-
-
 @query("X49", r"SELECT item_id, array_to_string(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> '')[1:3], '-') AS name FROM benchmark")
 def slugs(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", S.slug(F.col("text")).alias("name"))

@@ -8,7 +8,6 @@ from ..functions import scalars as S
 from ..session import table
 from . import query
 
-STOP = ("the", "and", "for", "with", "that", "this", "from", "are", "was")
 
 
 @query("X02", """SELECT doc_id, CASE WHEN length(text) > 1400
@@ -38,14 +37,6 @@ def ids(spark, sf_dir):
     return docs.select("doc_id", point_id("source", "lang", "k", "one").alias("id"))
 
 
-@query("X07", """SELECT conv_id, turn, array_to_string(list_filter(regexp_split_to_array(lower(text), '[ ?.,!:;]+'),
-  lambda w: length(w) > 2 AND w NOT IN ('the','and','for','with','that','this','from','are','was'))[1:5], ' ') AS term
-  FROM conversations WHERE role = 'user'""")
-def search_terms(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations").filter("role = 'user'")
-    return turns.select("conv_id", "turn", S.search_term(F.col("text"), STOP).alias("term"))
-
-
 @query("X09", """SELECT a, b, n, round(least(0.95, 0.3 * ln(n + 1)), 6) AS strength FROM (
   SELECT p_size AS a, p_brand AS b, count(*) AS n FROM part GROUP BY 1, 2)""")
 def strength(spark, sf_dir):
@@ -76,12 +67,6 @@ def lines_of_code(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", S.lines_of_code(F.col("text")).alias("loc"))
 
 
-@query("X18", """SELECT s_suppkey, CASE WHEN s >= 90 THEN 'A' WHEN s >= 80 THEN 'B' WHEN s >= 70 THEN 'C' WHEN s >= 60 THEN 'D'
-  ELSE 'F' END AS grade FROM (SELECT s_suppkey, s_acctbal / 100 AS s FROM supplier)""")
-def grades(spark, sf_dir):
-    return table(spark, sf_dir, "supplier").select("s_suppkey", S.letter_grade(F.col("s_acctbal") / 100).alias("grade"))
-
-
 _LUM = """CASE WHEN {c} / 255.0 <= 0.03928 THEN {c} / 255.0 / 12.92 ELSE pow(({c} / 255.0 + 0.055) / 1.055, 2.4) END"""
 _SQL_LUM = " + ".join(f"{w} * ({_LUM.format(c=c)})" for w, c in ((0.2126, "r"), (0.7152, "g"), (0.0722, "b")))
 
@@ -95,15 +80,6 @@ def contrast(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.round(S.contrast(F.lit("#fff"), color), 4).alias("contrast"))
 
 
-@query("X23", "SELECT a.p_brand AS a, b.p_brand AS b, levenshtein(a.p_brand, b.p_brand)::INT AS edits FROM (SELECT DISTINCT p_brand FROM part) a JOIN (SELECT DISTINCT p_brand FROM part) b ON length(a.p_brand) = length(b.p_brand) AND a.p_brand < b.p_brand WHERE levenshtein(a.p_brand, b.p_brand) <= 2")
-def edits(spark, sf_dir):
-    names = table(spark, sf_dir, "part").select("p_brand").distinct()
-    a = names.select(F.col("p_brand").alias("a"), F.length("p_brand").alias("n"))
-    b = names.select(F.col("p_brand").alias("b"), F.length("p_brand").alias("n"))
-    pairs = a.join(b, "n").filter("a < b").select("a", "b", F.levenshtein("a", "b").alias("edits"))
-    return pairs.filter("edits <= 2")
-
-
 @query("X24", r"""SELECT conv_id, round(len(list_intersect(x, y))::DOUBLE / greatest(len(x), len(y)), 6) AS overlap FROM (
   SELECT a.conv_id, list_filter(regexp_split_to_array(a.text, '\s+'), lambda w: w <> '') AS x,
     list_filter(regexp_split_to_array(b.text, '\s+'), lambda w: w <> '') AS y
@@ -142,8 +118,9 @@ def caps(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", S.capped(F.col("text"), 200).alias("short"))
 
 
-@query("X43", """SELECT lang, CASE lang WHEN 'fr' THEN 'es' WHEN 'es' THEN 'fr' WHEN 'de' THEN 'en' ELSE 'de' END AS related, count(*) AS n
-  FROM documents GROUP BY ALL""")
-def related(spark, sf_dir):
-    near = S.mapped(F.col("lang"), {"fr": "es", "es": "fr", "de": "en"}, "de")
-    return table(spark, sf_dir, "documents").groupBy("lang", near.alias("related")).agg(F.count("*").alias("n"))
+@query("X23", """SELECT a.p_name AS a, b.p_name AS b, levenshtein(a.p_name, b.p_name)::INT AS edits FROM (SELECT DISTINCT p_name FROM part) a JOIN (SELECT DISTINCT p_name FROM part) b
+  ON a.p_name < b.p_name WHERE levenshtein(a.p_name, b.p_name) <= 2""")
+def edits(spark, sf_dir):
+    from ..operators.text import near_names
+
+    return near_names(table(spark, sf_dir, "part"), "p_name")

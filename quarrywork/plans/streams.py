@@ -1,10 +1,15 @@
-"""The streaming operators on stored events: the same expressions in batch, where event time is all there is."""
+"""Streams of change events, run to their end: events.parquet is a stream's source, and what is emitted is read back.
+
+Windows are emitted once the watermark has passed them, so what is still open at the last event isn't there.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import shared_dir
 from ..streaming import changes
 from . import query
 
@@ -12,39 +17,72 @@ _GAPS = """WITH e AS (SELECT user_id, event_type, ts, epoch_us(ts) - lag(epoch_u
   s AS (SELECT *, sum((gap IS NULL OR gap >= {us})::INT) OVER (PARTITION BY {k} ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM e)"""
 
 
+_SEEN = "(SELECT epoch_us(max(ts)) - 10000000 FROM events)"
+
+
 def _events(spark, sf_dir):
-    return table(spark, sf_dir, "events").select(
+    """The events table as a stream of changes; a click is a rename."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    kinds = F.when(F.col("event_type") == "click", "rename").otherwise(F.col("event_type"))
+    user = F.col("user_id").cast("string")
+    return raw.select(
+        "event_id",
         F.col("ts").cast("timestamp").alias("ts"),
-        F.col("user_id").cast("string").alias("path"),
-        F.col("event_type").alias("kind"),
-        F.lit("all").alias("context"),
-        "user_id",
+        F.concat(F.lit("src/"), user).alias("path"),
+        F.concat(F.lit("old/"), user).alias("old_path"),
+        F.concat(F.lit("c"), (F.col("user_id") % 5).cast("string")).alias("context"),
+        kinds.alias("kind"),
         "value",
     )
 
 
-@query("R02", _GAPS.format(k="user_id", us=3600000000) + " SELECT user_id::VARCHAR AS path, arg_max(event_type, ts) AS kind, count(*) AS events FROM s GROUP BY user_id, n")
+def _drained(spark, stream):
+    return changes.drained(stream, f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}")
+
+
+@query("R01", """SELECT event_id, 'src/' || user_id AS path, CASE event_type WHEN 'click' THEN 'create' ELSE event_type END AS kind FROM events
+  UNION ALL SELECT event_id, 'old/' || user_id, 'delete' FROM events WHERE event_type = 'click'""")
+def changed(spark, sf_dir):
+    return _drained(spark, changes.expanded(_events(spark, sf_dir)).select("event_id", "path", "kind"))
+
+
+@query("R02", _GAPS.format(k="user_id", us=3600000000) + f""" SELECT 'src/' || user_id AS path, CASE arg_max(event_type, ts) WHEN 'click' THEN 'rename' ELSE arg_max(event_type, ts) END AS kind, count(*) AS events FROM s
+  GROUP BY user_id, n HAVING epoch_us(max(ts)) + 3600000000 <= {_SEEN}""")
 def debounced(spark, sf_dir):
-    return changes.debounced(_events(spark, sf_dir), "1 hour").select("path", "kind", "events")
+    found = changes.debounced(_events(spark, sf_dir), "1 hour")
+    return _drained(spark, found.select("path", "kind", "events"))
 
 
-@query("R04", _GAPS.format(k="user_id", us=1800000000) + " SELECT user_id, epoch_us(min(ts)) AS start, count(*) AS events FROM s GROUP BY user_id, n")
-def expiry(spark, sf_dir):
-    found = changes.sessions(_events(spark, sf_dir), "user_id", "30 minutes")
-    return found.select("user_id", F.unix_micros("start").alias("start"), "events")
+@query("R03", """SELECT 'c' || (user_id % 5) AS context, list_sort(list(DISTINCT 'src/' || user_id)) AS paths FROM events GROUP BY 1""")
+def micro_batch(spark, sf_dir):
+    """Each micro-batch is handed on by context, under its own number, so that one that is repeated replaces itself."""
+    folder = f"{shared_dir(spark)}/batches-{uuid.uuid4().hex}"
 
+    def keep(batch, number):
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
 
-@query("R05", """SELECT ((epoch_us(ts) // 3600000000) + 1) * 3600000000 AS at, round(sum(value), 2) AS used FROM events GROUP BY 1""")
-def windows(spark, sf_dir):
-    found = changes.sliding_sum(_events(spark, sf_dir), "value", "1 hour", "1 hour")
-    return found.select(F.unix_micros("at").alias("at"), F.round("used", 2).alias("used"))
+    changes.by_context(_events(spark, sf_dir), keep, f"{folder}/checkpoint", availableNow=True).awaitTermination()
+    rows = spark.read.parquet(f"{folder}/rows").select("context", F.explode("paths").alias("path"))
+    return rows.groupBy("context").agg(F.array_sort(F.collect_set("path")).alias("paths"))
 
 
-@query("R06", "SELECT DISTINCT user_id, event_type FROM events")
-def queue(spark, sf_dir):
-    return _events(spark, sf_dir).select("user_id", F.col("kind").alias("event_type")).dropDuplicates()
+@query("R04", _GAPS.format(k="user_id", us=1800000000) + f""" SELECT 'src/' || user_id AS path, epoch_us(min(ts)) AS start, count(*) AS events FROM s
+  GROUP BY user_id, n HAVING epoch_us(max(ts)) + 1800000000 <= {_SEEN}""")
+def expiry(spark, sf_dir):
+    found = changes.sessions(_events(spark, sf_dir), "path", "30 minutes")
+    return _drained(spark, found.select("path", F.unix_micros("start").alias("start"), "events"))
 
 
-@query("R03", "SELECT event_type, count(DISTINCT user_id) AS paths FROM events GROUP BY 1")
-def micro_batch(spark, sf_dir):
-    return _events(spark, sf_dir).groupBy(F.col("kind").alias("event_type")).agg(F.count_distinct("path").alias("paths"))
+@query("R05", f"""WITH w AS (SELECT (epoch_us(ts) // 20000000 + unnest([1, 2, 3])) * 20000000 AS until, value FROM events)
+  SELECT until, round(sum(value), 2) AS used FROM w GROUP BY until HAVING until <= {_SEEN}""")
+def budget(spark, sf_dir):
+    """Sixty seconds that slide by twenty: each event counts in three windows."""
+    found = changes.sliding_sum(_events(spark, sf_dir), "value", "60 seconds", "20 seconds")
+    return _drained(spark, found.select(F.unix_micros("at").alias("until"), F.round("used", 2).alias("used")))
+
+
+@query("R06", "SELECT DISTINCT 'src/' || user_id AS path FROM events")
+def queue(spark, sf_dir):
+    """Items that wait, each once."""
+    return _drained(spark, changes.pending(_events(spark, sf_dir)).select("path"))

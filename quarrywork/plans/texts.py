@@ -11,26 +11,21 @@ from ..session import table
 from . import query
 
 TERMS = ("the", "and", "with", "shall")
-DOMAINS = {"commerce": ("price", "order", "pay"), "people": ("you", "he", "ha"), "motion": ("ing", "tion", "er")}
 
 
-@query("S02", r"SELECT page_id, url FROM pages WHERE NOT regexp_matches(lower(url), '\.html$|ads-track|spam')")
-def exclusion(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    return pages.filter(~F.lower("url").rlike(r"\.html$|ads-track|spam"))
-
-
-@query("S04", r"""SELECT CASE WHEN html LIKE '%lang="fr"%' THEN 'french' WHEN html LIKE '%lang="de"%' THEN 'german' ELSE 'basic' END AS parser,
-  count(*) AS n FROM pages GROUP BY 1""")
-def routing(spark, sf_dir):
-    kind = F.when(F.col("html").contains('lang="fr"'), "french").when(F.col("html").contains('lang="de"'), "german")
-    return table(spark, sf_dir, "pages").groupBy(kind.otherwise("basic").alias("parser")).agg(F.count("*").alias("n"))
-
-
-@query("S05", """SELECT event_id, 'k' AS name, json_extract_string(props, '$.k') AS value FROM events
-  WHERE json_extract_string(props, '$.k') IS NOT NULL""")
+@query("S05", """SELECT event_id, '$.tree' AS path, 'object' AS type, 1 AS depth, '{"leaf":"value ' || event_id || '","none":1,"down":{"more":{"deep":"not reached"}}}' AS content FROM events WHERE event_id % 3 <> 2
+  UNION ALL SELECT event_id, '$.tree.leaf', 'value', 2, 'value ' || event_id FROM events WHERE event_id % 3 <> 2 UNION ALL SELECT event_id, '$.tree.down', 'object', 2, '{"more":{"deep":"not reached"}}' FROM events WHERE event_id % 3 <> 2
+  UNION ALL SELECT event_id, '$.tree.down.more', 'object', 3, '{"deep":"not reached"}' FROM events WHERE event_id % 3 <> 2
+  UNION ALL SELECT event_id, '$.list', 'array', 1, '[{"type":"' || event_type || '"},7,"text"]' FROM events WHERE event_id % 3 <> 2
+  UNION ALL SELECT event_id, '$.list[0]', 'object', 2, '{"type":"' || event_type || '"}' FROM events WHERE event_id % 3 <> 2
+  UNION ALL SELECT event_id, '$.list[0].type', 'value', 3, event_type FROM events WHERE event_id % 3 <> 2 AND length(event_type) > 5
+  UNION ALL SELECT event_id, '$', 'parse_error', 0, props[:-2] FROM events WHERE event_id % 3 = 2""")
 def json_chunks(spark, sf_dir):
-    return chunks.json_entries(table(spark, sf_dir, "events"), "event_id", "props", "string")
+    key = F.col("event_id").cast("string")
+    built = F.concat(F.lit('{"tree": {"leaf": "value '), key, F.lit('", "none": 1, "down": {"more": {"deep": "not reached"}}}, "list": [{"type": "'), "event_type", F.lit('"}, 7, "text"], "k": 12}'))
+    events = table(spark, sf_dir, "events")
+    text = F.when(F.col("event_id") % 3 == 2, F.left("props", F.length("props") - 1)).otherwise(built)
+    return chunks.json_entries(events.select("event_id", text.alias("t")), "event_id", "t")
 
 
 @query("S08", r"""WITH t AS (SELECT page_id, unnest(['article', 'nav', 'footer']) AS tag, html FROM pages),
@@ -137,15 +132,3 @@ _DF = ", ".join(f"count(*) FILTER (tf{i} > 0) AS df{i}" for i in range(4))
 def bm25(spark, sf_dir):
     found = T.bm25(table(spark, sf_dir, "documents"), "doc_id", "text", TERMS)
     return found.select("doc_id", F.round("score", 4).alias("score"))
-
-
-_DOM = " UNION ALL ".join(
-    f"SELECT doc_id, '{k}' AS name, {' + '.join(f'contains(lower(text), {w!r})::INT' for w in words)} AS n FROM documents"
-    for k, words in DOMAINS.items()
-)
-
-
-@query("X08", f"SELECT doc_id, name, round(least(1.0, 0.2 * n), 2)::DOUBLE AS confidence FROM ({_DOM}) WHERE n > 0")
-def domains(spark, sf_dir):
-    found = T.detected(table(spark, sf_dir, "documents"), "doc_id", "text", DOMAINS)
-    return found.select("doc_id", "name", F.round("confidence", 2).cast("double").alias("confidence"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import ORACLE_SQL, QUERIES, aggregates, catalogs, composites, graphs, joins, rules, scalars, search, streams, texts, windows
+from .plans import ORACLE_SQL, QUERIES, aggregates, catalogs, code, composites, files, graphs, joins, rules, scalars, search, streams, texts, windows
 
 FLAGSHIP = "Z01"
-__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "aggregates", "catalogs", "composites", "graphs", "joins", "rules", "scalars", "search", "streams", "texts", "windows"]
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "aggregates", "catalogs", "code", "composites", "files", "graphs", "joins", "rules", "scalars", "search", "streams", "texts", "windows"]

@@ -1,57 +1,48 @@
-"""Chunks of texts: lines, sections, blocks and configuration entries. Built-in functions only."""
+"""Chunks of texts: lines, blocks and JSON entries. Built-in functions only."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
-#: Path fragments and endings that are never read.
-EXCLUDED = r"(^|/)(bin|obj|node_modules|\.git|\.vs|\.idea|packages|dist|build|coverage|__pycache__|\.venv)/|\.min\.(js|css)$|\.(map|log|dll|exe|pdb|cache)$|(package-lock\.json|yarn\.lock)$|\.(cshtml|razor)\.cs$"  # noqa: E501
+#: Lengths that are added up at once; their square is what a fold moves.
+_AT_ONCE = 256
 
 
-def files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """(path, content, modified) of a folder's text files, all the way down, without what is excluded."""
-    found = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
-    )
-    kept = found.filter(~F.lower("path").rlike(EXCLUDED))
-    return kept.select("path", F.col("content").cast("string").alias("content"), F.col("modificationTime").alias("modified"))
+def _let(value: Column, body) -> Column:
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def lines(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, pos, line, start): every line with its number from 1 and its character offset."""
-    split = docs.select(key, F.split(text, "\n").alias("_l"))
-    sums = F.transform(
-        F.sequence(F.lit(0), F.size("_l") - 1),
-        lambda i: F.struct((i + 1).alias("pos"), F.col("_l")[i].alias("line"), F.length(F.col("_l")[i]).alias("n")),
+def _prefix(values: Column) -> Column:
+    """0 and the running sums of a short array."""
+    return F.aggregate(values, F.array(F.lit(0).cast("long")), lambda sums, x: F.array_append(sums, F.element_at(sums, -1) + x))
+
+
+def starts(lengths: Column) -> Column:
+    """The sum of all entries before each, by running sums of blocks and within them: no row of it moves."""
+    n = F.size(lengths)
+    blocks = F.transform(
+        F.sequence(F.lit(0), F.floor((n - 1) / _AT_ONCE).cast("int")), lambda b: F.slice(lengths, b * _AT_ONCE + 1, F.lit(_AT_ONCE))
     )
-    rows = split.select(key, F.inline(sums))
-    before = W.partitionBy(key).orderBy("pos").rowsBetween(W.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(F.col("n") + 1).over(before), F.lit(0))
-    return rows.select(key, "pos", "line", start.alias("start"))
 
+    def within(blocks: Column) -> Column:
+        sums = F.transform(blocks, lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda s, v: s + v))
+        return _let(
+            _prefix(sums),
+            lambda before: F.flatten(
+                F.transform(blocks, lambda x, i: F.slice(F.transform(_prefix(x), lambda p: p + before[i]), F.lit(1), F.size(x)))
+            ),
+        )
 
-def sections(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, pos, level, title, end_pos): Markdown headers and where their sections end.
+    return F.when(n > 0, _let(blocks, within))
 
-    A section ends before the next header of its level or a higher one. Only headers are joined with each
-    other, on their document, and few lines are headers.
-    """
-    found = F.filter(
-        F.transform(F.split(text, "\n"), lambda x, i: F.struct((i + 1).alias("pos"), x.alias("line"))),
-        lambda x: x["line"].rlike(r"^#{1,6}\s+\S"),
-    )
-    heads = docs.select(key, F.inline(found)).select(
-        key,
-        "pos",
-        F.length(F.regexp_extract("line", r"^(#+)", 1)).alias("level"),
-        F.trim(F.regexp_replace("line", r"^#+", "")).alias("title"),
-    )
-    later = heads.select(F.col(key).alias("_k"), F.col("pos").alias("_p"), F.col("level").alias("_v"))
-    follows = (F.col(key) == F.col("_k")) & (F.col("_p") > F.col("pos")) & (F.col("_v") <= F.col("level"))
-    joined = heads.join(later, follows, "left")
-    return joined.groupBy(key, "pos", "level", "title").agg((F.min("_p") - 1).alias("end_pos"))
+
+def lines(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, pos, line, start): every line with its number from 1 and its character offset, worked out in the row."""
+    split = docs.select(key, F.split(text, "\n").alias("_l"))
+    with_starts = split.select(key, "_l", starts(F.transform("_l", lambda x: F.length(x).cast("long") + 1)).alias("_s"))
+    rows = F.transform("_l", lambda x, i: F.struct((i + 1).alias("pos"), x.alias("line"), F.col("_s")[i].alias("start")))
+    return with_starts.select(key, F.inline(rows))
 
 
 def tag_blocks(pages: DataFrame, key: str, html: str, tags: tuple[str, ...]) -> DataFrame:
@@ -81,7 +72,45 @@ def links(pages: DataFrame, key: str, html: str) -> DataFrame:
     return pages.select(key, F.posexplode(found).alias("pos", "href"))
 
 
-def json_entries(docs: DataFrame, key: str, text: str, schema: str) -> DataFrame:
-    """(key, name, value) of a flat JSON object; text that isn't JSON gives no rows."""
-    parsed = F.from_json(text, f"map<string,{schema}>")
-    return docs.select(key, F.explode(parsed).alias("name", "value"))
+def json_entries(docs: DataFrame, key: str, text: str, deepest: int = 3, most: int = 100) -> DataFrame:
+    """(key, path, type, depth, content): the chunks of JSON texts.
+
+    Objects are entered ``deepest`` levels down, and the first ``most`` objects or arrays of an array. A scalar is a chunk
+    with more than 5 characters, an object or array with more than 10; contents are cut at 2000. A text that isn't JSON
+    is one chunk of type ``parse_error``. One level is one pass over the rows of the level above; nothing is shuffled.
+    """
+    good = F.try_parse_json(F.col(text)).isNotNull()
+    rows = docs.filter(F.col(text).isNotNull()).select(
+        key, F.lit("$").alias("path"), F.lit(0).alias("depth"), F.trim(F.col(text)).alias("_j"), (~good).alias("_bad")
+    )
+    bad = rows.filter("_bad")
+    raw = bad.select(key, "path", F.lit("parse_error").alias("type"), "depth", F.substring("_j", 1, 2000).alias("content"))
+    level, found = rows.filter(~F.col("_bad")).select(key, "path", "depth", "_j"), raw
+    for depth in range(1, deepest + 1):
+        level = _children(level, key, depth, most)
+        size = F.length("_j")
+        nested = F.col("_j").rlike(r"^[\[{]")
+        kept = level.filter(F.when(nested, size > 10).otherwise(F.length(F.btrim("_j", F.lit('"'))) > 5))
+        kind = F.when(F.col("_j").startswith("{"), "object").when(F.col("_j").startswith("["), "array").otherwise("value")
+        content = F.substring(F.when(nested, F.col("_j")).otherwise(F.btrim("_j", F.lit('"'))), 1, 2000)
+        found = found.unionByName(kept.select(key, "path", kind.alias("type"), "depth", content.alias("content")))
+    return found
+
+
+def _children(level: DataFrame, key: str, depth: int, most: int) -> DataFrame:
+    """The members of objects, and the first nested ones of arrays."""
+    j = F.col("_j")
+    members = F.transform(
+        F.map_entries(F.when(j.startswith("{"), F.from_json(j, "map<string,string>", {"allowUnquotedFieldNames": "false"}))),
+        lambda e: F.struct(F.concat(F.lit("."), e["key"]).alias("step"), e["value"].alias("v")),
+    )
+    items = F.transform(
+        F.slice(F.when(j.startswith("["), F.from_json(j, "array<string>")), 1, most),
+        lambda v, i: F.struct(F.concat(F.lit("["), i.cast("string"), F.lit("]")).alias("step"), v.alias("v")),
+    )
+    nested = F.filter(items, lambda x: x["v"].rlike(r"^\s*[\[{]"))
+    empty = F.array().cast("array<struct<step: string, v: string>>")
+    rows = level.select(key, "path", F.inline(F.concat(F.coalesce(members, empty), F.coalesce(nested, empty))))
+    return rows.filter(F.col("v").isNotNull()).select(
+        key, F.concat("path", "step").alias("path"), F.lit(depth).alias("depth"), F.col("v").alias("_j")
+    )

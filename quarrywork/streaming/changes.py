@@ -12,14 +12,34 @@ from pyspark.sql import functions as F
 
 #: How late an event may be.
 LATE = "10 seconds"
-SCHEMA = "ts timestamp, path string, context string, kind string"
+SCHEMA = "ts timestamp, path string, old_path string, context string, kind string"
 IGNORED = r"(^|/)\.|\.(tmp|swp)$|/(bin|obj|node_modules)/"
 
 
+def expanded(events: DataFrame) -> DataFrame:
+    """Events without what is ignored; a rename, which has an ``old_path``, is the deletion of one path and the creation of
+    another."""
+    change = lambda path, kind: F.struct(path.alias("path"), F.lit(kind).alias("kind"))
+    both = F.array(change(F.col("old_path"), "delete"), change(F.col("path"), "create"))
+    own = F.array(F.struct(F.col("path").alias("path"), F.col("kind").alias("kind")))
+    changes = F.when(F.col("kind") == "rename", both).otherwise(own)
+    others = [c for c in events.columns if c not in ("path", "old_path", "kind")]
+    rows = events.select(*others, F.inline(changes))
+    return rows.filter(F.col("path").isNotNull() & ~F.col("path").rlike(IGNORED))
+
+
 def source(spark: SparkSession, folder: str, schema: str = SCHEMA) -> DataFrame:
-    """JSON files of events; a rename is the deletion of one path and the creation of another."""
-    events = spark.readStream.schema(schema).json(folder)
-    return events.filter(~F.col("path").rlike(IGNORED))
+    """JSON files of events, as they come into a folder."""
+    return expanded(spark.readStream.schema(schema).json(folder))
+
+
+def drained(stream: DataFrame, folder: str) -> DataFrame:
+    """Everything that a stream gives now, appended to a table in the shared folder. A run that is repeated goes on where
+    its checkpoint ends, and no row is written twice."""
+    spark = stream.sparkSession
+    writer = stream.writeStream.format("parquet").outputMode("append").trigger(availableNow=True)
+    writer.option("checkpointLocation", f"{folder}/checkpoint").start(f"{folder}/rows").awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
 def debounced(events: DataFrame, quiet: str = "3 seconds") -> DataFrame:
@@ -46,10 +66,11 @@ def pending(events: DataFrame, key: str = "path") -> DataFrame:
     return events.withWatermark("ts", LATE).dropDuplicatesWithinWatermark([key])
 
 
-def by_context(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str):
+def by_context(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, **trigger):
     """Hand each micro-batch, summed up by context, to ``handle``, which must be idempotent in the batch's number."""
 
     def run(batch: DataFrame, number: int) -> None:
         handle(batch.groupBy("context").agg(F.collect_set("path").alias("paths")), number)
 
-    return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).start()
+    writer = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+    return (writer.trigger(**trigger) if trigger else writer).start()

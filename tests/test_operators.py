@@ -5,9 +5,10 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from quarrywork.functions import code as C
 from quarrywork.functions import scalars as S
-from quarrywork.operators import graph, ranking, sets, text, usage
-from quarrywork.sources import chunks, tables
+from quarrywork.operators import ensembles, graph, ranking, sets, text, usage, vectors
+from quarrywork.sources import chunks, files, tables
 from quarrywork.streaming import changes
 
 
@@ -89,17 +90,155 @@ def test_table_upsert(spark, tmp_path):
 
 def test_sections(spark):
     docs = spark.createDataFrame([(1, "# A\ntext\n## B\nx\n# C\n"), (2, "no header")], "id int, body string")
-    got = [(r.pos, r.level, r.title, r.end_pos) for r in chunks.sections(docs, "id", "body").orderBy("pos").collect()]
-    assert got == [(1, 1, "A", 4), (3, 2, "B", 4), (5, 1, "C", None)]
+    got = [(r.pos, r.level, r.title, r.end_pos) for r in files.sections(docs, "id", "body").orderBy("pos").collect()]
+    assert got == [(1, 1, "A", 4), (3, 2, "B", 4), (5, 1, "C", 6)]
 
 
 def test_files(spark, tmp_path):
-    for name in ("a.py", "bin/b.py", "c.min.js", "d.log"):
+    for name in ("a.py", "bin/b.py", "c.min.js", "d.log", "deep/e.MD", "deep/f.md", "vendor/g.cs", "h.razor.cs", "yarn.lock", "i.json", "Dockerfile"):
         target = tmp_path / "src" / name
         target.parent.mkdir(parents=True, exist_ok=True)
         target.write_text("x = 1")
-    got = [r.path.rsplit("/", 1)[1] for r in chunks.files(spark, str(tmp_path / "src")).collect()]
-    assert got == ["a.py"]
+    got = {r.path.rsplit("/", 1)[1]: r.content for r in files.scan(spark, str(tmp_path / "src")).collect()}
+    assert got == dict.fromkeys(("a.py", "f.md", "i.json", "Dockerfile"), "x = 1")
+    top = files.scan(spark, str(tmp_path / "src"), recursive=False)
+    assert {r.path.rsplit("/", 1)[1] for r in top.select("path").collect()} == {"a.py", "i.json", "Dockerfile"}
+
+
+def test_lines_of_long_texts(spark):
+    text_ = "\n".join("x" * (i % 37) for i in range(3000))
+    docs = spark.createDataFrame([(1, text_), (2, ""), (3, None), (4, "\n")], "id int, body string")
+    got = {}
+    for r in chunks.lines(docs, "id", "body").collect():
+        got.setdefault(r.id, []).append((r.pos, r.start, r.line))
+    assert sorted(got) == [1, 2, 4]
+    for pos, start, line in got[1]:
+        assert text_[start : start + len(line)] == line == "x" * ((pos - 1) % 37)
+    assert sorted(got[4]) == [(1, 0, ""), (2, 1, "")]
+
+
+def test_markdown_of_odd_texts(spark):
+    texts = ["+++\ntitle = \"A b\"\n+++\nplain", "", None, "x" * 3000, "```\na\n```\n# H"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, body string")
+    got = {(r.id, r.chunk): (r.name, r.value) for r in files.markdown(docs, "id", "body").collect()}
+    assert got[(0, "front_matter")] == ("title", "A b") and got[(0, "full_content")] == ("Content", "plain")
+    assert got[(3, "full_content")][1] == "x" * 2000 + "..." and got[(4, "code")] == ("text", "a\n") and got[(4, "section")] == ("H", "1 4")
+    assert {i for i, _ in got} == {0, 3, 4}
+
+
+def test_json_chunks(spark):
+    docs = spark.createDataFrame([(1, '{"a": {"b": {"c": {"d": "much too deep"}}}, "s": "12345", "t": "123456", "l": [1, {"x": "long enough"}]}'), (2, "{bad"), (3, None)], "id int, body string")
+    got = {(r.id, r.path): (r.type, r.content) for r in chunks.json_entries(docs, "id", "body").collect()}
+    assert got[(1, "$.t")] == ("value", "123456") and (1, "$.s") not in got and (1, "$.l[0]") not in got
+    assert got[(1, "$.a.b.c")] == ("object", '{"d":"much too deep"}') and (1, "$.a.b.c.d") not in got
+    assert got[(1, "$.l[1].x")] == ("value", "long enough") and got[(2, "$")] == ("parse_error", "{bad")
+    assert not [k for k in got if k[0] == 3]
+
+
+def test_near_names_of_any_length(spark):
+    import random
+
+    rng = random.Random(3)
+    names = sorted({"".join(rng.choice("ab") for _ in range(rng.randrange(0, 7))) for _ in range(60)} | {"", "abcd"})
+    frame = spark.createDataFrame([(n,) for n in names] * 2 + [(None,)], "name string")
+    got = {(r.a, r.b): r.edits for r in text.near_names(frame, "name").collect()}
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(row[-1] + 1, last[j] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    assert got == {(a, b): distance(a, b) for a in names for b in names if a < b and distance(a, b) <= 2}
+
+
+def test_similarities_by_blocks(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    rows = [(i, i % 3, [float(x) for x in rng.normal(size=4)]) for i in range(90)] + [(90, 0, [0.0] * 4), (91, 0, None)]
+    frame = spark.createDataFrame(rows, "id int, label int, v array<double>")
+    found = vectors.similarities(frame.filter("id % 10 = 0"), frame, "id", "v", "label", least=0.5, block=(3, 7)).collect()
+    got = {(r.query, r.id): r.score for r in found}
+    assert len(found) == len(got)
+    for a, _, x in rows[:90]:
+        for b, _, y in rows[:90]:
+            score = float(np.dot(x, y) / np.linalg.norm(x) / np.linalg.norm(y))
+            if a % 10 == 0 and a != b and abs(score - 0.5) > 1e-9:
+                assert ((a, b) in got) == (score >= 0.5) and got.get((a, b), score) == pytest.approx(score)
+    assert vectors.similarities(frame.limit(0), frame, "id", "v").count() == 0
+
+
+def test_reachability_to_the_end(spark):
+    chain = [(i, i + 1) for i in range(25)] + [(25, 20)]
+    frame = spark.createDataFrame(chain, "src int, dst int")
+    got = {r.node: r.depth for r in graph.reachable(frame, spark.createDataFrame([(0,)], "seed int")).collect()}
+    assert got == {i: i for i in range(1, 26)}
+    assert graph.reachable(frame, spark.createDataFrame([(99,)], "seed int")).count() == 0
+    assert graph.reachable(frame, spark.createDataFrame([(0,)], "seed int"), 2).count() == 2
+
+
+def test_latency_equals_sorted_values(spark):
+    import random
+
+    rng = random.Random(2)
+    calls = [("a", float(rng.randrange(300))) for _ in range(2000)] + [("b", 5.0)] * 40 + [(None, 1.0), ("c", 3.0)]
+    got = {r.tool: r for r in usage.latency(spark.createDataFrame(calls, "tool string, ms double"), "tool", "ms").collect()}
+    for tool in ("a", "b", "c", None):
+        own = sorted(ms for t, ms in calls if t == tool)
+        r = got[tool]
+        assert (r.n, r.least, r.most) == (len(own), own[0], own[-1])
+        assert [r.median, r.p90, r.p95] == [own[int(len(own) * q)] for q in (0.5, 0.9, 0.95)]
+
+
+def test_queries_by_strategy(spark):
+    for asked, expected in (
+        ("authentication flow", "pattern-search"), ("classes that implement IRepo", "graph-first"), ("relationship of orders", "hybrid"),
+        ("who calls it", "graph-first"), ("explain the domain", "semantic-first"),
+    ):
+        assert value(spark, C.strategy(F.lit(asked))) == expected
+
+
+def test_method_scores(spark):
+    names = ("cyclomatic_", "cognitive_", "loc", "nesting", "params", "calls")
+    flags = ("unhandled", "logs", "asynchronous", "throws")
+    base = dict.fromkeys(names, 0) | dict.fromkeys(flags, False)
+    for change, expected in (
+        ({}, 100), ({"cyclomatic_": 7}, 100), ({"cyclomatic_": 8}, 90), ({"cyclomatic_": 11}, 80), ({"cyclomatic_": 16}, 70), ({"cognitive_": 11}, 85),
+        ({"cognitive_": 16}, 75), ({"loc": 51}, 85), ({"loc": 101}, 75), ({"nesting": 4}, 90), ({"nesting": 5}, 80), ({"params": 6}, 85), ({"calls": 6}, 90),
+        ({"unhandled": True}, 80), ({"logs": True}, 100), ({"logs": True, "loc": 21}, 105), ({"asynchronous": True, "throws": True}, 105),
+    ):
+        row = base | change
+        assert value(spark, C.method_score(**{k: F.lit(v) for k, v in row.items()})) == expected, change
+
+
+def test_python_figures(spark):
+    source = "async def f(a):\n    if a and b:\n        for x in y:\n            await g(x)\n    elif c:\n        pass\n\n    while d: x = 1 if e else 2\n"
+    assert value(spark, C.cyclomatic(F.lit(source))) == 1 + 1 + 1 + 1 + 1 + 1 + 1
+    assert value(spark, C.cognitive(F.lit(source))) == 2 + 3 + 3 + 3
+    assert value(spark, C.is_async(F.lit(source))) and not value(spark, C.handles_errors(F.lit(source)))
+    assert value(spark, C.assertions(F.lit("assert x\nself.assertTrue(y)\nz = 1\nExpect(x).Should.be()"))) == 3
+
+
+def test_intents(spark):
+    r = value(spark, C.intent(F.lit("Secure the Flutter app with AI for a bank")))
+    assert (r.project_type, r.goal, r.technologies, r.domain) == ("MobileApp", "Security", ["Flutter", "AI"], "fintech")
+    assert r.categories == ["Security", "Validation", "ComponentModel", "StateManagement"]
+    r = value(spark, C.intent(F.lit("hello")))
+    assert (r.project_type, r.goal, r.technologies, r.domain, r.categories) == (None, "NewFeature", [], None, [])
+
+
+def test_ensembles(spark):
+    rows = [(1, "a", 7.0, "m", "high"), (1, "b", 8.0, "m", "high"), (1, "c", 10.0, "n", "low"), (2, "a", 8.0, "m", "low"), (2, "b", 9.0, "m", "high")]
+    votes = spark.createDataFrame(rows, "item int, model string, score double, message string, severity string")
+    got = {r.item: r for r in ensembles.voted(votes, "item").collect()}
+    assert (got[1].score, got[1].passed, got[1].issues, got[1].votes) == (8, True, ["m/high"], 3)
+    assert (got[2].score, got[2].issues) == (8, [])
+    asked = lambda i: ensembles.consulted(votes, "item", F.lit(i), 10, "model").groupBy("item").count().collect()
+    assert {r.item: r["count"] for r in asked(1)} == {1: 1, 2: 1} and {r.item: r["count"] for r in asked(10)} == {1: 3, 2: 2}
+    assert {r.item: r["count"] for r in asked(8)} == {1: 2, 2: 1}
 
 
 def test_bm25_and_fusion(spark):
@@ -114,8 +253,8 @@ def test_bm25_and_fusion(spark):
 
 def test_debounce_stream(spark, tmp_path):
     at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
-    rows = [(at(0), "a", "x", "created"), (at(2), "a", "x", "changed"), (at(9), "a", "x", "deleted"), (at(1), ".git/q", "x", "changed")]
-    rows += [(at(300), "end", "x", "created")]
+    rows = [(at(0), "a", None, "x", "created"), (at(2), "a", None, "x", "changed"), (at(9), "b", "a", "x", "rename"), (at(1), ".git/q", None, "x", "changed")]
+    rows += [(at(300), "end", None, "x", "created")]
     spark.createDataFrame(rows, changes.SCHEMA).coalesce(1).write.json(str(tmp_path / "in"))
     stream = changes.debounced(changes.source(spark, str(tmp_path / "in")))
     query = stream.writeStream.format("memory").queryName("bursts").outputMode("append").start()
@@ -124,4 +263,4 @@ def test_debounce_stream(spark, tmp_path):
     finally:
         query.stop()
     got = sorted((r.path, r.kind, r.events) for r in spark.table("bursts").collect())
-    assert got == [("a", "changed", 2), ("a", "deleted", 1)]
+    assert got == [("a", "changed", 2), ("a", "delete", 1), ("b", "create", 1)]

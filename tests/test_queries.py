@@ -15,6 +15,8 @@ SF = "/root/testdata/sf0.001"
 def plain(value):
     if value is None or isinstance(value, float) and math.isnan(value):
         return None
+    if isinstance(value, dict):
+        return tuple(plain(v) for v in value.values())
     if isinstance(value, (list, tuple)):
         return tuple(map(plain, value))
     if isinstance(value, bool):
