@@ -319,3 +319,18 @@ def inline_styles(text: Column) -> Column:
         return F.map_from_entries(last)
 
     return F.transform(found, lambda f: F.struct(f["element"].alias("element"), parsed(f["style"]).alias("styles")))
+
+
+def accessibility(html: Column) -> Column:
+    """What a page has that keeps people out, counted."""
+    count = lambda p: F.regexp_count(html, F.lit(p))
+    icons = F.regexp_extract_all(html, F.lit(r"(?i)<button[^>]*>\s*<(?:svg|i)\b"), F.lit(0))
+    return F.struct(
+        (count(r"(?i)<img\b") - count(r"(?i)<img\b[^>]*alt=")).alias("no_alt"),
+        count(r'(?i)<(button|a|input)[^>]*aria-hidden="true"').alias("hidden"),
+        count(r'tabindex="([2-9]|\d{2,})"').alias("tabs"),
+        count(r"(?i)<div[^>]*onclick").alias("clickable"),
+        (~F.lower(html).contains("<main") & (F.length(html) > 500)).alias("no_main"),
+        (~html.rlike(r"<html[^>]*\blang=")).alias("no_lang"),
+        F.size(F.filter(icons, lambda x: ~x.contains("aria-label"))).alias("icons"),
+    )

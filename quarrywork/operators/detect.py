@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -72,3 +72,8 @@ def missing(docs: DataFrame, key: str, found: DataFrame, types: Iterable[str]) -
     """(key, type) of the required types that a text has no finding of."""
     wanted = docs.select(key, F.explode(F.array(*map(F.lit, types))).alias("type"))
     return wanted.join(found.select(key, "type").distinct(), [key, "type"], "anti")
+
+
+def task_failures(checks: dict[str, Column]) -> Column:
+    """The names of the checks that a task's target fails, in order; without any it is valid."""
+    return F.array_compact(F.array(*[F.when(failed, name) for name, failed in checks.items()]))

@@ -51,6 +51,24 @@ def reachable(edges: DataFrame, seeds: DataFrame, most: int | None = None) -> Da
     return found
 
 
+def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, component): the smallest node that undirected ``edges`` (a, b) reach from each of ``nodes``. Each round takes
+    over the least label of all neighbours, and then the label of one's label, so that paths halve."""
+    both = cut(edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    now = cut(nodes.select("node", F.col("node").alias("component")).distinct())
+    while True:
+        near = both.join(now, F.col("b") == F.col("node")).groupBy("a").agg(F.min("component").alias("m"))
+        least = now.join(near, F.col("a") == F.col("node"), "left")
+        least = least.select("node", F.col("component").alias("was"), F.least("component", F.coalesce("m", "component")).alias("l"))
+        further = now.select(F.col("node").alias("l"), F.col("component").alias("c"))
+        after = cut(least.join(further, "l").select("node", "was", F.least("l", "c").alias("component")))
+        drop_table(now)
+        if after.filter("was <> component").isEmpty():
+            drop_table(both)
+            return after.select("node", "component")
+        now = after.select("node", "component")
+
+
 def reversed_edges(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 

@@ -129,11 +129,20 @@ def trend(spark, sf_dir):
     return found.withColumns({c: F.round(c, 4) for c in ("recent", "before")})
 
 
-@query("A16", """SELECT CASE WHEN s >= 90 THEN 'A' WHEN s >= 80 THEN 'B' WHEN s >= 70 THEN 'C' WHEN s >= 60 THEN 'D' ELSE 'F' END AS grade, count(*) AS n,
-  floor(avg(s))::BIGINT AS mean FROM (SELECT c_acctbal / 100 AS s FROM customer) GROUP BY 1""")
+@query("A16", """WITH s AS (SELECT c_custkey, c_acctbal / 100 AS s FROM customer), g AS (SELECT *, CASE WHEN s >= 90 THEN 'A' WHEN s >= 80 THEN 'B' WHEN s >= 70 THEN 'C' WHEN s >= 60 THEN 'D' ELSE 'F' END AS grade FROM s),
+  w AS (SELECT grade, list(c_custkey ORDER BY s, c_custkey) AS worst FROM (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY grade ORDER BY s, c_custkey) <= 5) GROUP BY 1)
+  SELECT grade, count(*) AS n, floor(avg(s))::BIGINT AS mean, any_value(CASE WHEN grade = 'F' THEN worst ELSE [] END) AS critical FROM g JOIN w USING (grade) GROUP BY grade""")
 def quality_report(spark, sf_dir):
-    s = table(spark, sf_dir, "customer").select((F.col("c_acctbal") / 100).alias("s"))
-    return s.groupBy(S.letter_grade(F.col("s")).alias("grade")).agg(F.count("*").alias("n"), F.floor(F.avg("s")).alias("mean"))
+    """A histogram of grades with the mean scores, and the five worst of the lowest grade."""
+    from ..operators.ranking import top_in_groups
+
+    s = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_acctbal") / 100).alias("s"))
+    graded = s.withColumn("grade", S.letter_grade(F.col("s")))
+    rolled = graded.groupBy("grade").agg(F.count("*").alias("n"), F.floor(F.avg("s")).alias("mean"))
+    last = top_in_groups(graded.filter("grade = 'F'"), 5, "grade", F.col("s"), F.col("c_custkey"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("rank", "c_custkey"))), lambda x: x["c_custkey"])
+    worst = last.groupBy("grade").agg(ordered.alias("critical"))
+    return rolled.join(worst, "grade", "left").withColumn("critical", F.coalesce("critical", F.array().cast("array<bigint>")))
 
 
 @query("A17", """WITH c AS (SELECT source, count(*) FILTER (toxic = 1) AS critical, count(*) FILTER (quality = 0) AS high, count(*) FILTER (lang <> 'en') AS medium,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -9,7 +11,7 @@ from ..operators import graph, ranking
 from ..session import table
 from . import query
 from .graphs import _EDGES, ELEMENT, EVERY, _reach, asked, dependencies, element
-from .search import _BEST, _COS, best, similar
+from .search import _BEST, _COS, _Z01, best, semantic_first, similar
 
 
 @query("Z02", _reach(False) + " SELECT node, round(0.9 / depth, 4)::DOUBLE AS score FROM r")
@@ -55,26 +57,27 @@ def insights(spark, sf_dir):
     return ranking.top(rolled, 3, F.desc("calls"), F.col("event_type"))
 
 
-@query("Z13", f"""WITH e AS ({_EDGES}), n AS (SELECT src AS node FROM e UNION ALL SELECT dst FROM e)
-  SELECT node, count(*) AS degree, CASE WHEN count(*) >= 10 THEN 'High' WHEN count(*) >= 5 THEN 'Medium' ELSE 'Low' END AS risk FROM n GROUP BY node""")
+@query("Z13", f"""WITH e AS ({_EDGES}), n AS (SELECT src AS node FROM e UNION ALL SELECT dst FROM e), d AS (SELECT node, count(*) AS degree FROM n GROUP BY node),
+  c AS (SELECT p_type AS g, count(*) AS files FROM part GROUP BY 1 HAVING count(*) >= 3),
+  h AS (SELECT a.p_type AS g, round(avg((a.p_type = b.p_type)::INT), 6)::DOUBLE AS cohesion FROM e JOIN part a ON a.p_partkey = src JOIN part b ON b.p_partkey = dst GROUP BY 1)
+  SELECT node, degree, CASE WHEN degree >= 10 THEN 'High' WHEN degree >= 5 THEN 'Medium' ELSE 'Low' END AS risk, p_type AS g, files, coalesce(cohesion, 0) AS cohesion
+  FROM d JOIN part ON p_partkey = node JOIN c ON c.g = p_type LEFT JOIN h ON h.g = p_type""")
 def project_graph(spark, sf_dir):
-    found = graph.degrees(dependencies(spark, sf_dir))
-    return found.select("node", "degree", graph.risk(F.col("degree")).alias("risk"))
-
-
-@query("Z14", """SELECT p_brand, p_type, p_size, count(*) AS times FROM part GROUP BY ALL HAVING count(*) >= 2 ORDER BY times DESC, p_brand, p_type, p_size LIMIT 20""")
-def reusable(spark, sf_dir):
-    groups = table(spark, sf_dir, "part").groupBy("p_brand", "p_type", "p_size").agg(F.count("*").alias("times"))
-    return ranking.top(groups.filter("times >= 2"), 20, F.desc("times"), "p_brand", "p_type", "p_size")
+    """Every node with its degree, its risk, and its cluster's size and cohesion."""
+    edges = dependencies(spark, sf_dir)
+    place = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"), F.col("p_type").alias("g"))
+    found = graph.degrees(edges).select("node", "degree", graph.risk(F.col("degree")).alias("risk"))
+    return found.join(place, "node").join(graph.cohesion(edges, place).select("g", "files", "cohesion"), "g")
 
 
 @query("Z11", """WITH w AS (SELECT DISTINCT p_partkey, unnest(string_split(p_name, ' ')) AS name FROM part), k AS (SELECT unnest(['red', 'ring', 'smell', 'widgets']) AS known)
   SELECT p_partkey, name, CASE WHEN name IN (SELECT known FROM k) THEN 'valid' WHEN near IS NOT NULL THEN 'warning' ELSE 'invalid' END AS verdict, near AS suggestion
   FROM (SELECT w.*, (SELECT min(known) FROM k WHERE known <> w.name AND levenshtein(known, w.name) <= 2) AS near FROM w)""")
 def import_check(spark, sf_dir):
-    """Names against a list of known ones; what is unknown is compared once for each distinct name."""
+    """Names that import lines give, against a list of known ones; each distinct name is compared once."""
     known = ("red", "ring", "smell", "widgets")
-    used = table(spark, sf_dir, "part").select("p_partkey", F.explode(F.split("p_name", " ")).alias("name")).distinct()
+    lines = F.concat(F.lit("import "), F.replace("p_name", F.lit(" "), F.lit("\nimport ")), F.lit("\n"))
+    used = table(spark, sf_dir, "part").select("p_partkey", F.explode(S.imports(lines)).alias("name")).distinct()
     listed = F.array(*map(F.lit, known))
     close = F.array_min(F.filter(listed, lambda k: (k != F.col("name")) & (F.levenshtein(k, "name") <= 2)))
     verdict = F.when(F.array_contains(listed, F.col("name")), "valid").when(close.isNotNull(), "warning").otherwise("invalid")
@@ -82,21 +85,29 @@ def import_check(spark, sf_dir):
     return used.join(judged, "name").select("p_partkey", "name", "verdict", "suggestion")
 
 
-@query("J11", """SELECT c_custkey, coalesce(r, 0.0)::DOUBLE AS reward FROM customer LEFT JOIN (SELECT o_custkey, round(sum(o_totalprice), 2) AS r FROM orders
-  WHERE contains(o_orderpriority, 'URGENT') GROUP BY 1) ON o_custkey = c_custkey""")
+@query("J11", """WITH r AS (SELECT o_custkey, o_orderpriority, round(sum(o_totalprice), 2) AS r FROM orders GROUP BY ALL)
+  SELECT c_custkey, round(coalesce(sum(r) FILTER (contains('asks for 1-URGENT or 2-HIGH', o_orderpriority)), 0.0), 2)::DOUBLE AS reward FROM customer LEFT JOIN r ON o_custkey = c_custkey GROUP BY 1""")
 def rewards_joined(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").filter(F.col("o_orderpriority").contains("URGENT"))
-    sums = orders.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.round(F.sum("o_totalprice"), 2).alias("r"))
-    joined = table(spark, sf_dir, "customer").select("c_custkey").join(sums, "c_custkey", "left")
-    return joined.select("c_custkey", F.coalesce("r", F.lit(0.0)).alias("reward"))
+    """Rewards of a path by term, summed before the join; those whose term the query's text holds count."""
+    asked = F.lit("asks for 1-URGENT or 2-HIGH")
+    sums = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey"), "o_orderpriority").agg(F.round(F.sum("o_totalprice"), 2).alias("r"))
+    held = sums.filter(F.contains(asked, F.col("o_orderpriority"))).groupBy("c_custkey").agg(F.sum("r").alias("r"))
+    joined = table(spark, sf_dir, "customer").select("c_custkey").join(held, "c_custkey", "left")
+    return joined.select("c_custkey", F.round(F.coalesce("r", F.lit(0.0)), 2).alias("reward"))
 
 
-@query("J12", """SELECT n_nationkey, list(c_custkey ORDER BY c_custkey)[1:10] AS links FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY 1""")
+@query("J12", f"""WITH e AS ({_EDGES}), o AS (SELECT src AS k, list_sort(list(dst))[1:10] AS needs FROM e WHERE src % {EVERY} = 0 GROUP BY 1), i AS (SELECT dst AS k, list_sort(list(src))[1:10] AS needed FROM e WHERE dst % {EVERY} = 0 GROUP BY 1)
+  SELECT p_partkey, coalesce(needs, []) AS needs, coalesce(needed, []) AS needed FROM part LEFT JOIN o ON o.k = p_partkey LEFT JOIN i ON i.k = p_partkey WHERE p_partkey % {EVERY} = 0""")
 def relations(spark, sf_dir):
-    """At most ten of each list: ranked first, so no list grows beyond what is kept."""
-    customers = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("n_nationkey"), "c_custkey")
-    first = ranking.top_in_groups(customers, 10, "n_nationkey", F.col("c_custkey"))
-    return first.groupBy("n_nationkey").agg(F.array_sort(F.collect_list("c_custkey")).alias("links"))
+    """What the elements that are asked about need and are needed by, at most ten of each: ranked first, so no list grows
+    beyond what is kept."""
+    edges = dependencies(spark, sf_dir)
+    out = table(spark, sf_dir, "part").select("p_partkey").filter(F.col("p_partkey") % EVERY == 0)
+    for name, own, other in (("needs", "src", "dst"), ("needed", "dst", "src")):
+        first = ranking.top_in_groups(edges.filter(F.col(own) % EVERY == 0), 10, own, F.col(other))
+        lists = first.groupBy(F.col(own).alias("p_partkey")).agg(F.array_sort(F.collect_list(other)).alias(name))
+        out = out.join(lists, "p_partkey", "left").withColumn(name, F.coalesce(name, F.array().cast("array<bigint>")))
+    return out
 
 
 @query("J13", f"SELECT query, vec_id, doc_id, lang FROM ({_COS}) JOIN documents ON doc_id = vec_id WHERE score >= 0.3")
@@ -161,9 +172,14 @@ def keyword_union(spark, sf_dir):
     return words.groupBy("p_type").agg(F.array_sort(F.collect_set("w")).alias("words"))
 
 
-@query("A22", "SELECT source, count(*) AS files, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY 1")
+@query("A22", """SELECT source, count(*) AS files, sum(n_chars)::BIGINT AS chars, coalesce(list(doc_id ORDER BY doc_id) FILTER (n_chars < 200), [])[1:10] AS errors FROM documents GROUP BY 1""")
 def totals(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("files"), F.sum("n_chars").alias("chars"))
+    """Sums over files, and the first ten that failed; documents too short for anything count as failed."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
+    sums = docs.groupBy("source").agg(F.count("*").alias("files"), F.sum("n_chars").alias("chars"))
+    failed = ranking.top_in_groups(docs.filter("n_chars < 200"), 10, "source", F.col("doc_id"))
+    errors = failed.groupBy("source").agg(F.array_sort(F.collect_list("doc_id")).alias("errors"))
+    return sums.join(errors, "source", "left").withColumn("errors", F.coalesce("errors", F.array().cast("array<bigint>")))
 
 
 @query("A23", "SELECT DISTINCT lower(source) AS context FROM documents")
@@ -173,8 +189,6 @@ def contexts(spark, sf_dir):
 
 @query("F02", "SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O' AND o_totalprice >= 1000 AND o_orderdate >= '1998-01-01'")
 def conditions(spark, sf_dir):
-    from functools import reduce
-
     wanted = {"status": "O", "least": 1000, "since": "1998-01-01", "customer": None}
     tests = {
         "status": lambda v: F.col("o_orderstatus") == v,
@@ -199,10 +213,21 @@ def last_five(spark, sf_dir):
     return last.groupBy("user_id").agg(mean(F.col("rank") <= 5).alias("recent"), mean(F.col("rank") > 5).alias("before"))
 
 
-@query("Z07", """SELECT 'frequent' AS part, o_custkey AS id FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1 ORDER BY n DESC, o_custkey LIMIT 5)
-  UNION ALL SELECT 'rich', c_custkey FROM (SELECT c_custkey FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 5)""")
+@query("Z07", f"""SELECT 'semantic' AS part, vec_id AS id FROM ({_Z01}) WHERE query = 0 QUALIFY row_number() OVER (ORDER BY score DESC, vec_id) <= 5
+  UNION ALL SELECT 'questions', vec_id FROM (SELECT * FROM ({_COS}) WHERE query = 0 AND label <> 1 AND score >= 0.2 QUALIFY row_number() OVER (ORDER BY score DESC, vec_id) <= 5)
+  UNION ALL SELECT 'patterns', vec_id FROM (SELECT * FROM ({_COS}) WHERE query = 0 AND label = 2 QUALIFY row_number() OVER (ORDER BY score DESC, vec_id) <= 5)
+  UNION ALL SELECT 'graph', node FROM ({_reach(False)} SELECT node, depth FROM r ORDER BY depth, node LIMIT 5)
+  UNION ALL SELECT 'important', c_custkey FROM (SELECT c_custkey FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 5)""")
 def context_pack(spark, sf_dir):
-    counts = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"))
-    often = ranking.top(counts, 5, F.desc("n"), F.col("o_custkey")).select(F.lit("frequent").alias("part"), F.col("o_custkey").alias("id"))
-    rich = ranking.top(table(spark, sf_dir, "customer"), 5, F.desc("c_acctbal"), F.col("c_custkey"))
-    return often.unionByName(rich.select(F.lit("rich").alias("part"), F.col("c_custkey").alias("id")))
+    """What a task starts from: the best of semantic search, similar questions, patterns, the graph, and important rows."""
+    order = F.desc("score"), F.col("vec_id")
+    own = similar(spark, sf_dir).filter("query = 0")
+    parts = {
+        "semantic": ranking.top(semantic_first(spark, sf_dir).filter("query = 0"), 5, *order).select("vec_id"),
+        "questions": ranking.top(own.filter("label <> 1 AND score >= 0.2"), 5, *order).select("vec_id"),
+        "patterns": ranking.top(own.filter("label = 2"), 5, *order).select("vec_id"),
+        "graph": ranking.top(graph_first(spark, sf_dir), 5, F.desc("score"), F.col("node")).select("node"),
+        "important": ranking.top(table(spark, sf_dir, "customer"), 5, F.desc("c_acctbal"), F.col("c_custkey")).select("c_custkey"),
+    }
+    named = [rows.select(F.lit(part).alias("part"), F.col(rows.columns[0]).alias("id")) for part, rows in parts.items()]
+    return reduce(lambda a, b: a.unionByName(b), named)

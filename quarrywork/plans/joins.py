@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..operators import graph, sets
-from ..session import table
+from ..session import shared_dir, table
+from ..sources import tables
 from . import query
 
 
@@ -164,14 +167,36 @@ def distinct_union(spark, sf_dir):
     return a.union(b).union(c).distinct()
 
 
-@query("S17", """SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY
-  row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1""")
+@query("S17", """SELECT vec_id, label % 3 AS kind, round(list_sum(embedding::DOUBLE[]), 4)::DOUBLE AS total, vec_id % 4 = 0 AS replaced FROM embeddings WHERE len(list_filter(embedding, lambda x: x <> 0)) > 0""")
 def upsert(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice", "o_orderdate")
-    # one row of a customer by date; the key settles equal dates
-    stamped = orders.withColumn("stamp", F.struct("o_orderdate", "o_orderkey"))
-    old, new = stamped.filter("o_orderkey % 2 = 0"), stamped.filter("o_orderkey % 2 = 1")
-    return sets.upserted(old, new, ["o_custkey"], "stamp").select("o_custkey", "o_orderkey", "o_totalprice")
+    """Points written to a table by kind, then a fourth of them again: null and zero vectors are skipped, and a point that
+    is written twice is one row, its latest."""
+    key = F.col("vec_id").cast("string")
+    points = table(spark, sf_dir, "embeddings").select(
+        tables.point_id(F.lit("all"), key).alias("id"), F.lit("all").alias("context"), (F.col("label") % 3).cast("string").alias("kind"),
+        "vec_id", "embedding", F.lit(1).alias("indexed_at"))
+    none = points.limit(1).withColumns({"embedding": F.lit(None).cast(points.schema["embedding"].dataType), "id": F.lit("none")})
+    folder = f"{shared_dir(spark)}/points-{uuid.uuid4().hex}"
+    tables.write(tables.points(points.unionByName(none), "embedding"), f"{folder}/rows")
+    again = points.filter("vec_id % 4 = 0").withColumn("indexed_at", F.lit(2))
+    stored = tables.upsert(spark, f"{folder}/rows", tables.points(again, "embedding"), f"{folder}/staged")
+    total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return stored.select("vec_id", F.col("kind").cast("int").alias("kind"), F.round(total, 4).alias("total"), (F.col("indexed_at") == 2).alias("replaced"))
+
+
+@query("S18", """WITH n AS (SELECT doc_id FROM documents WHERE doc_id % 10 <> 0), e AS (SELECT DISTINCT doc_id AS src, doc_id // 2 AS dst FROM documents WHERE doc_id % 10 <> 0)
+  SELECT 'node' AS part, doc_id AS a, NULL::BIGINT AS b, 'Document' AS kind FROM n UNION ALL SELECT 'edge', src, dst, 'USES' FROM e
+  UNION ALL SELECT DISTINCT 'node', dst, NULL::BIGINT, 'Reference' FROM e WHERE dst NOT IN (SELECT doc_id FROM n)""")
+def graph_sink(spark, sf_dir):
+    """Nodes and edges written as tables, each edge once; an end that is no node yet becomes a placeholder."""
+    docs = table(spark, sf_dir, "documents").filter("doc_id % 10 <> 0").select("doc_id")
+    nodes = docs.select(F.col("doc_id").alias("node"), F.lit("Document").alias("kind"))
+    edges = docs.select(F.col("doc_id").alias("src"), F.floor(F.col("doc_id") / 2).alias("dst"), F.lit("USES").alias("kind"))
+    folder = f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}"
+    tables.write_graph(nodes, edges.unionByName(edges), folder)
+    stored, links = spark.read.parquet(f"{folder}/nodes"), spark.read.parquet(f"{folder}/edges")
+    rows = stored.select(F.lit("node").alias("part"), F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "kind")
+    return rows.unionByName(links.select(F.lit("edge").alias("part"), F.col("src").alias("a"), F.col("dst").alias("b"), "kind"))
 
 
 @query("S19", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)")

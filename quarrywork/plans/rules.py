@@ -4,17 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import code as C
 from ..functions import scalars as S
+from ..operators import blocks
 from ..operators import detect as D
+from ..operators.ranking import top, top_in_groups
 from ..session import table
 from . import query
 
 RULES = (
-    D.Rule("shout", r"[A-Z]{6,}", "style", "high"),
+    D.Rule("shout", r"[A-Z]{6,}", "style", "high", confidence=0.8),
     D.Rule("license", r"[Ll]icense", "legal", "low"),
-    D.Rule("insult", r"\b(idiot|scum|moron)\b", "toxicity", "critical"),
-    D.Rule("german-und", r"(^| )und( |$)", "language", "low", language="de"),
+    D.Rule("insult", r"\b(idiot|scum|moron)\b", "toxicity", "critical", confidence=0.9),
+    D.Rule("german-und", r"(^| )und( |$)", "language", "low", language="de", confidence=0.5),
 )
+#: The types that a healthy project has.
+CRITICAL = ("style", "legal", "toxicity", "language", "secrets")
 WEIGHTS = {"critical": 3.0, "high": 1.0, "low": 0.1}
 
 _LINES = """l AS (SELECT doc_id, lang, generate_subscripts(x, 1)::INT AS line, unnest(x) AS t FROM (SELECT doc_id, lang, string_split(text, chr(10)) AS x FROM documents))"""
@@ -33,25 +38,41 @@ def findings(spark, sf_dir):
     return _findings(spark, sf_dir).select("doc_id", "line", "rule", "type")
 
 
-@query("A33", f"""{_FOUND} SELECT doc_id, count(*) AS issues, round(greatest(0, 10 - sum(CASE severity WHEN 'critical' THEN 3 WHEN 'high' THEN 1 ELSE 0.1 END)), 4)::DOUBLE AS score
-  FROM f GROUP BY doc_id""")
+@query("A33", f"""{_FOUND}, u AS (SELECT doc_id, severity FROM f UNION ALL SELECT doc_id, 'high' FROM documents WHERE length(text) > 5000 UNION ALL SELECT doc_id, 'critical' FROM documents WHERE trim(coalesce(text, '')) = ''
+    UNION ALL SELECT doc_id, 'info' FROM documents WHERE NOT contains(lower(coalesce(text, '')), 'the'))
+  SELECT doc_id, count(*) AS issues, round(greatest(0, 10 - sum(CASE severity WHEN 'critical' THEN 3 WHEN 'high' THEN 1 WHEN 'info' THEN 0 ELSE 0.1 END)), 4)::DOUBLE AS score FROM u GROUP BY doc_id""")
 def review(spark, sf_dir):
-    return D.score(_findings(spark, sf_dir), "doc_id", WEIGHTS).withColumn("score", F.round("score", 4))
-
-
-@query("A14", f"""{_FOUND} SELECT type, count(DISTINCT doc_id) AS documents, round(count(DISTINCT doc_id) / (SELECT count(*) FROM documents), 6)::DOUBLE AS coverage FROM f GROUP BY type""")
+    """Line rules, rules of whole files (too long, empty), and one of the task: its keyword should occur."""
+    text = F.coalesce("text", F.lit(""))
+    whole = F.array_compact(F.array(
+        F.when(F.length(text) > 5000, "high"), F.when(F.trim(text) == "", "critical"), F.when(~F.lower(text).contains("the"), "info")
+    ))
+    universal = table(spark, sf_dir, "documents").select("doc_id", F.explode(whole).alias("severity"))
+    found = _findings(spark, sf_dir).select("doc_id", "severity").unionByName(universal)
+    return D.score(found, "doc_id", {**WEIGHTS, "info": 0.0}).withColumn("score", F.round("score", 4))
+
+
+@query("A14", f"""{_FOUND}, n AS (SELECT count(*) AS n FROM documents), d AS (SELECT DISTINCT type, doc_id FROM f)
+  SELECT type, count(*) AS documents, round(count(*) / any_value(n.n), 6)::DOUBLE AS coverage, list_sort(list(doc_id))[1:3] AS examples, any_value(c.confidence) AS confidence
+  FROM d, n JOIN (SELECT type, round(avg(confidence), 6)::DOUBLE AS confidence FROM f JOIN (VALUES ('shout', 0.8), ('license', 1.0), ('insult', 0.9), ('german-und', 0.5)) v(rule, confidence) USING (rule) GROUP BY type) c USING (type) GROUP BY type""")
 def coverage(spark, sf_dir):
+    """Of each practice: in how many documents, how sure, and the first three of them. Lists never hold more than these."""
     docs = table(spark, sf_dir, "documents")
+    found = _findings(spark, sf_dir)
+    own = found.groupBy("type", "doc_id").agg(F.sum("confidence").alias("c"), F.count("*").alias("k"))
+    rolled = own.groupBy("type").agg(F.count("*").alias("documents"), (F.sum("c") / F.sum("k")).alias("confidence"))
+    first = top_in_groups(own, 3, "type", F.col("doc_id")).groupBy("type").agg(F.array_sort(F.collect_list("doc_id")).alias("examples"))
     total = docs.agg(F.count("*").alias("n"))  # one row
-    rolled = _findings(spark, sf_dir).groupBy("type").agg(F.count_distinct("doc_id").alias("documents"))
-    share = F.round(F.col("documents") / F.col("n"), 6)
-    return rolled.join(F.broadcast(total), F.lit(True)).select("type", "documents", share.alias("coverage"))
+    return rolled.join(first, "type").join(F.broadcast(total), F.lit(True)).select(
+        "type", "documents", F.round(F.col("documents") / F.col("n"), 6).alias("coverage"), F.round("confidence", 6).alias("confidence"), "examples"
+    )
 
 
-@query("A15", f"""{_FOUND} SELECT count(DISTINCT type) AS present, round(count(DISTINCT type) / 5.0, 2)::DOUBLE AS health FROM f""")
+@query("A15", f"""{_FOUND} SELECT count(DISTINCT type) AS present, round(count(DISTINCT type) / 5.0, 2)::DOUBLE AS health FROM f WHERE type IN {CRITICAL!r}""")
 def health(spark, sf_dir):
     n = F.count_distinct("type")
-    return _findings(spark, sf_dir).agg(n.alias("present"), F.round(n / 5.0, 2).alias("health"))
+    critical = _findings(spark, sf_dir).filter(F.col("type").isin(*CRITICAL))
+    return critical.agg(n.alias("present"), F.round(n / len(CRITICAL), 2).alias("health"))
 
 
 @query("U05", f"""{_FOUND}, w AS (SELECT doc_id, unnest(['style', 'legal']) AS type FROM documents)
@@ -60,14 +81,18 @@ def missing_types(spark, sf_dir):
     return D.missing(table(spark, sf_dir, "documents"), "doc_id", _findings(spark, sf_dir), ("style", "legal"))
 
 
-@query("A31", f"""{_FOUND} SELECT doc_id, line, rule FROM f QUALIFY row_number() OVER (PARTITION BY doc_id
-  ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 ELSE 2 END, line, rule) <= 5""")
+@query("A31", f"""{_FOUND}, r AS (SELECT doc_id, line, rule, severity FROM f QUALIFY row_number() OVER (PARTITION BY doc_id
+  ORDER BY CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 ELSE 2 END, line, rule) <= 5),
+  m AS (SELECT doc_id, CASE WHEN count(*) FILTER (severity = 'critical') > 0 THEN 'fix ' || count(*) FILTER (severity = 'critical') || ' critical' WHEN count(*) >= 3 THEN 'plan ' || count(*) ELSE 'fine' END AS message FROM f GROUP BY doc_id)
+  SELECT doc_id, line, rule, message FROM r JOIN m USING (doc_id)""")
 def worst(spark, sf_dir):
-    from ..operators.ranking import top_in_groups
-
+    """The five worst findings of each document, and what their numbers ask for."""
+    found = _findings(spark, sf_dir)
     rank = F.when(F.col("severity") == "critical", 0).when(F.col("severity") == "high", 1).otherwise(2)
-    found = top_in_groups(_findings(spark, sf_dir), 5, "doc_id", rank, F.col("line"), F.col("rule"))
-    return found.select("doc_id", "line", "rule")
+    first = top_in_groups(found, 5, "doc_id", rank, F.col("line"), F.col("rule")).select("doc_id", "line", "rule")
+    counts = found.groupBy("doc_id").agg(F.count_if(F.col("severity") == "critical").alias("c"), F.count("*").alias("n"))
+    message = F.when(F.col("c") > 0, F.format_string("fix %d critical", "c")).when(F.col("n") >= 3, F.format_string("plan %d", "n")).otherwise("fine")
+    return first.join(counts.select("doc_id", message.alias("message")), "doc_id")
 
 
 @query("X06", "SELECT conv_id, turn, regexp_extract(text, '(?i)the (\\w+)', 1) AS target FROM conversations")
@@ -87,25 +112,57 @@ def nesting(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", S.deepest_indent(F.col("html")).cast("long").alias("depth"))
 
 
-@query("X22", r"""SELECT page_id, (len(regexp_extract_all(html, '<img\b')) - len(regexp_extract_all(html, '<img\b[^>]*\balt=')))::INT AS no_alt,
-  NOT regexp_matches(html, '<html[^>]*\blang=') AS no_lang, NOT contains(html, '<main') AS no_main FROM pages""")
+@query("X22", r"""SELECT page_id, len(regexp_extract_all(html, '(?i)<img\b'))::INT - len(regexp_extract_all(html, '(?i)<img\b[^>]*alt='))::INT AS no_alt,
+  len(regexp_extract_all(html, '(?i)<(button|a|input)[^>]*aria-hidden="true"'))::INT AS hidden, len(regexp_extract_all(html, 'tabindex="([2-9]|\d{2,})"'))::INT AS tabs,
+  len(regexp_extract_all(html, '(?i)<div[^>]*onclick'))::INT AS clickable, NOT contains(lower(html), '<main') AND length(html) > 500 AS no_main, NOT regexp_matches(html, '<html[^>]*\blang=') AS no_lang,
+  len(list_filter(regexp_extract_all(html, '(?i)<button[^>]*>\s*<(svg|i)\b'), lambda x: NOT contains(x, 'aria-label')))::INT AS icons
+  FROM (SELECT page_id, html || CASE WHEN page_id % 3 = 0 THEN '<img src="x"><IMG alt="y"><div onClick="z">' ELSE '<a aria-hidden="true">' END || CASE WHEN page_id % 4 = 0 THEN '<p tabindex="12"><button ><i></i></button><button aria-label="q"><svg>' ELSE '' END AS html FROM pages)""")
 def accessibility(spark, sf_dir):
-    html = F.col("html")
-    count = lambda p: F.regexp_count(html, F.lit(p))
-    return table(spark, sf_dir, "pages").select(
-        "page_id",
-        (count(r"<img\b") - count(r"<img\b[^>]*\balt=")).alias("no_alt"),
-        (~html.rlike(r"<html[^>]*\blang=")).alias("no_lang"),
-        (~html.contains("<main")).alias("no_main"),
-    )
+    key = F.col("page_id")
+    first = F.when(key % 3 == 0, '<img src="x"><IMG alt="y"><div onClick="z">').otherwise('<a aria-hidden="true">')
+    second = F.when(key % 4 == 0, '<p tabindex="12"><button ><i></i></button><button aria-label="q"><svg>').otherwise("")
+    pages = table(spark, sf_dir, "pages").select("page_id", F.concat("html", first, second).alias("html"))
+    return pages.select("page_id", C.accessibility(F.col("html")).alias("a")).select("page_id", "a.*")
+
+
+_PAIRED = """(SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, (l_quantity % 7)::INT AS e, (l_quantity % 11)::INT AS f, l_quantity % 2 = 0 AS i, l_quantity % 3 = 0 AS j,
+  l_tax > 0.03 AS t FROM lineitem)"""
 
 
-@query("X25", """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(((l_returnflag = 'A')::INT + (l_linestatus = 'F')::INT + (l_quantity > 25)::INT) / 3.0, 4)::DOUBLE AS alike FROM lineitem""")
+@query("X25", f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(((abs(e - f) <= 2)::INT + (i = j)::INT + 1 + (i = t)::INT + (j = t)::INT + t::INT) / 6.0, 4)::DOUBLE AS alike FROM {_PAIRED}""")
 def block_similarity(spark, sf_dir):
-    checks = [F.col("l_returnflag") == "A", F.col("l_linestatus") == "F", F.col("l_quantity") > 25]
-    mean = sum((c.cast("int") for c in checks), F.lit(0)) / 3.0
+    q = F.col("l_quantity")
+    i, j, t = q % 2 == 0, q % 3 == 0, F.col("l_tax") > 0.03
+    block = lambda e, *flags, text: F.struct(e.cast("int").alias("elements"), *[f.alias(n) for f, n in zip(flags, blocks.FLAGS)], text.alias("content"))
+    a = block(q % 7, i, F.lit(True), i, j, text=F.lit("p q r s"))
+    b = block(q % 11, j, F.lit(True), t, t, text=F.when(t, F.lit("s r q x")).otherwise("s r z x"))
     items = table(spark, sf_dir, "lineitem")
-    return items.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(mean, 4).alias("alike"))
+    return items.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(blocks.similarity(a, b), 4).alias("alike"))
+
+
+def _pages(spark, sf_dir):
+    """Pages with a few small blocks that differ by their number, far enough from the rest to be blocks of their own."""
+    key = F.col("page_id")
+    word = F.concat(F.lit("w"), (key % 17).cast("string"))
+    one = F.concat(F.lit('\n<div class="card"><b>'), word, F.lit("</b> one two three four"), F.when(key % 3 == 0, "<img>").otherwise(""), F.repeat(F.lit("<i>"), (key % 12).cast("int")))
+    gap = "\n" * 12
+    return table(spark, sf_dir, "pages").select("page_id", F.concat(F.coalesce("html", F.lit("")), F.lit(gap), one, F.lit(gap), F.lit('<div class="price">')).alias("html"))
+
+
+@query("J16")
+def block_groups(spark, sf_dir):
+    found = blocks.found(_pages(spark, sf_dir), "page_id", "html")
+    return blocks.groups(found).select("page_id", "pos", "elements", *blocks.FLAGS, "group")
+
+
+@query("Z14")
+def reusable(spark, sf_dir):
+    """Groups of alike blocks that come twice or more, the most frequent first."""
+    found = blocks.groups(blocks.found(_pages(spark, sf_dir), "page_id", "html"))
+    rolled = found.groupBy("group").agg(
+        F.count("*").alias("times"), F.count_distinct("page_id").alias("pages"), F.round(F.avg("elements"), 4).alias("elements")
+    )
+    return top(rolled.filter("times >= 2"), 20, F.desc("times"), F.col("group"))
 
 
 @query("X28", "SELECT page_id, CASE WHEN contains(url, '//blog.') THEN 'blog' WHEN contains(url, '//m.') THEN 'mobile' WHEN contains(url, '//www.') THEN 'web' ELSE 'core' END AS layer FROM pages")
@@ -169,20 +226,41 @@ def job_progress(spark, sf_dir):
     return orders.select("o_orderkey", F.round(percent + 1e-9, 4).alias("percent"), F.round(left, 2).cast("double").alias("left_"))
 
 
-@query("A28", """SELECT source, count(*) FILTER (n_chars > 3000) = 0 AS small_files, count(*) FILTER (lang = 'en') * 100.0 / count(*) >= 50 AS covered FROM documents GROUP BY source""")
+@query("A28", """WITH c AS (SELECT source, count(*) FILTER (doc_id % 3 = 0) AS tests, count(*) AS methods, max(n_chars) AS complexity, count(*) FILTER (lang = 'fr') AS undocumented,
+    count(*) FILTER (n_chars > 3000) AS smells, bool_or(doc_id % 7 = 0) AS has_file FROM documents GROUP BY source),
+  r AS (SELECT source, list_filter([CASE WHEN tests = 0 THEN 'requires_test' END, CASE WHEN NOT has_file THEN 'requires_file' END, CASE WHEN 100.0 * tests / methods < 80 THEN 'min_test_coverage' END,
+    CASE WHEN complexity > 10000 THEN 'max_complexity' END, CASE WHEN undocumented > 0 THEN 'requires_documentation' END, CASE WHEN smells > 0 THEN 'no_code_smells' END], lambda x: x IS NOT NULL) AS failures FROM c)
+  SELECT source, failures, len(failures) = 0 AS valid FROM r""")
 def task_rules(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy("source").agg(
-        (F.count_if(F.col("n_chars") > 3000) == 0).alias("small_files"),
-        (F.count_if(F.col("lang") == "en") * 100.0 / F.count("*") >= 50).alias("covered"),
+    """A source as a task's target and its documents as methods; every third is a test."""
+    counts = table(spark, sf_dir, "documents").groupBy("source").agg(
+        F.count_if(F.col("doc_id") % 3 == 0).alias("tests"),
+        F.count("*").alias("methods"),
+        F.max("n_chars").alias("complexity"),
+        F.count_if(F.col("lang") == "fr").alias("undocumented"),
+        F.count_if(F.col("n_chars") > 3000).alias("smells"),
+        F.bool_or(F.col("doc_id") % 7 == 0).alias("has_file"),
     )
+    failures = D.task_failures({
+        "requires_test": F.col("tests") == 0, "requires_file": ~F.col("has_file"), "min_test_coverage": 100.0 * F.col("tests") / F.col("methods") < 80,
+        "max_complexity": F.col("complexity") > 10_000, "requires_documentation": F.col("undocumented") > 0, "no_code_smells": F.col("smells") > 0,
+    })
+    return counts.select("source", failures.alias("failures")).withColumn("valid", F.size("failures") == 0)
 
 
-@query("A27", """SELECT user_id, CASE WHEN r < 0.7 AND n > 10 THEN 'success' WHEN m < 60 AND n > 10 THEN 'confidence' ELSE 'fine' END AS advice FROM (
-  SELECT user_id, count(*) AS n, avg((event_type <> 'error')::INT) AS r, avg(value) AS m FROM events GROUP BY 1)""")
+@query("A27", """WITH e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events)
+  SELECT user_id, list_filter([CASE WHEN avg((event_type <> 'error')::INT) < 0.7 AND count(*) > 10 THEN 'success' END, CASE WHEN avg(value) < 60 AND count(*) > 10 THEN 'confidence' END,
+    CASE WHEN count(*) FILTER (k <= 100 AND event_type = 'signup') > 0.1 * count(*) FILTER (k <= 100) THEN 'parsing' END], lambda x: x IS NOT NULL) AS advice FROM e GROUP BY user_id""")
 def improvement(spark, sf_dir):
-    own = table(spark, sf_dir, "events").groupBy("user_id").agg(
+    """Rates over all calls of a prompt, and the share of unreadable answers in the last hundred."""
+    events = table(spark, sf_dir, "events").select("user_id", "event_type", "value", "ts", "event_id")
+    own = events.groupBy("user_id").agg(
         F.count("*").alias("n"), F.avg((F.col("event_type") != "error").cast("int")).alias("r"), F.avg("value").alias("m")
     )
+    last = top_in_groups(events, 100, "user_id", F.desc("ts"), F.desc("event_id"))
+    bad = last.groupBy("user_id").agg((F.count_if(F.col("event_type") == "signup") > 0.1 * F.count("*")).alias("bad"))
     many = F.col("n") > 10
-    advice = F.when((F.col("r") < 0.7) & many, "success").when((F.col("m") < 60) & many, "confidence").otherwise("fine")
-    return own.select("user_id", advice.alias("advice"))
+    advice = F.array_compact(F.array(
+        F.when((F.col("r") < 0.7) & many, "success"), F.when((F.col("m") < 60) & many, "confidence"), F.when(F.col("bad"), "parsing")
+    ))
+    return own.join(bad, "user_id").select("user_id", advice.alias("advice"))
