@@ -2,6 +2,10 @@
 
 Every stage but the last returns the columns of ``documents``, for the rows that it keeps. Between stages
 the rows are written as a table in the shared folder and read again.
+
+Defined cases: null, empty and blank texts fail the quality rules; rows of one id are judged each by its own text, and of
+rows that are equal or alike one stays; a null id is kept as any other. Other columns pass through, whatever their names.
+Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -24,11 +28,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is at least a half go."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, into="_toxicity").filter(F.col("_toxicity") < 0.5).drop("_toxicity")
+    whole = docs.select("text", F.struct(*docs.columns).alias("_row"))
+    return toxicity.score(whole, model, into="_toxicity").filter(F.col("_toxicity") < 0.5).select("_row.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: shingles of five words, similarity 0.8."""
+    """One row of each group of near-duplicates stays: shingles of five words, similarity 0.8."""
     return neardup.deduplicate(docs)
 
 
