@@ -54,7 +54,7 @@ def review(spark, sf_dir):
 
 @query("A14", f"""{_FOUND}, n AS (SELECT count(*) AS n FROM documents), d AS (SELECT DISTINCT type, doc_id FROM f)
   SELECT type, count(*) AS documents, round(count(*) / any_value(n.n), 6)::DOUBLE AS coverage, list_sort(list(doc_id))[1:3] AS examples, any_value(c.confidence) AS confidence
-  FROM d, n JOIN (SELECT type, round(avg(confidence), 6)::DOUBLE AS confidence FROM f JOIN (VALUES ('shout', 0.8), ('license', 1.0), ('insult', 0.9), ('german-und', 0.5)) v(rule, confidence) USING (rule) GROUP BY type) c USING (type) GROUP BY type""")
+  FROM d JOIN (SELECT type, round(avg(confidence), 6)::DOUBLE AS confidence FROM f JOIN (VALUES ('shout', 0.8), ('license', 1.0), ('insult', 0.9), ('german-und', 0.5)) v(rule, confidence) USING (rule) GROUP BY type) c USING (type) CROSS JOIN n GROUP BY type""")
 def coverage(spark, sf_dir):
     """Of each practice: in how many documents, how sure, and the first three of them. Lists never hold more than these."""
     docs = table(spark, sf_dir, "documents")

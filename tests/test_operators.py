@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarrywork.functions import code as C
 from quarrywork.functions import scalars as S
-from quarrywork.operators import ensembles, graph, ranking, sets, text, usage, vectors
+from quarrywork.operators import blocks, ensembles, graph, ranking, sets, text, usage, vectors
 from quarrywork.sources import chunks, files, tables
 from quarrywork.streaming import changes
 
@@ -230,6 +230,44 @@ def test_intents(spark):
     assert (r.project_type, r.goal, r.technologies, r.domain, r.categories) == (None, "NewFeature", [], None, [])
 
 
+def test_groups_of_alike_blocks(spark):
+    """Against all pairs, and union of what is alike."""
+    import random
+
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(14)]
+    rows = []
+    for i in range(70):
+        text_ = " ".join(rng.sample(words, 8) if rng.random() < 0.6 else words[:8])
+        rows.append((i, "0.0", text_, rng.choice([1, 2, 4, 9, 10, 30, 35]), *[rng.random() < 0.3 for _ in range(4)]))
+    frame = spark.createDataFrame(rows, "page int, pos string, content string, elements int, image boolean, button boolean, form boolean, price boolean")
+    got = {r.page: r.group for r in blocks.groups(frame).collect()}
+    parent = list(range(70))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in rows:
+        for b in rows:
+            x, y = a[2].split(), b[2].split()
+            checks = [abs(a[3] - b[3]) <= 2, *[p == q for p, q in zip(a[4:], b[4:])], len(set(x) & set(y)) > 0.6 * max(len(x), len(y))]
+            if sum(checks) >= 5:
+                parent[find(a[0])] = find(b[0])
+    for a in rows:
+        for b in rows:
+            assert (got[a[0]] == got[b[0]]) == (find(a[0]) == find(b[0]))
+    assert 1 < len(set(got.values())) < 60
+
+
+def test_blocks_of_a_page(spark):
+    html = "\n".join(["x"] * 9 + ['<div class="a"><img><div id="q" class="b">'] + ["y"] * 9 + ['<div id="z">'])
+    r = blocks.found(spark.createDataFrame([(1, html), (2, None)], "page int, html string"), "page", "html").collect()
+    assert [(x.page, x.pos, x.elements, x.image, x.price) for x in r] == [(1, "9.0", 3, True, False), (1, "9.1", 3, True, False)]
+    assert r[0].content == "\n".join(["x"] * 5 + ['<div class="a"><img><div id="q" class="b">'] + ["y"] * 5)
+
+
 def test_ensembles(spark):
     rows = [(1, "a", 7.0, "m", "high"), (1, "b", 8.0, "m", "high"), (1, "c", 10.0, "n", "low"), (2, "a", 8.0, "m", "low"), (2, "b", 9.0, "m", "high")]
     votes = spark.createDataFrame(rows, "item int, model string, score double, message string, severity string")
