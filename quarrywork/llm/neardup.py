@@ -308,7 +308,8 @@ def across(
 
     sought, ids = only(docs, key, text, left, leaders)
     sets = shingle_sets(sought, "_id", "_text", size).distinct()
-    groups = left.join(sets, "id").groupBy("bucket", "i", "j")
+    # merged, so that the rows of one set come one after the other and compress before they move
+    groups = left.join(sets.hint("merge"), "id").groupBy("bucket", "i", "j")
     found = cut(groups.applyInArrow(compare, "a long, b long").distinct(), "more")
     drop_table(ids)
     return found
@@ -336,7 +337,7 @@ def grouped(
     leaders = cut(first.join(several, "id", "left").select("digest", "id", "said", node.alias("node")), "leaders")
     classes = cut(
         held.join(leaders.select("id", "said", "node"), ["id", "said"])
-        .dropDuplicates(["node"])
+        .dropDuplicates(["id", "said"])  # as the join is dealt, so that nothing moves again
         .select(F.col("node").alias("id"), "n_shingles", "bands", "bits"),
         "classes",
     )
