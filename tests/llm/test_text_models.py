@@ -202,6 +202,14 @@ def test_toxicity_equals_plain_kneser_ney(spark):
         assert abs(toxic - ordinary - difference) < 1e-4, word
 
 
+def test_toxicity_counts_tasks_of_one_class(spark):
+    for toxic in (0, 1):
+        frame = spark.createDataFrame([("a b", toxic), ("b", toxic), (None, toxic)], "text string, toxic int").coalesce(1)
+        got = {r.w: (r.toxic, r.ordinary) for r in toxicity.count_words(frame).collect()}
+        assert got == {"a": (toxic, 1 - toxic), "b": (2 * toxic, 2 - 2 * toxic)}
+    assert toxicity.count_words(frame.filter("text IS NULL")).collect() == []
+
+
 def test_toxicity_keeps_few_ngrams_of_any_corpus(spark):
     grams = spark.range(5000).selectExpr("lpad(id, 6, 'x') AS g", "1 + id % 7 AS toxic", "0L AS ordinary")
     for rare in (1e-6, 2e-4, 3e-4):
