@@ -169,6 +169,8 @@ def test_similarities_by_blocks(spark):
             if a % 10 == 0 and a != b and abs(score - 0.5) > 1e-9:
                 assert ((a, b) in got) == (score >= 0.5) and got.get((a, b), score) == pytest.approx(score)
     assert vectors.similarities(frame.limit(0), frame, "id", "v").count() == 0
+    named = frame.selectExpr("string(id) AS id", "string(label) AS label", "v").filter("id < 5")
+    assert vectors.similarities(named.filter("id = '1'"), named, "id", "v", "label", block=(1, 1)).count() == 4
 
 
 def test_reachability_to_the_end(spark):
