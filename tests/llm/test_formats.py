@@ -236,18 +236,18 @@ def test_tiff_claims_beyond_the_file(spark):
 
 def test_tiff_defined_cases(spark):
     long = "line of a long text %d\n"
-    texts = ["", "ab", "same " * 3, "=" * 70_000, "".join(long % i for i in range(60_000)), "ab"]
-    docs = spark.createDataFrame([(i % 5, t, 1, "x") for i, t in enumerate(texts)], "doc_id long, text string, n_bytes int, media string")
+    texts = ["", "abcdefgh " * 40, "same " * 3, "=" * 70_000, "".join(long % i for i in range(60_000)), "abcdefgh " * 40]
+    docs = spark.createDataFrame([(i, t, 1, "x") for i, t in enumerate(texts)], "doc_id long, text string, n_bytes int, media string")
     media = tiff.images(docs)
     rows = tiff.pages(media).collect()
     kinds = {r.doc_id: (r.compression, r.chunks) for r in rows}
-    assert kinds[0] [0] == kinds[3][0] == tiff.PACKBITS and kinds[1] == (tiff.DEFLATE, 1) and kinds[4][1] > 100
+    assert kinds[0][0] == kinds[3][0] == tiff.PACKBITS and kinds[1] == (tiff.DEFLATE, 1) and kinds[4][1] > 100
     assert max(r.page for r in rows if r.doc_id == 4) >= 1
-    for i, t in enumerate(texts[:5]):
+    for i, t in enumerate(texts):
         data = b"".join(bytes(r.data) for r in sorted((r for r in rows if r.doc_id == i), key=lambda r: r.page))
         assert data.startswith(t.encode()) and set(data[len(t.encode()) :]) <= {32}
     got = tiff.digests(media).collect()
-    assert len(got) == 6 and len({r.media_sha256 for r in got}) == 5
+    assert len(got) == 6 and len({r.media_sha256 for r in got}) == 5 and got[1].feature == got[5].feature
     assert tiff.digests(tiff.images(docs.limit(0))).count() == 0
 
 
