@@ -231,7 +231,7 @@ def test_toxicity_counts_all_labelled_rows(spark, monkeypatch):
     assert row.ordinary == expected
 
 
-def test_toxicity_defined_cases(spark):
+def test_toxicity_defined_cases(spark, monkeypatch):
     schema = "doc_id long, text string, score string, lang string, _toxicity int"
     rng = random.Random(6)
     rows = [(i, say(rng, "en", 30) + (" moron scum" if i % 3 == 0 else ""), "mine", "x", 1) for i in range(300)]
@@ -247,6 +247,9 @@ def test_toxicity_defined_cases(spark):
         assert by_id.setdefault(r.doc_id, r.score) == r.score
     assert by_id[None] > 0.5 and by_id[7000] < 0.5
     assert toxicity.score(docs.limit(0), toxicity.train(docs.limit(0), labels)).collect() == []
+    monkeypatch.setattr(toxicity, "BROADCAST_LABELS", 0)
+    joined = toxicity.train(docs, labels)
+    assert [joined.score(t) for _, t, *_ in rows[:30]] == [model.score(t) for _, t, *_ in rows[:30]]
 
 
 def test_toxicity_without_labels(spark):
