@@ -95,7 +95,7 @@ def test_empty_tables(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
-def test_the_folder_must_be_shared(spark, monkeypatch):
+def test_the_folder_must_be_shared():
     from quarrywork.llm import common
 
     class Context:
@@ -105,7 +105,7 @@ def test_the_folder_must_be_shared(spark, monkeypatch):
             return None
 
     class Session:
-        conf = spark.conf
+        conf = {}
         sparkContext = Context()
 
     with pytest.raises(RuntimeError):
