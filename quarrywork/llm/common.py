@@ -12,6 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: The white space that separates words in every contract of this subpackage.
 WORD_GAP = r"[\x20\x09-\x0D]+"
@@ -76,3 +77,20 @@ def any_of(conditions: list[Column]) -> Column:
 def sample_rows(df: DataFrame, key: str, rows: int, *extra: str) -> DataFrame:
     """At most ``rows`` keys in a fixed pseudo-random order, for fitting a model on a bounded sample."""
     return df.select(key, *extra).orderBy(F.xxhash64(F.col(key)), F.col(key)).limit(rows)
+
+
+def numbered(df: DataFrame, *order: Column, into: str) -> DataFrame:
+    """``df`` with the place of each row in ``order``, from 1: a sort by ranges, each range numbered by its own task.
+
+    Ties that the order leaves have any order, but one that stays: the sorted rows are a table in the shared folder.
+    Only the number of rows of each range, as many as there are tasks, is put before each range's numbers.
+    """
+    within = 33  # bits that monotonically_increasing_id gives to a task's rows
+    ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    written = cut(ordered.withColumn("_at", F.monotonically_increasing_id()), "sorted")
+    task = F.shiftrightunsigned("_at", within)
+    sizes = written.groupBy(task.alias("_task")).agg(F.count("*").alias("_n"))
+    before = sizes.select("_task", (F.sum("_n").over(Window.orderBy("_task")) - F.col("_n")).alias("_before"))
+    rows = written.withColumn("_task", task).join(F.broadcast(before), "_task")
+    place = F.col("_before") + F.col("_at").bitwiseAND((1 << within) - 1) + 1
+    return rows.select(*[F.col(f"`{c}`") for c in df.columns], place.alias(into))
