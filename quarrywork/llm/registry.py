@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, langid, neardup, packing, quality, resampling, tiff, toxicity, urlfilter, warc
+from . import bpe, chat, langid, neardup, packing, quality, resampling, tiff, toxicity, trie, urlfilter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_snapshots": chat.query,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_tiff_pages": tiff.query,
     "op9_sum_of_squares_packing": packing.query,
     "op10_quality_decision_list": quality.query,
+    "op11_conversation_trie": trie.query,
     "op12_importance_resampling": resampling.query,
 }
 
@@ -26,4 +27,5 @@ ORACLE_SQL: dict[str, str] = {
     "op1_chat_snapshots": chat.ORACLE,
     "op3_superminhash_neardup": neardup.ORACLE,
     "op7_warc_members": warc.ORACLE,
+    "op11_conversation_trie": trie.ORACLE,
 }
