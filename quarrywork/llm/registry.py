@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, langid, neardup, packing, quality, resampling, tiff, toxicity, trie, urlfilter, warc
+from . import bpe, chat, langid, neardup, packing, quality, resampling, suffixes, tiff, toxicity, trie, urlfilter, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_snapshots": chat.query,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality_decision_list": quality.query,
     "op11_conversation_trie": trie.query,
     "op12_importance_resampling": resampling.query,
+    "op13_difference_cover_dedup": suffixes.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
