@@ -19,6 +19,7 @@ import hashlib
 import math
 import re
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import cache
 
@@ -31,8 +32,8 @@ from .common import cut, numbered, table
 
 BUCKETS = 10_000
 LONGEST = 3
-#: Words that one dictionary is made for. Their numbers fit in 21 bits, so that three of them fit in a long.
-BLOCK = 1 << 20
+#: Words that one dictionary is made for: few enough to stay in a cache. Their numbers fit in 21 bits, so that three of them fit in a long.
+BLOCK = 1 << 17
 _BITS = 21
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -78,8 +79,9 @@ def joined_crc(first: np.ndarray, second: np.ndarray, length: np.ndarray) -> np.
 
 def _block(words: list[bytes], document: np.ndarray, new: int, buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(document, bucket) of every n-gram that ends at or after place ``new``."""
-    numbers: dict[bytes, int] = {}
-    ids = np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int64, len(words))
+    numbers: dict[bytes, int] = defaultdict()
+    numbers.default_factory = numbers.__len__
+    ids = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
     alone = np.fromiter(map(zlib.crc32, numbers), np.uint32, len(numbers))
     after = np.fromiter((zlib.crc32(b" " + w) for w in numbers), np.uint32, len(numbers))
     length = np.fromiter((len(w) + 1 for w in numbers), np.int64, len(numbers))
@@ -101,23 +103,28 @@ def _block(words: list[bytes], document: np.ndarray, new: int, buckets: int) ->
 def features(texts: list[str | None], buckets: int, block: int = BLOCK) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(documents, buckets, words of each document so far): the n-grams of a batch, block by block."""
     words: list[bytes] = []
-    places: list[int] = []
+    owners: list[tuple[int, int]] = []  # a document and how many of the words at hand are its next ones
     n_words = np.zeros(len(texts), np.int64)
     new = 0
 
     def flush() -> Iterator[tuple]:
-        document = np.array(places, np.int64)
+        document = np.repeat([d for d, _ in owners], [n for _, n in owners]).astype(np.int64)
         for found in _block(words, document, new, buckets):
             yield *found, n_words
 
     for i, text in enumerate(texts):
-        for match in _WORD.finditer((text or "").encode("utf-8", "surrogatepass").translate(_LOWER)):
-            words.append(match[0])
-            places.append(i)
-            n_words[i] += 1
+        said = _WORD.findall((text or "").encode("utf-8", "surrogatepass").translate(_LOWER))
+        n_words[i] = len(said)
+        at = 0
+        while at < len(said):
+            some = said[at : at + block - len(words)]
+            words += some
+            owners.append((i, len(some)))
+            at += len(some)
             if len(words) == block:
                 yield from flush()
-                del words[: -(LONGEST - 1)], places[: -(LONGEST - 1)]
+                del words[: 1 - LONGEST]
+                owners[:] = [(d, 1) for d, n in owners[1 - LONGEST :] for _ in range(min(n, LONGEST - 1))][1 - LONGEST :]
                 new = len(words)
     yield from flush()
 
