@@ -11,12 +11,12 @@ anchors are sorted by letters:
    the string of names is sorted in the same way, three times as far each time, until names reach as far as is asked;
 3. the remaining suffixes are merged with the sample, and its two classes with each other: any two classes compare by no
    letter, one or two and then by ranks of the sample, which is one sort for each pair of classes;
-4. adjacent suffixes are compared: one stays if it shares with a neighbour all letters that every string of ``length`` bytes
-   around it must share.
+4. adjacent suffixes are compared: one stays if it shares with a neighbour the letters that every string of ``length`` bytes
+   around it must share, of these at most :data:`TOLD`.
 
 What stays is held against bytes. Around an anchor all such strings share a core; suffixes of equal core and equal
 bytes beside it are one context, contexts that come twice repeat whole, and for contexts that share only the core each string is
-counted. A string's bytes beside the core are compared, the core by a 128-bit digest, so the result is exact.
+counted. Contexts and strings are compared by 128-bit digests, so the result is exact.
 
 Sorts are by ranges with ties broken by place, so no repeated string, however frequent, is one task. Nothing is capped.
 Each step is a table in the shared folder, dropped once nothing reads it.
@@ -28,6 +28,7 @@ their keys, if it is at least that long; null keys are keys. Empty tables give n
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 from functools import cache
 
@@ -35,11 +36,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from .common import cut, drop_table, table
 
 LENGTH = 400
+#: Letters by which suffixes are told apart, 290 bytes on average; what shares as many is left to the comparison of bytes.
+TOLD = 9
 #: Bytes whose hash places an anchor.
 GRAM = 8
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -171,20 +173,20 @@ def _positions(length: int):
                 ends = _mixed(np.array([2 * n, 2 * n + 1], np.uint64)).view(np.int64)  # no other text's letters
                 padded = np.concatenate([letter, ends])
                 p = at[all_k]
-                m = np.searchsorted(at, p + certain, "right") - 1 - all_k
+                m = np.minimum(np.searchsorted(at, p + certain, "right") - 1 - all_k, TOLD)
                 powers = np.concatenate([[np.uint64(1)], np.cumprod(np.full(len(letter), _MIX_TOO | np.uint64(1)))])
                 sums = np.concatenate([[np.uint64(0)], np.cumsum(_mixed(letter.view(np.uint64)) * powers[: len(letter)])])
                 back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(letter), np.uint64(pow(int(_MIX_TOO | np.uint64(1)), -1, 2**64)))]))
                 prefix = (sums[all_k + m] - sums[all_k]) * back[all_k] + _mixed(m.astype(np.uint64))
                 gap = p - np.where(all_k > 0, at[np.maximum(all_k, 1) - 1], p - width)
                 asked = np.isin(all_k, kept) & (m >= 3) & (p >= low) & (p + length - high <= size)
-                columns = [np.full(len(all_k), n), all_k, padded[all_k], padded[all_k + 1], padded[all_k + 2], m, prefix.view(np.int64), p, gap, asked]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["n", "k", "t0", "t1", "t2", "m", "prefix", "p", "gap", "asked"])
+                columns = [np.full(len(all_k), n), all_k, padded[all_k], padded[all_k + 1], padded[all_k + 2], prefix.view(np.int64), p, gap, asked]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["n", "k", "t0", "t1", "t2", "prefix", "p", "gap", "asked"])
 
     return run
 
 
-_POSITIONS = "n long, k long, t0 long, t1 long, t2 long, m long, prefix long, p long, gap long, asked boolean"
+_POSITIONS = "n long, k long, t0 long, t1 long, t2 long, prefix long, p long, gap long, asked boolean"
 
 
 def _named(triples: DataFrame) -> DataFrame:
@@ -197,43 +199,92 @@ def _named(triples: DataFrame) -> DataFrame:
     return found
 
 
-def _at(column: str, steps: int):
-    """The value of ``column`` that many anchors further on in the same text."""
-    return F.max(column).over(W.partitionBy("n").orderBy("k").rangeBetween(steps, steps))
+def _ahead(steps: list[int], rows_between: int, asked: str | None, make) -> object:
+    """A function of batches that are sorted by (n, k), where some rows hold a name: ``make`` gets the batch's columns and, for
+    each of ``steps``, the name that many anchors further on in the same text and whether there is one. Rows are held back until what may
+    follow them, at most ``rows_between`` rows on, has come."""
+
+    def found(rows: pa.Table, until: int) -> pa.RecordBatch:
+        n, k = rows.column("n").to_numpy(), rows.column("k").to_numpy()
+        named = ~rows.column("name").is_null().to_numpy()
+        name = rows.column("name").fill_null(0).to_numpy()
+        here = np.arange(until)
+        if asked:
+            here = here[rows.column(asked).fill_null(False).to_numpy()[:until]]
+        values = {step: (np.zeros(len(here), np.int64), np.zeros(len(here), bool)) for step in steps}
+        for on in range(rows_between + 1):
+            there = np.minimum(here + on, len(n) - 1)
+            for step, (value, known) in values.items():
+                hit = (n[there] == n[here]) & (k[there] == k[here] + step) & named[there]
+                value[hit] = name[there[hit]]
+                known |= hit
+        return make({c: rows.column(c).to_numpy()[here] for c in rows.column_names if not rows.column(c).null_count or c not in ("name", asked)}, values)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            rows = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
+            until = rows.num_rows - rows_between
+            if until > 0:
+                yield found(rows, until)
+            held = rows.slice(max(until, 0)).combine_chunks().to_batches()
+            held = held[0] if held else None
+        if held is not None:
+            rows = pa.Table.from_batches([held])
+            yield found(rows, rows.num_rows)
+
+    return run
+
+
+def _triples_of_names(reach: int):
+    def make(columns: dict, names: dict) -> pa.RecordBatch:
+        n, k = columns["n"], columns["k"]
+        ahead = []
+        for step, (value, known) in names.items():
+            own = _mixed(n.astype(np.uint64) * _MIX + (k + step).astype(np.uint64)) | np.uint64(1 << 63)
+            ahead.append(pa.array(np.where(known, value, own.view(np.int64))))  # what ends is like nothing else
+        return pa.RecordBatch.from_arrays([pa.array(n), pa.array(k), pa.array(columns["name"]), *ahead], ["n", "k", "a", "b", "c"])
+
+    return _ahead([reach, 2 * reach], 4 * reach // 3, None, make)
 
 
 def ranks(positions: DataFrame) -> DataFrame:
-    """(n, k, name) of the sample: names in the order of the suffixes, told apart as far as any place asks."""
-    furthest = positions.filter("asked").agg(F.max("m")).first()[0] or 0
+    """(n, k, name) of the sample: names in the order of the suffixes, told apart by :data:`TOLD` letters."""
     sample = positions.filter("k % 3 <> 0").select("n", "k", F.col("t0").alias("a"), F.col("t1").alias("b"), F.col("t2").alias("c"))
     names, reach = _named(sample), 3
-    while reach < furthest:
-        def ahead(steps: int):
-            end = -1 - F.xxhash64("n", F.col("k") + steps).bitwiseAND(F.lit(2**63 - 1))
-            return F.coalesce(_at("name", steps), end)
-
-        longer = _named(names.select("n", "k", F.col("name").alias("a"), ahead(reach).alias("b"), ahead(2 * reach).alias("c")))
+    while reach < TOLD:
+        sorted_names = names.repartition("n").sortWithinPartitions("n", "k")
+        longer = _named(sorted_names.mapInArrow(_triples_of_names(reach), "n long, k long, a long, b long, c long"))
         drop_table(names)
         names, reach = longer, 3 * reach
     return names
 
 
+def _comparisons(columns: dict, names: dict) -> pa.RecordBatch:
+    """A row for each pair of classes that an anchor's class is in, with the key that compares suffixes of the two."""
+    of = columns["k"] % 3
+    r0, r1, r2 = (names[i][0] for i in range(3))
+    t0, t1, zero = columns["t0"], columns["t1"], np.zeros(len(of), np.int64)
+    pairs = [(1, of != 2, t0, r1, zero), (2, of != 1, t0, t1, r2), (3, of != 0, r0, zero, zero)]
+    rows = [[columns[c][on] for c in ("n", "p", "gap", "prefix")] + [np.full(on.sum(), i)] + [x[on] for x in key] for i, on, *key in pairs]
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*rows)], ["n", "p", "gap", "prefix", "pair", "x0", "x1", "x2"])
+
+
 def merged(positions: DataFrame, names: DataFrame) -> DataFrame:
-    """(n, p, gap) of the anchors that share all certain letters with a neighbour in the order of some two classes."""
-    blank = {c: F.lit(None).cast(t) for c, t in (x.split() for x in _POSITIONS.split(", ")) if c not in ("n", "k")}
-    both = positions.withColumn("name", F.lit(None).cast("long")).unionByName(names.withColumns(blank))
-    rows = both.withColumns({f"r{i}": _at("name", i) for i in range(3)}).filter("asked")
-    zero = F.lit(0).cast("long")
+    """(n, p, gap) of the anchors that share their first letters with a neighbour in the order of some two classes."""
+    kept = positions.select("n", "k", "t0", "t1", "prefix", "p", "gap", "asked")
+    zero = {c: F.lit(0).cast("long") for c in ("t0", "t1", "prefix", "p", "gap")} | {"asked": F.lit(False)}
+    both = kept.withColumn("name", F.lit(None).cast("long")).unionByName(names.withColumns(zero))
+    dealt = both.repartition("n").sortWithinPartitions("n", "k", F.asc_nulls_first("name"))
+    schema = "n long, p long, gap long, prefix long, pair long, x0 long, x1 long, x2 long"
+    listed = cut(dealt.mapInArrow(_ahead([0, 1, 2], 5, "asked", _comparisons), schema), "listed")  # a sort by ranges reads twice
+    found = alike_neighbours(listed, ["pair", "x0", "x1", "x2", "n", "p"], ["pair", "prefix"]).select("n", "p", "gap")
+    found = cut(found, "alike")
+    drop_table(listed)
+    return found
 
-    def key(pair: int, *parts):
-        return F.struct(F.lit(pair).alias("pair"), *[x.alias(f"x{i}") for i, x in enumerate(parts)])
 
-    t0, t1, r0, r1, r2 = (F.col(c) for c in ("t0", "t1", "r0", "r1", "r2"))
-    of_0_1, of_0_2, of_1_2 = key(1, t0, r1, zero), key(2, t0, t1, r2), key(3, r0, zero, zero)
-    lists = F.when(F.col("k") % 3 == 0, F.array(of_0_1, of_0_2)).when(F.col("k") % 3 == 1, F.array(of_0_1, of_1_2)).otherwise(F.array(of_0_2, of_1_2))
-    listed = rows.select("n", "p", "gap", "prefix", F.inline(lists))
-    found = alike_neighbours(listed, ["pair", "x0", "x1", "x2", "n", "p"], ["pair", "prefix"])
-    return found.select("n", "p", "gap")
+_CONTEXTS = ["n", "p", "core", "core_too", "context", "context_too", "beside", "least", "most"]
 
 
 def _contexts(length: int):
@@ -243,64 +294,64 @@ def _contexts(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for n, text, places in zip(*(batch.column(c).to_pylist() for c in ("_n", "_text", "places"))):
+            ends, flat = batch.column("places").offsets.to_numpy().tolist(), batch.column("places").values
+            place, gaps = (flat.field(c).to_numpy().tolist() for c in ("p", "gap"))
+            for n, text, begin, end in zip(*(batch.column(c).to_pylist() for c in ("_n", "_text")), ends, ends[1:]):
                 data, rows = text.encode("utf-8", "surrogatepass"), []
                 padded = bytes(side) + data + bytes(side)
-                for x in places:
-                    p = x["p"]
+                for p, gap in zip(place[begin:end], gaps[begin:end]):
                     least = max(low, p + length - len(data))
-                    most = min(low + x["gap"] - 1, high, p)
+                    most = min(low + gap - 1, high, p)
                     if least > most:
                         continue
-                    core = hashlib.blake2b(data[p - low : p + length - high], digest_size=16).digest()
+                    core = hashlib.blake2b(data[p - low : p + length - high], digest_size=16).digest()  # two longs each
                     left, right = p - high + side, p + length - high + side
                     beside = padded[left : left + side] + padded[right : right + side]
                     whole = hashlib.blake2b(core + beside + least.to_bytes(8) + most.to_bytes(8), digest_size=16).digest()
-                    rows.append((n, p, core, whole, beside, least, most))
+                    rows.append((n, p, *struct.unpack("<qq", core), *struct.unpack("<qq", whole), beside, least, most))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], ["n", "p", "core", "context", "beside", "least", "most"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], _CONTEXTS)
 
     return run
 
 
-def _repeated_contexts(found: DataFrame, length: int) -> DataFrame:
-    """(context, offsets): how many bytes before its anchor the repeated strings of each context begin; null for all that it has."""
+def _repeated(found: DataFrame, length: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(n, first, last): stretches of places in each text at which repeated strings begin; and the tables that it reads."""
     side = window(length) - 1
-    contexts = found.groupBy("context").agg(*[F.first(c).alias(c) for c in ("core", "beside", "least", "most")], F.count("*").alias("rows"))
-    contexts = cut(contexts.withColumn("c", F.monotonically_increasing_id()), "contexts")
-    shared = contexts.groupBy("core").agg(F.count("*").alias("n")).filter("n > 1").select("core")
-    strings = contexts.join(shared, "core").select("c", "rows", "core", "beside", F.explode(F.sequence("least", "most")).alias("d"))
-    string = F.unhex(F.md5(F.concat("core", F.expr(f"substring(beside, cast({side} - (d - {side}) as int) + 1, {side})"), F.col("d").cast("string").cast("binary"))))
-    strings = cut(strings.select("c", "rows", "d", string.alias("string")), "strings")
-    twice = strings.groupBy("string").agg(F.count("*").alias("n")).filter("n > 1").select("string")
-    some = strings.filter("rows = 1").join(twice, "string").groupBy("c").agg(F.collect_list("d").alias("offsets"))
-    every = contexts.filter("rows > 1").select("c", F.lit(None).cast("array<bigint>").alias("offsets"))
-    return contexts.select("c", "context").join(some.unionByName(every), "c").select("context", "offsets")
+    columns = ("core", "core_too", "beside", "least", "most", "n", "p")
+    contexts = found.groupBy("context", "context_too").agg(*[F.first(c).alias(c) for c in columns], F.count("*").alias("rows"))
+    contexts = cut(contexts, "contexts")
+    several = contexts.filter("rows > 1").select("context", "context_too")
+    whole = found.select("n", "p", "context", "context_too", "least", "most").join(several, ["context", "context_too"])
+
+    shared = contexts.groupBy("core", "core_too").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    strings = contexts.join(shared, ["core", "core_too"]).select(
+        "rows", "core", "core_too", "beside", "n", "p", F.explode(F.sequence("least", "most")).alias("d")
+    )
+    part = F.expr(f"substring(beside, cast({side} - (d - {side}) as int) + 1, {side})")
+    string = F.xxhash64("core", "d", part).alias("s"), F.xxhash64("core_too", part, "d").alias("s_too")
+    strings = cut(strings.select("rows", "n", (F.col("p") - F.col("d")).alias("first"), *string), "strings")
+    twice = strings.groupBy("s", "s_too").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    some = strings.filter("rows = 1").join(twice, ["s", "s_too"]).select("n", "first", F.col("first").alias("last"))
+    return whole.select("n", (F.col("p") - F.col("most")).alias("first"), (F.col("p") - F.col("least")).alias("last")).unionByName(some), [contexts, strings]
 
 
 def _spans(length: int, key: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             spans, kept, sizes = [], [], []
-            for text, rows, marks in zip(*(batch.column(c).to_pylist() for c in ("_text", "_rows", "marks"))):
+            ends, flat = batch.column("marks").offsets.to_numpy(), batch.column("marks").values
+            first, last = (flat.field(c).to_numpy() for c in ("first", "last"))
+            for text, rows, begin, end in zip(*(batch.column(c).to_pylist() for c in ("_text", "_rows")), ends, ends[1:]):
                 data = text.encode("utf-8", "surrogatepass")
+                order = np.argsort(first[begin:end], kind="stable")
+                starts, stops = first[begin:end][order], np.maximum.accumulate(last[begin:end][order] + length)
                 if rows > 1 and len(data) >= length:
-                    runs = [(0, len(data))]
-                else:
-                    runs, starts = [], set()
-                    for x in marks or ():
-                        starts.update(x["p"] - d for d in (x["offsets"] if x["offsets"] is not None else range(x["least"], x["most"] + 1)))
-                    for start in sorted(starts):
-                        if runs and start <= runs[-1][1]:
-                            runs[-1] = (runs[-1][0], start + length)
-                        else:
-                            runs.append((start, start + length))
-                before, rest = 0, []
-                for start, end in runs:
-                    rest.append(data[before:start])
-                    before = end
-                spans.append([{"start": s, "end": e} for s, e in runs])
-                kept.append(b"".join([*rest, data[before:]]))
+                    starts, stops = np.zeros(1, np.int64), np.array([len(data)])
+                apart = np.flatnonzero(starts[1:] > stops[:-1])
+                edges = np.concatenate([starts[:1], starts[apart + 1]]).tolist(), np.concatenate([stops[apart], stops[-1:]]).tolist()
+                spans.append([{"start": s, "end": e} for s, e in zip(*edges)])
+                kept.append(b"".join(data[s:e] for s, e in zip([0, *edges[1]], [*edges[0], len(data)])))
                 sizes.append(len(data))
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays(
@@ -333,21 +384,21 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     drop_table(shared)
 
     names = ranks(positions)
-    alike = cut(merged(positions, names), "alike")
+    alike = merged(positions, names)
     drop_table(names)
     places = alike.distinct().groupBy(F.col("n").alias("_n")).agg(F.collect_list(F.struct("p", "gap")).alias("places"))
     found = texts.select("_n", "_text").join(places, "_n").mapInArrow(
-        _contexts(length), "n long, p long, core binary, context binary, beside binary, least long, most long"
+        _contexts(length), ", ".join(f"{c} {'binary' if c == 'beside' else 'long'}" for c in _CONTEXTS)
     )
     found = cut(found, "around")
     drop_table(positions)
     drop_table(alike)
 
-    repeated = _repeated_contexts(found, length)
-    marked = found.select("n", "p", "context", "least", "most").join(repeated, "context")
-    marks = marked.groupBy(F.col("n").alias("_n")).agg(F.collect_list(F.struct("p", "least", "most", "offsets")).alias("marks"))
-    told = cut(rows.select("_n", "_rows").join(marks, "_n", "left"), "marks")
-    drop_table(found)
+    stretches, read = _repeated(found, length)
+    marks = stretches.groupBy(F.col("n").alias("_n")).agg(F.collect_list(F.struct("first", "last")).alias("marks"))
+    told = cut(rows.select("_n", "_rows").join(marks, "_n", "left").withColumn("marks", F.coalesce("marks", F.array())), "marks")
+    for done in (found, *read, rows):
+        drop_table(done)
     schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, n_bytes long, spans array<struct<start: long, end: long>>, kept binary"
     return texts.select(key, "_text", "_n").join(told, "_n").select(key, "_text", "_rows", "marks").mapInArrow(_spans(length, key), schema)
 
