@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
-from ..streaming import changes
+from ..streaming import changes, keyed
 from . import query
 
 _GAPS = """WITH e AS (SELECT user_id, event_type, ts, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY {k} ORDER BY ts) AS gap FROM events),
@@ -20,10 +20,9 @@ _GAPS = """WITH e AS (SELECT user_id, event_type, ts, epoch_us(ts) - lag(epoch_u
 _SEEN = "(SELECT epoch_us(max(ts)) - 10000000 FROM events)"
 
 
-def _events(spark, sf_dir):
+def _events(spark, sf_dir, files=None):
     """The events table as a stream of changes; a click is a rename."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    raw = changes.table_stream(spark, f"{sf_dir}/events.parquet", files)
     kinds = F.when(F.col("event_type") == "click", "rename").otherwise(F.col("event_type"))
     user = F.col("user_id").cast("string")
     return raw.select(
@@ -50,8 +49,9 @@ def changed(spark, sf_dir):
 @query("R02", _GAPS.format(k="user_id", us=3600000000) + f""" SELECT 'src/' || user_id AS path, CASE arg_max(event_type, ts) WHEN 'click' THEN 'rename' ELSE arg_max(event_type, ts) END AS kind, count(*) AS events FROM s
   GROUP BY user_id, n HAVING epoch_us(max(ts)) + 3600000000 <= {_SEEN}""")
 def debounced(spark, sf_dir):
-    found = changes.debounced(_events(spark, sf_dir), "1 hour")
-    return _drained(spark, found.select("path", "kind", "events"))
+    """Bursts of a path's changes that an hour parts, each with its last kind."""
+    with keyed.keyed_state(spark):
+        return _drained(spark, keyed.debounced(_events(spark, sf_dir), 3_600_000_000).select("path", "kind", "events"))
 
 
 @query("R03", """SELECT 'c' || (user_id % 5) AS context, list_sort(list(DISTINCT 'src/' || user_id)) AS paths FROM events GROUP BY 1""")
@@ -63,7 +63,7 @@ def micro_batch(spark, sf_dir):
         batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
 
     changes.by_context(_events(spark, sf_dir), keep, f"{folder}/checkpoint", availableNow=True).awaitTermination()
-    rows = spark.read.parquet(f"{folder}/rows").select("context", F.explode("paths").alias("path"))
+    rows = spark.read.schema("context string, path string, batch long").parquet(f"{folder}/rows")
     return rows.groupBy("context").agg(F.array_sort(F.collect_set("path")).alias("paths"))
 
 
@@ -82,7 +82,10 @@ def budget(spark, sf_dir):
     return _drained(spark, found.select(F.unix_micros("at").alias("until"), F.round("used", 2).alias("used")))
 
 
-@query("R06", "SELECT DISTINCT 'src/' || user_id AS path FROM events")
+@query("R06", f"""WITH s AS (SELECT user_id, ts, event_type, sum((event_type = 'purchase')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS n
+    FROM events WHERE epoch_us(ts) <= {_SEEN})
+  SELECT 'src/' || user_id AS path, epoch_us(min(ts)) AS since FROM s WHERE event_type <> 'purchase' GROUP BY user_id, n""")
 def queue(spark, sf_dir):
-    """Items that wait, each once."""
-    return _drained(spark, changes.pending(_events(spark, sf_dir)).select("path"))
+    """Whenever an item enters the queue; while it waits, further changes don't bring it in again, and a purchase takes it out."""
+    with keyed.keyed_state(spark):
+        return _drained(spark, keyed.queued(_events(spark, sf_dir), F.col("kind") == "purchase"))

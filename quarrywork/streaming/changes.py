@@ -1,4 +1,4 @@
-"""Change events as streams: debounce, expiry, budgets and queues without repetitions.
+"""Change events as streams: sources, expiry, budgets, hand-over by context; what needs a key's state is in ``keyed``.
 
 All of it is event time with a watermark, so a stream that is restarted gives the same rows.
 """
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 #: How late an event may be.
 LATE = "10 seconds"
-SCHEMA = "ts timestamp, path string, old_path string, context string, kind string"
+SCHEMA = "event_id long, ts timestamp, path string, old_path string, context string, kind string"
 IGNORED = r"(^|/)\.|\.(tmp|swp)$|/(bin|obj|node_modules)/"
 
 
@@ -33,6 +33,14 @@ def source(spark: SparkSession, folder: str, schema: str = SCHEMA) -> DataFrame:
     return expanded(spark.readStream.schema(schema).json(folder))
 
 
+def table_stream(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
+    """A Parquet table as a stream, a single file or a folder of them; at most ``files`` files a trigger."""
+    schema = spark.read.parquet(path).schema
+    reader = spark.readStream.schema(schema)
+    listed = f"{path[:-1]}[{path[-1]}]"  # a pattern for this one name: a plain path has to be a folder
+    return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(listed)
+
+
 def drained(stream: DataFrame, folder: str) -> DataFrame:
     """Everything that a stream gives now, appended to a table in the shared folder. A run that is repeated goes on where
     its checkpoint ends, and no row is written twice."""
@@ -42,14 +50,6 @@ def drained(stream: DataFrame, folder: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{folder}/rows")
 
 
-def debounced(events: DataFrame, quiet: str = "3 seconds") -> DataFrame:
-    """One row for each burst of a path's events: its last kind, once nothing came for ``quiet``."""
-    bursts = events.withWatermark("ts", LATE).groupBy(F.session_window("ts", quiet), "context", "path")
-    return bursts.agg(F.max_by("kind", "ts").alias("kind"), F.max("ts").alias("ts"), F.count("*").alias("events")).drop(
-        "session_window"
-    )
-
-
 def sessions(events: DataFrame, key: str = "context", idle: str = "30 minutes") -> DataFrame:
     """A session of each key ends after ``idle`` without an event."""
     found = events.withWatermark("ts", LATE).groupBy(F.session_window("ts", idle), key).agg(F.count("*").alias("events"))
@@ -61,16 +61,11 @@ def sliding_sum(events: DataFrame, amount: str, length: str = "60 seconds", slid
     return sums.select(F.col("window.end").alias("at"), "used")
 
 
-def pending(events: DataFrame, key: str = "path") -> DataFrame:
-    """A queue's items, each once while it waits."""
-    return events.withWatermark("ts", LATE).dropDuplicatesWithinWatermark([key])
-
-
 def by_context(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, **trigger):
-    """Hand each micro-batch, summed up by context, to ``handle``, which must be idempotent in the batch's number."""
+    """Hand each micro-batch's distinct (context, path) to ``handle``, which must be idempotent in the batch's number."""
 
     def run(batch: DataFrame, number: int) -> None:
-        handle(batch.groupBy("context").agg(F.collect_set("path").alias("paths")), number)
+        handle(batch.select("context", "path").distinct(), number)
 
     writer = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (writer.trigger(**trigger) if trigger else writer).start()

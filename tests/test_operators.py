@@ -9,7 +9,6 @@ from quarrywork.functions import code as C
 from quarrywork.functions import scalars as S
 from quarrywork.operators import blocks, ensembles, graph, ranking, sets, text, usage, vectors
 from quarrywork.sources import chunks, files, tables
-from quarrywork.streaming import changes
 
 
 def value(spark, column, row=(0,), schema="x int"):
@@ -289,18 +288,3 @@ def test_bm25_and_fusion(spark):
     b = spark.createDataFrame([(2, 0.4), (3, 0.2)], "k int, score double")
     merged = {r.k: r.score for r in ranking.fused(a, b, ["k"]).collect()}
     assert merged == {1: pytest.approx(0.4), 2: pytest.approx(0.6), 3: pytest.approx(0.2)}
-
-
-def test_debounce_stream(spark, tmp_path):
-    at = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
-    rows = [(at(0), "a", None, "x", "created"), (at(2), "a", None, "x", "changed"), (at(9), "b", "a", "x", "rename"), (at(1), ".git/q", None, "x", "changed")]
-    rows += [(at(300), "end", None, "x", "created")]
-    spark.createDataFrame(rows, changes.SCHEMA).coalesce(1).write.json(str(tmp_path / "in"))
-    stream = changes.debounced(changes.source(spark, str(tmp_path / "in")))
-    query = stream.writeStream.format("memory").queryName("bursts").outputMode("append").start()
-    try:
-        query.processAllAvailable()
-    finally:
-        query.stop()
-    got = sorted((r.path, r.kind, r.events) for r in spark.table("bursts").collect())
-    assert got == [("a", "changed", 2), ("a", "delete", 1), ("b", "create", 1)]
