@@ -15,11 +15,13 @@ document has quality 0 or is toxic. A fixed fold of documents isn't needed, as l
 
 Defined cases: a null url and one without ``://`` have empty host and path, no tokens and the verdict allow. Repeated rows
 are judged alike. Without labels, or without rules that are sure enough, nothing but the list blocks. Of several
-matches any blocks. Of equally long list rules that fit, the later one in the list counts. Other columns aren't read.
+matches any blocks. Of equally long list rules that fit, the later one in the list counts. A url of any length is read
+whole; mining takes all its tokens. Empty tables give no rows. Other columns aren't read.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.ml.fpm import FPGrowth
@@ -43,6 +45,8 @@ LABELLED_ROWS = 50_000
 MIN_SUPPORT, MIN_ROWS, MIN_CONFIDENCE, MIN_LIFT, CONFIRMING_ROWS = 0.001, 20, 0.5, 1.5, 10
 #: Tokens of a rule.
 MOST_TOKENS = 3
+#: Tokens of a row that FP-growth gets at once, at most: sets of so many are listed.
+TOGETHER = 9
 #: Rules that fit a literal index.
 INLINE_RULES = 2000
 
@@ -80,21 +84,82 @@ class Rule:
     support: float
 
 
+def _subsets(of: str, most: int = MOST_TOKENS) -> Column:
+    """All sets of one to three entries of a sorted array."""
+    found = [F.transform(of, lambda x: F.array(x))]
+    for _ in range(most - 1):
+        longer = lambda s: F.transform(F.filter(of, lambda y: y > F.element_at(s, -1)), lambda y: F.array_append(s, y))
+        found.append(F.flatten(F.transform(found[-1], longer)))
+    return F.concat(*found)
+
+
+def projections(rows: DataFrame, parts: int) -> DataFrame:
+    """(part, tokens, bad): each row once for every set of at most three of the ``parts`` that its tokens fall in, with its
+    tokens of these. A set of tokens is counted in the projection on just the parts that its own tokens fall in, in each row that has
+    it, so the counts are those of whole rows."""
+    placed = rows.withColumn("_parts", F.array_sort(F.array_distinct(F.transform("tokens", lambda t: _part(t, parts)))))
+    each = placed.select("tokens", "bad", F.explode(_subsets("_parts")).alias("part"))
+    return each.withColumn("tokens", F.filter("tokens", lambda t: F.array_contains("part", _part(t, parts))))
+
+
+def _part(token: Column, parts: int) -> Column:
+    return F.pmod(F.xxhash64(token), F.lit(parts)).cast("int")
+
+
+def _load(parts: int) -> Column:
+    """The most tokens that a row has in three parts."""
+    parts_of = F.transform("tokens", lambda t: _part(t, parts))
+    counts = F.transform(F.array_distinct(parts_of), lambda p: F.size(F.filter(parts_of, lambda x: x == p)))
+    return F.aggregate(F.slice(F.sort_array(counts, asc=False), 1, MOST_TOKENS), F.lit(0), lambda a, x: a + x)
+
+
 def candidates(mined: DataFrame, rows: int, min_support: float, min_rows: int, least: float) -> DataFrame:
-    """(tokens, confidence, support) of the rules that FP-growth finds in rows of (tokens, bad), without redundant ones."""
-    items = mined.select(F.when(F.col("bad"), F.array_append("tokens", F.lit(BAD))).otherwise(F.col("tokens")).alias("items"))
+    """(tokens, confidence, support) of the rules of at most :data:`MOST_TOKENS` tokens that FP-growth finds in rows of
+    (tokens, bad), without redundant ones.
+
+    FP-growth lists every frequent set, of n tokens that come together 2**n. So tokens that are too rare with the label to be in a rule go
+    first, tokens that come in the same rows are one, and rows are projected onto as many parts as bound a projection's tokens: the sets that are listed then are few for each
+    projection, however long the urls, and the projections of a row grow with the cube of its tokens, as its sets of three do.
+    """
     # a rule is counted where it leads to a bad url, so its rows are those with the label
-    support = min(1.0, max(min_support, min_rows / rows) * least)
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=least).fit(items)
-    rules = model.associationRules.filter((F.col("consequent") == F.array(F.lit(BAD))) & (F.size("antecedent") <= MOST_TOKENS))
-    rules = rules.select(F.sort_array("antecedent").alias("tokens"), "confidence", "support")
+    often = max(1, math.ceil(round(min(1.0, max(min_support, min_rows / rows) * least) * rows, 6)))
+    single = mined.filter("bad").select(F.explode(F.array_distinct("tokens")).alias("token")).groupBy("token").count().filter(F.col("count") >= often)
+    numbered = mined.withColumn("_row", F.monotonically_increasing_id())
+    exploded = cut(numbered.select("_row", "bad", F.explode(F.array_distinct("tokens")).alias("token")).join(single, "token"), "tokens")
+    rows_of = (F.sum(F.xxhash64("_row", F.lit(i)).cast("decimal(20,0)")).alias(f"_rows{i}") for i in range(2))
+    alike = exploded.groupBy("token").agg(*rows_of).groupBy("_rows0", "_rows1").agg(F.array_sort(F.collect_list("token")).alias("members"))
+    alike = cut(alike.select("members"), "alike")
+    one = alike.select(F.col("members")[0].alias("token"))
+    able = cut(exploded.join(one, "token").groupBy("_row", "bad").agg(F.array_sort(F.collect_list("token")).alias("tokens")), "able")
+    drop_table(exploded)
+    parts = 1
+    while (able.agg(F.max(_load(parts))).first()[0] or 0) > TOGETHER:
+        parts *= 2
+    split = projections(able, parts)
+    tag = lambda t: F.concat(F.array_join(F.col("part").cast("array<string>"), "."), F.lit("|"), t)
+    items = F.transform(F.when(F.col("bad"), F.array_append("tokens", F.lit(BAD))).otherwise(F.col("tokens")), tag)
+    items = cut(split.select("part", items.alias("items")), "projections")
+    n = max(1, items.count())
+    model = FPGrowth(itemsCol="items", minSupport=(often - 0.5) / n, minConfidence=least).fit(items)
+    untagged = F.transform("antecedent", lambda t: F.regexp_replace(t, r"^[\d.]+\|", ""))
+    rules = model.associationRules.filter(F.col("consequent")[0].endswith("|" + BAD) & (F.size("antecedent") <= MOST_TOKENS))
+    rules = rules.select(F.regexp_extract(F.col("antecedent")[0], r"^[\d.]+", 0).alias("_part"), F.sort_array(untagged).alias("tokens"), "confidence", (F.col("support") * n / rows).alias("support"))
+    own = F.array_join(F.array_sort(F.array_distinct(F.transform("tokens", lambda t: _part(t, parts)))).cast("array<string>"), ".")
+    rules = rules.filter(own == F.col("_part")).drop("_part")
     rules = rules.filter(F.round(F.col("support") / F.col("confidence") * rows) >= max(min_rows, min_support * rows))
     pairs = lambda x, i: F.transform(F.slice("tokens", i + 2, F.lit(MOST_TOKENS)), lambda y: F.array(x, y))
     subsets = F.concat(F.transform("tokens", lambda x: F.array(x)), F.flatten(F.transform("tokens", pairs)))
     inner = rules.select("tokens", "confidence", F.explode(subsets).alias("_subset")).filter(F.size("_subset") < F.size("tokens"))
     other = rules.select(F.col("tokens").alias("_subset"), F.col("confidence").alias("_confidence"))
     redundant = inner.join(other, "_subset").filter("_confidence >= confidence").select("tokens")
-    return rules.join(redundant, "tokens", "anti")
+    rules = rules.join(redundant, "tokens", "anti")
+    # each token of a rule stands for all that come in just its rows
+    spelled = rules.select("tokens", "confidence", "support", F.posexplode("tokens").alias("_i", "_token"))
+    spelled = spelled.join(alike.withColumn("_token", F.col("members")[0]), "_token")
+    spelled = spelled.groupBy("tokens", "confidence", "support").agg(F.collect_list("members").alias("_members"))
+    append = lambda done, members: F.flatten(F.transform(done, lambda d: F.transform(members, lambda m: F.array_append(d, m))))
+    every = F.aggregate("_members", F.array(F.array().cast("array<string>")), append)
+    return spelled.select(F.explode(every).alias("tokens"), "confidence", "support").withColumn("tokens", F.array_sort("tokens"))
 
 
 def mine(

@@ -206,3 +206,28 @@ def test_chats(spark):
     assert got[2] == (3, "<|im_start|>user\na<|im_end|>\n<|im_start|>assistant\nb<|im_end|>\n<|im_start|>user\nc<|im_end|>\n")
     assert got[6][0] == 2 and got[6][1].startswith("<|im_start|>user\n<|im_end|>\n<|im_start|>unknown\nc")
     assert chat.format_chats(frame.filter("conv_id < 0")).count() == 0
+
+
+def test_url_rules_of_long_and_repeated_urls(spark):
+    """Urls of thirty words: the same one a thousand times, and random ones, whose sets of three equal enumerated ones."""
+    import time
+
+    words = [f"path:w{i:02d}" for i in range(30)]
+    same = [(["host:long", *words], i % 10 > 0, i % 3 == 0) for i in range(1000)]
+    other = [([f"host:h{i % 7}", f"path:v{i % 11}"], i % 17 == 0, i % 3 == 0) for i in range(1500)]
+    frame = spark.createDataFrame(same + other, SCHEMA).repartition(4).cache()
+    assert frame.count() == 2500
+    urlfilter.mine(frame)
+    began = time.time()
+    rules = urlfilter.mine(frame)
+    assert time.time() - began < 10
+    assert {r.tokens for r in rules} == {(t,) for t in ["host:long", *words]}
+
+    rng = random.Random(5)
+    rows = []
+    for i in range(400):
+        tokens = sorted({"host:a", *rng.sample(words[:22], 14)})
+        rows.append((tokens, rng.random() < (0.9 if {"path:w01", "path:w02"} <= set(tokens) else 0.2), i % 3 == 0))
+    found = urlfilter.mine(spark.createDataFrame(rows, SCHEMA), 0.0, 0.6, 30, 1.5, 5)
+    want = brute_force_rules(rows, 30, 0.6, 1.5, 5)
+    assert [(r.tokens, r.confidence) for r in found] == want and any(len(t) > 1 for t, _ in want)
