@@ -11,7 +11,7 @@ from ..operators import graph, ranking
 from ..session import table
 from . import query
 from .graphs import _EDGES, ELEMENT, EVERY, _reach, asked, dependencies, element
-from .search import _BEST, _COS, _Z01, best, semantic_first, similar
+from .search import _BEST, _COS, _Z01, best, close, semantic_first, similar
 
 
 @query("Z02", _reach(False) + " SELECT node, round(0.9 / depth, 4)::DOUBLE AS score FROM r")
@@ -24,14 +24,14 @@ def graph_first(spark, sf_dir):
 @query("Z04", f"SELECT query, vec_id, round(score, 5) AS similarity, CASE WHEN score >= 0.3 THEN 'high' ELSE 'low' END AS confidence FROM ({_COS}) WHERE label = 2 " + _BEST.format("score DESC, vec_id", 10))
 def pattern_search(spark, sf_dir):
     """Filtered before the top rows are taken, so a rare kind still fills its list."""
-    hits = best(similar(spark, sf_dir).filter("label = 2"), 10, F.desc("score"), F.col("vec_id"))
+    hits = best(close(spark, sf_dir, 10, "label = 2"), 10, F.desc("score"), F.col("vec_id"))
     confidence = F.when(F.col("score") >= 0.3, "high").otherwise("low")
     return hits.select("query", "vec_id", F.round("score", 5).alias("similarity"), confidence.alias("confidence"))
 
 
 @query("Z06", f"SELECT query, vec_id FROM ({_COS}) WHERE label <> 1 AND score >= 0.2 " + _BEST.format("score DESC, vec_id", 5))
 def similar_questions(spark, sf_dir):
-    hits = similar(spark, sf_dir, 0.2).filter("label <> 1")
+    hits = close(spark, sf_dir, 5, "label <> 1", least=0.2)
     return best(hits, 5, F.desc("score"), F.col("vec_id")).select("query", "vec_id")
 
 
@@ -213,21 +213,24 @@ def last_five(spark, sf_dir):
     return last.groupBy("user_id").agg(mean(F.col("rank") <= 5).alias("recent"), mean(F.col("rank") > 5).alias("before"))
 
 
-@query("Z07", f"""SELECT 'semantic' AS part, vec_id AS id FROM ({_Z01}) WHERE query = 0 QUALIFY row_number() OVER (ORDER BY score DESC, vec_id) <= 5
-  UNION ALL SELECT 'questions', vec_id FROM (SELECT * FROM ({_COS}) WHERE query = 0 AND label <> 1 AND score >= 0.2 QUALIFY row_number() OVER (ORDER BY score DESC, vec_id) <= 5)
-  UNION ALL SELECT 'patterns', vec_id FROM (SELECT * FROM ({_COS}) WHERE query = 0 AND label = 2 QUALIFY row_number() OVER (ORDER BY score DESC, vec_id) <= 5)
-  UNION ALL SELECT 'graph', node FROM ({_reach(False)} SELECT node, depth FROM r ORDER BY depth, node LIMIT 5)
-  UNION ALL SELECT 'important', c_custkey FROM (SELECT c_custkey FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 5)""")
+@query("Z07", f"""SELECT 'semantic' AS part, query, vec_id AS id FROM ({_Z01}) {_BEST.format("score DESC, vec_id", 5)}
+  UNION ALL SELECT 'questions', query, vec_id FROM (SELECT * FROM ({_COS}) WHERE label <> 1 AND score >= 0.2 {_BEST.format("score DESC, vec_id", 5)})
+  UNION ALL SELECT 'patterns', query, vec_id FROM (SELECT * FROM ({_COS}) WHERE label = 2 {_BEST.format("score DESC, vec_id", 5)})
+  UNION ALL SELECT 'graph', NULL, node FROM ({_reach(False)} SELECT node, depth FROM r ORDER BY depth, node LIMIT 5)
+  UNION ALL SELECT 'important', NULL, c_custkey FROM (SELECT c_custkey FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 5)""")
 def context_pack(spark, sf_dir):
-    """What a task starts from: the best of semantic search, similar questions, patterns, the graph, and important rows."""
+    """What each task starts from: the best of semantic search, similar questions and patterns; and for all, the graph around an
+    element and important rows."""
     order = F.desc("score"), F.col("vec_id")
-    own = similar(spark, sf_dir).filter("query = 0")
-    parts = {
-        "semantic": ranking.top(semantic_first(spark, sf_dir).filter("query = 0"), 5, *order).select("vec_id"),
-        "questions": ranking.top(own.filter("label <> 1 AND score >= 0.2"), 5, *order).select("vec_id"),
-        "patterns": ranking.top(own.filter("label = 2"), 5, *order).select("vec_id"),
+    own = {
+        "semantic": best(semantic_first(spark, sf_dir), 5, *order),
+        "questions": best(close(spark, sf_dir, 5, "label <> 1", least=0.2), 5, *order),
+        "patterns": best(close(spark, sf_dir, 5, "label = 2"), 5, *order),
+    }
+    common = {
         "graph": ranking.top(graph_first(spark, sf_dir), 5, F.desc("score"), F.col("node")).select("node"),
         "important": ranking.top(table(spark, sf_dir, "customer"), 5, F.desc("c_acctbal"), F.col("c_custkey")).select("c_custkey"),
     }
-    named = [rows.select(F.lit(part).alias("part"), F.col(rows.columns[0]).alias("id")) for part, rows in parts.items()]
+    named = [rows.select(F.lit(part).alias("part"), "query", F.col("vec_id").alias("id")) for part, rows in own.items()]
+    named += [rows.select(F.lit(part).alias("part"), F.lit(None).cast("long").alias("query"), F.col(rows.columns[0]).alias("id")) for part, rows in common.items()]
     return reduce(lambda a, b: a.unionByName(b), named)
