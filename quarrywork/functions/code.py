@@ -328,7 +328,7 @@ def accessibility(html: Column) -> Column:
     return F.struct(
         (count(r"(?i)<img\b") - count(r"(?i)<img\b[^>]*alt=")).alias("no_alt"),
         count(r'(?i)<(button|a|input)[^>]*aria-hidden="true"').alias("hidden"),
-        count(r'tabindex="([2-9]|\d{2,})"').alias("tabs"),
+        count(r'(?i)tabindex="([2-9]|\d{2,})"').alias("tabs"),
         count(r"(?i)<div[^>]*onclick").alias("clickable"),
         (~F.lower(html).contains("<main") & (F.length(html) > 500)).alias("no_main"),
         (~html.rlike(r"<html[^>]*\blang=")).alias("no_lang"),

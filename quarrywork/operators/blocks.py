@@ -3,7 +3,7 @@
 Two blocks are alike if five of six checks hold: numbers of elements at most two apart, the same of image, button, form
 and price, and more than three fifths of their words in common. Five of the six need no text, so blocks with equal figures
 are one signature, and signatures alike are found without comparing blocks. Only pairs that fail exactly one of the
-five are held against each other's words, distinct texts only, by a join on their rarest words.
+five are held against each other's words, distinct blocks only, by a join on their rarest words.
 """
 
 from __future__ import annotations
@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..session import cut, drop_table
-from . import graph
 
 FLAGS = ("image", "button", "form", "price")
 #: Lines before and after a block's own, the most that element counts differ, and the share of words in common.
@@ -54,45 +53,74 @@ def similarity(a: Column, b: Column) -> Column:
     return sum((c.cast("int") for c in checks), F.lit(0)) / 6.0
 
 
-def by_figures(blocks: DataFrame) -> DataFrame:
-    """(elements, flags..., part): signatures, those in one part that figures alone join: equal flags, and element counts
-    that go up by at most two at a time. The windows are over distinct counts, not over blocks."""
-    signatures = blocks.select("elements", *FLAGS).distinct()
-    order = W.partitionBy(*FLAGS).orderBy("elements")
-    gap = F.col("elements") - F.lag("elements").over(order) > APART
-    numbered = signatures.withColumn("_g", F.sum(F.coalesce(gap, F.lit(True)).cast("int")).over(order))
-    return numbered.select("elements", *FLAGS, F.concat_ws("-", *FLAGS, "_g").alias("part"))
+def _units(blocks: DataFrame, key: str) -> DataFrame:
+    """(id, first, figures, w, n): distinct blocks with the place of the first one; the others follow it into its group."""
+    place = F.split("pos", r"\.")
+    order = F.struct(F.col(key).alias("key"), place[0].cast("int").alias("line"), place[1].cast("int").alias("at"))
+    distinct = blocks.groupBy("content", "elements", *FLAGS).agg(F.min(order).alias("first"))
+    words = F.filter(F.split("content", r"[ \n\t]+"), lambda w: w != "")
+    return distinct.select(
+        F.monotonically_increasing_id().alias("id"), "first", "elements", *FLAGS, F.array_distinct(words).alias("w"), F.size(words).alias("n"), "content"
+    )
 
 
-def by_words(blocks: DataFrame, parts: DataFrame) -> DataFrame:
-    """(a, b): pairs of parts that texts join, though one of the five figures differs."""
-    texts = blocks.select("content", "elements", *FLAGS).distinct().join(parts, ["elements", *FLAGS])
-    words = F.filter(F.split("content", r"[ \n\t]+"), lambda w: w != "")
-    texts = cut(texts.select(F.monotonically_increasing_id().alias("id"), "part", "elements", *FLAGS,
-                             F.size(words).alias("n"), F.array_distinct(words).alias("w")))
-    rows = texts.select("id", "part", "n", F.size("w").alias("d"), F.explode("w").alias("word"))
+def _text_pairs(units: DataFrame) -> DataFrame:
+    """(a, b): pairs of units, both ways round, that fail just one of the five figures and have the words in common.
+
+    Units meet on their rarest words and on the figure that they fail: two sides for a flag, one value each, so units of equal figures
+    never meet, however alike their texts are.
+    """
+    rows = units.select("id", "elements", *FLAGS, "n", F.size("w").alias("d"), F.explode("w").alias("word"))
     often = rows.groupBy("word").agg(F.count("*").alias("f"))
     rank = F.row_number().over(W.partitionBy("id").orderBy("f", "word"))
     # a pair in common beyond the share has a word in common among so many of the rarest ones of both
     rare = rows.join(often, "word").withColumn("r", rank).filter(F.col("r") <= F.col("d") - F.floor(COMMON * F.col("n")))
-    rare = rare.select("word", "id", "part")
-    pairs = rare.join(rare.select("word", F.col("id").alias("other"), F.col("part").alias("there")), "word")
-    pairs = pairs.filter((F.col("part") < F.col("there"))).select("id", "other").distinct()
-    of = lambda name: texts.select(F.col("id").alias(name), F.struct("part", "elements", *FLAGS, "n", "w").alias(f"_{name}"))
-    met = pairs.join(of("id"), "id").join(of("other"), "other")
-    a, b = F.col("_id"), F.col("_other")
-    text = F.size(F.array_intersect(a["w"], b["w"])) > COMMON * F.greatest(a["n"], b["n"])
-    figures = [F.abs(a["elements"] - b["elements"]) <= APART, *[a[f] == b[f] for f in FLAGS]]
-    alike = text & (sum((c.cast("int") for c in figures), F.lit(0)) == 4)
-    out = cut(met.filter(alike).select(a["part"].alias("a"), b["part"].alias("b")).distinct())
-    drop_table(texts)
-    return out
-
-
-def groups(blocks: DataFrame) -> DataFrame:
-    """``blocks`` with their group, the smallest part that is reached by alikeness: all that are alike, directly or through
-    others, have one."""
-    parts = cut(by_figures(blocks))
-    united = graph.components(by_words(blocks, parts), parts.select(F.col("part").alias("node")).distinct())
-    named = parts.join(united.withColumnRenamed("node", "part"), "part").withColumnRenamed("component", "group").drop("part")
-    return blocks.join(named, ["elements", *FLAGS])
+    spelled = lambda flags: F.concat_ws("-", *[F.col(f).cast("string") for f in flags])
+    fails = [F.struct(F.lit(f).alias("fails"), spelled([g for g in FLAGS if g != f]).alias("rest"), F.col(f).cast("int").alias("side")) for f in FLAGS]
+    apart = [F.struct(F.lit("elements").alias("fails"), spelled(FLAGS).alias("rest"), F.lit(side).alias("side")) for side in (0, 1)]
+    sides = rare.select("id", "elements", "word", F.inline(F.array(*fails, *apart)))
+    other = sides.filter("side = 1").select(F.col("id").alias("other"), F.col("elements").alias("e"), "word", "fails", "rest")
+    gap = F.abs(F.col("elements") - F.col("e"))
+    right = F.when(F.col("fails") == "elements", (gap > APART) & (F.col("id") < F.col("other"))).otherwise(gap <= APART)
+    pairs = sides.filter("side = 0").join(other, ["word", "fails", "rest"]).filter(right).select("id", "other").distinct()
+    texts = units.select("id", "n", "w")
+    met = pairs.join(texts, "id").join(texts.select(F.col("id").alias("other"), F.col("n").alias("m"), F.col("w").alias("v")), "other")
+    alike = met.filter(F.size(F.array_intersect("w", "v")) > COMMON * F.greatest("n", "m"))
+    both = F.array(F.struct(F.col("id").alias("a"), F.col("other").alias("b")), F.struct(F.col("other").alias("a"), F.col("id").alias("b")))
+    return cut(alike.select(F.inline(both)))
+
+
+def _earliest(state: DataFrame, pairs: DataFrame, columns: dict) -> DataFrame:
+    """``state`` with, for each name of ``columns``, the earliest place of a unit alike (itself included) for which the condition holds:
+    of equal or near figures by the least of each signature, of the others by pairs."""
+    least = lambda c: F.min(F.when(c, F.col("first")))
+    signatures = state.groupBy("elements", *FLAGS).agg(*[least(c).alias(f"_{k}") for k, c in columns.items()])
+    near = signatures.select(F.explode(F.array(*[F.col("elements") + i for i in range(-APART, APART + 1)])).alias("elements"), *FLAGS, *[f"_{k}" for k in columns])
+    figures = near.groupBy("elements", *FLAGS).agg(*[F.min(f"_{k}").alias(f"_{k}") for k in columns])
+    texts = pairs.join(state, pairs["b"] == state["id"]).groupBy(F.col("a").alias("id")).agg(*[least(c).alias(f"t_{k}") for k, c in columns.items()])
+    joined = state.join(figures, ["elements", *FLAGS]).join(texts, "id", "left")
+    return joined.withColumns({k: F.least(f"_{k}", f"t_{k}") for k in columns}).drop(*[f"_{k}" for k in columns], *[f"t_{k}" for k in columns])
+
+
+def groups(blocks: DataFrame, key: str) -> DataFrame:
+    """``blocks`` with the (key, line, at) of the block that leads their group, as text.
+
+    Blocks are gone through in order: one that no group has taken leads a new one and takes all later ones alike that are left. That is
+    the first maximal independent set by order: a block leads once every earlier one alike is known not to, and none is left to the
+    next round whose earlier ones are decided. Rounds are as many as the longest chain of such decisions, not as there are blocks.
+    """
+    units = cut(_units(blocks, key))
+    pairs = _text_pairs(units)
+    state = cut(units.select("id", "first", "elements", *FLAGS, F.lit(None).cast("boolean").alias("leads")))
+    while not state.filter("leads IS NULL").isEmpty():
+        told = _earliest(state, pairs, {"open": F.coalesce("leads", F.lit(True)), "lead": F.coalesce("leads", F.lit(False))})
+        leads = F.when(F.col("lead") < F.col("first"), False).when(F.col("open") >= F.col("first"), True)
+        after = cut(told.select("id", "first", "elements", *FLAGS, F.coalesce("leads", leads).alias("leads")))
+        drop_table(state)
+        state = after
+    found = _earliest(state, pairs, {"lead": F.col("leads")})
+    named = F.concat_ws(".", *[F.col("lead")[c].cast("string") for c in ("key", "line", "at")])
+    taken = cut(units.select("id", "content").join(found.select("id", "elements", *FLAGS, named.alias("group")), "id").drop("id"))
+    for table in (units, pairs, state):
+        drop_table(table)
+    return blocks.join(taken, ["content", "elements", *FLAGS])

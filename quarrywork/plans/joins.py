@@ -143,10 +143,11 @@ def missing(spark, sf_dir):
 
 
 @query("U01", """SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN l.doc_id IS NULL THEN 'new' WHEN d.doc_id IS NULL THEN 'deleted' ELSE 'unchanged' END AS change
-  FROM (SELECT doc_id FROM documents WHERE doc_id >= 5) d FULL JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id""")
+  FROM (SELECT doc_id FROM documents) d FULL JOIN (SELECT DISTINCT doc_id + 5 AS doc_id FROM labels) l ON d.doc_id = l.doc_id""")
 def changes(spark, sf_dir):
-    now = table(spark, sf_dir, "documents").filter("doc_id >= 5").select("doc_id")
-    return sets.changes(now, table(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id")
+    """Documents against an index that was made of the labelled ones under older numbers: some are new, some gone."""
+    indexed = table(spark, sf_dir, "labels").select((F.col("doc_id") + 5).alias("doc_id")).distinct()
+    return sets.changes(table(spark, sf_dir, "documents").select("doc_id"), indexed, "doc_id")
 
 
 @query("U02", """SELECT a.k AS k, CASE WHEN b.m IS NULL OR a.m > b.m THEN 'modified' ELSE 'unchanged' END AS change FROM
@@ -184,14 +185,14 @@ def upsert(spark, sf_dir):
     return stored.select("vec_id", F.col("kind").cast("int").alias("kind"), F.round(total, 4).alias("total"), (F.col("indexed_at") == 2).alias("replaced"))
 
 
-@query("S18", """WITH n AS (SELECT doc_id FROM documents WHERE doc_id % 10 <> 0), e AS (SELECT DISTINCT doc_id AS src, doc_id // 2 AS dst FROM documents WHERE doc_id % 10 <> 0)
+@query("S18", """WITH n AS (SELECT doc_id FROM documents), e AS (SELECT DISTINCT doc_id AS src, doc_id * 3 // 2 AS dst FROM documents)
   SELECT 'node' AS part, doc_id AS a, NULL::BIGINT AS b, 'Document' AS kind FROM n UNION ALL SELECT 'edge', src, dst, 'USES' FROM e
   UNION ALL SELECT DISTINCT 'node', dst, NULL::BIGINT, 'Reference' FROM e WHERE dst NOT IN (SELECT doc_id FROM n)""")
 def graph_sink(spark, sf_dir):
     """Nodes and edges written as tables, each edge once; an end that is no node yet becomes a placeholder."""
-    docs = table(spark, sf_dir, "documents").filter("doc_id % 10 <> 0").select("doc_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id")
     nodes = docs.select(F.col("doc_id").alias("node"), F.lit("Document").alias("kind"))
-    edges = docs.select(F.col("doc_id").alias("src"), F.floor(F.col("doc_id") / 2).alias("dst"), F.lit("USES").alias("kind"))
+    edges = docs.select(F.col("doc_id").alias("src"), F.floor(F.col("doc_id") * 3 / 2).alias("dst"), F.lit("USES").alias("kind"))
     folder = f"{shared_dir(spark)}/graph-{uuid.uuid4().hex}"
     tables.write_graph(nodes, edges.unionByName(edges), folder)
     stored, links = spark.read.parquet(f"{folder}/nodes"), spark.read.parquet(f"{folder}/edges")

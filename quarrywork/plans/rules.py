@@ -95,9 +95,16 @@ def worst(spark, sf_dir):
     return first.join(counts.select("doc_id", message.alias("message")), "doc_id")
 
 
-@query("X06", "SELECT conv_id, turn, regexp_extract(text, '(?i)the (\\w+)', 1) AS target FROM conversations")
+#: What graph questions name: the target of "implements X" (fixed value).
+IMPLEMENTED = r"(?i)implement(?:s)?\s+([A-Z][a-zA-Z0-9<>]+)"
+
+
+@query("X06", f"""SELECT conv_id, turn, regexp_extract(text || CASE WHEN turn % 2 = 0 THEN ' classes that implement IRepo<' || role || '>' ELSE ' who Implements ' || role END, '{IMPLEMENTED}', 1) AS target FROM conversations""")
 def target(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.regexp_extract("text", r"(?i)the (\w+)", 1).alias("target"))
+    """Turns as graph questions, each with what it asks to be implemented."""
+    asks = F.when(F.col("turn") % 2 == 0, F.concat(F.lit(" classes that implement IRepo<"), "role", F.lit(">"))).otherwise(F.concat(F.lit(" who Implements "), "role"))
+    asked = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat("text", asks).alias("text"))
+    return asked.select("conv_id", "turn", F.regexp_extract("text", IMPLEMENTED, 1).alias("target"))
 
 
 @query("X12", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(0.7 * l_discount + 0.3 * l_tax + 1e-9, 4) AS score FROM lineitem")
@@ -113,14 +120,14 @@ def nesting(spark, sf_dir):
 
 
 @query("X22", r"""SELECT page_id, len(regexp_extract_all(html, '(?i)<img\b'))::INT - len(regexp_extract_all(html, '(?i)<img\b[^>]*alt='))::INT AS no_alt,
-  len(regexp_extract_all(html, '(?i)<(button|a|input)[^>]*aria-hidden="true"'))::INT AS hidden, len(regexp_extract_all(html, 'tabindex="([2-9]|\d{2,})"'))::INT AS tabs,
+  len(regexp_extract_all(html, '(?i)<(button|a|input)[^>]*aria-hidden="true"'))::INT AS hidden, len(regexp_extract_all(html, '(?i)tabindex="([2-9]|\d{2,})"'))::INT AS tabs,
   len(regexp_extract_all(html, '(?i)<div[^>]*onclick'))::INT AS clickable, NOT contains(lower(html), '<main') AND length(html) > 500 AS no_main, NOT regexp_matches(html, '<html[^>]*\blang=') AS no_lang,
   len(list_filter(regexp_extract_all(html, '(?i)<button[^>]*>\s*<(svg|i)\b'), lambda x: NOT contains(x, 'aria-label')))::INT AS icons
-  FROM (SELECT page_id, html || CASE WHEN page_id % 3 = 0 THEN '<img src="x"><IMG alt="y"><div onClick="z">' ELSE '<a aria-hidden="true">' END || CASE WHEN page_id % 4 = 0 THEN '<p tabindex="12"><button ><i></i></button><button aria-label="q"><svg>' ELSE '' END AS html FROM pages)""")
+  FROM (SELECT page_id, html || CASE WHEN page_id % 3 = 0 THEN '<img src="x"><IMG alt="y"><div onClick="z">' ELSE '<a aria-hidden="true">' END || CASE WHEN page_id % 4 = 0 THEN '<p tabIndex="12"><button ><i></i></button><button aria-label="q"><svg>' ELSE '' END AS html FROM pages)""")
 def accessibility(spark, sf_dir):
     key = F.col("page_id")
     first = F.when(key % 3 == 0, '<img src="x"><IMG alt="y"><div onClick="z">').otherwise('<a aria-hidden="true">')
-    second = F.when(key % 4 == 0, '<p tabindex="12"><button ><i></i></button><button aria-label="q"><svg>').otherwise("")
+    second = F.when(key % 4 == 0, '<p tabIndex="12"><button ><i></i></button><button aria-label="q"><svg>').otherwise("")
     pages = table(spark, sf_dir, "pages").select("page_id", F.concat("html", first, second).alias("html"))
     return pages.select("page_id", C.accessibility(F.col("html")).alias("a")).select("page_id", "a.*")
 
@@ -152,13 +159,13 @@ def _pages(spark, sf_dir):
 @query("J16")
 def block_groups(spark, sf_dir):
     found = blocks.found(_pages(spark, sf_dir), "page_id", "html")
-    return blocks.groups(found).select("page_id", "pos", "elements", *blocks.FLAGS, "group")
+    return blocks.groups(found, "page_id").select("page_id", "pos", "elements", *blocks.FLAGS, "group")
 
 
 @query("Z14")
 def reusable(spark, sf_dir):
     """Groups of alike blocks that come twice or more, the most frequent first."""
-    found = blocks.groups(blocks.found(_pages(spark, sf_dir), "page_id", "html"))
+    found = blocks.groups(blocks.found(_pages(spark, sf_dir), "page_id", "html"), "page_id")
     rolled = found.groupBy("group").agg(
         F.count("*").alias("times"), F.count_distinct("page_id").alias("pages"), F.round(F.avg("elements"), 4).alias("elements")
     )

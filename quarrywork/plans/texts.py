@@ -13,18 +13,28 @@ from . import query
 TERMS = ("the", "and", "with", "shall")
 
 
-@query("S05", """SELECT event_id, '$.tree' AS path, 'object' AS type, 1 AS depth, '{"leaf":"value ' || event_id || '","none":1,"down":{"more":{"deep":"not reached"}}}' AS content FROM events WHERE event_id % 3 <> 2
-  UNION ALL SELECT event_id, '$.tree.leaf', 'value', 2, 'value ' || event_id FROM events WHERE event_id % 3 <> 2 UNION ALL SELECT event_id, '$.tree.down', 'object', 2, '{"more":{"deep":"not reached"}}' FROM events WHERE event_id % 3 <> 2
-  UNION ALL SELECT event_id, '$.tree.down.more', 'object', 3, '{"deep":"not reached"}' FROM events WHERE event_id % 3 <> 2
-  UNION ALL SELECT event_id, '$.list', 'array', 1, '[{"type":"' || event_type || '"},7,"text"]' FROM events WHERE event_id % 3 <> 2
-  UNION ALL SELECT event_id, '$.list[0]', 'object', 2, '{"type":"' || event_type || '"}' FROM events WHERE event_id % 3 <> 2
-  UNION ALL SELECT event_id, '$.list[0].type', 'value', 3, event_type FROM events WHERE event_id % 3 <> 2 AND length(event_type) > 5
-  UNION ALL SELECT event_id, '$', 'parse_error', 0, props[:-2] FROM events WHERE event_id % 3 = 2""")
+_TREE = """'{"down":{"more":{"deep":{"er":"not reached"}}},"leaf":"value ' || event_id || '","none":1}'"""
+
+
+@query("S05", f"""WITH e AS (SELECT event_id, event_type, props FROM events), o AS (SELECT * FROM e WHERE event_id % 3 = 0), l AS (SELECT * FROM e WHERE event_id % 3 = 1)
+  SELECT event_id, 'tree' AS path, 'object' AS type, 0 AS depth, {_TREE} AS content FROM o
+  UNION ALL SELECT event_id, 'tree.leaf', 'value', 1, 'leaf: value ' || event_id FROM o
+  UNION ALL SELECT event_id, 'tree.down', 'object', 1, '{{"more":{{"deep":{{"er":"not reached"}}}}}}' FROM o
+  UNION ALL SELECT event_id, 'tree.down.more', 'object', 2, '{{"deep":{{"er":"not reached"}}}}' FROM o
+  UNION ALL SELECT event_id, 'tree.down.more.deep', 'object', 3, '{{"er":"not reached"}}' FROM o
+  UNION ALL SELECT event_id, 'list', 'array', 0, '[{{"type":"' || event_type || '"}},7,"text"]' FROM o
+  UNION ALL SELECT event_id, 'long', 'array', 0, '["' || repeat('x', 1998) || '...' FROM o
+  UNION ALL SELECT event_id, '[0]', 'object', 0, '{{"type":"' || event_type || '"}}' FROM l
+  UNION ALL SELECT event_id, '[2]', 'array', 0, '["a long text"]' FROM l
+  UNION ALL SELECT event_id, '', 'parse_error', 0, props[:-2] FROM e WHERE event_id % 3 = 2""")
 def json_chunks(spark, sf_dir):
-    key = F.col("event_id").cast("string")
-    built = F.concat(F.lit('{"tree": {"leaf": "value '), key, F.lit('", "none": 1, "down": {"more": {"deep": "not reached"}}}, "list": [{"type": "'), "event_type", F.lit('"}, 7, "text"], "k": 12}'))
+    """Events as objects of five levels, as arrays, and cut off."""
+    key, kind = F.col("event_id").cast("string"), F.col("event_type")
+    tree = F.concat(F.lit('{"tree": {"leaf": "value '), key, F.lit('", "none": 1, "down": {"more": {"deep": {"er": "not reached"}}}}, "list": [{"type": "'), kind,
+                    F.lit('"}, 7, "text"], "k": 12, "long": ["'), F.repeat(F.lit("x"), F.lit(3000)), F.lit('"]}'))
+    items = F.concat(F.lit('[{"type": "'), kind, F.lit('"}, 7, ["a long text"]]'))
     events = table(spark, sf_dir, "events")
-    text = F.when(F.col("event_id") % 3 == 2, F.left("props", F.length("props") - 1)).otherwise(built)
+    text = F.when(F.col("event_id") % 3 == 0, tree).when(F.col("event_id") % 3 == 1, items).otherwise(F.left("props", F.length("props") - 1))
     return chunks.json_entries(events.select("event_id", text.alias("t")), "event_id", "t")
 
 

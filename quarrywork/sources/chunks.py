@@ -73,44 +73,34 @@ def links(pages: DataFrame, key: str, html: str) -> DataFrame:
 
 
 def json_entries(docs: DataFrame, key: str, text: str, deepest: int = 3, most: int = 100) -> DataFrame:
-    """(key, path, type, depth, content): the chunks of JSON texts.
+    """(key, path, type, depth, content): the chunks of JSON texts, parsed once to VARIANT and exploded level by level.
 
-    Objects are entered ``deepest`` levels down, and the first ``most`` objects or arrays of an array. A scalar is a chunk
-    with more than 5 characters, an object or array with more than 10; contents are cut at 2000. A text that isn't JSON
-    is one chunk of type ``parse_error``. One level is one pass over the rows of the level above; nothing is shuffled.
+    An object's members are at depth 0, and objects of more than 10 characters are entered down to depth ``deepest``; arrays are
+    chunks with more than 10, but aren't entered. Other values are chunks with more than 5, as ``name: value``. Of an array that is the
+    whole text, the first ``most`` items count if they are objects or arrays. Contents of more than 2000 characters are cut and
+    end in ``...``; they are spelled as VARIANT does, without blanks and by sorted names. A text that isn't JSON is one chunk of
+    type ``parse_error``; a single value has no chunks. Nothing is shuffled.
     """
-    good = F.try_parse_json(F.col(text)).isNotNull()
-    rows = docs.filter(F.col(text).isNotNull()).select(
-        key, F.lit("$").alias("path"), F.lit(0).alias("depth"), F.trim(F.col(text)).alias("_j"), (~good).alias("_bad")
-    )
-    bad = rows.filter("_bad")
-    raw = bad.select(key, "path", F.lit("parse_error").alias("type"), "depth", F.substring("_j", 1, 2000).alias("content"))
-    level, found = rows.filter(~F.col("_bad")).select(key, "path", "depth", "_j"), raw
-    for depth in range(1, deepest + 1):
-        level = _children(level, key, depth, most)
-        size = F.length("_j")
-        nested = F.col("_j").rlike(r"^[\[{]")
-        kept = level.filter(F.when(nested, size > 10).otherwise(F.length(F.btrim("_j", F.lit('"'))) > 5))
-        kind = F.when(F.col("_j").startswith("{"), "object").when(F.col("_j").startswith("["), "array").otherwise("value")
-        content = F.substring(F.when(nested, F.col("_j")).otherwise(F.btrim("_j", F.lit('"'))), 1, 2000)
-        found = found.unionByName(kept.select(key, "path", kind.alias("type"), "depth", content.alias("content")))
+    spark, columns = docs.sparkSession, (key, "path", "type", "depth", "content")
+    cut = lambda c: F.when(F.length(c) > 2000, F.concat(F.left(c, F.lit(2000)), F.lit("..."))).otherwise(c)
+    whole = docs.filter(F.col(text).isNotNull()).select(key, F.trim(F.col(text)).alias("_t"), F.try_parse_json(text).alias("_v"))
+    bad = whole.filter(F.col("_v").isNull())
+    found = bad.select(key, F.lit("").alias("path"), F.lit("parse_error").alias("type"), F.lit(0).alias("depth"), cut(F.col("_t")).alias("content"))
+
+    def members(rows: DataFrame) -> DataFrame:
+        explode = spark.tvf.variant_explode(F.col("_v").outer()).select(F.col("pos").alias("_pos"), F.col("key").alias("_key"), F.col("value").alias("_m"))
+        shape = F.schema_of_variant("_m")
+        kind = F.when(shape.startswith("OBJECT"), "object").when(shape.startswith("ARRAY"), "array").otherwise("value")
+        spelled = F.when(kind == "value", F.try_variant_get("_m", "$", "string")).otherwise(F.to_json("_m"))
+        return rows.lateralJoin(explode).withColumns({"type": kind, "_s": spelled}).filter(F.length("_s") > F.when(F.col("type") == "value", 5).otherwise(10))
+
+    items = members(whole.filter(F.schema_of_variant("_v").startswith("ARRAY"))).filter((F.col("_pos") < most) & (F.col("type") != "value"))
+    found = found.unionByName(items.withColumns({"path": F.concat(F.lit("["), "_pos", F.lit("]")), "depth": F.lit(0), "content": cut(F.col("_s"))}).select(*columns))
+    level = whole.filter(F.schema_of_variant("_v").startswith("OBJECT")).select(key, "_v", F.lit("").alias("path"))
+    for depth in range(deepest + 1):
+        own = F.concat_ws(".", F.when(F.col("path") != "", F.col("path")), F.col("_key"))
+        content = F.when(F.col("type") == "value", F.concat("_key", F.lit(": "), "_s")).otherwise(cut(F.col("_s")))
+        rows = members(level).withColumns({"path": own, "depth": F.lit(depth), "content": content})
+        found = found.unionByName(rows.select(*columns))
+        level = rows.filter("type = 'object'").select(key, F.col("_m").alias("_v"), "path")
     return found
-
-
-def _children(level: DataFrame, key: str, depth: int, most: int) -> DataFrame:
-    """The members of objects, and the first nested ones of arrays."""
-    j = F.col("_j")
-    members = F.transform(
-        F.map_entries(F.when(j.startswith("{"), F.from_json(j, "map<string,string>", {"allowUnquotedFieldNames": "false"}))),
-        lambda e: F.struct(F.concat(F.lit("."), e["key"]).alias("step"), e["value"].alias("v")),
-    )
-    items = F.transform(
-        F.slice(F.when(j.startswith("["), F.from_json(j, "array<string>")), 1, most),
-        lambda v, i: F.struct(F.concat(F.lit("["), i.cast("string"), F.lit("]")).alias("step"), v.alias("v")),
-    )
-    nested = F.filter(items, lambda x: x["v"].rlike(r"^\s*[\[{]"))
-    empty = F.array().cast("array<struct<step: string, v: string>>")
-    rows = level.select(key, "path", F.inline(F.concat(F.coalesce(members, empty), F.coalesce(nested, empty))))
-    return rows.filter(F.col("v").isNotNull()).select(
-        key, F.concat("path", "step").alias("path"), F.lit(depth).alias("depth"), F.col("v").alias("_j")
-    )

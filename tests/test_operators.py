@@ -126,12 +126,16 @@ def test_markdown_of_odd_texts(spark):
 
 
 def test_json_chunks(spark):
-    docs = spark.createDataFrame([(1, '{"a": {"b": {"c": {"d": "much too deep"}}}, "s": "12345", "t": "123456", "l": [1, {"x": "long enough"}]}'), (2, "{bad"), (3, None)], "id int, body string")
-    got = {(r.id, r.path): (r.type, r.content) for r in chunks.json_entries(docs, "id", "body").collect()}
-    assert got[(1, "$.t")] == ("value", "123456") and (1, "$.s") not in got and (1, "$.l[0]") not in got
-    assert got[(1, "$.a.b.c")] == ("object", '{"d":"much too deep"}') and (1, "$.a.b.c.d") not in got
-    assert got[(1, "$.l[1].x")] == ("value", "long enough") and got[(2, "$")] == ("parse_error", "{bad")
-    assert not [k for k in got if k[0] == 3]
+    deep = '{"a": {"b": {"c": {"d": {"e": "far too deep"}}}}, "s": "12345", "t": "123456", "short": {"x": 1}, "l": [1, {"x": "long enough"}], "n": null}'
+    many = "[" + ",".join('{"items": %d}' % i for i in range(101)) + ', [1], "text of some length"]'
+    rows = [(1, deep), (2, "{bad"), (3, None), (4, many), (5, '{"long": ["%s"]}' % ("y" * 3000)), (6, "17"), (7, "{}"), (8, "")]
+    got = {(r.id, r.path): (r.type, r.depth, r.content) for r in chunks.json_entries(spark.createDataFrame(rows, "id int, body string"), "id", "body").collect()}
+    assert got[(1, "t")] == ("value", 0, "t: 123456") and (1, "s") not in got and (1, "short") not in got and (1, "n") not in got
+    assert got[(1, "a.b.c.d")] == ("object", 3, '{"e":"far too deep"}') and (1, "a.b.c.d.e") not in got
+    assert got[(1, "l")] == ("array", 0, '[1,{"x":"long enough"}]') and (1, "l[1]") not in got
+    assert got[(2, "")] == ("parse_error", 0, "{bad") and {k for k in got if k[0] in (3, 6, 7)} == set()
+    assert sorted(k[1] for k in got if k[0] == 4) == sorted(f"[{i}]" for i in range(100))
+    assert got[(5, "long")][2] == '["' + "y" * 1998 + "..."
 
 
 def test_near_names_of_any_length(spark):
@@ -232,7 +236,7 @@ def test_intents(spark):
 
 
 def test_groups_of_alike_blocks(spark):
-    """Against all pairs, and union of what is alike."""
+    """Against one pass over the blocks in order."""
     import random
 
     rng = random.Random(7)
@@ -242,24 +246,19 @@ def test_groups_of_alike_blocks(spark):
         text_ = " ".join(rng.sample(words, 8) if rng.random() < 0.6 else words[:8])
         rows.append((i, "0.0", text_, rng.choice([1, 2, 4, 9, 10, 30, 35]), *[rng.random() < 0.3 for _ in range(4)]))
     frame = spark.createDataFrame(rows, "page int, pos string, content string, elements int, image boolean, button boolean, form boolean, price boolean")
-    got = {r.page: r.group for r in blocks.groups(frame).collect()}
-    parent = list(range(70))
+    got = {r.page: r.group for r in blocks.groups(frame, "page").collect()}
 
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
+    def alike(a, b):
+        x, y = a[2].split(), b[2].split()
+        checks = [abs(a[3] - b[3]) <= 2, *[p == q for p, q in zip(a[4:], b[4:])], len(set(x) & set(y)) > 0.6 * max(len(x), len(y))]
+        return sum(checks) >= 5
 
+    want = {}
     for a in rows:
-        for b in rows:
-            x, y = a[2].split(), b[2].split()
-            checks = [abs(a[3] - b[3]) <= 2, *[p == q for p, q in zip(a[4:], b[4:])], len(set(x) & set(y)) > 0.6 * max(len(x), len(y))]
-            if sum(checks) >= 5:
-                parent[find(a[0])] = find(b[0])
-    for a in rows:
-        for b in rows:
-            assert (got[a[0]] == got[b[0]]) == (find(a[0]) == find(b[0]))
-    assert 1 < len(set(got.values())) < 60
+        if a[0] not in want:
+            want |= {b[0]: f"{a[0]}.0.0" for b in rows if b[0] not in want and (a is b or alike(a, b))}
+    assert got == want and 5 < len(set(want.values())) < 40
+    assert blocks.groups(frame.limit(0), "page").count() == 0
 
 
 def test_blocks_of_a_page(spark):
