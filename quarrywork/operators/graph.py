@@ -69,13 +69,93 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         now = after.select("node", "component")
 
 
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(node, component): for every node of ``edges`` (src, dst) the smallest node of those that it reaches and that reach it.
+
+    Nodes that nothing leads to or from are components of their own and go first. Each round then gives every node the largest one
+    that reaches it, colours jumping to their own colour, so that long ways halve; what reaches a colour's own node among
+    those of its colour is that node's component, and goes. One round settles a component for each colour.
+    """
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    links, done = cut(edges.filter("src <> dst").select("src", "dst").distinct()), None
+    while True:
+        links = _without_ends(links)
+        if links.isEmpty():
+            break
+        colours = _colours(links)
+        own = colours.filter("node = colour").select(F.col("node").alias("seed"))
+        at = lambda end: colours.select(F.col("node").alias(end), F.col("colour").alias(f"_{end}"))
+        inside = links.join(at("src"), "src").join(at("dst"), "dst").filter("_src = _dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        reached = reachable(inside, own).select("node", "seed").union(own.select("seed", "seed")).distinct()
+        settled = cut(reached.groupBy("seed").agg(F.min("node").alias("component")).join(reached, "seed").select("node", "component"))
+        gone = settled.select("node")
+        left = links.join(gone.withColumnRenamed("node", "src"), "src", "anti").join(gone.withColumnRenamed("node", "dst"), "dst", "anti")
+        after = cut(left.select("src", "dst"))
+        drop_table(links)
+        drop_table(colours)
+        links, done = after, settled if done is None else done.unionByName(settled)
+    if done is None:
+        return nodes.select("node", F.col("node").alias("component"))
+    return nodes.join(done, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+def _without_ends(links: DataFrame) -> DataFrame:
+    """``links`` without those at nodes that nothing leads to, or from, until there are none such."""
+    size = links.count()
+    while True:
+        inner = links.join(links.select(F.col("dst").alias("src")).distinct(), "src", "semi")
+        after = cut(inner.join(inner.select(F.col("src").alias("dst")).distinct(), "dst", "semi").select("src", "dst"))
+        drop_table(links)
+        links, was, size = after, size, after.count()
+        if size == was:
+            return links
+
+
+def _colours(links: DataFrame) -> DataFrame:
+    """(node, colour): the largest node that reaches each, or the node itself."""
+    now = cut(links.select(F.col("src").alias("node")).union(links.select("dst")).distinct().select("node", F.col("node").alias("colour")))
+    while True:
+        near = links.join(now, F.col("src") == F.col("node")).groupBy("dst").agg(F.max("colour").alias("m"))
+        most = now.join(near, F.col("node") == F.col("dst"), "left")
+        most = most.select("node", F.col("colour").alias("was"), F.greatest("colour", F.coalesce("m", "colour")).alias("l"))
+        further = now.select(F.col("node").alias("l"), F.col("colour").alias("c"))
+        after = cut(most.join(further, "l").select("node", "was", F.greatest("l", "c").alias("colour")))
+        drop_table(now)
+        if after.filter("was <> colour").isEmpty():
+            return after.select("node", "colour")
+        now = after.select("node", "colour")
+
+
+def levels(edges: DataFrame) -> DataFrame:
+    """(node, level): the order in which nodes can be done, where ``src`` needs ``dst``: those of level 0 need none, the others only
+    such of lower levels. Nodes on cycles, and what needs them, have no level. An edge to itself is none. One round a level."""
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    links, found, level = cut(edges.filter("src <> dst").select("src", "dst").distinct()), None, 0
+    left = cut(nodes)
+    while True:
+        free = cut(left.join(links.select(F.col("src").alias("node")).distinct(), "node", "anti").withColumn("level", F.lit(level)))
+        if free.isEmpty():
+            rest = left.withColumn("level", F.lit(None).cast("int"))
+            return rest if found is None else found.unionByName(rest)
+        found, level = free if found is None else found.unionByName(free), level + 1
+        gone = free.select("node")
+        after = cut(left.join(gone, "node", "anti")), cut(links.join(gone.withColumnRenamed("node", "dst"), "dst", "anti").select("src", "dst"))
+        drop_table(left)
+        drop_table(links)
+        left, links = after
+
+
 def reversed_edges(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
 def cycles(edges: DataFrame, longest: int = 4) -> DataFrame:
-    """(path, length): simple cycles of at most ``longest`` nodes, each once, from its smallest node on."""
-    links = edges.select("src", "dst").distinct()
+    """(path, length): simple cycles of at most ``longest`` nodes, each once, from its smallest node on. Only edges within a strong
+    component are on cycles; paths grow along these."""
+    own = strong_components(edges)
+    at = lambda end: own.select(F.col("node").alias(end), F.col("component").alias(f"_{end}"))
+    inside = edges.select("src", "dst").distinct().join(at("src"), "src").join(at("dst"), "dst").filter("_src = _dst")
+    links = cut(inside.select("src", "dst"))
     paths = links.filter("dst >= src").select(F.array("src", "dst").alias("path"))
     whole = None
     for _ in range(longest):

@@ -58,6 +58,19 @@ def circular(spark, sf_dir):
     return graph.cycles(dependencies(spark, sf_dir), 3)
 
 
+@query("SCC")
+def mutual(spark, sf_dir):
+    """Which elements depend on each other in circles of any length: strong components, tested against brute force."""
+    return graph.strong_components(dependencies(spark, sf_dir))
+
+
+@query("LEVELS", """SELECT doc_id AS node, CASE WHEN doc_id = 0 THEN 0 ELSE floor(log2(doc_id))::INT + 1 END AS level FROM documents""")
+def planned(spark, sf_dir):
+    """Documents as work items, each of which needs the one of half its number: what can be done first, second, ..."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("src"), F.floor(F.col("doc_id") / 2).alias("dst"))
+    return graph.levels(docs)
+
+
 @query("G04", "SELECT c_custkey, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'")
 def follows(spark, sf_dir):
     asia = table(spark, sf_dir, "region").filter("r_name = 'ASIA'").select(F.col("r_regionkey").alias("n_regionkey"))
