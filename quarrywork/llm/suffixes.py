@@ -5,8 +5,8 @@ strings are cut alike, but for their ends, so a string of ``length`` bytes that
 phrases, wherever it lies; a phrase is a letter, and about one byte in ``length`` / 12 starts one. Suffixes that start at
 anchors are sorted by letters:
 
-1. triples of letters are sorted, and a suffix whose triple differs from both neighbours' is settled and goes, unless
-   one of the three before it may need it;
+1. triples of letters are sorted, and one that differs from both neighbours' settles all suffixes that begin with letters
+   around it: a suffix stays if every triple of those that it must share repeats, and so do the letters after it;
 2. of the rest, those at places 1 and 2 modulo 3 are the sample: distinct triples are sorted and named by their place, and
    the string of names is sorted in the same way, three times as far each time, until names reach as far as is asked;
 3. the remaining suffixes are merged with the sample, and its two classes with each other: any two classes compare by no
@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, drop_table, table
+from .common import collect_garbage, cut, drop_table, table
 
 LENGTH = 400
 #: Letters by which suffixes are told apart, 290 bytes on average; what shares as many is left to the comparison of bytes.
@@ -168,7 +168,15 @@ def _positions(length: int):
                 n, size = n.as_py(), size.as_py()
                 at, letter = at.values.to_numpy().astype(np.int64), letter.values.to_numpy()
                 kept = np.unique(kept.values.to_numpy())
-                all_k = np.unique(np.concatenate([kept + i for i in range(4)]))
+                last = np.append(np.flatnonzero(np.diff(kept) != 1), len(kept) - 1)
+                run = kept[last[np.searchsorted(last, np.arange(len(kept)))]] - kept + 1
+                shared = np.searchsorted(at, at[kept] + certain, "right") - 1 - kept
+                place = at[kept]
+                asking = (shared >= 3) & (run >= shared - 2) & (place >= low) & (place + length - high <= size)
+                asking = kept[asking]
+                if not len(asking):
+                    continue
+                all_k = np.unique(np.concatenate([asking + i for i in range(TOLD)]))
                 all_k = all_k[all_k < len(letter)]
                 ends = _mixed(np.array([2 * n, 2 * n + 1], np.uint64)).view(np.int64)  # no other text's letters
                 padded = np.concatenate([letter, ends])
@@ -179,7 +187,7 @@ def _positions(length: int):
                 back = np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(letter), np.uint64(pow(int(_MIX_TOO | np.uint64(1)), -1, 2**64)))]))
                 prefix = (sums[all_k + m] - sums[all_k]) * back[all_k] + _mixed(m.astype(np.uint64))
                 gap = p - np.where(all_k > 0, at[np.maximum(all_k, 1) - 1], p - width)
-                asked = np.isin(all_k, kept) & (m >= 3) & (p >= low) & (p + length - high <= size)
+                asked = np.isin(all_k, asking)
                 columns = [np.full(len(all_k), n), all_k, padded[all_k], padded[all_k + 1], padded[all_k + 2], prefix.view(np.int64), p, gap, asked]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["n", "k", "t0", "t1", "t2", "prefix", "p", "gap", "asked"])
 
@@ -364,6 +372,7 @@ def _spans(length: int, key: str):
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """(key, n_bytes, spans, kept): where each text holds strings of ``length`` bytes that also start anywhere else, in order and
     joined where they meet, and the bytes that are left without them."""
+    spark = docs.sparkSession
     whole = F.coalesce(F.col(text), F.lit(""))
     read = docs.select(key, whole.alias("_text")).select(
         key, "_text", F.octet_length("_text").alias("_size"), F.monotonically_increasing_id().alias("_n"),
@@ -378,10 +387,11 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     triples = texts.filter(F.size("_letters") > 2).select("_n", "_letters").mapInArrow(_triples, "n long, k long, h long")
     shared = cut(alike_neighbours(triples, ["h", "n", "k"], ["h"]), "shared")
     firsts = rows.filter("_n = _first").select(F.col("_n").alias("n"))
-    kept = shared.join(firsts, "n").groupBy(F.col("n").alias("_n")).agg(F.collect_set("k").alias("ks"))
+    kept = shared.join(firsts, "n").groupBy(F.col("n").alias("_n")).agg(F.collect_list("k").alias("ks"))
     columns = texts.select("_n", "_size", "_at", "_letters").join(kept, "_n")
     positions = cut(columns.mapInArrow(_positions(length), _POSITIONS), "positions")
     drop_table(shared)
+    collect_garbage(spark)
 
     names = ranks(positions)
     alike = merged(positions, names)
@@ -393,12 +403,14 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     found = cut(found, "around")
     drop_table(positions)
     drop_table(alike)
+    collect_garbage(spark)
 
     stretches, read = _repeated(found, length)
     marks = stretches.groupBy(F.col("n").alias("_n")).agg(F.collect_list(F.struct("first", "last")).alias("marks"))
     told = cut(rows.select("_n", "_rows").join(marks, "_n", "left").withColumn("marks", F.coalesce("marks", F.array())), "marks")
     for done in (found, *read, rows):
         drop_table(done)
+    collect_garbage(spark)
     schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, n_bytes long, spans array<struct<start: long, end: long>>, kept binary"
     return texts.select(key, "_text", "_n").join(told, "_n").select(key, "_text", "_rows", "marks").mapInArrow(_spans(length, key), schema)
 
