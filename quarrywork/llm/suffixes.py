@@ -100,13 +100,14 @@ def _cut_up(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
+            found, sizes = [], []
             for text in batch.column("_text").to_pylist():
                 data = text.encode("utf-8", "surrogatepass")
+                sizes.append(len(data))
                 at = anchors(data, width) if len(data) >= length else np.zeros(0, np.int64)
                 found.append((at, letters(data, at, width).view(np.int64) if len(at) > 3 else np.zeros(0, np.int64)))
             columns = [pa.array([x[0].astype(np.int32) for x in found], pa.list_(pa.int32())), pa.array([x[1] for x in found], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, "_at", "_letters"])
+            yield pa.RecordBatch.from_arrays([batch.column("_n"), pa.array(sizes, pa.int64()), *columns], ["_n", "_size", "_at", "_letters"])
 
     return run
 
@@ -374,34 +375,32 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     joined where they meet, and the bytes that are left without them."""
     spark = docs.sparkSession
     whole = F.coalesce(F.col(text), F.lit(""))
-    read = docs.select(key, whole.alias("_text")).select(
-        key, "_text", F.octet_length("_text").alias("_size"), F.monotonically_increasing_id().alias("_n"),
-        F.xxhash64("_text").alias("_h"), F.xxhash64(F.lit("too"), "_text").alias("_g"),
-    )
-    schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, _text string, _size int, _n long, _h long, _g long, _at array<int>, _letters array<long>"
-    texts = cut(read.mapInArrow(_cut_up(length), schema), "texts")
-    ids = texts.select("_n", "_h", "_g")
+    texts = cut(docs.select(key, whole.alias("_text")).withColumn("_n", F.monotonically_increasing_id()), "texts")
+    ids = texts.select("_n", F.xxhash64("_text").alias("_h"), F.xxhash64(F.lit("too"), "_text").alias("_g"))
     groups = ids.groupBy("_h", "_g").agg(F.min("_n").alias("_n"), F.count("*").alias("_rows"))
     rows = cut(ids.join(groups.withColumnRenamed("_n", "_first"), ["_h", "_g"]).select("_n", "_first", "_rows"), "rows")
 
-    triples = texts.filter(F.size("_letters") > 2).select("_n", "_letters").mapInArrow(_triples, "n long, k long, h long")
+    phrases = texts.select("_n", "_text").mapInArrow(_cut_up(length), "_n long, _size long, _at array<int>, _letters array<long>")
+    phrases = cut(phrases.filter(F.size("_letters") > 2), "phrases")
+    triples = phrases.select("_n", "_letters").mapInArrow(_triples, "n long, k long, h long")
     shared = cut(alike_neighbours(triples, ["h", "n", "k"], ["h"]), "shared")
     firsts = rows.filter("_n = _first").select(F.col("_n").alias("n"))
     kept = shared.join(firsts, "n").groupBy(F.col("n").alias("_n")).agg(F.collect_list("k").alias("ks"))
-    columns = texts.select("_n", "_size", "_at", "_letters").join(kept, "_n")
+    columns = phrases.join(kept, "_n")
     positions = cut(columns.mapInArrow(_positions(length), _POSITIONS), "positions")
     drop_table(shared)
+    drop_table(phrases)
     collect_garbage(spark)
 
     names = ranks(positions)
     alike = merged(positions, names)
     drop_table(names)
+    drop_table(positions)
     places = alike.distinct().groupBy(F.col("n").alias("_n")).agg(F.collect_list(F.struct("p", "gap")).alias("places"))
     found = texts.select("_n", "_text").join(places, "_n").mapInArrow(
         _contexts(length), ", ".join(f"{c} {'binary' if c == 'beside' else 'long'}" for c in _CONTEXTS)
     )
     found = cut(found, "around")
-    drop_table(positions)
     drop_table(alike)
     collect_garbage(spark)
 

@@ -140,12 +140,12 @@ def candidates(mined: DataFrame, rows: int, min_support: float, min_rows: int, l
     items = F.transform(F.when(F.col("bad"), F.array_append("tokens", F.lit(BAD))).otherwise(F.col("tokens")), tag)
     items = cut(split.select("part", items.alias("items")), "projections")
     n = max(1, items.count())
-    model = FPGrowth(itemsCol="items", minSupport=(often - 0.5) / n, minConfidence=least).fit(items)
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, (often - 0.5) / n), minConfidence=least).fit(items)
     untagged = F.transform("antecedent", lambda t: F.regexp_replace(t, r"^[\d.]+\|", ""))
     rules = model.associationRules.filter(F.col("consequent")[0].endswith("|" + BAD) & (F.size("antecedent") <= MOST_TOKENS))
     rules = rules.select(F.regexp_extract(F.col("antecedent")[0], r"^[\d.]+", 0).alias("_part"), F.sort_array(untagged).alias("tokens"), "confidence", (F.col("support") * n / rows).alias("support"))
     own = F.array_join(F.array_sort(F.array_distinct(F.transform("tokens", lambda t: _part(t, parts)))).cast("array<string>"), ".")
-    rules = rules.filter(own == F.col("_part")).drop("_part")
+    rules = rules.filter((own == F.col("_part")) & (F.round(F.col("support") * rows) >= often)).drop("_part")
     rules = rules.filter(F.round(F.col("support") / F.col("confidence") * rows) >= max(min_rows, min_support * rows))
     pairs = lambda x, i: F.transform(F.slice("tokens", i + 2, F.lit(MOST_TOKENS)), lambda y: F.array(x, y))
     subsets = F.concat(F.transform("tokens", lambda x: F.array(x)), F.flatten(F.transform("tokens", pairs)))
