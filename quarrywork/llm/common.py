@@ -51,12 +51,6 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def collect_garbage(spark: SparkSession) -> None:
-    """Files of shuffles that are over go once the driver has collected what stood for them; until it happens to, steps that move
-    much of the corpus one after the other would keep them all."""
-    spark.sparkContext._jvm.System.gc()
-
-
 def drop_table(df: DataFrame) -> None:
     """Remove a table that :func:`cut` wrote, once nothing reads it any more."""
     spark = df.sparkSession

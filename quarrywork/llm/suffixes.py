@@ -37,7 +37,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import collect_garbage, cut, drop_table, table
+from .common import cut as written
+from .common import drop_table, table
 
 LENGTH = 400
 #: Letters by which suffixes are told apart, 290 bytes on average; what shares as many is left to the comparison of bytes.
@@ -48,6 +49,21 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MIX_TOO = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
+    """A table in the shared folder, as elsewhere; what was shuffled for it goes as soon as it is written, not when the driver next
+    collects its garbage, as each step here shuffles a share of the corpus."""
+    conf = df.sparkSession.conf
+    before = conf.get(_CLEANUP, None)
+    conf.set(_CLEANUP, "true")
+    try:
+        return written(df, name)
+    finally:
+        conf.unset(_CLEANUP) if before is None else conf.set(_CLEANUP, before)
+
+
 def window(length: int) -> int:
     """The widest window of anchors with which equal strings of ``length`` bytes share three phrases."""
     if length < GRAM + 9:
@@ -95,19 +111,23 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(29))) * _MIX_TOO
 
 
+_PHRASES = ["_n", "_size", "_h", "_g", "_at", "_letters"]
+
+
 def _cut_up(length: int):
     width = window(length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, sizes = [], []
+            found, sizes, digests = [], [], []
             for text in batch.column("_text").to_pylist():
                 data = text.encode("utf-8", "surrogatepass")
                 sizes.append(len(data))
+                digests.append(struct.unpack("<qq", hashlib.blake2b(data, digest_size=16).digest()))
                 at = anchors(data, width) if len(data) >= length else np.zeros(0, np.int64)
                 found.append((at, letters(data, at, width).view(np.int64) if len(at) > 3 else np.zeros(0, np.int64)))
             columns = [pa.array([x[0].astype(np.int32) for x in found], pa.list_(pa.int32())), pa.array([x[1] for x in found], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column("_n"), pa.array(sizes, pa.int64()), *columns], ["_n", "_size", "_at", "_letters"])
+            yield pa.RecordBatch.from_arrays([batch.column("_n"), pa.array(sizes, pa.int64()), *(pa.array([d[i] for d in digests], pa.int64()) for i in range(2)), *columns], _PHRASES)
 
     return run
 
@@ -373,24 +393,22 @@ def _spans(length: int, key: str):
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """(key, n_bytes, spans, kept): where each text holds strings of ``length`` bytes that also start anywhere else, in order and
     joined where they meet, and the bytes that are left without them."""
-    spark = docs.sparkSession
     whole = F.coalesce(F.col(text), F.lit(""))
     texts = cut(docs.select(key, whole.alias("_text")).withColumn("_n", F.monotonically_increasing_id()), "texts")
-    ids = texts.select("_n", F.xxhash64("_text").alias("_h"), F.xxhash64(F.lit("too"), "_text").alias("_g"))
-    groups = ids.groupBy("_h", "_g").agg(F.min("_n").alias("_n"), F.count("*").alias("_rows"))
-    rows = cut(ids.join(groups.withColumnRenamed("_n", "_first"), ["_h", "_g"]).select("_n", "_first", "_rows"), "rows")
-
-    phrases = texts.select("_n", "_text").mapInArrow(_cut_up(length), "_n long, _size long, _at array<int>, _letters array<long>")
+    phrases = texts.select("_n", "_text").mapInArrow(_cut_up(length), "_n long, _size long, _h long, _g long, _at array<int>, _letters array<long>")
     phrases = cut(phrases.filter(F.size("_letters") > 2), "phrases")
+    ids = phrases.select("_n", "_h", "_g")
+    groups = ids.groupBy("_h", "_g").agg(F.min("_n").alias("_first"), F.count("*").alias("_rows"))
+    rows = cut(ids.join(groups, ["_h", "_g"]).select("_n", "_first", "_rows"), "rows")
+
     triples = phrases.select("_n", "_letters").mapInArrow(_triples, "n long, k long, h long")
     shared = cut(alike_neighbours(triples, ["h", "n", "k"], ["h"]), "shared")
     firsts = rows.filter("_n = _first").select(F.col("_n").alias("n"))
     kept = shared.join(firsts, "n").groupBy(F.col("n").alias("_n")).agg(F.collect_list("k").alias("ks"))
-    columns = phrases.join(kept, "_n")
+    columns = phrases.drop("_h", "_g").join(kept, "_n")
     positions = cut(columns.mapInArrow(_positions(length), _POSITIONS), "positions")
     drop_table(shared)
     drop_table(phrases)
-    collect_garbage(spark)
 
     names = ranks(positions)
     alike = merged(positions, names)
@@ -402,16 +420,15 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     )
     found = cut(found, "around")
     drop_table(alike)
-    collect_garbage(spark)
 
     stretches, read = _repeated(found, length)
     marks = stretches.groupBy(F.col("n").alias("_n")).agg(F.collect_list(F.struct("first", "last")).alias("marks"))
-    told = cut(rows.select("_n", "_rows").join(marks, "_n", "left").withColumn("marks", F.coalesce("marks", F.array())), "marks")
+    told = cut(rows.select("_n", "_rows").join(marks, "_n", "left"), "marks")
     for done in (found, *read, rows):
         drop_table(done)
-    collect_garbage(spark)
     schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, n_bytes long, spans array<struct<start: long, end: long>>, kept binary"
-    return texts.select(key, "_text", "_n").join(told, "_n").select(key, "_text", "_rows", "marks").mapInArrow(_spans(length, key), schema)
+    whole = texts.join(told, "_n", "left").select(key, "_text", F.coalesce("_rows", F.lit(1)).alias("_rows"), F.coalesce("marks", F.array()).alias("marks"))
+    return whole.mapInArrow(_spans(length, key), schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
