@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import table
 from ..sources import files as X
+from ..sources import nesting
 from . import query
 
 
@@ -86,7 +87,10 @@ def style(spark, sf_dir):
 
 @query("S09", """SELECT doc_id, 'package' AS kind, 'dependency' AS chunk, source AS name, '^' || doc_id AS value FROM documents WHERE doc_id % 2 = 0
   UNION ALL SELECT doc_id, 'package', 'development', 'jest', '1' FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 'package', 'script', 'test', 'run ' || lang FROM documents WHERE doc_id % 2 = 0
-  UNION ALL SELECT doc_id, 'settings', 'section', 'Logging', '{"Level":"' || lang || '"}' FROM documents WHERE doc_id % 2 = 1""")
+  UNION ALL SELECT doc_id, 'settings', 'section', 'Logging', '{"Level":"' || lang || '"}' FROM documents WHERE doc_id % 2 = 1
+  UNION ALL SELECT doc_id, 'webconfig', 'setting', source, lang FROM documents UNION ALL SELECT doc_id, 'yaml', 'setting', 'logging.level.' || source, lang FROM documents
+  UNION ALL SELECT doc_id, 'yaml', 'setting', 'logging.sinks.-.name', '#' || doc_id FROM documents UNION ALL SELECT doc_id, 'yaml', 'setting', 'logging.sinks.-.size', '5' FROM documents
+  UNION ALL SELECT doc_id, 'yaml', 'setting', 'motto', '|' FROM documents UNION ALL SELECT doc_id, 'yaml', 'setting', 'tags.-', source FROM documents""")
 def config(spark, sf_dir):
     key, lang = F.col("doc_id").cast("string"), F.col("lang")
     package = F.concat(F.lit('{"dependencies": {"'), "source", F.lit('": "^'), key, F.lit('"}, "devDependencies": {"jest": "1"}, "scripts": {"test": "run '), lang, F.lit('"}}'))
@@ -96,29 +100,45 @@ def config(spark, sf_dir):
         F.when(even, "a/package.json").otherwise("a/appsettings.json").alias("path"),
         F.when(even, package).otherwise(F.concat(F.lit('{"Logging": {"Level": "'), lang, F.lit('"}}'))).alias("content"),
     )
-    return X.settings(files, "doc_id", "path", "content")
-
-
-@query("S10", _rows("docker", ("stage", 0, "source", "'base:' || doc_id"), ("stage", 1, "''", "'scratch'"), ("copied", 0, "source", "''"), ("port", 0, "'8080'", "''")))
+    web = _as(spark, sf_dir, "web.config", '<appSettings>\n<add key="', F.col("source"), '" value="', lang, '" />\n</appSettings>')
+    yaml = _as(spark, sf_dir, "a.yml", "# all\nlogging:\n  level:\n    ", F.col("source"), ": ", lang, "  # own\n  sinks:\n  - name: '#", key, "'\n    size: 5\n"
+               "motto: |\n  a: b\n\n  - c\ntags:\n- ", F.col("source"), "\n")
+    told = nesting.entries(yaml, "doc_id", "content").filter("value <> ''")
+    told = told.select("doc_id", F.lit("yaml").alias("kind"), F.lit("setting").alias("chunk"), F.concat_ws(".", "path", "name").alias("name"), "value")
+    found = X.settings(files, "doc_id", "path", "content").unionByName(X.extracted(web, "doc_id", "path", "content").drop("pos"))
+    return found.unionByName(told)
+
+
+@query("S10", _rows("docker", ("stage", 0, "source", "'base:' || doc_id"), ("stage", 1, "''", "'scratch'"), ("copied", 0, "source", "''"), ("port", 0, "'8080/tcp'", "''"), ("variable", 0, "'LANG'", "lang"), ("folder", 0, "'/app'", "''"), ("start", 0, "'CMD'", "'[\"run\"]'"))
+       + " UNION ALL " + _rows("compose", ("service", 2, "source", "''"), ("image", 3, "source", "'base:' || doc_id"), ("port", 5, "source", "'80:80'"), ("needs", 6, "source", "'db'"),
+                               ("needs", 6, "source", "lang"), ("service", 7, "'db'", "''"), ("needs", 9, "'db'", "'disk'")))
 def docker(spark, sf_dir):
     files = _as(spark, sf_dir, "Dockerfile", "FROM base:", F.col("doc_id").cast("string"), " AS ", F.col("source"), "\nRUN x\nfrom scratch\nCOPY --from=", F.col("source"),
-                " /a /b\n# EXPOSE 1\nEXPOSE 8080\n")
-    return X.extracted(files, "doc_id", "path", "content")
+                " /a /b\n# EXPOSE 1\nEXPOSE 8080/tcp\nEXPOSE x\nENV LANG=", F.col("lang"), '\nWORKDIR /app\nCMD ["run"]\n')
+    composed = _as(spark, sf_dir, "compose.yml", "services:\n  ", F.col("source"), ":\n    image: base:", F.col("doc_id").cast("string"), '\n    ports:\n      - "80:80"\n'
+                   "    depends_on: [db, ", F.col("lang"), "]\n  db:\n    depends_on:\n      disk:\n        condition: up\nvolumes:\n  image: x\n")
+    told = nesting.services(composed, "doc_id", "content").withColumn("kind", F.lit("compose"))
+    return X.extracted(files, "doc_id", "path", "content").unionByName(told)
 
 
-@query("S11", _rows("project", ("package", 0, "'Lib.' || source", "'1.' || doc_id"), ("package", 1, "'Bare'", "''"), ("reference", 0, "'../' || lang || '.csproj'", "''")))
+@query("S11", _rows("project", ("package", 0, "'Lib.' || source", "'1.' || doc_id"), ("package", 1, "'Bare'", "''"), ("reference", 0, "'../' || lang || '.csproj'", "''"))
+       + " UNION ALL " + _rows("solution", ("project", 0, "source", "'src' || chr(92) || lang || '.csproj'"), ("project", 1, "'Tests'", "'t.csproj'")))
 def project(spark, sf_dir):
     files = _as(spark, sf_dir, "x.csproj", '<Project><ItemGroup>\n<PackageReference Include="Lib.', F.col("source"), '" Version="1.', F.col("doc_id").cast("string"),
                 '" />\n<PackageReference Include="Bare" /><ProjectReference Include="../', F.col("lang"), '.csproj" /></ItemGroup></Project>')
-    return X.extracted(files, "doc_id", "path", "content")
+    solution = _as(spark, sf_dir, "y.sln", 'Microsoft Visual Studio Solution File\nProject("{F1}") = "', F.col("source"), '", "src\\', F.col("lang"), '.csproj", "{A1}"\nEndProject\n'
+                   'Project("{F1}") = "Tests", "t.csproj", "{A2}"\nEndProject\n')
+    return X.extracted(files.unionByName(solution), "doc_id", "path", "content")
 
 
 @query("S12", _rows("terraform", ("resource", 0, "source", "'db_table'"), ("module", 0, "'net_' || lang", "''"), ("variable", 0, "'size'", "''"))
-       + " UNION ALL SELECT doc_id, 'template', 'resource', 0, source, 'X.Y/' || lang FROM documents")
+       + " UNION ALL SELECT doc_id, 'template', 'resource', 0, source, 'X.Y/' || lang FROM documents UNION ALL "
+       + _rows("bicep", ("resource", 0, "source", "'A.B/c@1'"), ("module", 0, "'net'", "'net_' || lang || '.bicep'"), ("param", 0, "'size'", "'int'")))
 def infrastructure(spark, sf_dir):
     files = _as(spark, sf_dir, "main.tf", 'resource "db_table" "', F.col("source"), '" {\n}\n# resource\nmodule "net_', F.col("lang"), '" {}\n  variable "size" {}\n')
     template = _as(spark, sf_dir, "arm.json", '{"resources": [{"type": "X.Y/', F.col("lang"), '", "name": "', F.col("source"), '"}]}')
     found = X.resources(template, "doc_id", "content").select(
         "doc_id", F.lit("template").alias("kind"), F.lit("resource").alias("chunk"), "pos", "name", F.col("type").alias("value")
     )
-    return X.extracted(files, "doc_id", "path", "content").unionByName(found)
+    bicep = _as(spark, sf_dir, "m.bicep", "resource ", F.col("source"), " 'A.B/c@1' = {\n  name: 'x'\n}\nmodule net 'net_", F.col("lang"), ".bicep' = {}\nparam size int = 3\n")
+    return X.extracted(files.unionByName(bicep), "doc_id", "path", "content").unionByName(found)

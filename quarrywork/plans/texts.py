@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import text as T
-from ..sources import chunks
+from ..sources import chunks, nesting
 from ..session import table
 from . import query
 
@@ -38,12 +38,30 @@ def json_chunks(spark, sf_dir):
     return chunks.json_entries(events.select("event_id", text.alias("t")), "event_id", "t")
 
 
-@query("S08", r"""WITH t AS (SELECT page_id, unnest(['article', 'nav', 'footer']) AS tag, html FROM pages),
-  f AS (SELECT page_id, tag, regexp_extract_all(html, '(?is)<' || tag || '\b[^>]*>(.*?)</' || tag || '>', 1) AS found FROM t)
-  SELECT page_id, tag, (k - 1)::INT AS pos, md5(found[k]) AS digest FROM (SELECT *, unnest(range(1, len(found) + 1)) AS k FROM f)""")
+_CODE = "@code {\n  void A() { if (x) { y(); } }\n}"
+_SQL_CODE = "'" + _CODE.replace("\n", "' || chr(10) || '") + "'"
+_KEPT = "CASE WHEN length(v) > 1000 THEN v[:1000] || '...' ELSE v END"
+
+
+@query("S08", rf"""WITH p AS (SELECT page_id, html || chr(10) || {_SQL_CODE} || chr(10) || '<section id="s' || page_id || '"><section class="in ner">  a  </section></section><Grid Rows="1"><Cell/></Grid><Grid>' AS t FROM pages),
+  m AS (SELECT page_id, regexp_extract_all(t, '<h[1-3]|<div[^>]*id\s*=\s*"[^"]+"') AS marks, string_split_regex(t, '<h[1-3]|<div[^>]*id\s*=\s*"[^"]+"') AS gaps FROM p),
+  h AS (SELECT page_id, k - 1 AS i, marks[k] || gaps[k + 1] AS v, regexp_extract(marks[k], 'id\s*=\s*"([^"]+)"', 1) AS own FROM (SELECT *, unnest(range(1, len(marks) + 1)) AS k FROM m)),
+  e AS (SELECT page_id, tag, k, regexp_replace(f[k], '^\s+|\s+$', '', 'g') AS v FROM (SELECT *, unnest(range(1, len(f) + 1)) AS k FROM
+    (SELECT page_id, tag, regexp_extract_all(t, '(?is)<' || tag || '\b[^>]*>(.*?)</' || tag || '\s*>', 1) AS f FROM p, (VALUES ('form'), ('table'), ('nav'), ('header'), ('footer'), ('aside'), ('main'), ('article')) g(tag)))),
+  s AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY k) AS i, v FROM (SELECT page_id, k, regexp_replace(f[k], '^\s+|\s+$', '', 'g') AS v FROM
+    (SELECT *, unnest(range(1, len(f) + 1)) AS k FROM (SELECT page_id, regexp_extract_all(t, '(?is)<style[^>]*>(.*?)</style>', 1) AS f FROM p))) WHERE v <> ''),
+  c AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(t, '<([A-Z][a-zA-Z0-9]*)[^>]*>', 1)) AS name FROM p),
+  a AS (SELECT page_id, 'html_section' AS chunk, CASE WHEN own <> '' THEN own ELSE 'Section_' || i END AS name, v[:1500] AS v FROM h WHERE length(v) >= 100
+    UNION ALL SELECT page_id, 'element', tag || '_' || tag || k, {_KEPT} FROM e UNION ALL SELECT page_id, 'style_tag', 'InlineStyles_' || i, v FROM s UNION ALL SELECT page_id, 'component', name, '' FROM c
+    UNION ALL SELECT page_id, 'code', 'code', {_SQL_CODE} FROM p UNION ALL SELECT page_id, 'element', 'section_in', 'a' FROM p
+    UNION ALL SELECT page_id, 'element', 'section_s' || page_id, '<section class="in ner">  a  </section>' FROM p)
+  SELECT page_id, chunk, name, md5(v) AS digest FROM a""")
 def html_blocks(spark, sf_dir):
-    blocks = chunks.tag_blocks(table(spark, sf_dir, "pages"), "page_id", "html", ("article", "nav", "footer"))
-    return blocks.select("page_id", "tag", "pos", F.md5("content").alias("digest"))
+    """Pages with a block of code, nested sections and components after them."""
+    pages = table(spark, sf_dir, "pages")
+    more = F.concat(F.lit(f'\n{_CODE}\n<section id="s'), F.col("page_id").cast("string"), F.lit('"><section class="in ner">  a  </section></section><Grid Rows="1"><Cell/></Grid><Grid>'))
+    found = nesting.markup(pages.select("page_id", F.concat("html", more).alias("t")), "page_id", "t")
+    return found.select("page_id", "chunk", "name", F.md5("value").alias("digest"))
 
 
 @query("S14", "SELECT DISTINCT source, lang FROM documents")

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 _AT_ONCE = 256
 
 
-def _let(value: Column, body) -> Column:
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, also where a lambda uses it for each entry."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
@@ -20,21 +21,21 @@ def _prefix(values: Column) -> Column:
 
 def starts(lengths: Column) -> Column:
     """The sum of all entries before each, by running sums of blocks and within them: no row of it moves."""
-    n = F.size(lengths)
-    blocks = F.transform(
-        F.sequence(F.lit(0), F.floor((n - 1) / _AT_ONCE).cast("int")), lambda b: F.slice(lengths, b * _AT_ONCE + 1, F.lit(_AT_ONCE))
-    )
+
+    def cut(lengths: Column) -> Column:
+        last = F.floor((F.size(lengths) - 1) / _AT_ONCE).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(lengths, b * _AT_ONCE + 1, F.lit(_AT_ONCE)))
 
     def within(blocks: Column) -> Column:
         sums = F.transform(blocks, lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda s, v: s + v))
-        return _let(
+        return let(
             _prefix(sums),
             lambda before: F.flatten(
                 F.transform(blocks, lambda x, i: F.slice(F.transform(_prefix(x), lambda p: p + before[i]), F.lit(1), F.size(x)))
             ),
         )
 
-    return F.when(n > 0, _let(blocks, within))
+    return let(lengths, lambda found: F.when(F.size(found) > 0, let(cut(found), within)))
 
 
 def lines(docs: DataFrame, key: str, text: str) -> DataFrame:

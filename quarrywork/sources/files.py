@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chunks import let, starts
+
 # Which files are read.
 GLOBS = (
     "*.cs", "*.vb", "*.cshtml", "*.razor", "*.py", "*.md", "*.css", "*.scss", "*.less", "*.js", "*.jsx", "*.ts",
@@ -93,10 +95,10 @@ CHUNKS = (
     Chunk("style", "rule", r"(?:^|[{};])\s*([.#\w*:\[][^{};@]*?)\s*\{([^{}]*)\}", 1, 2),
     Chunk("docker", "stage", r"(?im)^FROM[ \t]+(\S+)(?:[ \t]+AS[ \t]+(\S+))?", 2, 1),
     Chunk("docker", "copied", r"(?im)^COPY[ \t]+--from=(\S+)"),
-    Chunk("docker", "port", r"(?im)^EXPOSE[ \t]+(\S+)"),
-    Chunk("compose", "service", r"(?m)^  ([\w-]+):[ \t]*$"),
-    Chunk("compose", "image", r"(?m)^    image:[ \t]*(\S+)"),
-    Chunk("compose", "needs", r"(?m)^      - ([\w-]+)[ \t]*$"),
+    Chunk("docker", "port", r"(?im)^EXPOSE[ \t]+(\d+(?:/(?:tcp|udp))?)"),
+    Chunk("docker", "variable", r"(?im)^ENV[ \t]+(\w+)(?:=|[ \t]+)([^\n]+)", 1, 2),
+    Chunk("docker", "folder", r"(?im)^WORKDIR[ \t]+([^\n]+)"),
+    Chunk("docker", "start", r"(?im)^(ENTRYPOINT|CMD)[ \t]+([^\n]+)", 1, 2),
     Chunk("project", "package", r'<PackageReference\s+Include="([^"]+)"(?:\s+Version="([^"]*)")?', 1, 2),
     Chunk("project", "reference", r'<ProjectReference\s+Include="([^"]+)"'),
     Chunk("solution", "project", r'(?m)^Project\("[^"]*"\)\s*=\s*"([^"]+)",\s*"([^"]+)"', 1, 2),
@@ -178,7 +180,8 @@ def sections(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, pos, level, title, end_pos): Markdown headers and the lines at which their sections end.
 
     A section ends before the next header of its level or a higher one, so sections nest; at the last line without
-    any. One fold over a row's headers: neither lines nor headers move.
+    any. Of each level the headers as high as it are listed once, and a header's place among them by running counts tells
+    the one after it: within the row, and no longer with more headers.
     """
     lines = F.split(text, "\n")
     heads = F.filter(
@@ -186,14 +189,21 @@ def sections(docs: DataFrame, key: str, text: str) -> DataFrame:
                                                  F.trim(F.regexp_extract(x, r"^#{1,6}\s+(.+)$", 1)).alias("title"))),
         lambda h: h["level"] > 0,
     )
-    rows = docs.select(key, F.size(lines).alias("_n"), heads.alias("_h"))
 
-    def ended(h: Column, i: Column) -> Column:
-        later = F.filter(F.slice("_h", i + 2, F.size("_h")), lambda g: g["level"] <= h["level"])
-        end = F.when(F.size(later) > 0, F.try_element_at(later, F.lit(1))["pos"] - 1).otherwise(F.col("_n"))
-        return F.struct(h["pos"].alias("pos"), h["level"].alias("level"), h["title"].alias("title"), end.alias("end_pos"))
+    def ended(h: Column) -> Column:
+        high = F.array(*[F.transform(F.filter(h, _as_high(k)), lambda x: x["pos"]) for k in range(1, 7)])
+        before = [starts(F.transform(F.transform(h, _as_high(k)), lambda x: x.cast("long"))) for k in range(1, 7)]
+        places = F.arrays_zip(h.alias("h"), *[b.alias(f"k{k}") for k, b in enumerate(before, 1)])
+        ends = let(high, lambda listed: F.transform(places, lambda p: F.try_element_at(
+            F.element_at(listed, p["h"]["level"]), (F.element_at(F.array(*[p[f"k{k}"] for k in range(1, 7)]), p["h"]["level"]) + 2).cast("int"))))
+        return F.zip_with(h, ends, lambda x, after: F.struct(x["pos"].alias("pos"), x["level"].alias("level"), x["title"].alias("title"), (after - 1).alias("end_pos")))
+
+    rows = docs.select(key, F.size(lines).alias("_n"), F.inline(let(heads, ended)))
+    return rows.select(key, "pos", "level", "title", F.coalesce("end_pos", "_n").alias("end_pos"))
+
 
-    return rows.select(key, F.inline(F.transform("_h", ended)))
+def _as_high(level: int):
+    return lambda x: x["level"] <= level
 
 
 def link_kind(target: Column) -> Column:
