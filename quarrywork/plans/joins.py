@@ -9,7 +9,7 @@ from pyspark.sql.window import Window as W
 
 from ..operators import graph, sets
 from ..session import shared_dir, table
-from ..sources import tables
+from ..sources import snapshots, tables
 from . import query
 
 
@@ -178,13 +178,37 @@ def upsert(spark, sf_dir):
         "vec_id", "embedding", F.lit(1).alias("indexed_at"))
     none = points.limit(1).withColumns({"embedding": F.lit(None).cast(points.schema["embedding"].dataType), "id": F.lit("none")})
     folder = f"{shared_dir(spark)}/points-{uuid.uuid4().hex}"
-    tables.write(tables.points(points.unionByName(none), "embedding"), f"{folder}/rows")
+    snapshots.create(spark, folder, tables.points(points.unionByName(none), "embedding"))
     again = points.filter("vec_id % 4 = 0").withColumn("indexed_at", F.lit(2))
-    stored = tables.upsert(spark, f"{folder}/rows", tables.points(again, "embedding"), f"{folder}/staged")
+    snapshots.upsert(spark, folder, tables.points(again, "embedding"))
+    snapshots.vacuum(spark, folder)
+    stored = snapshots.read(spark, folder)
     total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double"))
     return stored.select("vec_id", F.col("kind").cast("int").alias("kind"), F.round(total, 4).alias("total"), (F.col("indexed_at") == 2).alias("replaced"))
 
 
+@query("REINDEX", """WITH l AS (SELECT doc_id, max(quality) AS q, max(toxic) AS t FROM labels GROUP BY 1), w AS (SELECT CAST(doc_id AS VARCHAR) AS file_path, q IS NULL AS added, coalesce(q = 0, false) AS gone,
+      coalesce(t = 1, false) AS touched, lang, source FROM documents LEFT JOIN l USING (doc_id))
+  SELECT file_path, CASE WHEN gone THEN 'deleted' WHEN added THEN 'new' WHEN touched THEN 'modified' ELSE 'unchanged' END AS change,
+    CASE WHEN NOT gone THEN CASE WHEN touched AND NOT added THEN 2 ELSE 1 END END AS modified, CASE WHEN NOT gone THEN lang END AS context, CASE WHEN NOT gone THEN source END AS kind FROM w""")
+def reindexed(spark, sf_dir):
+    """The labelled documents are indexed; then all are listed but those of no quality, the toxic ones with a later time.
+    Each document's change, and what the index then holds of it."""
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", F.col("doc_id").cast("string").alias("file_path"), F.col("lang").alias("context"), F.col("source").alias("kind"))
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("q"), F.max("toxic").alias("t"))
+    files = docs.join(labels, "doc_id", "left")
+    listed = files.select("file_path", F.when(F.col("t") == 1, 2).otherwise(1).alias("modified"))
+    elements = lambda files: files.join(docs.drop("doc_id"), "file_path")
+    folder = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    before = files.filter("q IS NOT NULL").select("file_path", F.lit(1).alias("modified"))
+    snapshots.reindex(spark, folder, before, elements)
+    now = listed.join(files.filter("q = 0").select("file_path"), "file_path", "anti")
+    found = snapshots.reindex(spark, folder, now, elements)
+    snapshots.vacuum(spark, folder)
+    return found.join(snapshots.read(spark, folder), "file_path", "left").select("file_path", "change", "modified", "context", "kind")
+
+
 @query("S18", """WITH n AS (SELECT doc_id FROM documents), e AS (SELECT DISTINCT doc_id AS src, doc_id * 3 // 2 AS dst FROM documents)
   SELECT 'node' AS part, doc_id AS a, NULL::BIGINT AS b, 'Document' AS kind FROM n UNION ALL SELECT 'edge', src, dst, 'USES' FROM e
   UNION ALL SELECT DISTINCT 'node', dst, NULL::BIGINT, 'Reference' FROM e WHERE dst NOT IN (SELECT doc_id FROM n)""")

@@ -1,12 +1,12 @@
-"""Sinks: tables of elements, partitioned by context and kind, with upserts and deletes by path."""
+"""Sinks of elements and graphs, and deletes by path. Tables that change by commits are in ``snapshots``."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import usable
-from ..operators.sets import upserted, without
+from ..operators.sets import without
 
 
 def point_id(*parts: str | Column) -> Column:
@@ -19,23 +19,6 @@ def points(elements: DataFrame, vector: str) -> DataFrame:
     return elements.filter(usable(F.col(vector)))
 
 
-def write(elements: DataFrame, path: str) -> None:
-    """Replace the partitions (context, kind) that ``elements`` has rows of, and no others. A partition has as many files
-    as its rows ask for."""
-    writer = elements.write.mode("overwrite").partitionBy("context", "kind")
-    writer.option("partitionOverwriteMode", "dynamic").parquet(path)
-
-
-def upsert(spark: SparkSession, path: str, incoming: DataFrame, staged: str) -> DataFrame:
-    """Merge into the table at ``path``. The merged rows are staged first, as they are read from what they replace; a write
-    that fails halfway is repeated from the stage. Kinds of element are few, and Spark decides how to join them."""
-    touched = incoming.select("context", "kind").distinct()
-    stored = spark.read.parquet(path).join(touched, ["context", "kind"], "semi")
-    upserted(stored, incoming.select(stored.columns), ["id"], "indexed_at").write.mode("overwrite").parquet(staged)
-    write(spark.read.parquet(staged), path)
-    return spark.read.parquet(path)
-
-
 def write_graph(nodes: DataFrame, edges: DataFrame, folder: str) -> None:
     """Tables ``nodes`` (node, kind) and ``edges`` (src, dst, kind), an edge of a kind once; the ends that are no nodes are
     written as such of kind ``Reference``."""

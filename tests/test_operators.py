@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quarrywork.functions import code as C
 from quarrywork.functions import scalars as S
 from quarrywork.operators import blocks, ensembles, graph, ranking, sets, text, usage, vectors
-from quarrywork.sources import chunks, files, tables
+from quarrywork.sources import chunks, files, snapshots
 
 
 def value(spark, column, row=(0,), schema="x int"):
@@ -81,10 +81,10 @@ def test_changes_and_upserts(spark):
 def test_table_upsert(spark, tmp_path):
     schema = "id string, context string, kind string, v int, indexed_at int"
     path = str(tmp_path / "elements")
-    tables.write(spark.createDataFrame([("1", "x", "f", 1, 1), ("2", "y", "f", 1, 1)], schema), path)
+    snapshots.create(spark, path, spark.createDataFrame([("1", "x", "f", 1, 1), ("2", "y", "f", 1, 1)], schema))
     incoming = spark.createDataFrame([("1", "x", "f", 2, 2), ("3", "x", "f", 1, 2)], schema)
-    merged = tables.upsert(spark, path, incoming, str(tmp_path / "staged"))
-    assert {r.id: r.v for r in merged.collect()} == {"1": 2, "2": 1, "3": 1}
+    snapshots.upsert(spark, path, incoming)
+    assert {r.id: r.v for r in snapshots.read(spark, path).collect()} == {"1": 2, "2": 1, "3": 1}
 
 
 def test_sections(spark):
