@@ -235,6 +235,16 @@ def method_score(
     )
 
 
+# What a grade counts in the mean of a file.
+GRADE_POINTS = {"A": 95, "B": 85, "C": 75, "D": 65, "F": 50}
+
+
+def overall_grade(grade: Column) -> Column:
+    """The grade of a group: that of its members' mean points; an unknown grade counts as the lowest."""
+    points = F.avg(F.coalesce(*[F.when(grade == g, F.lit(p)) for g, p in GRADE_POINTS.items()], F.lit(50)))
+    return F.when(points >= 90, "A").when(points >= 80, "B").when(points >= 70, "C").when(points >= 60, "D").otherwise("F")
+
+
 def database_calls(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"\b\w*(?:" + "|".join(DATABASE_CALLS) + r")\w*\("))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..functions import code as C
 from ..functions import scalars as S
 from ..operators import ensembles, usage
 from ..session import table
@@ -98,19 +99,31 @@ def rewards(spark, sf_dir):
 
 @query("A10", """WITH k AS (SELECT user_id, ts, event_id, CASE event_type WHEN 'view' THEN 'access' WHEN 'purchase' THEN 'edit' WHEN 'click' THEN 'search' WHEN 'signup' THEN 'selected' END AS kind FROM events),
   f AS (SELECT user_id, arg_min(kind, ts) AS first_kind, count(*) FILTER (kind = 'access') AS a, count(*) FILTER (kind = 'edit') AS e,
-    count(*) FILTER (kind = 'search') AS s, count(*) FILTER (kind = 'selected') AS x FROM k WHERE kind IS NOT NULL GROUP BY user_id)
-  SELECT user_id, first_kind, a + x AS access, e AS edit, s + (first_kind = 'selected')::INT AS search, x AS selected FROM f""")
+    count(*) FILTER (kind = 'search') AS s, count(*) FILTER (kind = 'selected') AS x, list(kind ORDER BY ts, event_id) AS ks FROM k WHERE kind IS NOT NULL GROUP BY user_id),
+  n AS (SELECT *, list_transform(ks[2:], lambda k: CASE k WHEN 'edit' THEN 100::DOUBLE WHEN 'selected' THEN 200::DOUBLE WHEN 'access' THEN 300::DOUBLE ELSE 400::DOUBLE END) AS later FROM f)
+  SELECT user_id, first_kind, a + x AS access, e AS edit, s + (first_kind = 'selected')::INT AS search, x AS selected,
+    round(list_reduce(list_prepend(CASE WHEN ks[1] IN ('edit', 'selected') THEN 0.6::DOUBLE ELSE 0.5::DOUBLE END, later),
+      lambda a, x: CASE x WHEN 100 THEN CASE WHEN a < 0.9::DOUBLE THEN a + 0.05::DOUBLE ELSE 0.95::DOUBLE END WHEN 200 THEN CASE WHEN a < 0.95::DOUBLE THEN a + 0.02::DOUBLE ELSE 0.95::DOUBLE END ELSE a END), 6) AS importance,
+    CASE WHEN a + e + x > 0 THEN 1.0 ELSE 0.5 END::DOUBLE AS recency,
+    round(list_reduce(list_prepend(CASE WHEN ks[1] IN ('edit', 'selected') THEN 0.2::DOUBLE ELSE 0.1::DOUBLE END, later),
+      lambda a, x: CASE x WHEN 300 THEN CASE WHEN a < 0.9::DOUBLE THEN a + 0.05::DOUBLE ELSE 0.95::DOUBLE END WHEN 100 THEN CASE WHEN a < 0.9::DOUBLE THEN a + 0.1::DOUBLE ELSE 0.95::DOUBLE END ELSE a END), 6) AS frequency FROM n""")
 def importance_counts(spark, sf_dir):
     kinds = {"view": "access", "purchase": "edit", "click": "search", "signup": "selected"}
-    events = table(spark, sf_dir, "events").select("user_id", "ts", S.mapped(F.col("event_type"), kinds).alias("kind"))
-    return usage.importance_counts(events.filter("kind IS NOT NULL"), "user_id", "kind", "ts")
+    events = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", S.mapped(F.col("event_type"), kinds).alias("kind"))
+    counts = usage.importance_counts(events.filter("kind IS NOT NULL"), "user_id", "kind", "ts")
+    scores = usage.importance_scores(events, "user_id", "kind", "ts", "event_id")
+    return counts.join(scores.withColumns({c: F.round(c, 6) for c in ("importance", "frequency")}), "user_id")
 
 
-@query("A11", """SELECT source, floor(avg(n_chars))::BIGINT AS mean, max(n_chars) AS most, count(*) FILTER (n_chars > 1000) AS long FROM documents GROUP BY source""")
+@query("A11", """WITH d AS (SELECT *, CASE WHEN n_chars < 200 THEN 95 WHEN n_chars < 400 THEN 85 WHEN n_chars < 800 THEN 75 WHEN n_chars < 1600 THEN 65 ELSE 50 END AS points FROM documents)
+  SELECT source, floor(avg(n_chars))::BIGINT AS mean, max(n_chars) AS most, count(*) FILTER (n_chars > 1000) AS long,
+    CASE WHEN avg(points) >= 90 THEN 'A' WHEN avg(points) >= 80 THEN 'B' WHEN avg(points) >= 70 THEN 'C' WHEN avg(points) >= 60 THEN 'D' ELSE 'F' END AS grade FROM d GROUP BY source""")
 def complexity(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy("source").agg(
-        F.floor(F.avg("n_chars")).alias("mean"), F.max("n_chars").alias("most"), F.count_if(F.col("n_chars") > 1000).alias("long")
-    )
+    chars = F.col("n_chars")
+    own = F.when(chars < 200, "A").when(chars < 400, "B").when(chars < 800, "C").when(chars < 1600, "D").otherwise("F")
+    return table(spark, sf_dir, "documents").withColumn("_own", own).groupBy("source").agg(
+        F.floor(F.avg("n_chars")).alias("mean"), F.max("n_chars").alias("most"), F.count_if(chars > 1000).alias("long"),
+        C.overall_grade(F.col("_own")).alias("grade"))
 
 
 @query("A12", """WITH r AS (SELECT event_type AS tool, value AS ms, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS pos, count(*) OVER (PARTITION BY event_type) AS n FROM events)

@@ -38,6 +38,19 @@ def findings(spark, sf_dir):
     return _findings(spark, sf_dir).select("doc_id", "line", "rule", "type")
 
 
+@query("RULES", """WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]{8,}')) AS word FROM benchmark),
+  l AS (SELECT doc_id, generate_subscripts(x, 1)::INT AS line, unnest(x) AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)),
+  c AS (SELECT DISTINCT doc_id, line, t, unnest(regexp_extract_all(lower(t), '[a-z0-9_]+')) AS word FROM l)
+  SELECT doc_id, line, 'ends-' || word AS rule FROM c JOIN w USING (word) WHERE regexp_matches(t, '(?i)' || word || '[.,]')""")
+def many_rules(spark, sf_dir):
+    """A rule for each long word of the benchmark texts: it ends a part of a sentence."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[a-z]{8,}"), F.lit(0))).alias("word")).distinct()
+    rules = words.select(
+        F.concat(F.lit("ends-"), "word").alias("rule"), F.concat(F.lit("(?i)"), "word", F.lit("[.,]")).alias("regex"), F.array("word").alias("words"),
+        F.lit("end").alias("type"), F.lit("low").alias("severity"), F.lit(1.0).alias("confidence"), F.lit(True).alias("positive"))
+    return D.detect_by_words(table(spark, sf_dir, "documents"), "doc_id", "text", rules).select("doc_id", "line", "rule")
+
+
 @query("A33", f"""{_FOUND}, u AS (SELECT doc_id, severity FROM f UNION ALL SELECT doc_id, 'high' FROM documents WHERE length(text) > 5000 UNION ALL SELECT doc_id, 'critical' FROM documents WHERE trim(coalesce(text, '')) = ''
     UNION ALL SELECT doc_id, 'info' FROM documents WHERE NOT contains(lower(coalesce(text, '')), 'the'))
   SELECT doc_id, count(*) AS issues, round(greatest(0, 10 - sum(CASE severity WHEN 'critical' THEN 3 WHEN 'high' THEN 1 WHEN 'info' THEN 0 ELSE 0.1 END)), 4)::DOUBLE AS score FROM u GROUP BY doc_id""")

@@ -5,15 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import let
+
 #: Lengths that are added up at once; their square is what a fold moves.
 _AT_ONCE = 256
 
 
-def let(value: Column, body) -> Column:
-    """``body`` of a value that is worked out once, also where a lambda uses it for each entry."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _prefix(values: Column) -> Column:
     """0 and the running sums of a short array."""
     return F.aggregate(values, F.array(F.lit(0).cast("long")), lambda sums, x: F.array_append(sums, F.element_at(sums, -1) + x))

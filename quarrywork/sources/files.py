@@ -11,7 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chunks import let, starts
+from ..functions.scalars import let
+from .chunks import starts
 
 # Which files are read.
 GLOBS = (

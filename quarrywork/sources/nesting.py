@@ -7,7 +7,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import let, starts
+from ..functions.scalars import let
+from .chunks import starts
 
 # What counts in markup, and how much of it is kept.
 SEMANTIC = ("form", "table", "nav", "header", "footer", "aside", "main", "section", "article")
