@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .scalars import let
+
 from .scalars import contains_any, count_contained
 
 # Results depend on these words.
@@ -235,6 +238,73 @@ def method_score(
     )
 
 
+# Layers by a class's name and by its namespace, the first that fits; names that are layers and no context.
+CLASS_LAYERS = (
+    (r"Controller$", "API"), (r"(Service|Handler)$", "Domain"), (r"Repository$|DbContext", "Data"), (r"Validator$", "Domain"),
+    (r"(Filter|Middleware)$", "Infra"), (r"(ViewModel|Component)$", "UI"), (r"Test", "Test"),
+)
+NAMESPACE_LAYERS = (
+    (r"\.Controllers", "API"), (r"\.(Services|Domain)", "Domain"), (r"\.(Repositories|Data)", "Data"), (r"\.Infrastructure", "Infra"),
+    (r"\.(UI|Views)", "UI"), (r"\.Tests", "Test"),
+)
+LAYER_NAMES = ("Controllers", "Services", "Domain", "Data", "Infrastructure", "UI", "Views", "Models", "Repositories")
+
+
+def layer(name: Column, namespace: Column) -> Column:
+    """The layer that a class belongs to: told by its name, else by its namespace, else ``Domain``."""
+    told = [F.when(name.rlike(p), v) for p, v in CLASS_LAYERS] + [F.when(namespace.rlike(p), v) for p, v in NAMESPACE_LAYERS]
+    return F.coalesce(*told, F.lit("Domain"))
+
+
+def bounded_context(namespace: Column) -> Column:
+    """The second part of a namespace if it isn't a layer's name, else the first; ``Default`` for null."""
+    parts = F.split(namespace, r"\.")
+    second = F.try_element_at(parts, F.lit(2))
+    return F.coalesce(F.when(~second.isin(*LAYER_NAMES), second), F.try_element_at(parts, F.lit(1)), F.lit("Default"))
+
+
+# Technologies that a task may name, in the order in which they are listed.
+TASK_TECHNOLOGIES = (
+    "flutter", "blazor", "react", "maui", "wpf", "winforms", "csharp", "c#", "python", "typescript", "javascript", "kotlin", "swift", "dart",
+    "api", "rest", "grpc", "graphql", "websocket", "game", "blackjack", "todo", "chat", "calculator", "crud",
+)
+
+
+def task_keywords(task: Column) -> Column:
+    """The technologies that a task names, as parts of words too; none for null."""
+    known = F.array(*map(F.lit, TASK_TECHNOLOGIES))
+    return let(F.lower(F.coalesce(task, F.lit(""))), lambda t: F.filter(known, lambda k: F.contains(t, k)))
+
+
+# Words that leave something open in a task, words that settle it, and what is open then: term, category, impact.
+AMBIGUITIES = (
+    (("auth", "login", "authentication", "sign in"), (), "authentication", "Authentication", "High"),
+    (("auth", "login", "authentication", "sign in"), (), "token storage", "Authentication", "Medium"),
+    (("database", "db", "data", "storage", "persistence"), (), "database", "Database", "High"),
+    (("database", "db", "data", "storage", "persistence"), (), "data access", "Database", "Medium"),
+    (("cache", "caching"), (), "cache provider", "Caching", "Medium"),
+    (("cache", "caching"), (), "cache expiration", "Caching", "Low"),
+    (("ui", "interface", "web", "frontend", "page", "component"), ("blazor", "react", "vue", "angular", "mvc"), "ui framework", "UI", "High"),
+    (("ui", "interface", "web", "frontend", "page", "component"), (), "css framework", "UI", "Low"),
+    (("api", "rest", "endpoint", "service"), (), "api style", "API", "Medium"),
+    (("api", "rest", "endpoint", "service"), (), "api documentation", "API", "Low"),
+)
+ALWAYS_OPEN = ("error handling", "Architecture", "Medium")
+
+
+def ambiguities(task: Column) -> Column:
+    """(term, category, impact) of all that a task leaves open, in order, and how errors are handled if anything is; none
+    for null."""
+    holds = lambda t, words: functools.reduce(Column.__or__, [F.contains(t, F.lit(w)) for w in words], F.lit(False))
+
+    def opened(t: Column) -> Column:
+        row = lambda *v: F.struct(*[F.lit(x).alias(n) for x, n in zip(v, ("term", "category", "impact"))])
+        found = F.array_compact(F.array(*[F.when(holds(t, words) & ~holds(t, settled), row(*v)) for words, settled, *v in AMBIGUITIES]))
+        return let(found, lambda x: F.when(F.size(x) > 0, F.array_append(x, row(*ALWAYS_OPEN))).otherwise(x))
+
+    return let(F.lower(F.coalesce(task, F.lit(""))), opened)
+
+
 # What a grade counts in the mean of a file.
 GRADE_POINTS = {"A": 95, "B": 85, "C": 75, "D": 65, "F": 50}
 

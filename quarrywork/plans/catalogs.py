@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import code as C
 from ..functions import scalars as S
 from ..session import table
 from . import query
@@ -185,6 +186,9 @@ def file_sets(spark, sf_dir):
 @query("X53", """SELECT conv_id, turn, list_filter([CASE WHEN contains(lower(text), 'hello') OR contains(lower(text), 'hi ') THEN 'greeting' END,
   CASE WHEN contains(lower(text), '?') OR contains(lower(text), 'how ') OR contains(lower(text), 'what ') THEN 'question' END,
   CASE WHEN contains(lower(text), 'thank') OR contains(lower(text), 'merci') OR contains(lower(text), 'danke') THEN 'thanks' END],
-  lambda x: x IS NOT NULL) AS topics FROM conversations""")
+  lambda x: x IS NOT NULL) AS topics, list_transform([list_filter([""" + ", ".join(
+      "CASE WHEN (" + " OR ".join(f"contains(lower(text), '{w}')" for w in words) + ")" + "".join(f" AND NOT contains(lower(text), '{w}')" for w in settled) + f" THEN '{term}: {impact}' END"
+      for words, settled, term, _, impact in C.AMBIGUITIES) + """], lambda x: x IS NOT NULL)], lambda l: CASE WHEN len(l) > 0 THEN list_append(l, 'error handling: Medium') ELSE l END)[1] AS open FROM conversations""")
 def topics(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", S.topics(F.col("text"), TOPICS).alias("topics"))
+    opened = F.transform(C.ambiguities(F.col("text")), lambda a: F.concat_ws(": ", a["term"], a["impact"]))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", S.topics(F.col("text"), TOPICS).alias("topics"), opened.alias("open"))

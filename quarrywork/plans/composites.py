@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import graph, ranking
 from ..session import table
-from . import query
+from . import ORACLE_SQL, QUERIES, aggregates, query  # noqa: F401  (the queries of aggregates are used by name)
 from .graphs import _EDGES, ELEMENT, EVERY, _reach, asked, dependencies, element
 from .search import _BEST, _COS, _Z01, best, close, semantic_first, similar
 
@@ -46,15 +46,27 @@ def explain(spark, sf_dir):
     return needs.unionByName(needed).join(kinds, "node").select("side", "node", "depth", "kind")
 
 
-@query("Z10", """SELECT event_type, count(*) AS calls, count(DISTINCT user_id) AS users, round(100.0 * count(*) FILTER (value < 100) / count(*), 4)::DOUBLE AS success FROM events
-  GROUP BY 1 ORDER BY calls DESC, event_type LIMIT 3""")
-def insights(spark, sf_dir):
-    rolled = table(spark, sf_dir, "events").groupBy("event_type").agg(
-        F.count("*").alias("calls"),
-        F.count_distinct("user_id").alias("users"),
-        F.round(100.0 * F.count_if(F.col("value") < 100) / F.count("*"), 4).alias("success"),
-    )
-    return ranking.top(rolled, 3, F.desc("calls"), F.col("event_type"))
+@query("Z10", f"""WITH t AS (SELECT event_type, count(*) AS calls, count(DISTINCT user_id) AS users, round(100.0 * count(*) FILTER (value < 100) / count(*), 4)::DOUBLE AS success FROM events GROUP BY 1),
+  f AS ({ORACLE_SQL["A10"]}), s AS (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id) = 1)
+  (SELECT 'tool' AS section, event_type AS name, calls, users, success AS score FROM t ORDER BY calls DESC, event_type LIMIT 3)
+  UNION ALL (SELECT 'important', CAST(user_id AS VARCHAR), access, NULL, importance FROM f ORDER BY importance DESC, access DESC, user_id LIMIT 20)
+  UNION ALL SELECT 'session', event_type, event_id, user_id, NULL FROM s
+  UNION ALL SELECT 'total', 'events', count(*), count(DISTINCT user_id), round(avg((value < 100)::INT), 6)::DOUBLE FROM events""")
+def status(spark, sf_dir):
+    """A workspace at a glance: the tools used most, the elements that matter most by their events, the latest session of
+    each context, and totals."""
+    events = table(spark, sf_dir, "events")
+    good = F.col("value") < 100
+    rolled = events.groupBy(F.col("event_type").alias("name")).agg(
+        F.count("*").alias("calls"), F.count_distinct("user_id").alias("users"), F.round(100.0 * F.count_if(good) / F.count("*"), 4).alias("score"))
+    tools = ranking.top(rolled, 3, F.desc("calls"), F.col("name"))
+    scored = ranking.top(QUERIES["A10"](spark, sf_dir), 20, F.desc("importance"), F.desc("access"), F.col("user_id"))
+    important = scored.select(F.col("user_id").cast("string").alias("name"), F.col("access").alias("calls"), F.lit(None).cast("long").alias("users"), F.col("importance").alias("score"))
+    last = ranking.latest(events, "event_type", F.desc("ts"), F.col("event_id"))
+    sessions = last.select(F.col("event_type").alias("name"), F.col("event_id").alias("calls"), F.col("user_id").alias("users"), F.lit(None).cast("double").alias("score"))
+    total = events.agg(F.count("*").alias("calls"), F.count_distinct("user_id").alias("users"), F.round(F.avg(good.cast("int")), 6).alias("score")).withColumn("name", F.lit("events"))
+    parts = (("tool", tools), ("important", important), ("session", sessions), ("total", total))
+    return reduce(lambda x, y: x.unionByName(y), [p.select(F.lit(n).alias("section"), "name", "calls", "users", "score") for n, p in parts])
 
 
 @query("Z13", f"""WITH e AS ({_EDGES}), n AS (SELECT src AS node FROM e UNION ALL SELECT dst FROM e), d AS (SELECT node, count(*) AS degree FROM n GROUP BY node),

@@ -185,11 +185,19 @@ def reusable(spark, sf_dir):
     return top(rolled.filter("times >= 2"), 20, F.desc("times"), F.col("group"))
 
 
-@query("X28", "SELECT page_id, CASE WHEN contains(url, '//blog.') THEN 'blog' WHEN contains(url, '//m.') THEN 'mobile' WHEN contains(url, '//www.') THEN 'web' ELSE 'core' END AS layer FROM pages")
+_CLASSES = {"UserController": "API", "OrderService": "Domain", "MyDbContext": "Data", "CardViewModel": "UI", "LoginTests": "Test", "LogMiddleware": "Infra", "Thing": None}
+_SPACES = {"Shop.Users.Controllers": ("API", "Users"), "Shop.Services": ("Domain", "Shop"), "Shop.Data.Sql": ("Data", "Shop"), "Shop.Billing.Views": ("UI", "Billing"), "Solo": ("Domain", "Solo")}
+
+
+@query("X28", f"""SELECT page_id, CASE WHEN contains(url, '//blog.') THEN 'blog' WHEN contains(url, '//m.') THEN 'mobile' WHEN contains(url, '//www.') THEN 'web' ELSE 'core' END AS layer,
+  coalesce({[v or "" for v in _CLASSES.values()]!r}[page_id % {len(_CLASSES)} + 1].nullif(''), {[v for v, _ in _SPACES.values()]!r}[page_id % {len(_SPACES)} + 1]) AS class_layer,
+  {[v for _, v in _SPACES.values()]!r}[page_id % {len(_SPACES)} + 1] AS context FROM pages""")
 def layers(spark, sf_dir):
     url = F.col("url")
     layer = F.when(url.contains("//blog."), "blog").when(url.contains("//m."), "mobile").when(url.contains("//www."), "web")
-    return table(spark, sf_dir, "pages").select("page_id", layer.otherwise("core").alias("layer"))
+    pick = lambda names: F.element_at(F.array(*map(F.lit, names)), (F.col("page_id") % len(names) + 1).cast("int"))
+    named = table(spark, sf_dir, "pages").select("page_id", layer.otherwise("core").alias("layer"), pick(_CLASSES).alias("name"), pick(_SPACES).alias("space"))
+    return named.select("page_id", "layer", C.layer(F.col("name"), F.col("space")).alias("class_layer"), C.bounded_context(F.col("space")).alias("context"))
 
 
 @query("X29", "SELECT p_partkey, CASE WHEN p_size <= 3 THEN 'low' WHEN p_size <= 6 THEN 'medium' ELSE 'high' END AS complexity FROM part")
@@ -220,11 +228,9 @@ def scraped(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", r"/(\d+)", 1).try_cast("long").alias("n"))
 
 
-@query("X45", "SELECT p_partkey, list_filter(['red', 'ring', 'small', 'widget'], lambda w: contains(lower(p_name), w)) AS keywords FROM part")
+@query("X45", f"SELECT doc_id, list_filter({list(C.TASK_TECHNOLOGIES)!r}, lambda w: contains(lower(coalesce(text, '')), w)) AS keywords FROM documents")
 def keywords(spark, sf_dir):
-    listed = F.array(*map(F.lit, ("red", "ring", "small", "widget")))
-    found = F.filter(listed, lambda w: F.lower("p_name").contains(w))
-    return table(spark, sf_dir, "part").select("p_partkey", found.alias("keywords"))
+    return table(spark, sf_dir, "documents").select("doc_id", C.task_keywords(F.col("text")).alias("keywords"))
 
 
 @query("X49", r"SELECT item_id, array_to_string(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> '')[1:3], '-') AS name FROM benchmark")
