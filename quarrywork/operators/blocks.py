@@ -2,15 +2,14 @@
 
 Two blocks are alike if five of six checks hold: numbers of elements at most two apart, the same of image, button, form
 and price, and more than three fifths of their words in common. Five of the six need no text, so blocks with equal figures
-are one signature, and signatures alike are found without comparing blocks. Only pairs that fail exactly one of the
-five are held against each other's words, distinct blocks only, by a join on their rarest words.
+are one signature, and signatures alike are found without comparing blocks. Words are compared with those of a group's
+leader only, and only where exactly one of the five fails.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from ..session import cut, drop_table
 
@@ -53,74 +52,88 @@ def similarity(a: Column, b: Column) -> Column:
     return sum((c.cast("int") for c in checks), F.lit(0)) / 6.0
 
 
-def _units(blocks: DataFrame, key: str) -> DataFrame:
-    """(id, first, figures, w, n): distinct blocks with the place of the first one; the others follow it into its group."""
+def _placed(blocks: DataFrame, key: str) -> DataFrame:
+    """``blocks`` with ``first``, their place in the order of all, their distinct words ``w`` and the number ``n`` of words."""
     place = F.split("pos", r"\.")
-    order = F.struct(F.col(key).alias("key"), place[0].cast("int").alias("line"), place[1].cast("int").alias("at"))
-    distinct = blocks.groupBy("content", "elements", *FLAGS).agg(F.min(order).alias("first"))
     words = F.filter(F.split("content", r"[ \n\t]+"), lambda w: w != "")
-    return distinct.select(
-        F.monotonically_increasing_id().alias("id"), "first", "elements", *FLAGS, F.array_distinct(words).alias("w"), F.size(words).alias("n"), "content"
-    )
+    order = F.struct(F.col(key).alias("key"), place[0].cast("int").alias("line"), place[1].cast("int").alias("at"))
+    return blocks.withColumns({"first": order, "w": F.array_distinct(words), "n": F.size(words)})
+
+
+def _met(rows: DataFrame, others: DataFrame) -> DataFrame:
+    """``rows`` with ``_met``, those of ``others`` that differ from a row in one flag at most; ``same`` if in none."""
+    flip = lambda f: F.struct(*[(~F.col(g) if g == f else F.col(g)).alias(g) for g in FLAGS], F.lit(f is None).alias("same"))
+    sides = others.select("first", "elements", "n", "w", F.inline(F.array(*[flip(f) for f in (None, *FLAGS)])))
+    kept = F.array_sort(F.collect_list(F.struct("first", "elements", "n", "w", "same")))
+    return rows.join(F.broadcast(sides.groupBy(*FLAGS).agg(kept.alias("_met"))), [*FLAGS], "left")
+
+
+def _by_figures(x: Column) -> Column:
+    return x["same"] & (F.abs(F.col("elements") - x["elements"]) <= APART)
+
+
+def _by_words(x: Column) -> Column:
+    """Whether a row and one it met, which fail just one of the five figures, have the words in common."""
+    least = COMMON * F.greatest("n", x["n"])
+    near = F.abs(F.col("elements") - x["elements"]) <= APART
+    return (x["same"] != near) & (F.least(F.size("w"), F.size(x["w"])) > least) & (F.size(F.array_intersect("w", x["w"])) > least)
 
 
-def _text_pairs(units: DataFrame) -> DataFrame:
-    """(a, b): pairs of units, both ways round, that fail just one of the five figures and have the words in common.
+def _sure(heads: list, alike: set) -> list:
+    """Those of ``heads``, in order, that lead for certain; ``alike`` are pairs of places in it, the later first, alike by words.
 
-    Units meet on their rarest words and on the figure that they fail: two sides for a flag, one value each, so units of equal figures
-    never meet, however alike their texts are.
+    What a leader takes by figures it takes with all of equal figures. Of a head that is taken by words alone the next of its figures is
+    not known yet, and neither is any later head that could be alike to that one.
     """
-    rows = units.select("id", "elements", *FLAGS, "n", F.size("w").alias("d"), F.explode("w").alias("word"))
-    often = rows.groupBy("word").agg(F.count("*").alias("f"))
-    rank = F.row_number().over(W.partitionBy("id").orderBy("f", "word"))
-    # a pair in common beyond the share has a word in common among so many of the rarest ones of both
-    rare = rows.join(often, "word").withColumn("r", rank).filter(F.col("r") <= F.col("d") - F.floor(COMMON * F.col("n")))
-    spelled = lambda flags: F.concat_ws("-", *[F.col(f).cast("string") for f in flags])
-    fails = [F.struct(F.lit(f).alias("fails"), spelled([g for g in FLAGS if g != f]).alias("rest"), F.col(f).cast("int").alias("side")) for f in FLAGS]
-    apart = [F.struct(F.lit("elements").alias("fails"), spelled(FLAGS).alias("rest"), F.lit(side).alias("side")) for side in (0, 1)]
-    sides = rare.select("id", "elements", "word", F.inline(F.array(*fails, *apart)))
-    other = sides.filter("side = 1").select(F.col("id").alias("other"), F.col("elements").alias("e"), "word", "fails", "rest")
-    gap = F.abs(F.col("elements") - F.col("e"))
-    right = F.when(F.col("fails") == "elements", (gap > APART) & (F.col("id") < F.col("other"))).otherwise(gap <= APART)
-    pairs = sides.filter("side = 0").join(other, ["word", "fails", "rest"]).filter(right).select("id", "other").distinct()
-    texts = units.select("id", "n", "w")
-    met = pairs.join(texts, "id").join(texts.select(F.col("id").alias("other"), F.col("n").alias("m"), F.col("w").alias("v")), "other")
-    alike = met.filter(F.size(F.array_intersect("w", "v")) > COMMON * F.greatest("n", "m"))
-    both = F.array(F.struct(F.col("id").alias("a"), F.col("other").alias("b")), F.struct(F.col("other").alias("a"), F.col("id").alias("b")))
-    return cut(alike.select(F.inline(both)))
-
-
-def _earliest(state: DataFrame, pairs: DataFrame, columns: dict) -> DataFrame:
-    """``state`` with, for each name of ``columns``, the earliest place of a unit alike (itself included) for which the condition holds:
-    of equal or near figures by the least of each signature, of the others by pairs."""
-    least = lambda c: F.min(F.when(c, F.col("first")))
-    signatures = state.groupBy("elements", *FLAGS).agg(*[least(c).alias(f"_{k}") for k, c in columns.items()])
-    near = signatures.select(F.explode(F.array(*[F.col("elements") + i for i in range(-APART, APART + 1)])).alias("elements"), *FLAGS, *[f"_{k}" for k in columns])
-    figures = near.groupBy("elements", *FLAGS).agg(*[F.min(f"_{k}").alias(f"_{k}") for k in columns])
-    texts = pairs.join(state, pairs["b"] == state["id"]).groupBy(F.col("a").alias("id")).agg(*[least(c).alias(f"t_{k}") for k, c in columns.items()])
-    joined = state.join(figures, ["elements", *FLAGS]).join(texts, "id", "left")
-    return joined.withColumns({k: F.least(f"_{k}", f"t_{k}") for k in columns}).drop(*[f"_{k}" for k in columns], *[f"t_{k}" for k in columns])
+    flags = [[h[f] for f in FLAGS] for h in heads]
+    leads, unsure = [], []
+    for i, head in enumerate(heads):
+        failed = lambda j: sum(a != b for a, b in zip(flags[i], flags[j])) + (abs(head["elements"] - heads[j]["elements"]) > APART)  # noqa: B023, E731
+        if any(failed(j) == 0 for j in leads):
+            continue
+        if any((i, j) in alike for j in leads) or any(failed(j) <= 1 for j in unsure):
+            unsure.append(i)
+        else:
+            leads.append(i)
+    return [heads[i] for i in leads]
 
 
 def groups(blocks: DataFrame, key: str) -> DataFrame:
     """``blocks`` with the (key, line, at) of the block that leads their group, as text.
 
-    Blocks are gone through in order: one that no group has taken leads a new one and takes all later ones alike that are left. That is
-    the first maximal independent set by order: a block leads once every earlier one alike is known not to, and none is left to the
-    next round whose earlier ones are decided. Rounds are as many as the longest chain of such decisions, not as there are blocks.
+    Blocks are gone through in order: one that no group has taken leads a new one and takes all later ones alike that are left. Two
+    blocks of equal flags and near numbers of elements are alike whatever they say, so there are few leaders: no more than
+    distinct figures, whose number grows with the square root of the text at most. Each round looks at the first block left of each
+    figures, the only ones that can lead, and compares what is left with those that do: blocks meet leaders, never each other.
+    The driver sees figures of these first ones, no text.
     """
-    units = cut(_units(blocks, key))
-    pairs = _text_pairs(units)
-    state = cut(units.select("id", "first", "elements", *FLAGS, F.lit(None).cast("boolean").alias("leads")))
-    while not state.filter("leads IS NULL").isEmpty():
-        told = _earliest(state, pairs, {"open": F.coalesce("leads", F.lit(True)), "lead": F.coalesce("leads", F.lit(False))})
-        leads = F.when(F.col("lead") < F.col("first"), False).when(F.col("open") >= F.col("first"), True)
-        after = cut(told.select("id", "first", "elements", *FLAGS, F.coalesce("leads", leads).alias("leads")))
-        drop_table(state)
-        state = after
-    found = _earliest(state, pairs, {"lead": F.col("leads")})
-    named = F.concat_ws(".", *[F.col("lead")[c].cast("string") for c in ("key", "line", "at")])
-    taken = cut(units.select("id", "content").join(found.select("id", "elements", *FLAGS, named.alias("group")), "id").drop("id"))
-    for table in (units, pairs, state):
-        drop_table(table)
-    return blocks.join(taken, ["content", "elements", *FLAGS])
+    rows = _placed(blocks, key)
+    left, leaders, written = rows.select("first", "elements", *FLAGS, "n", "w"), None, None
+    while True:
+        first = left.select("first", "elements", *FLAGS).groupBy("elements", *FLAGS).agg(F.min("first").alias("first"))
+        heads = cut(left.join(F.broadcast(first), ["elements", *FLAGS, "first"], "semi").dropDuplicates(["elements", *FLAGS]))
+        ordered = heads.select("first", "elements", *FLAGS).orderBy("first").collect()
+        if not ordered:
+            drop_table(heads)
+            break
+        place = {h["first"]: i for i, h in enumerate(ordered)}
+        pairs = _met(heads, heads).select("first", F.explode(F.filter("_met", lambda x: (x["first"] < F.col("first")) & _by_words(x))).alias("x"))
+        alike = {(place[p["first"]], place[p["other"]]) for p in pairs.select("first", F.col("x.first").alias("other")).collect()}
+        lead = blocks.sparkSession.createDataFrame([(h["elements"], *[h[f] for f in FLAGS]) for h in _sure(ordered, alike)], f"elements int, {', '.join(f'{f} boolean' for f in FLAGS)}")
+        new = cut(heads.join(F.broadcast(lead), ["elements", *FLAGS], "semi").select("first", "elements", *FLAGS, "n", "w"))
+        taken = F.exists("_met", lambda x: _by_figures(x)) | F.exists("_met", lambda x: (x["first"] < F.col("first")) & _by_words(x))
+        after = cut(_met(left, new).filter(~F.coalesce(taken, F.lit(False))).select("first", "elements", *FLAGS, "n", "w"))
+        drop_table(heads)
+        if written is not None:
+            drop_table(written)
+        written = left = after
+        leaders = new if leaders is None else leaders.unionByName(new)
+    found = rows.withColumn("_lead", F.col("first"))
+    if leaders is not None:
+        by_figures = F.array_min(F.transform(F.filter("_met", _by_figures), lambda x: x["first"]))
+        by_words = F.filter("_met", lambda x: (x["first"] < F.coalesce("_lead", "first")) & _by_words(x))
+        found = _met(rows, leaders).withColumn("_lead", by_figures)
+        found = found.withColumn("_lead", F.least("_lead", F.array_min(F.transform(by_words, lambda x: x["first"]))))
+    if written is not None:
+        drop_table(written)
+    return found.select(*blocks.columns, F.concat_ws(".", *[F.col("_lead")[c].cast("string") for c in ("key", "line", "at")]).alias("group"))
