@@ -9,6 +9,8 @@ from pyspark.sql.window import Window as W
 
 #: Ranges that a tool's values are cut into.
 RANGES = 64
+#: Rows that a task counts in order, on average at most.
+AT_ONCE = 500_000
 
 
 def tool_usage(calls: DataFrame, tool: str, ok: F.Column, ms: str, ts: str, query: str) -> DataFrame:
@@ -86,22 +88,21 @@ def trend(calls: DataFrame, tool: str, ms: str, *order: F.Column) -> DataFrame:
 def followed_by(calls: DataFrame, session: str, tool: str, ts: str, least: int = 3) -> DataFrame:
     """(tool, then, times, sessions): pairs of a tool and another that comes later in a session.
 
-    Counted without pairing rows: for each session and pair of tools, a call counts the earlier calls of the
-    other tool, which is a running count over the session's calls, one for each tool.
+    Counted without pairing rows: for each session and tool, the other calls of the session count the earlier ones of that tool,
+    which is a running count over the session's calls, one for each of its tools. These are dealt to as many tasks as there are rows
+    for, so a task's share doesn't grow with the table.
     """
-    names = calls.groupBy(session, tool).agg(F.count("*").alias("_n")).select(F.col(session).alias("_s"), F.col(tool).alias("_first"))
-    later = calls.select(session, F.col(tool).alias("_then"), ts)
-    # a row for each call and each other tool of its session; sessions have few tools
-    spread = later.join(names, F.col(session) == F.col("_s")).filter(F.col("_first") != F.col("_then"))
-    own = calls.select(F.col(session).alias("_s2"), F.col(tool).alias("_t2"), F.col(ts).alias("_at"))
-    marks = spread.select(session, "_first", F.col("_then"), F.col(ts).alias("_at"), F.lit(0).alias("_one")).unionByName(
-        own.join(names.withColumnRenamed("_s", session).withColumnRenamed("_first", "_other"), F.col("_s2") == F.col(session))
-        .filter(F.col("_t2") != F.col("_other"))
-        .select(session, F.col("_t2").alias("_first"), F.col("_other").alias("_then"), "_at", F.lit(1).alias("_one"))
-    )
-    before = W.partitionBy(session, "_first", "_then").orderBy("_at").rangeBetween(W.unboundedPreceding, -1)
-    stamped = marks.withColumn("_at", F.unix_micros(F.col("_at").cast("timestamp")))
-    counted = stamped.withColumn("_before", F.coalesce(F.sum("_one").over(before), F.lit(0))).filter("_one = 0 AND _before > 0")
+    names = calls.groupBy(session, tool).agg(F.count("*").alias("_n")).select(F.col(session).alias("_s"), F.col(tool).alias("_first"), "_n")
+    at = F.unix_micros(F.col(ts).cast("timestamp")).alias("_at")
+    later = calls.filter(F.col(ts).isNotNull()).select(session, F.col(tool).alias("_then"), at)
+    # a row for each call and each tool of its session; sessions have few tools
+    spread = later.join(names.drop("_n"), F.col(session) == F.col("_s")).select(session, "_first", "_then", "_at")
+    tools = names.groupBy("_s").agg(F.sum("_n").alias("_calls"), F.count("*").alias("_tools"))
+    rows = tools.agg(F.sum(F.col("_calls") * F.col("_tools"))).first()[0] or 0
+    dealt = spread.repartition(max(1, -(-rows // AT_ONCE)), session, "_first")
+    before = W.partitionBy(session, "_first").orderBy("_at").rangeBetween(W.unboundedPreceding, -1)
+    ahead = F.sum((F.col("_first") == F.col("_then")).cast("long")).over(before)
+    counted = dealt.withColumn("_before", F.coalesce(ahead, F.lit(0))).filter("_first <> _then AND _before > 0")
     pairs = counted.groupBy("_first", "_then").agg(F.sum("_before").alias("times"), F.count_distinct(session).alias("sessions"))
     return pairs.filter(F.col("times") >= least).select(F.col("_first").alias("tool"), F.col("_then").alias("then"), "times", "sessions")
 
