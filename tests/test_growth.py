@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quarrywork.operators import blocks
+from quarrywork.operators import blocks, graph, usage, vectors
 
 
 def test_groups_meet_leaders_only(spark, monkeypatch):
@@ -23,3 +23,28 @@ def test_groups_meet_leaders_only(spark, monkeypatch):
     got = blocks.groups(frame, "page")
     assert got.count() == 400
     assert sum(written) <= 2 * 400
+
+
+def test_a_worker_holds_few_pairs(spark, monkeypatch):
+    """What one group of two blocks gives is bounded, whatever the number of queries."""
+    dealt, of = [], vectors._blocks
+
+    def seen(*args):
+        dealt.append(of(*args))
+        return dealt[-1]
+
+    monkeypatch.setattr(vectors, "_blocks", seen)
+    frame = spark.range(6000).select("id", F.array(F.rand(1), F.rand(2)).alias("v"))
+    vectors.similarities(frame.filter("id < 1200"), frame, "id", "v")
+    a, b = (side.groupBy("_i", "_j").count() for side in dealt[0])
+    most = a.join(b.withColumnRenamed("count", "m"), ["_i", "_j"]).agg(F.max(F.col("count") * F.col("m"))).first()[0]
+    assert most <= 2 * 250_000
+
+
+def test_tasks_grow_with_rows(spark, monkeypatch):
+    """Joins that make several rows of one are dealt by rows, not put together by the size of what they read."""
+    monkeypatch.setattr(graph, "AT_ONCE", 50)
+    monkeypatch.setattr(usage, "AT_ONCE", 100)
+    rows = spark.range(1000).select((F.col("id") / 4).cast("long").alias("g"), (F.col("id") % 7).alias("x"), F.timestamp_seconds("id").alias("ts"))
+    for found, parts in ((graph.pairs_within(rows, "g", "x"), 20), (usage.followed_by(rows.withColumn("x", F.col("x").cast("string")), "g", "x", "ts"), 40)):
+        assert f", {parts}), REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
