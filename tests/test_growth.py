@@ -48,3 +48,38 @@ def test_tasks_grow_with_rows(spark, monkeypatch):
     rows = spark.range(1000).select((F.col("id") / 4).cast("long").alias("g"), (F.col("id") % 7).alias("x"), F.timestamp_seconds("id").alias("ts"))
     for found, parts in ((graph.pairs_within(rows, "g", "x"), 20), (usage.followed_by(rows.withColumn("x", F.col("x").cast("string")), "g", "x", "ts"), 40)):
         assert f", {parts}), REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
+
+
+class Handle:
+    """What a state's handle does, with the number of its timers."""
+
+    def __init__(self):
+        self.timers, self.rows = [], []
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+    def getListState(self, *_):
+        return self
+
+    def getValueState(self, *_):
+        return self
+
+    def appendList(self, rows):
+        self.rows += rows
+
+
+def test_one_timer_for_a_batch():
+    import pandas as pd
+
+    from quarrywork.streaming import keyed
+
+    step, handle = keyed._Debounce(1000), Handle()
+    step.init(handle)
+    rows = pd.DataFrame({"at": range(5_000_000, 6_000_000, 1000), "number": range(1000), "kind": "edit", "done": False})
+
+    class Times:
+        getCurrentWatermarkInMs = staticmethod(lambda: 0)
+
+    list(step.handleInputRows(("p",), iter([rows]), Times))
+    assert handle.timers == [5000] and len(handle.rows) == 1000
