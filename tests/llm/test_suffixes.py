@@ -93,3 +93,28 @@ def test_three_equal_phrases(data, before, after):
     certain = [x for x in a if width - 1 <= x <= length - suffixes.GRAM - width + 1]
     assert certain == [x for x in b if width - 1 <= x <= length - suffixes.GRAM - width + 1]
     assert certain[0] <= 2 * width - 2 and len(certain) > 3
+
+
+def test_tables_go_once_they_are_read(spark, monkeypatch):
+    """What lies in the shared folder at once is what bounds the disk: of the wide tables one or two at a time."""
+    r = random.Random(9)
+    said = "".join(r.choice("abcdefgh") for _ in range(90))
+    rows = [(i, "".join(r.choice("stuv") for _ in range(30)) + said[i % 7 :]) for i in range(20)]
+    held, at_once, written, dropped = {}, {}, suffixes.written, suffixes.drop_table
+
+    def write(df, name):
+        out = written(df, name)
+        held[out.inputFiles()[0].rsplit("/", 1)[0]] = name
+        at_once[name] = set(held.values())
+        return out
+
+    def drop(df):
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            del held[folder]
+        dropped(df)
+
+    monkeypatch.setattr(suffixes, "written", write)
+    monkeypatch.setattr(suffixes, "drop_table", drop)
+    assert built(spark, rows, 60) == plain(rows, 60)
+    assert at_once["strings"] == {"texts", "rows", "whole", "contexts", "strings"}
+    assert at_once["marks"] == {"texts", "rows", "whole", "some", "marks"}
