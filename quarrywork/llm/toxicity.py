@@ -13,9 +13,10 @@ on rows that the counts don't hold and with both classes of equal weight, turns
 a score, so that one half is the point where toxic and ordinary texts are told apart equally well.
 
 Counting runs in Spark over all labelled rows that may be learned from, words first and then their n-grams; only the
-calibration has a bounded sample. An n-gram goes into the model if it is counted more often than the discount and than
-``RARE`` of its class's count, so a model has at most 2 ORDER / RARE n-grams, of 12 bytes, however large the
-corpus; it is broadcast. Scoring is one pass over the whole texts with no shuffle.
+calibration has a bounded sample. An n-gram goes into the model if it is counted more often than the discount, whatever
+the size of the corpus: one that isn't adds nothing to its backoff, so nothing is cut off. The model, of 12 bytes for an n-gram and
+as much for a history, is broadcast; it grows with the different n-grams that come twice (figures in the README). Scoring is one pass over the
+whole texts with no shuffle.
 
 Defined cases: a null or empty text has no evidence and gets the score of no evidence, as do texts
 without a word; repeated rows are scored alike, each on its own; columns other than ``doc_id`` and ``text``
@@ -50,8 +51,6 @@ ORDER = 6
 DISCOUNT = 1.0
 #: Backoff counts that every history gets on top of its own.
 PRIOR = 50.0
-#: Share of a class's counts that one n-gram must exceed to be told apart from its backoff.
-RARE = 1e-6
 #: Log-likelihood difference from which a word counts, and the most that one word counts.
 MARGIN, MOST = 1.0, 8.0
 #: Added to the evidence before its logarithm is taken.
@@ -240,8 +239,9 @@ class Counts:
     histories: pd.DataFrame  # h, toxic, ordinary: sums over all n-grams that begin with h, for the h of these
 
 
-def summed(grams: DataFrame, discount: float = DISCOUNT, rare: float = RARE) -> Counts:
-    """The n-grams that are counted often enough. Their number has the bound that is named above."""
+def summed(grams: DataFrame, discount: float = DISCOUNT, rare: float = 0.0) -> Counts:
+    """The n-grams that are counted more often than the discount, all that the model tells apart from their backoff. A caller who has no room for
+    them may ask for a share ``rare`` of the class's count too; :func:`train` doesn't."""
     total = grams.filter(F.char_length("g") == ORDER).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in CLASSES]).first()
     often = [F.col(c) > max(discount, rare * total[c]) for c in CLASSES]
     kept = cut(grams.filter(often[0] | often[1]), "toxic-kept")

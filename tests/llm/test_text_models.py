@@ -218,6 +218,17 @@ def test_toxicity_keeps_few_ngrams_of_any_corpus(spark):
         assert len(counts.grams) == sum(1 + i % 7 > max(1, rare * total) for i in range(5000)) <= 1 / rare
 
 
+def test_toxicity_keeps_what_is_counted_twice_in_any_corpus(spark):
+    """The same rare n-grams are told apart beside ten as beside ten million counts of others."""
+    told = []
+    for others in (10, 10_000_000):
+        rows = [("\x02ab", 2, 0), ("ab\x03", 0, 3), ("once", 1, 1), ("abcdef", others, others), ("\x02a", 2, 3), ("a", 1, 1), ("b", 2, 2), ("\x03", 1, 2)]
+        counts = toxicity.summed(spark.createDataFrame(rows, "g string, toxic long, ordinary long"))
+        assert set(counts.grams.g) == {"\x02ab", "ab\x03", "abcdef", "\x02a", "b", "\x03"}
+        told.append(toxicity.fit(counts).differences(["ab", "b"]).tolist())
+    assert told[0] == told[1]
+
+
 def test_toxicity_counts_all_labelled_rows(spark, monkeypatch):
     docs = spark.range(2800).selectExpr("id AS doc_id", "concat('w', id, ' end') AS text")
     labels = docs.selectExpr("doc_id", "int(doc_id % 28 = 0) AS toxic")
