@@ -14,9 +14,9 @@ a score, so that one half is the point where toxic and ordinary texts are told a
 
 Counting runs in Spark over all labelled rows that may be learned from, words first and then their n-grams; only the
 calibration has a bounded sample. An n-gram goes into the model if it is counted more often than the discount, whatever
-the size of the corpus: one that isn't adds nothing to its backoff, so nothing is cut off. The model, of 12 bytes for an n-gram and
-as much for a history, is broadcast; it grows with the different n-grams that come twice (figures in the README). Scoring is one pass over the
-whole texts with no shuffle.
+the size of the corpus: one that isn't adds nothing to its backoff, so nothing is cut off. The models are fitted in Spark, an order at a
+time; the driver gets a key and a difference, 12 bytes, of each n-gram and history, and broadcasts them. They grow with the different n-grams that
+come twice (figures in the README). Scoring is one pass over the whole texts with no shuffle.
 
 Defined cases: a null or empty text has no evidence and gets the score of no evidence, as do texts
 without a word; repeated rows are scored alike, each on its own; columns other than ``doc_id`` and ``text``
@@ -28,6 +28,7 @@ counts; null labels don't.
 from __future__ import annotations
 
 import re
+import weakref
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -36,6 +37,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import cut, drop_table, fold, sample_rows, table
 
@@ -233,10 +235,18 @@ def count_grams(found: DataFrame) -> DataFrame:
 
 @dataclass
 class Counts:
-    """What a model needs of the n-gram counts."""
+    """What a model needs of the n-gram counts. ``kept`` is a table in the shared folder that goes when this object does."""
 
-    grams: pd.DataFrame  # g, toxic, ordinary: those that are told apart from their backoff
-    histories: pd.DataFrame  # h, toxic, ordinary: sums over all n-grams that begin with h, for the h of these
+    whole: DataFrame  # g, toxic, ordinary
+    kept: DataFrame  # those that are told apart from their backoff
+
+    def __post_init__(self) -> None:
+        weakref.finalize(self, drop_table, self.kept).atexit = False
+
+    @property
+    def grams(self) -> pd.DataFrame:
+        """What is kept, brought to the driver to be looked at; nothing here asks for it."""
+        return self.kept.toPandas()
 
 
 def summed(grams: DataFrame, discount: float = DISCOUNT, rare: float = 0.0) -> Counts:
@@ -244,48 +254,74 @@ def summed(grams: DataFrame, discount: float = DISCOUNT, rare: float = 0.0) -> C
     them may ask for a share ``rare`` of the class's count too; :func:`train` doesn't."""
     total = grams.filter(F.char_length("g") == ORDER).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in CLASSES]).first()
     often = [F.col(c) > max(discount, rare * total[c]) for c in CLASSES]
-    kept = cut(grams.filter(often[0] | often[1]), "toxic-kept")
-    history = F.expr("substring(g, 1, char_length(g) - 1)")
-    wanted = kept.select(history.alias("h")).distinct()
-    sums = grams.groupBy(history.alias("h")).agg(*[F.sum(c).alias(c) for c in CLASSES]).join(wanted, "h", "semi")
-    found = Counts(kept.toPandas(), sums.toPandas())
-    drop_table(kept)
-    return found
+    return Counts(grams, cut(grams.filter(often[0] | often[1]), "toxic-kept"))
+
+
+def shares(counts: Counts, discount: float, prior: float) -> DataFrame:
+    """(g, kept, n, above_*, back_*) of what is kept and of all that it ends with: in each class, the share of the history's counts that is above the
+    discount, and the share that the history leaves to its backoff."""
+    zero = [F.lit(0).cast("long").alias(c) for c in CLASSES]
+    flags = lambda kept, asked: (F.lit(kept).alias("kept"), F.lit(asked).alias("asked"))
+    ends = F.expr("explode(transform(sequence(1, char_length(g)), i -> substring(g, i)))")
+    rows = counts.whole.select("g", *CLASSES, *flags(False, False))
+    rows = rows.unionByName(counts.kept.select("g", *zero, *flags(True, True)))
+    rows = rows.unionByName(counts.kept.select(ends.alias("g"), *zero, *flags(False, True)))
+    nodes = rows.groupBy("g").agg(*[F.sum(c).alias(c) for c in CLASSES], F.max("kept").alias("kept"), F.max("asked").alias("asked"))
+    of_history = Window.partitionBy(F.expr("substring(g, 1, char_length(g) - 1)"))
+    told = [F.expr("toxic + ordinary").alias("n")]
+    for c in CLASSES:
+        above = F.when(F.col("kept"), F.greatest(F.col(c) - F.lit(discount), F.lit(0.0))).otherwise(0.0)
+        total = F.sum(c).over(of_history) + F.lit(prior)
+        told += [(above / total).alias(f"above_{c}"), (1 - F.sum(above).over(of_history) / total).alias(f"back_{c}")]
+    return cut(nodes.select("g", "kept", "asked", *told).filter("asked").drop("asked"), "toxic-shares")
+
+
+def keys(grams: list[str], k: int) -> np.ndarray:
+    """Of n-grams of ``k`` characters: what they are looked up by."""
+    spelled = codes("".join(grams)).reshape(len(grams), k)
+    return sum((spelled[:, k - 1 - j] * POWERS[j] for j in range(k)), np.zeros(len(grams), np.uint64))
+
+
+def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for k, some in batch.groupby(batch.g.str.len()):
+            yield pd.DataFrame({"k": some.k, "history": some.history, "key": keys(some.g.tolist(), int(k)).view(np.int64), "told": some.told})
 
 
 def fit(counts: Counts, discount: float = DISCOUNT, prior: float = PRIOR) -> Model:
-    """The difference of the two models, from their counts, one order after the other."""
-    grams = counts.grams
-    sizes = grams.g.str.len().to_numpy()
-    sums = counts.histories.set_index("h")
-    single = grams[sizes == 1]
-    letters = single[list(CLASSES)].to_numpy(float).sum(axis=1)
-    shared = np.append(letters + 0.5, 0.5) / (letters.sum() + 0.5 * (len(letters) + 1))  # the last: never seen
-    models: dict[str, list[Order]] = {c: [] for c in CLASSES}
+    """The difference of the two models, from their counts, one order after the other. Probabilities are joined with those of the next shorter
+    n-gram; a key and a difference of each n-gram and history come to the driver."""
+    nodes = shares(counts, discount, prior)
+    letters = nodes.filter("kept AND char_length(g) = 1").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("different")).first()
+    seen = (F.when(F.col("kept"), F.col("n")).otherwise(0) + 0.5) / (letters.n + 0.5 * (letters.different + 1))  # shared by both classes
+    levels: list[DataFrame] = []
     for k in range(1, ORDER + 1):
-        some = grams[sizes == k]
-        spelled = codes("".join(some.g)).reshape(-1, k) if len(some) else np.empty((0, k), np.uint64)
-        columns = [spelled[:, k - 1 - j] for j in range(k)]
-        key = sum((columns[j] * POWERS[j] for j in range(k)), np.zeros(len(some), np.uint64))
-        own = sum((columns[j] * POWERS[j - 1] for j in range(1, k)), np.zeros(len(some), np.uint64))
-        heads, first, of = np.unique(own, return_index=True, return_inverse=True)
-        names = some.g.str[:-1].iloc[first]
-        order = np.argsort(key)
-        for c in CLASSES:
-            total = sums[c].reindex(names).fillna(0).to_numpy(float) + prior
-            above = np.maximum(some[c].to_numpy(float) - discount, 0)
-            back = 1 - np.bincount(of, above, len(heads)) / total
-            if k == 1:
-                lower = np.log(shared[:-1])
-            else:
-                lower = walk(models[c], columns[: k - 1], np.full(len(some), k - 2))
-            told = np.log(above / total[of] + back[of] * np.exp(lower))
-            left = np.log(back)
-            if k == 1:  # a letter never seen is told by the shared counts alone
-                left = left + np.log(shared[-1])
-            models[c].append(Order(key[order], told[order], heads, left))
-    pairs = zip(models["toxic"], models["ordinary"])
-    return Model([Order(t.grams, (t.told - o.told).astype(np.float32), t.histories, (t.left - o.left).astype(np.float32)) for t, o in pairs])
+        some = nodes.filter(F.char_length("g") == k)
+        if k == 1:
+            some = some.withColumns({f"lower_{c}": seen for c in CLASSES})
+        else:
+            shorter = levels[-1].select(F.col("g").alias("end"), *[F.col(f"p_{c}").alias(f"lower_{c}") for c in CLASSES])
+            some = some.withColumn("end", F.expr("substring(g, 2)")).join(shorter, "end")
+        p = [F.expr(f"above_{c} + back_{c} * lower_{c}").alias(f"p_{c}") for c in CLASSES]
+        levels.append(cut(some.select("g", "kept", *p), f"toxic-{k}"))
+    told = levels[0]
+    for level in levels[1:]:
+        told = told.unionByName(level)
+    size, difference = F.char_length("g").alias("k"), "cast(ln({0}_toxic) - ln({0}_ordinary) as float) AS told"
+    told = told.filter("kept").select("g", size, F.lit(False).alias("history"), F.expr(difference.format("p")))
+    left = nodes.filter("kept").select(F.expr("substring(g, 1, char_length(g) - 1)").alias("g"), size, F.lit(True).alias("history"), F.expr(difference.format("back")))
+    found = told.unionByName(left.distinct()).mapInPandas(keyed, "k int, history boolean, key long, told float").toArrow()
+    for level in [nodes, *levels]:
+        drop_table(level)
+    size, history, key, told = (found.column(c).to_numpy() for c in ("k", "history", "key", "told"))
+    key = key.view(np.uint64)
+
+    def ordered(which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.flatnonzero(which)
+        at = at[np.argsort(key[at])]
+        return key[at], told[at]
+
+    return Model([Order(*ordered((size == k) & ~history), *ordered((size == k) & history)) for k in range(1, ORDER + 1)])
 
 
 def calibrate(model: Model, evidence: np.ndarray, toxic: np.ndarray) -> Model:

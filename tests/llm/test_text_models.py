@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 
@@ -229,6 +230,18 @@ def test_toxicity_keeps_what_is_counted_twice_in_any_corpus(spark):
     assert told[0] == told[1]
 
 
+def test_toxicity_is_fitted_outside_the_driver(spark):
+    """Of n-grams the driver holds keys and differences, not spellings and counts."""
+    n = 30_000
+    grams = spark.range(n).selectExpr("lpad(id, 6, 'x') AS g", "2 + id % 7 AS toxic", "0L AS ordinary")
+    counts = toxicity.summed(grams)
+    tracemalloc.start()
+    model = toxicity.fit(counts)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(model.orders[-1].grams) == n and most < 100 * n
+
+
 def test_toxicity_counts_all_labelled_rows(spark, monkeypatch):
     docs = spark.range(2800).selectExpr("id AS doc_id", "concat('w', id, ' end') AS text")
     labels = docs.selectExpr("doc_id", "int(doc_id % 28 = 0) AS toxic")
