@@ -118,3 +118,18 @@ def test_tables_go_once_they_are_read(spark, monkeypatch):
     assert built(spark, rows, 60) == plain(rows, 60)
     assert at_once["strings"] == {"texts", "rows", "whole", "contexts", "strings"}
     assert at_once["marks"] == {"texts", "rows", "whole", "some", "marks"}
+
+
+def test_lists_are_gathered_from_sorted_rows(spark, monkeypatch):
+    plans, written = [], suffixes.written
+
+    def spied(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return written(df, name)
+
+    monkeypatch.setattr(suffixes, "written", spied)
+    before = {key: spark.conf.get(key, None) for key in suffixes._SETTINGS}
+    rows = [(i, "".join(random.Random(i % 3).choices("abcd ", k=600)) + str(i)) for i in range(6)]
+    assert built(spark, rows, 400) == plain(rows, 400)
+    assert any("collect_list" in p for p in plans) and not any("ObjectHashAggregate" in p for p in plans)
+    assert {key: spark.conf.get(key, None) for key in before} == before
