@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -133,3 +134,25 @@ def test_lists_are_gathered_from_sorted_rows(spark, monkeypatch):
     assert built(spark, rows, 400) == plain(rows, 400)
     assert any("collect_list" in p for p in plans) and not any("ObjectHashAggregate" in p for p in plans)
     assert {key: spark.conf.get(key, None) for key in before} == before
+
+
+def test_rows_of_one_key_can_be_split(spark, monkeypatch):
+    """Where rows are joined with the counts of their keys, each side is dealt for the join alone, not for counting too: only then does Spark split a key."""
+    plans, written = {}, suffixes.written
+
+    def spied(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return written(df, name)
+
+    monkeypatch.setattr(suffixes, "written", spied)
+    r = random.Random(5)
+    said = "".join(r.choice("abcdefgh") for _ in range(90))
+    rows = [(i, "".join(r.choice("stuv") for _ in range(40)) + said + "".join(r.choice("wxyz") for _ in range(40))) for i in range(30)] + [(i, said * 2) for i in range(30, 60)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert built(spark, rows, 60) == plain(rows, 60)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    for name in ("rows", "strings", "some"):
+        assert re.findall(r"[-:] Sort \[.*\n[ :]*\+- (\w+)", plans[name]) == ["Exchange"] * 2, plans[name]
