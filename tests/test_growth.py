@@ -1,5 +1,6 @@
 """What a step writes grows with its rows, not with their pairs."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quarrywork.operators import blocks, graph, usage, vectors
@@ -41,6 +42,32 @@ def test_a_worker_holds_few_pairs(spark, monkeypatch):
     assert most <= 2 * 250_000
 
 
+def test_copies_grow_with_rows(spark, monkeypatch):
+    """Where all pairs of a fiftieth of the rows with the rows are asked for, no more than the rows again are moved for it."""
+    dealt, of = [], vectors._blocks
+
+    def seen(*args):
+        dealt.append(of(*args))
+        return dealt[-1]
+
+    monkeypatch.setattr(vectors, "_blocks", seen)
+    frame = spark.range(40_000).select("id", F.array(F.rand(1), F.rand(2)).alias("v"))
+    vectors.similarities(frame.filter("id % 50 = 0"), frame, "id", "v")
+    assert sum(side.count() for side in dealt[0]) <= 2 * 40_800
+
+
+def test_pairs_leave_a_few_at_a_time(spark, monkeypatch):
+    """A group of any size: no batch of its pairs has more than the bound, and all of them come."""
+    monkeypatch.setattr(vectors, "AT_MOST", 300)
+    rows = [(False, i, [1.0, i]) for i in range(50)] + [(True, i, [1.0, -i]) for i in range(130)]
+    other, key, v = (pa.array(x) for x in zip(*rows))
+    whole = pa.RecordBatch.from_arrays([other, key, v], names=["_other", "id", "_v"])
+    pieces = list(vectors._meeting("id", (), None)(iter([whole.slice(i, 40) for i in range(0, 180, 40)])))
+    assert max(p.num_rows for p in pieces) <= 300 and sum(p.num_rows for p in pieces) == 50 * 130 - 50
+    got = {(q, i): s for p in pieces for q, i, s in zip(*(c.to_pylist() for c in p.columns))}
+    assert len(got) == 50 * 129 and abs(got[3, 2] - (1 - 6) / (10 * 5) ** 0.5) < 1e-12
+
+
 def test_tasks_grow_with_rows(spark, monkeypatch):
     """Joins that make several rows of one are dealt by rows, not put together by the size of what they read."""
     monkeypatch.setattr(graph, "AT_ONCE", 50)
